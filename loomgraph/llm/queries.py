@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import byte_bpe, mixing, near_dedup
 
 QUERIES = {
+    "op2_source_mixing": mixing.op2,
     "op7_minhash_near_dedup": near_dedup.op7,
+    "op9_byte_bpe": byte_bpe.op9,
+}
+SQL = {
+    "op2_source_mixing": mixing.SQL,
 }
-SQL: dict[str, str] = {}
