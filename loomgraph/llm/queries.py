@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, lang_id, line_dedup, mixing, near_dedup
+from . import byte_bpe, lang_id, line_dedup, mixing, near_dedup, sharding, token_files
 
 QUERIES = {
     "op2_source_mixing": mixing.op2,
     "op4_fuzzy_line_dedup": line_dedup.op4,
     "op5_language_id": lang_id.op5,
+    "op6_token_files": token_files.op6,
     "op7_minhash_near_dedup": near_dedup.op7,
     "op9_byte_bpe": byte_bpe.op9,
+    "op10_vector_sharding": sharding.op10,
 }
 SQL = {
     "op2_source_mixing": mixing.SQL,
