@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, lang_id, line_dedup, mixing, near_dedup, sharding, token_files
+from . import byte_bpe, lang_id, line_dedup, mixing, near_dedup, sharding, token_files, topk, vector_dedup
 
 QUERIES = {
+    "op1_impact_topk": topk.op1,
     "op2_source_mixing": mixing.op2,
+    "op3_pivot_vector_dedup": vector_dedup.op3,
     "op4_fuzzy_line_dedup": line_dedup.op4,
     "op5_language_id": lang_id.op5,
     "op6_token_files": token_files.op6,
@@ -14,5 +16,7 @@ QUERIES = {
     "op10_vector_sharding": sharding.op10,
 }
 SQL = {
+    "op1_impact_topk": topk.SQL,
     "op2_source_mixing": mixing.SQL,
+    "op3_pivot_vector_dedup": vector_dedup.SQL,
 }
