@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, lang_id, line_dedup, mixing, near_dedup, sharding, token_files, topk, vector_dedup
+from . import byte_bpe, lang_id, line_dedup, mixing, near_dedup, sharding, token_files, topk, toxicity, vector_dedup
 
 QUERIES = {
     "op1_impact_topk": topk.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_language_id": lang_id.op5,
     "op6_token_files": token_files.op6,
     "op7_minhash_near_dedup": near_dedup.op7,
+    "op8_weak_toxicity": toxicity.op8,
     "op9_byte_bpe": byte_bpe.op9,
     "op10_vector_sharding": sharding.op10,
 }
