@@ -47,6 +47,12 @@ class Tables:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, table: DataFrame) -> None:
+        """Remove a table that nothing reads any more."""
+        for root in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def crc32_text(column: Column) -> Column:
     """Unsigned crc32 of a value's text."""
@@ -58,12 +64,16 @@ def word_count(column: Column) -> Column:
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def only(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is in ``ids``: broadcast if ``ids`` is small."""
-    ids = ids.select(key).distinct()
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    return df.join(ids, key, "left_semi")
+def small(table: DataFrame) -> DataFrame:
+    """A written table, with a hint to broadcast it if it has few enough rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each u has one v only, and no v is itself a u."""
+    if not edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return False
+    return edges.join(small(edges.select(F.col("u").alias("v"))), "v", "left_semi").isEmpty()
 
 
 def components(edges: DataFrame, tables: Tables, a: str = "a", b: str = "b") -> DataFrame:
@@ -72,28 +82,26 @@ def components(edges: DataFrame, tables: Tables, a: str = "a", b: str = "b") ->
     Returns (node, component) for every node of an edge; component is the
     smallest node that can be reached.  Each round is two aggregations and two
     joins on the node, and the number of rounds grows with the logarithm of the
-    longest chain.  Nothing is gathered on the driver but a count and a hash.
+    longest chain; it ends when every edge points at the centre of a star.
     """
     u, v = F.greatest(a, b), F.least(a, b)
     cur = tables.cut(edges.filter(F.col(a) != F.col(b)).select(u.alias("u"), v.alias("v")).distinct(), "edges")
-    seen = None
-    while True:
-        state = cur.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if not state[0] or state == seen:
-            return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        seen = state
+    while not _stars(cur):
+        few = cur.count() <= BROADCAST_ROWS // 2
+        hint = F.broadcast if few else (lambda df: df)
         both = cur.union(cur.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(hint(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = tables.cut(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        near = large.join(hint(least), "u")
         cur = tables.cut(
-            small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            near.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select("u", F.col("m").alias("v"))).distinct(),
             "star",
         )
+    ends = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(ends)
 
 
 def block_pairs(
@@ -103,6 +111,7 @@ def block_pairs(
     fn: Callable[[pa.Table, pa.Table | None], pa.Table],
     schema: str,
     block: int = 1000,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Apply ``fn`` to all pairs of rows that share ``key``, block against block.
 
@@ -110,8 +119,10 @@ def block_pairs(
     rows; each pair of blocks is a group of its own, so a key that holds a third
     of all rows becomes many equal tasks and no group outgrows two blocks.
     ``fn(rows, None)`` compares a block with itself, ``fn(rows, others)`` two.
+    ``counts`` (key, n_) may give the rows of each key, if they are known.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("n_")).filter("n_ > 1")
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count("*").alias("n_")).filter("n_ > 1")
     dealt = rows.join(counts, key).withColumn("nb_", F.ceil(F.col("n_") / block).cast("int"))
     dealt = dealt.withColumn("own_", F.pmod(F.xxhash64(F.col(ident), F.lit(7)), F.col("nb_")).cast("int"))
     dealt = dealt.withColumn("other_", F.explode(F.sequence(F.lit(0), F.col("nb_") - 1)))

@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrays as A
-from ._shared import BROADCAST_ROWS, Tables, block_pairs, components, slices
-from .near_dedup import confirm
+from ._shared import Tables, block_pairs, components, slices, small
 
 SHINGLE, BITS, ROWS, PERCENT = 10, 5, 3, 75
 BREAK = 10
@@ -81,35 +80,53 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle sets of the wanted lines of each text."""
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted lines of each text, trimmed and in lower case."""
     for batch in slices(batches, "text", 1 << 20):
         cp, text, number, start, end = _lines(batch.column("text"))
         wanted = [set(x) for x in batch.column("lines").to_pylist()]
         take = np.array([n in wanted[t] for t, n in zip(text.tolist(), number.tolist(), strict=True)], dtype=bool)
-        node, hashes, line = _shingles(cp, start[take], end[take])
-        parts = np.split(hashes, np.searchsorted(line, np.arange(1, len(node)))) if len(node) else []
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(node.astype(np.int64)), pa.array([np.unique(p).tobytes() for p in parts], pa.binary())], names=["id", "words"]
-        )
+        start, end = start[take], end[take]
+        node = A.span_hash(A.prefix_sums(cp), start, end)
+        raw = cp.astype("<u4").tobytes()
+        lines = [raw[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), pa.array(lines, pa.string())], names=["id", "words"])
+
+
+def _line_sets(column: pa.Array) -> list[np.ndarray]:
+    """Distinct shingle hashes of lines that are trimmed and in lower case."""
+    data, offsets, _ = A.flat(column)
+    cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+    at = np.searchsorted(np.flatnonzero((data & 0xC0) != 0x80), offsets)
+    _, hashes, line = _shingles(cp, at[:-1], at[1:])
+    return [np.unique(p) for p in np.split(hashes, np.searchsorted(line, np.arange(1, len(column))))] if len(column) else []
+
+
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+        return False
+    union = len(np.union1d(x, y))
+    return 100 * (len(x) + len(y) - union) >= PERCENT * union
+
+
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "x", 1 << 19):
+        keep = [_linked(x, y) for x, y in zip(_line_sets(batch.column("x")), _line_sets(batch.column("y")), strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _across(rows: pa.Table, others: pa.Table | None) -> pa.Table:
     """Links between lines of different components, by their full sets."""
 
     def read(t: pa.Table):
-        return t.column("node").to_pylist(), t.column("component").to_pylist(), [np.frombuffer(x, A.U) for x in t.column("words").to_pylist()]
+        return t.column("node").to_pylist(), t.column("component").to_pylist(), _line_sets(t.column("words").combine_chunks())
 
     one = read(rows)
     two = one if others is None else read(others)
     a, b = [], []
     for i in range(len(one[0])):
         for j in range(i + 1 if others is None else 0, len(two[0])):
-            x, y = one[2][i], two[2][j]
-            if one[1][i] == two[1][j] or 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-                continue
-            union = len(np.union1d(x, y))
-            if 100 * (len(x) + len(y) - union) >= PERCENT * union:
+            if one[1][i] != two[1][j] and _linked(one[2][i], two[2][j]):
                 a.append(min(one[0][i], two[0][j]))
                 b.append(max(one[0][i], two[0][j]))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -132,11 +149,6 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A hint to broadcast a written table that has few enough rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def keepers(docs: DataFrame, tables: Tables) -> DataFrame:
     """doc_id and the numbers of the lines that stay, for documents that keep any."""
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
@@ -144,29 +156,35 @@ def keepers(docs: DataFrame, tables: Tables) -> DataFrame:
     bands = lines.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center < last")
     shared = tables.cut(shared.drop("last"), "shared")
-    buckets = tables.cut(bands.join(_small(shared), "band").distinct(), "buckets")
+    buckets = tables.cut(bands.join(small(shared), "band").distinct(), "buckets")
+    first = tables.cut(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("place")), "first")
+    tables.drop(lines)
     stars = tables.cut(buckets.filter("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "stars")
 
-    first = tables.cut(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("place")), "first")
     nodes = tables.cut(buckets.select("node").distinct(), "nodes")
     wanted = tables.cut(
-        first.join(_small(nodes), "node").select("place.*").groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "wanted"
+        first.join(small(nodes), "node").select("place.*").groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "wanted"
     )
-    texts = docs.join(_small(wanted), "doc_id").dropDuplicates(["doc_id"])
-    sets = tables.cut(texts.select("text", "lines").mapInArrow(_sets, "id long, words binary").dropDuplicates(["id"]), "sets")
-    links = tables.cut(confirm(stars, sets, PERCENT), "links")
+    texts = docs.join(small(wanted), "doc_id").select("text", "lines")
+    sets = tables.cut(texts.mapInArrow(_texts, "id long, words string"), "sets")
+    pairs = stars.join(sets.select(F.col("id").alias("a"), F.col("words").alias("x")), "a")
+    pairs = pairs.join(sets.select(F.col("id").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "x", "y")
+    links = tables.cut(pairs.mapInArrow(_confirm, "a long, b long"), "links")
     near = tables.cut(components(links, tables), "near")
 
-    labelled = buckets.join(_small(near), "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    labelled = buckets.join(small(near), "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     labelled = tables.cut(labelled, "labelled")
     mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
-    mixed = mixed.filter("lo < hi and n > 2").select("band")
-    rest = labelled.join(mixed, "band").join(sets.withColumnRenamed("id", "node"), "node")
-    more = block_pairs(rest, "band", "node", _across, "a long, b long", block=200).distinct()
-    found = tables.cut(components(links.union(more), tables), "components")
-
-    linked = first.join(_small(found), "node").groupBy("component").agg(F.min("place").alias("place"))
-    alone = first.join(_small(found.select("node")), "node", "left_anti")
+    mixed = tables.cut(mixed.filter("lo < hi and n > 2").select("band"), "mixed")
+    rest = labelled.join(small(mixed), "band").join(sets.withColumnRenamed("id", "node"), "node")
+    found = near
+    if not mixed.isEmpty():
+        more = block_pairs(rest, "band", "node", _across, "a long, b long", block=200).distinct()
+        again = near.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
+        found = tables.cut(components(again, tables), "components")
+
+    linked = first.join(small(found), "node").groupBy("component").agg(F.min("place").alias("place"))
+    alone = first.join(small(found).select("node"), "node", "left_anti")
     places = alone.select("place.*").union(linked.select("place.*"))
     return tables.cut(places.groupBy("doc_id").agg(F.collect_list("line").alias("kept_")), "kept")
 

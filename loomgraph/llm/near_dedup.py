@@ -10,14 +10,18 @@ hashes are the smallest of each bin, so one hash of each shingle is enough.
    smallest.  The number of pairs grows with the members, not their square.
 3. Proposed pairs are confirmed on full shingle sets, and components are built.
 4. A bucket whose members lie in different components may hide a link that the
-   star did not propose.  There, and only there, all pairs between different
-   components are compared, block against block, by their sketches; pairs whose
-   sketches agree in enough bins are confirmed on full sets as well.
+   star did not propose.  There, and only there, members of different components
+   are compared, block against block, by their sketches, and pairs that agree in
+   enough bins are confirmed on full sets as well: in one round each member
+   proposes its most similar partner, which joins most groups of near copies;
+   in a second round all pairs that are left between components are compared by
+   wide sketches as well, the least 512 hashes of each set, which are the whole
+   set of most documents.
 5. Components over all links.
 
 At similarity 0.75 a pair shares one of 32 bands of 4 with probability
 1 - 5e-6; sketches of such pairs agree in 96 of 128 bins on average with a
-deviation of 5, so the 56 asked for in step 4 is 8 deviations below.
+deviation of 5, so the 74 asked for in step 4 is over 4 deviations below.
 """
 
 from __future__ import annotations
@@ -30,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrays as A
-from ._shared import Tables, block_pairs, components, only, slices
+from ._shared import Tables, block_pairs, components, slices, small
 
 BITS, ROWS = 7, 4
-SKETCH_AGREE = 56
+SKETCH_AGREE = 74
 SHINGLE = 5
+WIDE = 512
 PERCENT = 75
 
 
@@ -68,6 +73,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "words"])
 
 
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least WIDE hashes of each text, their upper halves."""
+    for batch in slices(batches, "text"):
+        least = [np.unique((s >> A.U(32)).astype(np.uint32))[:WIDE].tobytes() for s in A.word_sets(batch.column("text"), SHINGLE)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(least, pa.binary())], names=["rep", "wide"])
+
+
 def _confirm(percent: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,29 +104,61 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     return joined.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _across(rows: pa.Table, others: pa.Table | None) -> pa.Table:
-    """Pairs from different components whose sketches agree in enough bins."""
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two wide sketches allow a link: exact for sets of up to WIDE shingles,
+    else by the least WIDE hashes of both, over 4 deviations below the threshold."""
+    common = np.intersect1d(x, y, assume_unique=True)
+    if max(len(x), len(y)) < WIDE:
+        return 100 * len(common) >= (PERCENT - 1) * (len(x) + len(y) - len(common))
+    least = np.union1d(x, y)[:WIDE]
+    return np.searchsorted(common, least[-1], side="right") >= 0.66 * len(least)
+
+
+def _across(best: bool):
+    """Pairs from different components whose sketches agree in enough bins.
+
+    A pair is proposed by the first band that it shares, and not by the bucket
+    whose star has proposed it.  With ``best``, each row proposes its most
+    similar partner only; without, all pairs that the wide sketches allow.
+    """
+    bands = (1 << BITS) // ROWS
 
     def read(t: pa.Table):
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(t.num_rows, 1 << BITS)
-        return t.column("rep").to_numpy(), t.column("component").to_numpy(), t.column("n_shingles").to_numpy(), sketch
-
-    one = read(rows)
-    two = one if others is None else read(others)
-    a, b = [], []
-    for i in range(0, len(one[0]), 64):
-        part = [x[i : i + 64] for x in one]
-        sizes = np.minimum.outer(part[2], two[2]) * 100 >= PERCENT * np.maximum.outer(part[2], two[2])
-        r, c = np.nonzero((part[1][:, None] != two[1][None, :]) & sizes)
-        if others is None:
-            r, c = r[i + r < c], c[i + r < c]
-        for j in range(0, len(r), 1 << 16):
-            rr, cc = r[j : j + (1 << 16)], c[j : j + (1 << 16)]
-            agree = (part[3][rr] == two[3][cc]).sum(axis=1) >= SKETCH_AGREE
-            a.append(part[0][rr[agree]])
-            b.append(two[0][cc[agree]])
-    a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
-    return pa.table({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
+        wide = None if best else [np.frombuffer(x, np.uint32) for x in t.column("wide").to_pylist()]
+        return t.column("rep").to_numpy(), t.column("component").to_numpy(), t.column("n_shingles").to_numpy(), sketch, wide
+
+    def fn(rows: pa.Table, others: pa.Table | None) -> pa.Table:
+        one = read(rows)
+        two = one if others is None else read(others)
+        number, center = rows.column("number")[0].as_py(), rows.column("center")[0].as_py()
+        agree = np.zeros((len(one[0]), len(two[0])), dtype=np.int16)
+        for i in range(0, len(one[0]), 64):
+            part = [x[i : i + 64] for x in one[:4]]
+            fit = np.minimum.outer(part[2], two[2]) * 100 >= PERCENT * np.maximum.outer(part[2], two[2])
+            fit &= (part[1][:, None] != two[1][None, :]) & (part[0] != center)[:, None] & (two[0] != center)[None, :]
+            if others is None:
+                fit &= np.arange(i, i + len(part[0]))[:, None] < np.arange(len(two[0]))[None, :]
+            r, c = np.nonzero(fit)
+            for j in range(0, len(r), 1 << 14):
+                rr, cc = r[j : j + (1 << 14)], c[j : j + (1 << 14)]
+                same = part[3][rr] == two[3][cc]
+                first = same.reshape(len(rr), bands, ROWS).all(axis=2).argmax(axis=1) == number
+                agree[i + rr, cc] = same.sum(axis=1) * first
+        enough = agree >= SKETCH_AGREE
+        if best and enough.size:
+            top = np.zeros_like(enough)
+            top[np.arange(len(agree)), agree.argmax(axis=1)] = True
+            top[agree.argmax(axis=0), np.arange(agree.shape[1])] = True
+            enough &= top
+        r, c = np.nonzero(enough)
+        if not best:
+            allowed = np.array([_similar(one[4][x], two[4][y]) for x, y in zip(r.tolist(), c.tolist(), strict=True)], dtype=bool)
+            r, c = r[allowed], c[allowed]
+        a, b = one[0][r], two[0][c]
+        return pa.table({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
+
+    return fn
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -136,31 +180,46 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member = tables.cut(linked.select("doc_id", "n_shingles", "k1", "k2").join(first, ["k1", "k2", "n_shingles"]).select("doc_id", "rep"), "member")
     reps = linked.join(member.filter("doc_id = rep").select("doc_id").distinct(), "doc_id").withColumnRenamed("doc_id", "rep")
 
-    bands = reps.select("rep", F.explode("bands").alias("band"))
+    bands = reps.select("rep", F.posexplode("bands").alias("number", "band"))
     shared = bands.groupBy("band").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).filter("center < last")
     buckets = tables.cut(bands.join(shared.drop("last"), "band"), "buckets")
-    stars = tables.cut(buckets.filter("rep != center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    tested = tables.cut(buckets.filter("rep != center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
-        return tables.cut(only(docs, ids, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, words binary"), "sets")
-
-    links = tables.cut(confirm(stars, sets_of(stars)), "links")
-    near = tables.cut(components(links, tables), "near")
-
-    labelled = tables.cut(
-        buckets.join(near.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("band", "rep", F.coalesce("component", "rep").alias("component")),
-        "labelled",
-    )
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
-    rows = labelled.join(mixed, "band").join(reps.select("rep", "n_shingles", "sketch").distinct(), "rep")
-    rest = block_pairs(rows, "band", "rep", _across, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    rest = tables.cut(rest, "rest")
-    more = confirm(rest, sets_of(rest))
-    found = tables.cut(components(links.union(more), tables), "components")
-
-    rep_of = member.distinct().join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
+        ids = tables.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+        return tables.cut(docs.join(small(ids), "doc_id", "left_semi").mapInArrow(_sets, "id long, words binary"), "sets")
+
+    sketches = reps.select("rep", "n_shingles", "sketch")
+    links = tables.cut(confirm(tested, sets_of(tested)), "links")
+    found = tables.cut(components(links, tables), "components")
+    active = None
+    for best in (True, False):
+        labelled = buckets.join(small(found).withColumnRenamed("node", "rep"), "rep", "left")
+        labelled = labelled.select("band", "number", "rep", "center", F.coalesce("component", "rep").alias("component"))
+        if active is not None:
+            labelled = labelled.join(small(active), "rep", "left_semi")
+        labelled = tables.cut(labelled, "labelled")
+        mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n_"))
+        mixed = tables.cut(mixed.filter("lo < hi").select("band", "n_"), "mixed")
+        if mixed.isEmpty():
+            break
+        members = tables.cut(labelled.join(small(mixed), "band").select("rep").distinct(), "members")
+        known = sketches.join(small(members), "rep", "left_semi").dropDuplicates(["rep"])
+        if not best:
+            wide = docs.join(small(members).withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+            known = known.join(wide.mapInArrow(_wide, "rep long, wide binary"), "rep")
+        known = tables.cut(known, "sketches")
+        pairs = block_pairs(labelled.join(small(known), "rep"), "band", "rep", _across(best), "a long, b long", counts=small(mixed)).distinct()
+        pairs = tables.cut(pairs, "pairs")
+        active = tables.cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "active")
+        pairs = tables.cut(pairs.join(small(tested), ["a", "b"], "left_anti"), "untested")
+        if pairs.isEmpty():
+            continue
+        more = tables.cut(confirm(pairs, sets_of(pairs)), "more")
+        tested = tables.cut(tested.union(pairs), "tested")
+        found = tables.cut(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), tables), "components")
+
+    rep_of = member.distinct().join(small(found).withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.coalesce("component", "rep").alias("component_id")
     )
     out = seen.select("doc_id", "n_shingles").join(rep_of, "doc_id", "left")
