@@ -115,20 +115,58 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _common(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
+    """Sizes of the intersections of each set of ``x`` with each of ``y`` (or of ``x``)."""
+    sets, n = [*x, *(y or ())], len(x)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, count = np.unique(np.concatenate([*sets, np.zeros(0, A.U)]), return_inverse=True, return_counts=True)
+    shared = count > 1
+    use = shared[place]
+    place, owner = (np.cumsum(shared) - 1)[place[use]], owner[use]
+    order = np.argsort(place, kind="stable")
+    place, owner, total = place[order], owner[order], int(shared.sum())
+    out = np.zeros((n, len(y) if y is not None else n))
+    step = max(1, min(total, (1 << 22) // max(len(sets), 1)))
+    for first in range(0, total, step):
+        lo, hi = np.searchsorted(place, [first, first + step])
+        member = np.zeros((len(sets), step), dtype=np.float32)
+        member[owner[lo:hi], place[lo:hi] - first] = 1
+        out += member[:n] @ (member if y is None else member[n:]).T
+    return out
+
+
 def _across(rows: pa.Table, others: pa.Table | None) -> pa.Table:
-    """Links between lines of different components, by their full sets."""
+    """Links between lines of different components, by their full sets.
+
+    Of the links found, those that join components which the block's earlier
+    ones leave apart are returned: fewer than its rows, with the same closure.
+    """
 
     def read(t: pa.Table):
-        return t.column("node").to_pylist(), t.column("component").to_pylist(), _line_sets(t.column("words").combine_chunks())
+        sets = _line_sets(t.column("words").combine_chunks())
+        return t.column("node").to_numpy(), t.column("component").to_numpy(), sets, np.array([len(s) for s in sets])
 
     one = read(rows)
     two = one if others is None else read(others)
+    common = _common(one[2], None if others is None else two[2])
+    linked = 100 * common >= PERCENT * (one[3][:, None] + two[3][None, :] - common)
+    linked &= one[1][:, None] != two[1][None, :]
+    if others is None:
+        linked = np.triu(linked, 1)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
     a, b = [], []
-    for i in range(len(one[0])):
-        for j in range(i + 1 if others is None else 0, len(two[0])):
-            if one[1][i] != two[1][j] and _linked(one[2][i], two[2][j]):
-                a.append(min(one[0][i], two[0][j]))
-                b.append(max(one[0][i], two[0][j]))
+    for i, j in zip(*(k.tolist() for k in np.nonzero(linked)), strict=True):
+        x, y = root(int(one[1][i])), root(int(two[1][j]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            a.append(min(int(one[0][i]), int(two[0][j])))
+            b.append(max(int(one[0][i]), int(two[0][j])))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -179,7 +217,7 @@ def keepers(docs: DataFrame, tables: Tables) -> DataFrame:
     rest = labelled.join(small(mixed), "band").join(sets.withColumnRenamed("id", "node"), "node")
     found = near
     if not mixed.isEmpty():
-        more = block_pairs(rest, "band", "node", _across, "a long, b long", block=200).distinct()
+        more = block_pairs(rest, "band", "node", _across, "a long, b long", block=500).distinct()
         again = near.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
         found = tables.cut(components(again, tables), "components")
 
