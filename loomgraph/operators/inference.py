@@ -115,13 +115,13 @@ class Inference:
     hit_cap: bool
 
 
-def materialise(facts: DataFrame, profile: str = "rl-lite", max_rounds: int = MAX_ROUNDS, max_derived: int = MAX_DERIVED) -> Inference:
+def materialise(facts: DataFrame, profile: str | tuple[Rule, ...] = "rl-lite", max_rounds: int = MAX_ROUNDS, max_derived: int = MAX_DERIVED) -> Inference:
     """Derive to a fixed point, or until a limit is reached.
 
     The last, empty round counts.  The cap keeps the first derivations of the
     round in which it is reached, by rule and premises.
     """
-    rules = PROFILES[profile]
+    rules = PROFILES[profile] if isinstance(profile, str) else profile
     known = delta = cut(facts.select("s", "p", "o").distinct())
     schema = "s string, p string, o string, rule string, f0 string, f1 string, f2 string, round int"
     derived = facts.sparkSession.createDataFrame([], schema)

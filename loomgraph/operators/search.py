@@ -96,7 +96,8 @@ def bucket(grams: pd.Series) -> pd.Series:
 
 def embed(texts: DataFrame) -> DataFrame:
     """(iri, dim, weight): unit vectors of hashed n-gram counts of (iri, text)."""
-    grams = texts.select("iri", F.explode(ngrams(normalised(F.col("text")))).alias("gram"))
+    clean = texts.select("iri", normalised("text").alias("clean"))
+    grams = clean.select("iri", F.explode(ngrams(F.col("clean"))).alias("gram"))
     dims = grams.select("gram").distinct().withColumn("dim", bucket("gram"))
     counts = grams.groupBy("iri", "gram").count().join(dims, "gram").groupBy("iri", "dim").agg(F.sum("count").cast("double").alias("n"))
     length = counts.groupBy("iri").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("len"))
