@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import terms as t
 
@@ -73,7 +74,7 @@ def _normal(text: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", text).casefold().split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalised(texts: pd.Series) -> pd.Series:
     """NFKC, casefold and single spaces, which Spark has no functions for."""
     return texts.map(_normal, na_action="ignore")
@@ -88,7 +89,7 @@ def ngrams(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.concat(of(2), of(3)))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def bucket(grams: pd.Series) -> pd.Series:
     """Dimension of a gram; run on distinct grams only."""
     return grams.map(lambda g: int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big") % DIMENSIONS)
