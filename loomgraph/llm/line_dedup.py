@@ -132,6 +132,8 @@ def _common(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
         member = np.zeros((len(sets), step), dtype=np.float32)
         member[owner[lo:hi], place[lo:hi] - first] = 1
         out += member[:n] @ (member if y is None else member[n:]).T
+    if y is None:
+        np.fill_diagonal(out, [len(s) for s in x])
     return out
 
 
