@@ -33,14 +33,14 @@ def stacks(headers: list[tuple[int, int | None]]) -> tuple[list[int], list[int]]
     undo: list[int] = []
     redo: list[int] = []
     for seq, inverse in headers:
-        if inverse is None:
-            undo, redo = [*undo, seq], []
-        elif undo and undo[-1] == inverse:
+        if inverse is not None and undo[-1:] == [inverse]:
             undo.pop()
             redo.append(seq)
-        elif redo and redo[-1] == inverse:
+        elif inverse is not None and redo[-1:] == [inverse]:
             redo.pop()
             undo.append(seq)
+        else:
+            undo, redo = [*undo, seq], []
     return undo, redo
 
 

@@ -67,7 +67,10 @@ def test_closure_is_safe_on_cycles(spark):
 
 
 def test_undo_stacks():
-    assert changelog.stacks([(1, None), (2, None), (3, 2)]) == ([1], [2])
+    # what is redone is the inverse of the patch that undid
+    assert changelog.stacks([(1, None), (2, None), (3, 2)]) == ([1], [3])
+    assert changelog.stacks([(1, None), (2, None), (3, 2), (4, 3)]) == ([1, 4], [])
+    assert changelog.stacks([(1, None), (2, 7)]) == ([1, 2], [])
     assert changelog.stacks([(1, None), (2, 1), (3, None)]) == ([3], [])
 
 
