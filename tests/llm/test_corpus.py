@@ -167,6 +167,25 @@ def test_vectors_that_take_no_part(spark):
     assert [(r["vec_id"], r["score"]) for r in best] == [(20, 4096), (80, 4096), (5, 0)]
 
 
+def _group_of_near_vectors(n, size, spread, seed=5):
+    """Random vectors of 64 components, the first ``size`` around one centre."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:size] = x[size] + spread * x[:size]
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_vectors_of_a_dense_group(spark):
+    x = _group_of_near_vectors(6000, 2000, 0.2)
+    frame = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    wanted = (x @ x.T >= vector_dedup.COSINE).sum(axis=1) - 1
+    assert wanted[:2000].min() > 1900
+    found = {r["vec_id"]: r for r in vector_dedup.near_vectors(frame.repartition(4)).collect()}
+    assert [found[i]["n_links"] for i in range(2000)] == wanted[:2000].tolist()
+    assert {found[i]["component_id"] for i in range(2000)} == {0}
+
+
 @pytest.mark.parametrize("fn", [near_dedup.near_duplicates, line_dedup.dedup_lines, sharding.shard, byte_bpe.digests, lang_id.identify, mixing.mix])
 def test_empty_tables(odd, fn):
     assert fn(odd.limit(0)).count() == 0
