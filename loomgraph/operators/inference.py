@@ -115,11 +115,12 @@ class Inference:
     hit_cap: bool
 
 
-def materialise(facts: DataFrame, profile: str | tuple[Rule, ...] = "rl-lite", max_rounds: int = MAX_ROUNDS, max_derived: int = MAX_DERIVED) -> Inference:
+def materialise(facts: DataFrame, profile: str | tuple[Rule, ...] = "rl-lite", max_rounds: int = MAX_ROUNDS, max_derived: int | None = None) -> Inference:
     """Derive to a fixed point, or until a limit is reached.
 
-    The last, empty round counts.  The cap keeps the first derivations of the
-    round in which it is reached, by rule and premises.
+    The last, empty round counts.  There is no cap on the derivations unless one
+    is given (``MAX_DERIVED`` is that of the published service); it keeps the
+    first derivations of the round in which it is reached, by rule and premises.
     """
     rules = PROFILES[profile] if isinstance(profile, str) else profile
     known = delta = cut(facts.select("s", "p", "o").distinct())
@@ -137,7 +138,7 @@ def materialise(facts: DataFrame, profile: str | tuple[Rule, ...] = "rl-lite", m
         n = rows.count()
         if n == 0:
             return Inference(derived, number, True, False)
-        if total + n >= max_derived:
+        if max_derived is not None and total + n >= max_derived:
             rows = rows.orderBy("at", "f0", "f1", "f2", "s", "p", "o").limit(max_derived - total)
             return Inference(cut(derived.union(rows.drop("at"))), number, False, True)
         total += n

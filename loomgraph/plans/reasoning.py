@@ -37,13 +37,20 @@ def query(sql: str | None = None):
 _FURTHER = {"same-subject": [("?y", t.OWL + "sameAs", "?y")]}
 
 
+def _whole(done: I.Inference) -> I.Inference:
+    """An inference that no limit has cut short."""
+    if done.hit_cap or not done.reached_fixed_point:
+        raise RuntimeError(f"inference stopped at a limit after {done.rounds} rounds")
+    return done
+
+
 def _rule(rule: I.Rule):
     def run(spark, d):
         """The rule alone over one instance of its premises for each customer."""
         rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("k"))
         term = lambda x: F.concat(F.lit(f"<urn:v:{x[1:]}:"), "k", F.lit(">")) if x.startswith("?") else F.lit(f"<{x}>")
         made = F.explode(F.array(*[F.struct(*[term(x).alias(c) for c, x in zip("spo", triple, strict=True)]) for triple in rule.premises]))
-        return I.materialise(rows.select(made.alias("f")).select("f.*"), (rule,)).derivations.select("s", "p", "o")
+        return _whole(I.materialise(rows.select(made.alias("f")).select("f.*"), (rule,))).derivations.select("s", "p", "o")
 
     term = lambda x: f"'<urn:v:{x[1:]}:' || c_custkey || '>'" if x.startswith("?") else f"'<{x}>'"
     made = [rule.conclusion, *_FURTHER.get(rule.name, [])]
@@ -59,7 +66,7 @@ for _r in I.RULES:
 def _inferred(spark, d, profile: str):
     rows = kg(spark, d, "region", "nation", "customer", "supplier").unionByName(ontology(spark))
     facts = I.facts_of(rows.filter(F.col("p").isin(t.TYPE, t.ONT + "inNation", t.ONT + "inRegion", t.LABEL) | (F.col("g") == t.ONTOLOGY)))
-    return facts, I.materialise(facts, profile)
+    return facts, _whole(I.materialise(facts, profile))
 
 
 @query("SELECT r_name AS region, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) JOIN nation ON k = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")

@@ -48,6 +48,24 @@ def test_chain_rounds_and_caps(spark):
     assert capped.hit_cap and capped.derivations.count() == 5
 
 
+def test_no_cap_unless_asked_for(spark):
+    """More instances of a subclass than the published service derives."""
+    n = inference.MAX_DERIVED + 10
+    key = lambda x: F.lit(f"<{x}>")
+    facts = spark.range(n).select(F.concat(F.lit("<urn:i:"), F.col("id").cast("string"), F.lit(">")).alias("s"), key(t.TYPE).alias("p"), key("urn:a").alias("o"))
+    facts = facts.union(spark.range(1).select(key("urn:a"), key(t.RDFS + "subClassOf"), key("urn:b")))
+    done = inference.materialise(facts, "rdfs")
+    assert done.reached_fixed_point and not done.hit_cap and done.derivations.count() == n
+
+
+def test_queries_fail_at_a_limit(spark):
+    from loomgraph.plans import reasoning
+
+    facts = spark.createDataFrame([("<urn:x>", f"<{t.TYPE}>", "<urn:a>"), ("<urn:a>", f"<{t.RDFS}subClassOf>", "<urn:b>")], "s string, p string, o string")
+    with pytest.raises(RuntimeError):
+        reasoning._whole(inference.materialise(facts, "rdfs", max_derived=1))
+
+
 def test_cycle_and_literal_subject(spark):
     sub = t.RDFS + "subClassOf"
     facts = _facts(spark, [("a", sub, "b"), ("b", sub, "a"), ("x", t.TYPE, "a"), ("p", t.RDFS + "range", "c"), ("x", "p", '"text"')])
