@@ -1,21 +1,24 @@
 """Sharding by vector bin packing (operator 10).
 
 Documents with equal texts are a group, and a group is a vector: its bytes,
-tokens and rows as shares of all.  Groups are dealt to tasks by their hash; each
-task packs its own groups, largest first, every one into the shard where the dot
-product of its vector with the residual capacity is highest, the capacity being
-an eighth of what the task holds.  As every task fills its shards evenly, so
-are their unions.
+tokens and rows as shares of all.  Packing goes largest first, every group into
+the shard where the dot product of its vector with the residual capacity is
+highest.
 
 A group that holds more than 1/512 of all bytes, tokens or rows would not fit
 evenly, so it is cut into pieces by a hash of doc_id first.  There are at most
 3 * 512 such groups, whatever the input, and only these are broadcast.
+
+A long document cannot be cut, so whatever holds more than 1/4096 of all bytes,
+tokens or rows, at most 3 * 4096 groups and pieces, is packed once, over all.
+The others are dealt by their hash to buckets, whose number follows the number
+of rows and not that of the tasks.  Each bucket is packed on its own, into
+capacities that divide what it holds as the residual capacities of the shards
+stand to each other; so what the long documents left uneven is filled up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,37 +28,48 @@ from ._shared import Tables, word_count
 
 SHARDS = 8
 PARTS = 512
+#: A group or piece above this part of all is packed over all.
+LONG = 4096
+#: Groups of a bucket, at most and at least, and buckets of a small table.
+FULL, LEAST, FEW = 4096, 64, 256
 #: Rows of a shard are numbered within so many buckets, then across them.
 BUCKETS = 4096
 #: What is left after the largest groups evens out bytes, the quantity of the law.
 WEIGHTS = (4.0, 1.0, 1.0)
 
 
-def pack(vectors: np.ndarray, shards: int, turn: int = 0) -> np.ndarray:
-    """Shard of each row of ``vectors``, by the dot product with residual capacity."""
-    total = vectors.sum(axis=0)
-    v = vectors / np.where(total > 0, total, 1) * np.asarray(WEIGHTS)[: vectors.shape[1]]
-    left = np.tile(v.sum(axis=0) / shards, (shards, 1))
+def pack(vectors: np.ndarray, total: np.ndarray, parts: np.ndarray, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Shard of each row of ``vectors``, by the dot product with residual capacity, and the parts of ``total`` that are left.
+
+    ``parts`` has a row for each shard and a column for each quantity.
+    """
+    weights = np.asarray(WEIGHTS) * (total > 0)
+    v = vectors / np.where(total > 0, total, 1) * weights
+    names = np.roll(np.arange(len(parts)), turn)
+    left = (parts * weights)[names]
     out = np.zeros(len(v), dtype=np.int32)
-    names = np.roll(np.arange(shards), turn)
     for i in np.argsort(-v.max(axis=1), kind="stable").tolist():
         s = int((left @ v[i]).argmax())
         left[s] -= v[i]
         out[i] = names[s]
-    return out
+    rest = np.empty_like(left)
+    rest[names] = left
+    return out, np.where(weights > 0, rest / np.where(weights > 0, weights, 1), parts)
 
 
-def _pack_task(shards: int):
-    def fn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [f for f in frames if len(f)]
-        if rows:
-            items = pd.concat(rows, ignore_index=True).sort_values(["k1", "k2", "piece"], ignore_index=True)
-            shard = pack(items[["bytes", "tokens", "rows"]].to_numpy(dtype=float), shards, int(items["k1"].iloc[0] % shards))
-            yield items[["k1", "k2", "piece"]].assign(shard=shard)
+def _pack_bucket(parts: np.ndarray):
+    def fn(items: pd.DataFrame) -> pd.DataFrame:
+        items = items.sort_values(_ITEM, ignore_index=True)
+        vectors = items[_SIZES].to_numpy(dtype=float)
+        return items[_ITEM].assign(shard=pack(vectors, vectors.sum(axis=0), parts, int(items["group"].iloc[0] % len(parts)))[0])
 
     return fn
 
 
+_ITEM, _SIZES = ["k1", "k2", "piece"], ["bytes", "tokens", "rows"]
+_PACKED = "k1 long, k2 long, piece int, shard int"
+
+
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row.
 
@@ -86,8 +100,18 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     large = rows.groupBy("k1", "k2").agg(*sums).withColumn("pieces", F.ceil(share * PARTS)).filter("pieces > 1").select("k1", "k2", "pieces")
     rows = rows.join(F.broadcast(large), ["k1", "k2"], "left")
     rows = rows.withColumn("piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("doc_id"), "pieces")).otherwise(0).cast("int"))
-    items = rows.groupBy("k1", "k2", "piece").agg(*sums)
-    packed = tables.cut(items.mapInPandas(_pack_task(shards), "k1 long, k2 long, piece int, shard int"), "packed")
+    items = tables.cut(rows.groupBy(*_ITEM).agg(*sums).withColumn("long", share > 1 / LONG), "items")
+    # at most 3 * LONG rows
+    long = items.filter("long").select(*_ITEM, *_SIZES).toPandas().sort_values(_ITEM, ignore_index=True)
+    sizes = np.array([float(total[c] or 0) for c in _SIZES])
+    where, left = pack(long[_SIZES].to_numpy(dtype=float), sizes, np.full((shards, len(_SIZES)), 1 / shards))
+    left = np.maximum(left, 0)
+    left = np.where(left.sum(axis=0) > 0, left / np.where(left.sum(axis=0) > 0, left.sum(axis=0), 1), 1 / shards)
+    buckets = max(1, -(-total["rows"] // FULL), min(FEW, total["rows"] // LEAST))
+    dealt = items.filter("not long").withColumn("group", F.pmod(F.xxhash64(*_ITEM, F.lit(5)), F.lit(buckets)).cast("int"))
+    packed = dealt.groupBy("group").applyInPandas(_pack_bucket(left), _PACKED)
+    first = list(zip(*(long[c].tolist() for c in _ITEM), where.tolist(), strict=True))
+    packed = tables.cut(packed.union(docs.sparkSession.createDataFrame(first, _PACKED)), "packed")
     placed = rows.join(packed, ["k1", "k2", "piece"])
     placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(BUCKETS)).cast("int"))
     placed = tables.cut(placed.select("doc_id", "size", "text_crc32", "shard", "bucket", "k1"), "placed")

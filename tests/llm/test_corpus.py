@@ -153,6 +153,24 @@ def test_shards_are_even(docs):
     assert len(sizes) == 8 and max(sizes) < 1.3 * min(sizes)
 
 
+def test_shards_with_long_documents(spark):
+    rows = [(i, " ".join([f"w{i}"] * (20 + i % 150)), "en", "s", 1, "c") for i in range(3000)]
+    rows += [(3000 + i, f"long{i:03d} " * 4500, "en", "s", 1, "c") for i in range(20)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    conf = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        many = {r["doc_id"]: (r["shard"], r["size"]) for r in sharding.shard(frame).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    one = {r["doc_id"]: (r["shard"], r["size"]) for r in sharding.shard(frame).collect()}
+    held = np.bincount([s for s, _ in many.values()], weights=[n for _, n in many.values()], minlength=8)
+    assert held.max() < 1.02 * held.mean() and many == one
+
+
 def test_mixing_limits(odd):
     rows = mixing.mix(odd).collect()
     assert all(0 <= r["copies"] <= 3 for r in rows) and mixing.repeat(mixing.mix(odd)).columns == ["doc_id", "text", "lang", "source", "component"]
