@@ -140,8 +140,12 @@ def triple_object(p: str, s: Column, tp: Column, o_key: Column, g: str | Column
 
 
 def quads(df: DataFrame, subject: Column, objects: list[Column], s_kind: str = "iri") -> DataFrame:
-    """One scan of ``df`` that gives a quad for each of ``objects`` that has a value."""
-    rows = df.select(subject.alias("s"), F.explode(F.array(*objects)).alias("q"))
+    """One scan of ``df`` that gives a quad for each of ``objects`` that has a value.
+
+    With one object its parts stay plain columns, so a filter on a constant
+    predicate or graph is decided while planning.
+    """
+    rows = df.select(subject.alias("s"), (objects[0] if len(objects) == 1 else F.explode(F.array(*objects))).alias("q"))
     rows = rows.filter(F.col("s").isNotNull() & F.col("q.o_key").isNotNull() & F.col("q.p").isNotNull())
     return rows.select("q.g", "s", F.lit(s_kind).alias("s_kind"), "q.p", "q.o", "q.o_kind", "q.o_dt", "q.o_lang", "q.o_triple", "q.o_key")
 

@@ -1,26 +1,21 @@
 """Loops to a fixed point: closure, search by levels, shortest paths.
 
 Each round is one plan over the edges and the last round's new rows; its result
-is cut from the lineage by a checkpoint in the shared folder.
+is written below the shared folder and read back, so the lineage stays short.
+Tables that grow are appended to, never rewritten.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import Growing, Tables
+
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the folder in ``spark.checkpoint.dir``, without its lineage."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        folder = tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
+    return Tables(df.sparkSession, "cut").cut(df)
 
 
 def closure(edges: DataFrame, reflexive: bool = False, seeds: DataFrame | None = None) -> DataFrame:
@@ -29,34 +24,44 @@ def closure(edges: DataFrame, reflexive: bool = False, seeds: DataFrame | None =
     Without ``seeds`` paths double in length each round, so a chain of n edges
     takes about log2(n) rounds; with ``seeds`` (a) only their paths are followed.
     """
-    edges = cut(edges.select("a", "b").filter("a is not null and b is not null").distinct())
-    known = edges if seeds is None else cut(edges.join(seeds.select("a").distinct(), "a", "left_semi"))
-    delta = known
+    tables = Tables(edges.sparkSession, "closure")
+    edges = tables.cut(edges.select("a", "b").filter("a is not null and b is not null").distinct(), "edges")
+    grown = Growing(tables, "known", edges.schema)
+    delta = grown.add(edges if seeds is None else edges.join(seeds.select("a").distinct(), "a", "left_semi"))
     while not delta.isEmpty():
+        known = grown.read()
         step = (known if seeds is None else edges).select(F.col("a").alias("b"), F.col("b").alias("c"))
         made = delta.join(step, "b").select("a", F.col("c").alias("b"))
         if seeds is None:
             made = made.union(known.join(delta.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")))
-        delta = cut(made.distinct().join(known, ["a", "b"], "left_anti"))
-        known = cut(known.union(delta))
+        delta = grown.add(made.distinct().join(known, ["a", "b"], "left_anti"))
+    known = grown.read()
     if reflexive:
         nodes = (edges.select("a").union(edges.select(F.col("b").alias("a"))) if seeds is None else seeds.select("a")).distinct()
         known = known.union(nodes.select("a", F.col("a").alias("b"))).distinct()
     return known
 
 
-def levels(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(start, node, level) within ``depth`` steps of each row of ``start`` (start), by breadth."""
-    edges = cut(edges.select("a", "b").distinct())
-    seen = cut(start.select("start", F.col("start").alias("node"), F.lit(0).alias("level")).distinct())
-    front = seen
+def levels(edges: DataFrame, start: DataFrame, depth: int, enough: int | None = None) -> DataFrame:
+    """(start, node, level) within ``depth`` steps of each row of ``start`` (start), by breadth.
+
+    With ``enough``, no level is expanded once the levels before it hold that many rows.
+    """
+    tables = Tables(edges.sparkSession, "levels")
+    edges = tables.cut(edges.select("a", "b").distinct(), "edges")
+    first = start.select("start", F.col("start").alias("node"), F.lit(0).alias("level")).distinct()
+    grown = Growing(tables, "seen", first.schema)
+    front, held = grown.add(first), 0
     for level in range(1, depth + 1):
+        if enough is not None:
+            held += front.count()
+            if held >= enough:
+                break
         found = front.join(edges, front["node"] == edges["a"]).select("start", F.col("b").alias("node")).distinct()
-        front = cut(found.join(seen, ["start", "node"], "left_anti").withColumn("level", F.lit(level)))
+        front = grown.add(found.join(grown.read(), ["start", "node"], "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():
             break
-        seen = cut(seen.union(front))
-    return seen
+    return grown.read()
 
 
 def incident(rows: DataFrame, type_iri: str) -> DataFrame:
@@ -75,7 +80,7 @@ def neighbourhood(rows: DataFrame, start: str, type_iri: str, depth: int = 1, mo
     depth = min(5, max(1, depth))
     edges = incident(rows, type_iri)
     seeds = rows.sparkSession.createDataFrame([(start,)], "start string")
-    reached = levels(edges, seeds, depth).select("node", "level")
+    reached = levels(edges, seeds, depth, most).select("node", "level")
     nodes = cut(reached.orderBy("level", "node").limit(most))
     steps = edges.join(nodes.filter(F.col("level") < depth).select(F.col("node").alias("a")), "a", "left_semi")
     one = F.when(F.col("forward"), F.struct("a", "p", "b")).otherwise(F.struct(F.col("b").alias("a"), "p", F.col("a").alias("b")))
@@ -87,22 +92,24 @@ def shortest_path(rows: DataFrame, start: str, goal: str, type_iri: str, hops: i
     none within ``hops`` (held between 1 and 8); no step if both ends are one node."""
     hops = min(8, max(1, hops))
     spark = rows.sparkSession
-    edges = cut(incident(rows, type_iri))
-    seen = spark.createDataFrame([(start, None, None, None, 0)], "node string, from_ string, p string, forward boolean, level int")
-    front, level = seen, 0
+    tables = Tables(spark, "path")
+    edges = tables.cut(incident(rows, type_iri), "edges")
+    first = spark.createDataFrame([(start, None, None, None, 0)], "node string, from_ string, p string, forward boolean, level int")
+    grown = Growing(tables, "seen", first.schema)
+    front, level = grown.add(first), 0
     while start != goal and level < hops:
         level += 1
         best = edges.join(front.select(F.col("node").alias("a")), "a").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("a", "p", "forward")).alias("m"))
-        found = best.join(seen.select("node"), "node", "left_anti").select("node", F.col("m.a").alias("from_"), "m.p", "m.forward", F.lit(level).alias("level"))
-        front = cut(found)
+        fresh = best.join(grown.read().select("node"), "node", "left_anti")
+        front = grown.add(fresh.select("node", F.col("m.a").alias("from_"), "m.p", "m.forward", F.lit(level).alias("level")))
         if front.isEmpty():
             return None
-        seen = cut(seen.union(front))
         if not front.filter(F.col("node") == goal).isEmpty():
             break
     else:
         if start != goal:
             return None
+    seen = grown.read()
     path, node = [], goal
     for step in range(level, 0, -1):  # at most eight look-ups
         r = seen.filter((F.col("node") == node) & (F.col("level") == step)).first()
@@ -115,14 +122,14 @@ def describe(rows: DataFrame, node: str, depth: int = 1, layout: str = "urn:kg:l
     """Quads about a node: its own, those of blank nodes below it, and up to ``depth``
     steps of IRIs; all named graphs but the layout."""
     rows = rows.filter(F.col("g").isNotNull() & (F.col("g") != layout))
-    front = rows.sparkSession.createDataFrame([(node, depth)], "s string, budget int")
-    seen = front
+    first = rows.sparkSession.createDataFrame([(node, depth)], "s string, budget int")
+    grown = Growing(Tables(rows.sparkSession, "describe"), "seen", first.schema)
+    front = grown.add(first)
     while True:
         step = rows.filter(F.col("o_kind").isin("iri", "bnode")).join(front, "s")
         budget = F.when(F.col("o_kind") == "bnode", F.col("budget")).otherwise(F.col("budget") - 1)
         made = step.select(F.col("o").alias("s"), budget.alias("budget")).filter("budget > 0").groupBy("s").agg(F.max("budget").alias("budget"))
-        old = seen.groupBy("s").agg(F.max("budget").alias("old"))
-        front = cut(made.join(old, "s", "left").filter("old is null or old < budget").select("s", "budget"))
+        old = grown.read().groupBy("s").agg(F.max("budget").alias("old"))
+        front = grown.add(made.join(old, "s", "left").filter("old is null or old < budget"))
         if front.isEmpty():
-            return rows.join(seen.select("s").distinct(), "s", "left_semi")
-        seen = cut(seen.union(front))
+            return rows.join(grown.read().select("s").distinct(), "s", "left_semi")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as t
-from .fixpoint import cut
+from ..storage import Growing, Tables
 
 _TYPE, _SUB, _SUBP = t.TYPE, t.RDFS + "subClassOf", t.RDFS + "subPropertyOf"
 _SAME = t.OWL + "sameAs"
@@ -51,6 +51,8 @@ RULES = (
 )
 PROFILES = {"none": RULES[:0], "rdfs": RULES[:6], "rl-lite": RULES}
 MAX_ROUNDS, MAX_DERIVED = 20, 1_000_000
+#: Facts of a premise (schema, mostly) are broadcast up to this many bytes, and joined by a shuffle beyond.
+BROADCAST_BYTES = 4 << 20
 
 
 def _key(part: str) -> str:
@@ -70,19 +72,25 @@ def _premise(facts: DataFrame, premise: tuple[str, str, str], n: int) -> DataFra
     return facts.select(*[c.alias(v[1:]) for v, c in bound.items()], F.concat_ws(" ", "s", "p", "o").alias(f"f{n}"))
 
 
-def _vocabulary(facts: DataFrame, rules: tuple[Rule, ...]) -> set[tuple[str, str]]:
-    """Which of the rules' own predicates (and, for types, classes) the facts use."""
+def _vocabulary(facts: DataFrame, rules: tuple[Rule, ...]) -> dict[tuple[str, str], int]:
+    """Bytes of the facts with each of the rules' own predicates (and, for types, classes), if there are any."""
     asked = {(_key(p), _key(o)) if not o.startswith("?") else (_key(p), "") for r in rules for _, p, o in r.premises if not p.startswith("?")}
     predicates = sorted({p for p, _ in asked})
     classes = sorted({o for _, o in asked if o})
-    rows = facts.filter(F.col("p").isin(predicates)).select("p", F.when(F.col("o").isin(classes), F.col("o")).otherwise("").alias("o")).distinct()
-    found = {(r["p"], r["o"]) for r in rows.collect()}  # bounded by the rules
-    return found | {(p, "") for p, _ in found}
-
-
-def _usable(premise: tuple[str, str, str], vocabulary: set[tuple[str, str]]) -> bool:
+    named = F.when(F.col("o").isin(classes), F.col("o")).otherwise("").alias("o")
+    size = F.octet_length("s") + F.octet_length("p") + F.octet_length("o")
+    rows = facts.filter(F.col("p").isin(predicates)).groupBy("p", named).agg(F.sum(size).alias("bytes"))
+    found: dict[tuple[str, str], int] = {}
+    for r in rows.collect():  # bounded by the rules
+        for key in {(r["p"], ""), (r["p"], r["o"])}:
+            found[key] = found.get(key, 0) + r["bytes"]
+    return found
+
+
+def _usable(premise: tuple[str, str, str], vocabulary: dict[tuple[str, str], int]) -> int | None:
+    """Bytes of the facts that a premise can match, None if there is no such fact; 0 if the predicate is open."""
     _, p, o = premise
-    return p.startswith("?") or (_key(p), "" if o.startswith("?") else _key(o)) in vocabulary
+    return 0 if p.startswith("?") else vocabulary.get((_key(p), "" if o.startswith("?") else _key(o)))
 
 
 def candidates(known: DataFrame, delta: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
@@ -90,12 +98,16 @@ def candidates(known: DataFrame, delta: DataFrame, rules: tuple[Rule, ...]) -> D
     everywhere, fresh = _vocabulary(known, rules), _vocabulary(delta, rules)
     made = []
     for index, rule in enumerate(rules):
-        if not all(_usable(x, everywhere) for x in rule.premises):
+        if not all(_usable(x, everywhere) is not None for x in rule.premises):
             continue
         for new in range(len(rule.premises)):
-            if not _usable(rule.premises[new], fresh):
+            if _usable(rule.premises[new], fresh) is None:
                 continue
-            parts = [_premise(delta if i == new else known, x, i) for i, x in enumerate(rule.premises)]
+            parts = []
+            for i, x in enumerate(rule.premises):
+                part = _premise(delta if i == new else known, x, i)
+                size = _usable(x, fresh if i == new else everywhere)
+                parts.append(F.broadcast(part) if 0 < size <= BROADCAST_BYTES else part)
             joined = reduce(lambda a, b: a.join(b, [c for c in a.columns if c in b.columns]), parts)
             s, p, o = (F.col(x[1:]) if x.startswith("?") else F.lit(_key(x)) for x in rule.conclusion)
             premises = [F.col(f"f{i}") for i in range(len(parts))] + [F.lit("")] * (3 - len(parts))
@@ -123,29 +135,32 @@ def materialise(facts: DataFrame, profile: str | tuple[Rule, ...] = "rl-lite", m
     first derivations of the round in which it is reached, by rule and premises.
     """
     rules = PROFILES[profile] if isinstance(profile, str) else profile
-    known = delta = cut(facts.select("s", "p", "o").distinct())
-    schema = "s string, p string, o string, rule string, f0 string, f1 string, f2 string, round int"
-    derived = facts.sparkSession.createDataFrame([], schema)
+    tables = Tables(facts.sparkSession, "inference")
+    given = delta = tables.cut(facts.select("s", "p", "o").distinct(), "facts")
+    nothing = facts.sparkSession.createDataFrame([], "s string, p string, o string, rule string, f0 string, f1 string, f2 string, round int")
+    derived = Growing(tables, "derived", nothing.schema)
     names = F.array(*[F.lit(r.name) for r in rules]) if rules else None
     total = 0
     for number in range(1, max_rounds + 1):
+        so_far = derived.read() if derived.parts else nothing
+        known = given.union(so_far.select("s", "p", "o"))
         made = candidates(known, delta, rules) if rules else None
         if made is None:
-            return Inference(derived, number, True, False)
+            return Inference(so_far, number, True, False)
         first = made.groupBy("s", "p", "o").agg(F.min("why").alias("why")).join(known, ["s", "p", "o"], "left_anti")
         rows = first.select("s", "p", "o", F.element_at(names, F.col("why.rule") + 1).alias("rule"), "why.f0", "why.f1", "why.f2", F.lit(number).alias("round"), F.col("why.rule").alias("at"))
-        rows = cut(rows)
-        n = rows.count()
-        if n == 0:
-            return Inference(derived, number, True, False)
-        if max_derived is not None and total + n >= max_derived:
-            rows = rows.orderBy("at", "f0", "f1", "f2", "s", "p", "o").limit(max_derived - total)
-            return Inference(cut(derived.union(rows.drop("at"))), number, False, True)
-        total += n
-        derived = cut(derived.union(rows.drop("at")))
-        delta = rows.select("s", "p", "o")
-        known = cut(known.union(delta))
-    return Inference(derived, max_rounds, False, False)
+        if max_derived is not None:
+            rows = tables.cut(rows, "round")
+            n = rows.count()
+            if n and total + n >= max_derived:
+                derived.add(rows.orderBy("at", "f0", "f1", "f2", "s", "p", "o").limit(max_derived - total))
+                return Inference(derived.read(), number, False, True)
+            total += n
+        fresh = derived.add(rows)
+        if fresh.isEmpty():
+            return Inference(so_far, number, True, False)
+        delta = fresh.select("s", "p", "o")
+    return Inference(derived.read() if derived.parts else nothing, max_rounds, False, False)
 
 
 def facts_of(rows: DataFrame) -> DataFrame:

@@ -9,23 +9,23 @@ from ..functions import terms as t
 from ..sources.mapping import Field, Mapping, ingest
 
 MAPPINGS = {
-    "region": Mapping("region", ["r_regionkey"], ["Region"], "r_name"),
-    "nation": Mapping("nation", ["n_nationkey"], ["Nation"], "n_name", [Field("n_regionkey", "inRegion", "link", target="region")]),
+    "region": Mapping("region", ["r_regionkey"], ["Region"], "r_name", unique=True),
+    "nation": Mapping("nation", ["n_nationkey"], ["Nation"], "n_name", [Field("n_regionkey", "inRegion", "link", target="region")], unique=True),
     "customer": Mapping(
         "customer", ["c_custkey"], ["Customer"], "c_name",
-        [Field("c_acctbal", "acctbal", datatype="decimal"), Field("c_mktsegment", "segment", datatype="string"), Field("c_nationkey", "inNation", "link", target="nation")],
+        [Field("c_acctbal", "acctbal", datatype="decimal"), Field("c_mktsegment", "segment", datatype="string"), Field("c_nationkey", "inNation", "link", target="nation")], unique=True,
     ),
     "supplier": Mapping(
         "supplier", ["s_suppkey"], ["Supplier"], "s_name",
-        [Field("s_acctbal", "acctbal", datatype="decimal"), Field("s_nationkey", "inNation", "link", target="nation")],
+        [Field("s_acctbal", "acctbal", datatype="decimal"), Field("s_nationkey", "inNation", "link", target="nation")], unique=True,
     ),
     "part": Mapping(
         "part", ["p_partkey"], ["Part"], "p_name",
-        [Field("p_brand", "brand", "reference"), Field("p_type", "type", datatype="string"), Field("p_size", "size"), Field("p_retailprice", "price", datatype="decimal")],
+        [Field("p_brand", "brand", "reference"), Field("p_type", "type", datatype="string"), Field("p_size", "size"), Field("p_retailprice", "price", datatype="decimal")], unique=True,
     ),
     "orders": Mapping(
         "orders", ["o_orderkey"], ["Order"], None,
-        [Field("o_orderstatus", "status", datatype="string"), Field("o_totalprice", "total", datatype="decimal"), Field("o_orderpriority", "priority", datatype="string"), Field("o_custkey", "placedBy", "link", target="customer")],
+        [Field("o_orderstatus", "status", datatype="string"), Field("o_totalprice", "total", datatype="decimal"), Field("o_orderpriority", "priority", datatype="string"), Field("o_custkey", "placedBy", "link", target="customer")], unique=True,
     ),
     # no two rows agree in these six columns
     "lineitem": Mapping(

@@ -12,6 +12,7 @@ from ..operators import property_graph as G
 from ..operators import search as R
 from ..operators.fixpoint import cut
 from ..sources import nquads
+from ..storage import shared_dir
 from ..streaming import feed
 from .graph import kg, table
 
@@ -160,7 +161,7 @@ def patch_text(spark, d):
 @query(f"SELECT seq, actor, count(*) FILTER (op = 'A') AS additions, count(*) FILTER (op = 'D') AS deletions FROM ({_LOG}) GROUP BY 1, 2")
 def change_feed(spark, d):
     """Notices of a log folder, followed as a stream until all that is there was read."""
-    root = f"{_shared(spark)}/feed-{uuid.uuid4().hex[:12]}"
+    root = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex[:12]}"
     log = _log(spark, d)
     log.write.parquet(f"{root}/log")
     feed.follow(spark, f"{root}/log", log.schema, f"{root}/out", f"{root}/checkpoint")
@@ -168,11 +169,6 @@ def change_feed(spark, d):
     return rows.groupBy("seq", "actor").agg(F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
 
 
-def _shared(spark) -> str:
-    cut(spark.range(1))  # sets the folder where none is set
-    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
-
-
 # property graph and text forms
 
 

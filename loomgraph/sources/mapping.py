@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as t
+from ..operators.graph_edit import annotate
+
+DERIVED_FROM = "http://www.w3.org/ns/prov#wasDerivedFrom"
 
 
 @dataclass(frozen=True)
@@ -37,6 +40,8 @@ class Mapping:
     fields: list[Field] = field(default_factory=list)
     graph: str = t.DATA
     label_lang: str | None = None
+    #: The key is a primary key of the table: never blank, never repeated.
+    unique: bool = False
 
     def check(self, columns: list[str]) -> None:
         asked = [*self.key, *([self.label] if self.label else []), *(f.column for f in self.fields)]
@@ -54,41 +59,76 @@ def reference_iri(predicate: str, cell: Column) -> Column:
 
 
 def _key(mapping: Mapping) -> Column:
-    parts = [F.trim(F.col(c).cast("string")) for c in mapping.key]
+    """Text of the key, null where it is blank; parts keep their place in a key of several columns."""
+    if not mapping.key:
+        return F.lit(None).cast("string")
+    parts = [F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in mapping.key]
     if len(parts) == 1:
-        return F.nullif(parts[0], F.lit(""))
-    return F.sha2(F.concat_ws("|", *parts), 256)
+        return parts[0]
+    return F.when(F.coalesce(*parts).isNotNull(), F.sha2(F.concat_ws("|", *[F.coalesce(x, F.lit("")) for x in parts]), 256))
+
+
+def _without_key(table: DataFrame, mapping: Mapping) -> DataFrame:
+    """Rows with a blank key and, as ``node_``, a node of its own for each.
+
+    Equal rows are counted before they are numbered, so a row that is repeated
+    very often meets in no task.
+    """
+    repeated = table.filter(_key(mapping).isNull()).groupBy(*table.columns).agg(F.count("*").alias("times_"))
+    row = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(table.columns)])), 256)
+    numbered = repeated.withColumn("number_", F.explode(F.sequence(F.lit(1).cast("long"), "times_")))
+    node = F.concat(F.lit(f"{t.ID}{mapping.name}/row-"), F.substring(row, 1, 26), F.lit("-"), F.col("number_").cast("string"))
+    return numbered.withColumn("node_", node).drop("times_", "number_")
 
 
-def ingest(table: DataFrame, mapping: Mapping, known: DataFrame | None = None) -> DataFrame:
+def ingest(table: DataFrame, mapping: Mapping, known: DataFrame | None = None, predicates: set[str] | None = None) -> DataFrame:
     """Quads of a table.  ``known`` (key, s) gives the nodes that already stand for keys.
 
-    Rows with a blank key make no node.  Additions only: what an earlier ingest
-    said about a node stays.
+    Rows with the same key are one node; a row with a blank key, or of a mapping
+    without one, makes a node of its own.  Additions only: what an earlier
+    ingest said about a node stays.
+
+    Each property is a branch of a union, so a filter on the predicate prunes
+    the others while planning and the scan reads the columns of what is left;
+    ``predicates`` leaves branches out from the start.  With a ``unique`` mapping
+    the quads are distinct as they come and need no shuffle.
     """
     mapping.check(table.columns)
-    key = _key(mapping)
-    rows = table.withColumn("key_", key).filter(F.col("key_").isNotNull())
-    subject = node_iri(mapping.name, F.col("key_"))
+    key = F.col("key_")
+    rows = table.withColumn("key_", _key(mapping))
+    subject = node_iri(mapping.name, key)
     if known is not None:
         rows = rows.join(known.select(F.col("key").alias("key_"), F.col("s").alias("known_")), "key_", "left")
         subject = F.coalesce(F.col("known_"), subject)
-    objects = [t.iri_object(t.TYPE, F.lit(t.ONT + c), mapping.graph) for c in mapping.types]
-    objects.append(t.literal_object(t.EXTERNAL_KEY, F.col("key_"), g=mapping.graph))
+    if not mapping.unique:
+        rows = rows.filter(key.isNotNull()).unionByName(_without_key(table, mapping), allowMissingColumns=True)
+        subject = F.coalesce(F.col("node_"), subject)
+    objects = [(t.TYPE, t.iri_object(t.TYPE, F.lit(t.ONT + c), mapping.graph)) for c in mapping.types]
+    objects.append((t.EXTERNAL_KEY, t.literal_object(t.EXTERNAL_KEY, key, g=mapping.graph)))
     if mapping.label:
         text = F.nullif(F.trim(F.col(mapping.label).cast("string")), F.lit(""))
-        objects.append(t.literal_object(t.LABEL, text, lang=mapping.label_lang, g=mapping.graph))
+        objects.append((t.LABEL, t.literal_object(t.LABEL, text, lang=mapping.label_lang, g=mapping.graph)))
     for f in mapping.fields:
         p, cell = t.ONT + f.predicate, F.trim(F.col(f.column).cast("string"))
         if f.skip_empty or f.kind != "literal":
             cell = F.nullif(cell, F.lit(""))
         if f.kind == "literal":
             kind = t.XSD + f.datatype if f.datatype else (None if f.language else t.infer_datatype(cell))
-            objects.append(t.literal_object(p, cell, kind, f.language, mapping.graph))
+            objects.append((p, t.literal_object(p, cell, kind, f.language, mapping.graph)))
         else:
             node = node_iri(f.target, cell) if f.kind == "link" else reference_iri(p, cell)
-            objects.append(t.iri_object(p, node, mapping.graph))
-    return t.as_set(t.quads(rows, subject, objects))
+            objects.append((p, t.iri_object(p, node, mapping.graph)))
+    asked = [o for p, o in objects if predicates is None or p in predicates]
+    branches = [t.quads(rows, subject, [o]) for o in asked] or [t.quads(rows.limit(0), subject, [objects[0][1]])]
+    out = t.union(*branches)
+    return out if mapping.unique else t.as_set(out)
+
+
+def with_source(rows: DataFrame, mapping: Mapping, source: str) -> DataFrame:
+    """The quads of an ingest and, for the edges of its link and reference fields, the IRI they come from."""
+    links = [t.ONT + f.predicate for f in mapping.fields if f.kind != "literal"]
+    edges = rows.filter(F.col("p").isin(*links) & (F.col("o_kind") == "iri"))
+    return rows.unionByName(annotate(edges, {DERIVED_FROM: F.lit(source)}, mapping.graph))
 
 
 def reference_nodes(table: DataFrame, mapping: Mapping, existing: DataFrame | None = None) -> DataFrame:

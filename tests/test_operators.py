@@ -98,10 +98,33 @@ def test_mapping_needs_its_columns(spark):
         mapping.ingest(table, mapping.Mapping("x", ["k"], ["X"], "name"))
 
 
-def test_blank_keys_and_cells_make_nothing(spark):
-    table = spark.createDataFrame([("1", " "), (" ", "b"), (None, "c")], "k string, name string")
-    rows = mapping.ingest(table, mapping.Mapping("x", ["k"], ["X"], "name"))
-    assert sorted(r["p"].rsplit("#", 1)[1] for r in rows.collect()) == ["externalKey", "type"]
+def test_rows_without_a_key_are_nodes_of_their_own(spark):
+    table = spark.createDataFrame([("1", " "), (" ", "b"), (None, "c"), (None, "c")], "k string, name string")
+    rows = mapping.ingest(table, mapping.Mapping("x", ["k"], ["X"], "name")).collect()
+    assert len({r["s"] for r in rows}) == 4
+    assert sorted(r["p"].rsplit("#", 1)[1] for r in rows) == ["externalKey", *["label"] * 3, *["type"] * 4]
+    assert len({r["s"] for r in mapping.ingest(table, mapping.Mapping("x", [], ["X"], "name")).collect()}) == 4
+
+
+def test_parts_of_a_key_keep_their_places(spark):
+    table = spark.createDataFrame([("a", None, "b"), ("a", "b", None), (None, " ", "")], "x string, y string, z string")
+    rows = mapping.ingest(table, mapping.Mapping("t", ["x", "y", "z"], ["T"])).filter(F.col("p") == t.EXTERNAL_KEY).collect()
+    assert len({r["o"] for r in rows}) == len(rows) == 2
+
+
+def test_edges_name_their_source(spark):
+    table = spark.createDataFrame([("1", "acme"), ("2", "acme")], "k string, employer string")
+    m = mapping.Mapping("person", ["k"], ["Person"], fields=[mapping.Field("employer", "worksFor", "reference")])
+    rows = mapping.with_source(mapping.ingest(table, m), m, "file://people.csv")
+    assert rows.filter(F.col("p") == mapping.DERIVED_FROM).count() == 2 and rows.filter(F.col("p") == t.REIFIES).count() == 2
+
+
+def test_a_filter_on_the_predicate_prunes_the_scan(spark):
+    from loomgraph.plans.graph import kg
+
+    plan = kg(spark, "/root/testdata/sf0.001", "customer").filter(F.col("p") == t.ONT + "segment")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    assert "Exchange" not in plan and "c_acctbal" not in plan
 
 
 def test_nquads_escapes_and_errors(spark):
