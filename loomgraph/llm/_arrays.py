@@ -69,6 +69,16 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U) * U(0xA24BAED4963EE407))
 
 
+def window_hash(sums: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of the ``width`` places from each one on, as span_hash gives them; the last ones, cut off, are of no use."""
+    out = np.zeros(len(sums), dtype=U)
+    if len(sums) > width:
+        _, down = _powers(len(sums))
+        n = len(sums) - width
+        out[:n] = mix((sums[width:] - sums[:n]) * down[:n] + U(width * 0xA24BAED4963EE407 % (1 << 64)))
+    return out
+
+
 def spans(keep: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of runs of kept bytes that do not cross an offset."""
     if not len(keep):
@@ -132,6 +142,15 @@ def bin_minima(hashes: np.ndarray, group: np.ndarray, n: int, bits: int) -> tupl
     return sketch.reshape(n, k), filled.reshape(n, k)
 
 
+def bin_minima_of(hashes: np.ndarray, group: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """As bin_minima, for hashes in any order."""
+    most = np.iinfo(U).max
+    sketch = np.full(n << bits, most, dtype=U)
+    np.minimum.at(sketch, (group << bits) | (hashes >> U(64 - bits)).astype(np.int64), hashes)
+    sketch = sketch.reshape(n, 1 << bits)
+    return sketch, sketch != most
+
+
 def densify(sketch: np.ndarray, filled: np.ndarray) -> np.ndarray:
     """Optimal densification: an empty bin tries bins in an order drawn by its own
     number alone, until one is filled, and takes that one's value."""

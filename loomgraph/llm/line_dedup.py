@@ -20,14 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import _arrays as A
-from ._shared import Tables, block_pairs, components, slices, small
+from ._shared import Tables, block_pairs, boxed, components, lookup, salted, slices, small
 
 SHINGLE, BITS, ROWS, PERCENT = 10, 5, 3, 75
 BREAK = 10
+BLANKS = "\t\n\x0b\x0c\r "
 MANY = 1 << 20  # lines that one sort takes
 
 
@@ -51,48 +53,46 @@ def _lines(column: pa.Array):
 
 
 def _shingles(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each whole line, and hashes of all shingles with the line of each."""
+    """Hash of each whole line, and hashes of all shingles with the line of each.
+
+    Lines are in order and do not overlap.  Shingles are hashed at every place
+    of the batch at once; the places at which one begins within a line are taken.
+    """
     sums = A.prefix_sums(cp)
-    lengths = end - start
-    counts = np.maximum(lengths - SHINGLE + 1, 1)
-    line = np.repeat(np.arange(len(start)), counts)
-    first = np.cumsum(counts) - counts
-    at = start[line] + (np.arange(len(line)) - first[line])
-    return A.span_hash(sums, start, end), A.span_hash(sums, at, np.minimum(at + SHINGLE, end[line])), line
+    whole, long = A.span_hash(sums, start, end), end - start >= SHINGLE
+    hashes = A.window_hash(sums, SHINGLE)
+    hashes[start[~long]] = whole[~long]
+    change = np.zeros(len(hashes) + 1, dtype=np.int8)
+    change[start] = 1
+    change[np.where(long, end - SHINGLE, start) + 1] -= 1
+    begins = np.cumsum(change[:-1], dtype=np.int8).view(bool)
+    return whole, hashes[begins], np.repeat(np.arange(len(start)), np.where(long, end - start - SHINGLE + 1, 1))
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every line with its node; the first line of a batch with a node also has its bands."""
     for batch in slices(batches, "text", 1 << 20):
         cp, text, number, first, last = _lines(batch.column("text"))
         for i in range(0, len(first), MANY):
             start, end = first[i : i + MANY], last[i : i + MANY]
-            node, hashes, line = _shingles(cp, start, end)
-            # a line's number above the upper 44 bits of its hashes: sorting orders the hashes in each line
-            key = np.sort((line.astype(A.U) << A.U(44)) | (hashes >> A.U(20)))
-            sketch = A.densify(*A.bin_minima(key << A.U(20), (key >> A.U(44)).astype(np.int64), len(start), BITS))
-            bands = A.band_hashes(sketch, ROWS)
+            node = A.span_hash(A.prefix_sums(cp), start, end)
+            fresh = np.zeros(len(node), dtype=bool)
+            fresh[np.unique(node, return_index=True)[1]] = True
+            _, hashes, line = _shingles(cp, start[fresh], end[fresh])
+            bands = A.band_hashes(A.densify(*A.bin_minima_of(hashes, line, int(fresh.sum()), BITS)), ROWS)
+            width = bands.shape[1]
+            ends = np.concatenate([[0], np.cumsum(fresh) * width]).astype(np.int32)
+            names = ["doc_id", "version", "line", "node", "bands"]
+            own = pa.array(text[i : i + MANY])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").take(pa.array(text[i : i + MANY])), pa.array(number[i : i + MANY].astype(np.int32)),
-                    pa.array(node.astype(np.int64)), A.list_array(bands, bands.shape[1], np.zeros(len(start), bool)),
+                    batch.column("doc_id").take(own), batch.column("version").take(own), pa.array(number[i : i + MANY].astype(np.int32)),
+                    pa.array(node.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.reshape(-1).astype(np.int64))),
                 ],
-                names=["doc_id", "line", "node", "bands"],
+                names=names,
             )
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted lines of each text, trimmed and in lower case."""
-    for batch in slices(batches, "text", 1 << 20):
-        cp, text, number, start, end = _lines(batch.column("text"))
-        wanted = [set(x) for x in batch.column("lines").to_pylist()]
-        take = np.array([n in wanted[t] for t, n in zip(text.tolist(), number.tolist(), strict=True)], dtype=bool)
-        start, end = start[take], end[take]
-        node = A.span_hash(A.prefix_sums(cp), start, end)
-        raw = cp.astype("<u4").tobytes()
-        lines = [raw[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), pa.array(lines, pa.string())], names=["id", "words"])
-
-
 def _line_sets(column: pa.Array) -> list[np.ndarray]:
     """Distinct shingle hashes of lines that are trimmed and in lower case."""
     data, offsets, _ = A.flat(column)
@@ -137,23 +137,26 @@ def _common(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
     return out
 
 
-def _across(rows: pa.Table, others: pa.Table | None) -> pa.Table:
+def _read(t: pa.Table):
+    """Nodes, components, and for each row its set and the size of it; a node's set is hashed once."""
+    node = t.column("node").to_numpy()
+    _, first, spot = np.unique(node, return_index=True, return_inverse=True)
+    sets = _line_sets(t.column("words").take(pa.array(first)).combine_chunks())
+    return node, t.column("component").to_numpy(), [sets[k] for k in spot.tolist()], np.array([len(s) for s in sets])[spot]
+
+
+def _across(prepared, one: np.ndarray, two: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Links between lines of different components, by their full sets.
 
     Of the links found, those that join components which the block's earlier
     ones leave apart are returned: fewer than its rows, with the same closure.
     """
-
-    def read(t: pa.Table):
-        sets = _line_sets(t.column("words").combine_chunks())
-        return t.column("node").to_numpy(), t.column("component").to_numpy(), sets, np.array([len(s) for s in sets])
-
-    one = read(rows)
-    two = one if others is None else read(others)
-    common = _common(one[2], None if others is None else two[2])
-    linked = 100 * common >= PERCENT * (one[3][:, None] + two[3][None, :] - common)
-    linked &= one[1][:, None] != two[1][None, :]
-    if others is None:
+    node, component, sets, size = prepared
+    other = one if two is None else two
+    common = _common([sets[k] for k in one.tolist()], None if two is None else [sets[k] for k in two.tolist()])
+    linked = 100 * common >= PERCENT * (size[one][:, None] + size[other][None, :] - common)
+    linked &= component[one][:, None] != component[other][None, :]
+    if two is None:
         linked = np.triu(linked, 1)
     parent: dict[int, int] = {}
 
@@ -164,86 +167,102 @@ def _across(rows: pa.Table, others: pa.Table | None) -> pa.Table:
 
     a, b = [], []
     for i, j in zip(*(k.tolist() for k in np.nonzero(linked)), strict=True):
-        x, y = root(int(one[1][i])), root(int(two[1][j]))
+        x, y = root(int(component[one[i]])), root(int(component[other[j]]))
         if x != y:
             parent[max(x, y)] = min(x, y)
-            a.append(min(int(one[0][i]), int(two[0][j])))
-            b.append(max(int(one[0][i]), int(two[0][j])))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            a.append(min(int(node[one[i]]), int(node[other[j]])))
+            b.append(max(int(node[one[i]]), int(node[other[j]])))
+    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, totals, stay = [], [], []
+        texts, totals, stay, solid = [], [], [], []
         for identified, text, kept in zip(batch.column("identified_").to_pylist(), batch.column("text").to_pylist(), batch.column("kept_").to_pylist(), strict=True):
             if text is None:
-                texts.append(None), totals.append(0), stay.append(0)
+                texts.append(None), totals.append(0), stay.append(0), solid.append(0)
                 continue
             lines, kept = text.split("\n"), set(kept or ())
-            out = [x for i, x in enumerate(lines) if not identified or i in kept or not x.strip("\t\n\x0b\x0c\r ")]
+            full = [bool(x.strip(BLANKS)) for x in lines]
+            out = [x for i, x in enumerate(lines) if not identified or i in kept or not full[i]]
             texts.append("\n".join(out)), totals.append(len(lines)), stay.append(len(out))
-        names = [n for n in batch.schema.names if n not in ("text", "identified_", "kept_")]
-        yield pa.RecordBatch.from_arrays(
-            [*[batch.column(n) for n in names], pa.array(totals, pa.int64()), pa.array(stay, pa.int64()), pa.array(texts, pa.string())],
-            names=[*names, "n_lines", "n_kept", "text"],
-        )
+            solid.append(sum(full) if not identified else len(kept))
+        numbers = [pa.array(x, pa.int64()) for x in (totals, stay, solid)]
+        yield pa.RecordBatch.from_arrays([batch.column("box_"), *numbers, pa.array(texts, pa.string())], names=["box_", "n_lines", "n_kept", "n_solid", "text"])
+
+
+def _normal(line: Column) -> Column:
+    """A line as it is compared: trimmed, A-Z in lower case."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.translate(F.btrim(line, F.lit(BLANKS)), upper, upper.lower())
 
 
 def keepers(docs: DataFrame, tables: Tables) -> DataFrame:
-    """doc_id and the numbers of the lines that stay, for documents that keep any."""
-    docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    lines = tables.cut(docs.mapInArrow(_describe, "doc_id long, line int, node long, bands array<long>"), "lines")
+    """doc_id, version and the numbers of the lines that stay, for documents that keep any.
+
+    ``docs`` has doc_id, version (a hash of the text) and text.
+    """
+    docs = docs.filter("doc_id is not null")
+    own = ["doc_id", "version"]
+    lines = tables.cut(docs.mapInArrow(_describe, "doc_id long, version long, line int, node long, bands array<long>"), "lines")
+    first = tables.cut(lines.groupBy("node").agg(F.min(F.struct(*own, "line")).alias("place")).select("node", "place.*"), "first")
     bands = lines.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center < last")
     shared = tables.cut(shared.drop("last"), "shared")
-    buckets = tables.cut(bands.join(small(shared), "band").distinct(), "buckets")
-    first = tables.cut(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("place")), "first")
+    buckets = tables.cut(lookup(bands, shared, ["band"], "node", tables).distinct(), "buckets")
     tables.drop(lines)
     stars = tables.cut(buckets.filter("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "stars")
 
-    nodes = tables.cut(buckets.select("node").distinct(), "nodes")
-    wanted = tables.cut(
-        first.join(small(nodes), "node").select("place.*").groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "wanted"
-    )
-    texts = docs.join(small(wanted), "doc_id").select("text", "lines")
-    sets = tables.cut(texts.mapInArrow(_texts, "id long, words string"), "sets")
-    pairs = stars.join(sets.select(F.col("id").alias("a"), F.col("words").alias("x")), "a")
+    wanted = tables.cut(first.join(small(tables.cut(buckets.select("node").distinct(), "nodes")), "node"), "wanted")
+    asked = docs.join(small(tables.cut(wanted.select(*own).distinct(), "asked")), own, "left_semi")
+    places = wanted.groupBy(*own).agg(F.collect_list(F.struct("line", "node")).alias("places"))
+    parts = asked.join(places, own).select("places", F.split("text", "\n").alias("parts"))
+    line = lambda x: F.struct(x["node"].alias("id"), _normal(F.element_at("parts", x["line"] + 1)).alias("words"))
+    sets = tables.cut(parts.select(F.explode(F.transform("places", line)).alias("l")).select("l.*").dropDuplicates(["id"]), "sets")
+    pairs = salted(stars, sets.select(F.col("id").alias("a"), F.col("words").alias("x")), ["a"], "b", tables)
     pairs = pairs.join(sets.select(F.col("id").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "x", "y")
     links = tables.cut(pairs.mapInArrow(_confirm, "a long, b long"), "links")
     near = tables.cut(components(links, tables), "near")
 
-    labelled = buckets.join(small(near), "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    labelled = lookup(buckets, near, ["node"], "band", tables, "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     labelled = tables.cut(labelled, "labelled")
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
-    mixed = tables.cut(mixed.filter("lo < hi and n > 2").select("band"), "mixed")
-    rest = labelled.join(small(mixed), "band").join(sets.withColumnRenamed("id", "node"), "node")
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n_"))
+    mixed = tables.cut(mixed.filter("lo < hi and n_ > 2").select("band", "n_"), "mixed")
     found = near
     if not mixed.isEmpty():
-        more = block_pairs(rest, "band", "node", _across, "a long, b long", block=500).distinct()
+        rest = lookup(labelled, mixed, ["band"], "node", tables).join(sets.withColumnRenamed("id", "node"), "node")
+        more = block_pairs(rest, "band", "node", _read, _across, "a long, b long", mixed, block=500).distinct()
         again = near.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
         found = tables.cut(components(again, tables), "components")
 
-    linked = first.join(small(found), "node").groupBy("component").agg(F.min("place").alias("place"))
-    alone = first.join(small(found).select("node"), "node", "left_anti")
-    places = alone.select("place.*").union(linked.select("place.*"))
-    return tables.cut(places.groupBy("doc_id").agg(F.collect_list("line").alias("kept_")), "kept")
+    linked = first.join(small(found), "node").groupBy("component").agg(F.min(F.struct(*own, "line")).alias("place")).select("place.*")
+    alone = first.join(small(found), "node", "left_anti").select(*own, "line")
+    return tables.cut(alone.union(linked).groupBy(*own).agg(F.collect_list("line").alias("kept_")), "kept")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with text rewritten to the lines that stay, and n_lines, n_kept added.
+    """``docs`` with text rewritten to the lines that stay, and three columns about its lines.
+
+    n_lines counts the lines of the text, n_kept those that stay, blank ones
+    too, n_solid those that stay and are not blank.  Columns of ``docs`` with
+    these names are replaced; any other passes through, whatever its name.
 
     Blank lines always stay.  A null text stays null and has no line; rows with
-    a null doc_id are left as they are.  Rows repeated under one doc_id are one
-    document given twice and keep the same lines.  Further columns pass through;
-    an empty table gives an empty one.
+    a null doc_id are left as they are.  Equal rows under one doc_id are one
+    document given twice and keep the same lines; different texts under one
+    doc_id are different documents, of which the order of their hashes decides
+    which comes first.  An empty table gives an empty one.
     """
     tables = Tables(docs.sparkSession, "line-dedup")
-    docs = docs.drop("n_lines", "n_kept").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
-    kept = keepers(docs, tables)
-    joined = docs.join(kept, "doc_id", "left").withColumn("identified_", F.col("doc_id").isNotNull())
-    others = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "n_lines long, n_kept long, text string"])
-    return joined.select(*[f.name for f in others], "text", "identified_", "kept_").mapInArrow(_rewrite, schema)
+    added = ["n_lines", "n_kept", "n_solid"]
+    columns = [c for c in docs.columns if c not in added]
+    docs = docs.select(*[F.col(f"`{c}`") for c in columns]).withColumn("text", F.col("text").cast("string"))
+    rows = boxed(docs, "text").withColumns({"doc_id": F.col("box_.doc_id").cast("long"), "version": F.xxhash64("text")})
+    kept = keepers(rows.select("doc_id", "version", "text"), tables)
+    joined = rows.join(kept, ["doc_id", "version"], "left").select("box_", "text", "kept_", F.col("doc_id").isNotNull().alias("identified_"))
+    schema = StructType([joined.schema["box_"], *[StructField(c, LongType()) for c in added], StructField("text", StringType())])
+    out = joined.mapInArrow(_rewrite, schema)
+    return out.select(*[F.col("text") if c == "text" else F.col("box_").getField(c).alias(c) for c in columns if c != "text"], *added, "text")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Tables, block_pairs, components
+from ._shared import Tables, block_pairs, components, lookup
 
 COSINE = 0.93
 NEAREST, SHARED = 8, 3
@@ -89,21 +89,18 @@ def _describe(pivots: np.ndarray):
     return fn
 
 
-def _compare(rows: pa.Table, others: pa.Table | None) -> pa.Table:
-    """Numbers of links and one edge for each vector of two blocks of a list."""
+def _read(t: pa.Table):
+    """Columns of a group's rows, their nearest pivots and their vectors."""
+    near = t.column("near").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+    return *(t.column(c).to_numpy() for c in ("vec_id", "copies", "pivot")), near, _unit(t.column("e"))
 
-    def read(t: pa.Table):
-        near = t.column("near").combine_chunks()
-        return t.column("vec_id").to_numpy(), t.column("copies").to_numpy(), near.flatten().to_numpy().reshape(len(t), -1), _unit(t.column("e"))
 
-    pivot = rows.column("pivot")[0].as_py()
-    one = read(rows)
-    both = [one] if others is None else [one, read(others)]
-    width = max(x[3].shape[1] for x in both)
-    ids, copies = (np.concatenate([x[i] for x in both]) for i in (0, 1))
-    near = np.concatenate([x[2] for x in both])
-    unit = np.concatenate([np.pad(x[3], ((0, 0), (0, width - x[3].shape[1]))) for x in both])
-    n, cut = len(ids), len(one[0])
+def _compare(prepared, one: np.ndarray, two: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """Numbers of links and one edge for each vector of one or two blocks of a list."""
+    ids, copies, pivots, near, unit = prepared
+    pivot, cut = pivots[one[0]], len(one)
+    both = one if two is None else np.concatenate([one, two])
+    near, unit, n = near[both], unit[both], len(both)
     names, spot = np.unique(near, return_inverse=True)
     member = np.zeros((n, len(names)), dtype=np.float32)
     member[np.arange(n)[:, None], spot.reshape(near.shape)] = 1
@@ -114,10 +111,11 @@ def _compare(rows: pa.Table, others: pa.Table | None) -> pa.Table:
         # enough shared pivots, and this list's is the first of them
         ask = (member[part] @ member.T >= SHARED) & (before[part] @ before.T < 0.5)
         linked[part] = ask & (unit[part] @ unit.T >= COSINE)
-    if others is not None:
+    if two is not None:
         linked[:cut, :cut] = linked[cut:, cut:] = False
     np.fill_diagonal(linked, False)
-    return _answer(ids, copies, linked | linked.T)
+    found = _answer(ids[both], copies[both], linked | linked.T)
+    return tuple(found.column(c).to_numpy() for c in found.column_names)
 
 
 def _around(rows: pa.Table, others: pa.Table | None) -> pa.Table:
@@ -213,7 +211,8 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     )
     described = tables.cut(described, "described")
     posted = described.filter("home < 0").drop("home", "visits").withColumn("pivot", F.explode("near")).withColumn("list", F.xxhash64("label", "pivot"))
-    between_open = block_pairs(posted, "list", "vec_id", _compare, _FOUND, block=BLOCK)
+    counts = tables.cut(posted.groupBy("list").agg(F.count("*").alias("n_")).filter("n_ > 1"), "lists")
+    between_open = block_pairs(lookup(posted, counts, ["list"], "vec_id", tables), "list", "vec_id", _read, _compare, _FOUND, counts, block=BLOCK)
     found = tables.cut(between_open.union(_at_home(described.drop("near").withColumn("pivot", F.explode("visits")))), "found")
     comp = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), tables)
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))

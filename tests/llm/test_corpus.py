@@ -85,6 +85,72 @@ def test_lines(odd):
     assert found[1]["n_kept"] == 1 and found[2]["n_kept"] == 0 and found[4]["text"] is None and found[5]["text"] == ""
 
 
+def _line(x):
+    blank = "".join(map(chr, (32, 9, 10, 11, 12, 13)))
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(blank))
+
+
+def _kept_lines(rows):
+    """Text and numbers of lines left of each document, by comparing all lines with each other."""
+    first = {}
+    for i, text in sorted(rows):
+        for n, x in enumerate((text or "").split("\n")):
+            if _line(x):
+                first.setdefault(_line(x), (i, n))
+    lines = sorted(first, key=first.get)
+    sets = [{x[k : k + 10] for k in range(max(1, len(x) - 9))} for x in lines]
+    links = []
+    for a in range(len(lines)):
+        for b in range(a + 1, len(lines)):
+            small, large = sorted((len(sets[a]), len(sets[b])))
+            if 100 * small >= 75 * large:
+                common = len(sets[a] & sets[b])
+                if 100 * common >= 75 * (small + large - common):
+                    links.append((a, b))
+    root = _components(range(len(lines)), links)
+    stay = {first[lines[a]] for a in root.values()}
+    out = {}
+    for i, text in rows:
+        parts = (text or "").split("\n")
+        kept = [x for n, x in enumerate(parts) if not _line(x) or (i, n) in stay]
+        out[i] = (None if text is None else "\n".join(kept), 0 if text is None else len(parts), 0 if text is None else len(kept))
+    return out
+
+
+def test_lines_against_all_pairs(spark, docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    passage = "a passage of some length that very many documents share, word by word"
+    rows += [(1000 + i, f"{passage} {i % 7}\nown line number {i * 7919} of document {i}\n\n{passage}") for i in range(60)]
+    rows += [(2000, None), (2001, ""), (2002, " \n\t")]
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_kept"]) for r in found} == _kept_lines(rows)
+
+
+def test_lines_of_one_id_with_different_texts(spark):
+    rows = [(1, "first line of all\nsecond line of all"), (1, "third line of all\nfirst line of all"), (1, "third line of all\nfirst line of all")]
+    found = [r["text"].split("\n") for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    distinct = [x for text in {tuple(x) for x in found} for x in text if x]
+    assert len(found) == 3 and sorted(distinct) == ["first line of all", "second line of all", "third line of all"]
+
+
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(0, b), (1, a), (1, b), (7, a), (1, b), (9, c), (9, None)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(0, 0), (1, 0), (7, 0), (9, 9)}
+
+
+def test_near_duplicates_with_very_many_copies(spark):
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(base)) for i in range(3000)]
+    rows += [(5000 + i, " ".join([*base[:36], f"x{i}", f"y{i}"])) for i in range(300)]
+    counts, root = _near([(0, rows[0][1]), *rows[3000:]])
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(found) == len(rows)
+    assert all(r["component_id"] == (0 if r["doc_id"] < 5000 else root[r["doc_id"]]) for r in found)
+
+
 def test_common_sizes():
     rng = np.random.default_rng(1)
     x, y = ([np.unique(rng.integers(0, 50, 30).astype(np.uint64)) for _ in range(n)] for n in (9, 4))
@@ -209,6 +275,33 @@ def test_empty_tables(odd, fn):
     assert fn(odd.limit(0)).count() == 0
 
 
+CLASHES = ["size", "source_size", "target", "copies", "copy_", "score", "lang_pred", "kept_", "n_lines", "n_kept", "box_", "version", "node", "rep", "text_", "kept", "component_id"]
+
+
+@pytest.mark.parametrize("name", ["language", "lines", "near_duplicates", "mix", "encode"])
+def test_stages_with_clashing_columns(spark, docs, odd, name):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    plain = docs.unionByName(odd.select("doc_id", "text", "lang", "source", F.lit(0).cast("long").alias("n_chars")))
+    wide = plain.select("*", *[F.concat(F.lit(c), "doc_id").alias(c) for c in CLASHES])
+    key = lambda r: (str(r["doc_id"]), str(r.asDict().get("text")))
+    want = sorted(stage(spark, plain, FOLDER).collect(), key=key)
+    have = stage(spark, wide, FOLDER)
+    if name != "encode":
+        assert have.columns == wide.columns
+        rows = sorted(have.collect(), key=key)
+        assert [r[c] for r in rows for c in CLASHES] == [None if r["doc_id"] is None else f"{c}{r['doc_id']}" for r in rows for c in CLASHES]
+        have = have.select(*plain.columns)
+    assert sorted(have.collect(), key=key) == want
+    assert stage(spark, wide.limit(0), FOLDER).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + 3 * (i % 300))} " * 40, f"l{i % 300}") for i in range(6000)]
+    assert {lang for lang, _ in lang_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))} == {f"l{i}" for i in range(300)}
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
