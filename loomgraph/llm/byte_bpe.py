@@ -278,7 +278,12 @@ def decode_ids(frame: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens and the sha256 of each text's ids and of its decoded bytes."""
+    """doc_id, n_tokens and the sha256 of each text's ids and of its decoded bytes.
+
+    Null and empty texts have no ids, and the digests are those of no bytes.
+    Rows are answered one by one, so null or repeated doc_ids change nothing;
+    other columns are not read, and an empty table gives no row.
+    """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_arrays(path, True), schema)
 

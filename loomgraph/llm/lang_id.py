@@ -18,13 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import _arrays as A
-from ._shared import crc32_text, slices
+from ._shared import boxed, crc32_text, slices, unboxed
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 6, (2, 3, 4), 12
-#: Training uses at most so many windows of each language, from at most so many languages.
-SAMPLE_WINDOWS, SAMPLE_LANGUAGES = 1500, 200
+#: Training uses at most so many windows of each language, and of all together; no language is left out.
+SAMPLE_WINDOWS, SAMPLE_ALL = 1500, 300_000
 UNKNOWN = "und"
 WIDE = max(WIDTHS)
 
@@ -133,19 +134,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(crc32_text(doc_id) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, windows: int = SAMPLE_WINDOWS, languages: int = SAMPLE_LANGUAGES) -> list[tuple[str, str]]:
-    """At most ``windows`` pieces of text of each of the ``languages`` most frequent
-    languages, four from a document, at places that a hash of the text draws."""
+def sample(docs: DataFrame, windows: int = SAMPLE_WINDOWS, most: int = SAMPLE_ALL) -> list[tuple[str, str]]:
+    """At most ``windows`` pieces of text of each language, fewer where ``most`` over
+    the number of languages is less, four from a document, at places that a hash
+    of the text draws.  Every language that is given for a text has a part."""
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = known.groupBy("lang").count().collect()  # one row a language
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 0.4 * windows / r["count"]))])
+    windows = max(1, min(windows, most // len(counts)))
+    rates = [(r["lang"], min(1.0, max(0.4 * windows, 8.0) / r["count"])) for r in counts]
+    share = F.broadcast(docs.sparkSession.createDataFrame(rates, "lang string, rate double"))
     u = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    picked = known.filter(u < share[F.col("lang")]).select("lang", "text", F.explode(F.array(*map(F.lit, range(4)))).alias("k"))
+    picked = known.select("lang", "text").join(share, "lang").filter(u < F.col("rate")).select("lang", "text", F.explode(F.array(*map(F.lit, range(4)))).alias("k"))
     at = F.pmod(F.xxhash64("text", "k"), F.greatest(F.length("text") - WINDOW, F.lit(1)))
     rows = picked.select("lang", F.substring("text", (at + 1).cast("int"), F.lit(WINDOW)).alias("piece"), F.xxhash64("text", "k").alias("h"))
-    rows = rows.filter(F.col("piece").rlike(r"\p{L}")).orderBy("h", "lang", "piece").limit(2 * windows * len(counts)).collect()
+    rows = rows.filter(F.col("piece").rlike(r"\p{L}")).orderBy("h", "lang", "piece").limit(max(2 * windows, 40) * len(counts)).collect()
     taken: dict[str, int] = {}
     out = []
     for r in rows:
@@ -161,7 +165,7 @@ def predict(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
     Null texts and texts without a letter are ``und`` with score 0, as are all
     texts if there was nothing to learn from.
     """
-    fields = [f for f in docs.select(*keep).schema.fields]
+    fields = docs.select(*keep).schema.fields
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text_"):
@@ -179,7 +183,7 @@ def predict(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
                 score[known] = np.clip(total[np.arange(n), best], 0, 1)[known]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double"])
+    schema = StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return docs.select(*keep, F.col("text").alias("text_"), letters.alias("letters_")).mapInArrow(fn, schema)
 
@@ -195,9 +199,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Learns from ``lang`` of documents that are not held out; no column but the
     text is an input of a prediction.  Null doc_ids are not held out.  Repeated
-    rows and ties get the same answer; an empty table gives no row.
+    rows and ties get the same answer; an empty table gives no row.  Other
+    columns are not read, whatever their names.
     """
-    docs = docs.withColumn("held_out", held_out(F.col("doc_id")))
+    docs = docs.select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
     return predict(docs, fit(docs), ["doc_id", "held_out"])
 
 
@@ -206,11 +211,9 @@ LEAST_SCORE = 0.35
 
 
 def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents of ``docs``, in their own columns, whose language is found."""
-    names = docs.columns
-    wide = docs.select(*names)
-    found = predict(wide.withColumn("text_kept", F.col("text")).drop("text").withColumnRenamed("text_kept", "text"), fit(docs), names)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*names)
+    """The documents of ``docs``, in their own columns (of any names), whose language is found."""
+    found = predict(boxed(docs, "text"), fit(docs), ["box_", "text"])
+    return unboxed(found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), docs.columns, "text")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

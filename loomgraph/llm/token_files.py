@@ -236,7 +236,9 @@ def write(docs: DataFrame, folder: str, path: str = VOCABULARY) -> None:
     doc_ids come first; rows of one doc_id are ordered by a hash of the text.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # ranges of both, so that rows without a doc_id, or with one in common, are spread as well
+    docs = docs.withColumn("version", F.xxhash64("text"))
+    ordered = docs.repartitionByRange("doc_id", "version").sortWithinPartitions("doc_id", "version").drop("version")
     schema = "part int, first long, doc_id array<long>, lengths array<long>, segment binary"
     ordered.mapInArrow(_write(path), schema).write.parquet(folder)
 

@@ -198,7 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     picked = known.filter(u < share).orderBy(F.xxhash64("doc_id")).limit(3 * sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter("text is not null")
     # copies of one text would vote many times; these are sampled rows only
-    rows = rows.select("doc_id", "text", (F.col("toxic") == 1).alias("toxic")).dropDuplicates(["text"]).persist()
+    # one that is labelled both ways is toxic
+    rows = rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), (F.max("toxic") == 1).alias("toxic")).select("doc_id", "text", "toxic").persist()
     terms = rows.mapInArrow(_count, "term string, prefix boolean, hash long, toxic long, clean long")
     terms = terms.groupBy("hash").agg(F.min("term").alias("term"), F.first("prefix").alias("prefix"), F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     pos, neg = max(1, min(sample, counts[1])), max(1, min(sample, counts[0]))
@@ -238,7 +239,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     Null and empty texts get the score of a text on which no voter fires; with
     nothing to learn from, every score is 0.  Rows are scored one by one, so
-    null or repeated doc_ids change nothing.
+    null or repeated doc_ids change nothing, and an empty table gives no row.
+    Other columns are not read, whatever their names.
     """
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
