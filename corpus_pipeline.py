@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import byte_bpe, lang_id, line_dedup, mixing, near_dedup
-from loomgraph.llm._shared import Tables
+from loomgraph.llm._shared import Tables, boxed, unboxed
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -27,13 +27,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = docs.columns
-    out = line_dedup.dedup_lines(docs)
-    # of a document that loses every line nothing is left that is not kept elsewhere
-    out = out.filter((F.col("n_kept") > 0) | (F.col("n_lines") == 0))
-    if "n_chars" in names:
+    rows = boxed(docs, "doc_id", "text")
+    out = line_dedup.dedup_lines(rows)
+    # of a document that loses every line that is not blank nothing is left that is not kept elsewhere
+    out = unboxed(out.filter((F.col("n_solid") > 0) | (F.col("n_kept") == F.col("n_lines"))), docs.columns, "doc_id", "text")
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    return out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.repeat(mixing.mix(docs)).select(*docs.columns)
+    rows = boxed(docs, "doc_id", "text", "source")
+    return unboxed(mixing.repeat(mixing.mix(rows)), docs.columns, "doc_id", "text", "source")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
