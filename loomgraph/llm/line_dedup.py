@@ -26,11 +26,13 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import _arrays as A
 from ._shared import Tables, block_pairs, boxed, components, lookup, salted, slices, small
+from .pieces import ragged
 
 SHINGLE, BITS, ROWS, PERCENT = 10, 5, 3, 75
 BREAK = 10
 BLANKS = "\t\n\x0b\x0c\r "
-MANY = 1 << 20  # lines that one sort takes
+MANY = 1 << 20  # lines that are described at once
+MOST_PAIRS = 4096  # pairs that one sort takes
 
 
 def _lines(column: pa.Array):
@@ -52,74 +54,83 @@ def _lines(column: pa.Array):
     return cp, text, number, places[solid[start]], places[solid[end] - 1] + 1
 
 
-def _shingles(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each whole line, and hashes of all shingles with the line of each.
+def _shingles(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles with the line of each, from the prefix sums of a batch.
 
     Lines are in order and do not overlap.  Shingles are hashed at every place
     of the batch at once; the places at which one begins within a line are taken.
     """
-    sums = A.prefix_sums(cp)
-    whole, long = A.span_hash(sums, start, end), end - start >= SHINGLE
+    long = end - start >= SHINGLE
     hashes = A.window_hash(sums, SHINGLE)
-    hashes[start[~long]] = whole[~long]
+    hashes[start[~long]] = A.span_hash(sums, start[~long], end[~long])
     change = np.zeros(len(hashes) + 1, dtype=np.int8)
     change[start] = 1
     change[np.where(long, end - SHINGLE, start) + 1] -= 1
     begins = np.cumsum(change[:-1], dtype=np.int8).view(bool)
-    return whole, hashes[begins], np.repeat(np.arange(len(start)), np.where(long, end - start - SHINGLE + 1, 1))
+    return hashes[begins], np.repeat(np.arange(len(start)), np.where(long, end - start - SHINGLE + 1, 1))
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every line with its node; the first line of a batch with a node also has its bands."""
+    """Every line with its node and the number of lines of its text; the first line of a batch with a node also has its bands."""
     for batch in slices(batches, "text", 1 << 20):
         cp, text, number, first, last = _lines(batch.column("text"))
+        sums, of = A.prefix_sums(cp), np.bincount(text, minlength=1)[text]
         for i in range(0, len(first), MANY):
             start, end = first[i : i + MANY], last[i : i + MANY]
-            node = A.span_hash(A.prefix_sums(cp), start, end)
+            node = A.span_hash(sums, start, end)
             fresh = np.zeros(len(node), dtype=bool)
             fresh[np.unique(node, return_index=True)[1]] = True
-            _, hashes, line = _shingles(cp, start[fresh], end[fresh])
+            hashes, line = _shingles(sums, start[fresh], end[fresh])
             bands = A.band_hashes(A.densify(*A.bin_minima_of(hashes, line, int(fresh.sum()), BITS)), ROWS)
             width = bands.shape[1]
             ends = np.concatenate([[0], np.cumsum(fresh) * width]).astype(np.int32)
-            names = ["doc_id", "version", "line", "node", "bands"]
             own = pa.array(text[i : i + MANY])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").take(own), batch.column("version").take(own), pa.array(number[i : i + MANY].astype(np.int32)),
+                    batch.column("doc_id").take(own), batch.column("version").take(own), pa.array(number[i : i + MANY].astype(np.int32)), pa.array(of[i : i + MANY].astype(np.int32)),
                     pa.array(node.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.reshape(-1).astype(np.int64))),
                 ],
-                names=names,
+                names=["doc_id", "version", "line", "of", "node", "bands"],
             )
 
 
-def _line_sets(column: pa.Array) -> list[np.ndarray]:
-    """Distinct shingle hashes of lines that are trimmed and in lower case."""
+def _line_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of lines that are trimmed and in lower case: places of all shingles, each
+    line's in order and once, and where each line's begin.  Equal shingles of the
+    column have one place, and only they do."""
     data, offsets, _ = A.flat(column)
     cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
     at = np.searchsorted(np.flatnonzero((data & 0xC0) != 0x80), offsets)
-    _, hashes, line = _shingles(cp, at[:-1], at[1:])
-    return [np.unique(p) for p in np.split(hashes, np.searchsorted(line, np.arange(1, len(column))))] if len(column) else []
-
-
-def _linked(x: np.ndarray, y: np.ndarray) -> bool:
-    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-        return False
-    union = len(np.union1d(x, y))
-    return 100 * (len(x) + len(y) - union) >= PERCENT * union
+    hashes, line = _shingles(A.prefix_sums(cp), at[:-1], at[1:])
+    key = np.unique((line << 32) | np.unique(hashes, return_inverse=True)[1])
+    return key & 0xFFFFFFFF, np.searchsorted(key >> 32, np.arange(len(column) + 1))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "x", 1 << 19):
-        keep = [_linked(x, y) for x, y in zip(_line_sets(batch.column("x")), _line_sets(batch.column("y")), strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    """Pairs (a, b) of which the lines x and y are linked; each line of a slice is hashed once."""
+    for batch in slices(batches, "x", 1 << 21):
+        n = batch.num_rows
+        lines = pa.concat_arrays([batch.column("x"), batch.column("y")]).dictionary_encode()
+        places, begin = _line_sets(lines.dictionary)
+        codes, size = lines.indices.to_numpy(), np.diff(begin)
+        x, y = codes[:n], codes[n:]
+        pair = np.flatnonzero(100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y]))
+        common = np.zeros(n, dtype=np.int64)
+        for i in range(0, len(pair), MOST_PAIRS):
+            own = pair[i : i + MOST_PAIRS]
+            both = np.concatenate([x[own], y[own]])
+            taken = ragged(begin[both], size[both])
+            key = np.sort((np.repeat(np.tile(np.arange(len(own)), 2), size[both]) << 32) | places[taken])
+            common[own] = np.bincount(key[1:][key[1:] == key[:-1]] >> 32, minlength=len(own))
+        keep = 100 * common >= PERCENT * (size[x] + size[y] - common)
+        yield batch.select(["a", "b"]).filter(pa.array(keep & (common > 0)))
 
 
 def _common(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
     """Sizes of the intersections of each set of ``x`` with each of ``y`` (or of ``x``)."""
     sets, n = [*x, *(y or ())], len(x)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, place, count = np.unique(np.concatenate([*sets, np.zeros(0, A.U)]), return_inverse=True, return_counts=True)
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count > 1
     use = shared[place]
     place, owner = (np.cumsum(shared) - 1)[place[use]], owner[use]
@@ -141,8 +152,9 @@ def _read(t: pa.Table):
     """Nodes, components, and for each row its set and the size of it; a node's set is hashed once."""
     node = t.column("node").to_numpy()
     _, first, spot = np.unique(node, return_index=True, return_inverse=True)
-    sets = _line_sets(t.column("words").take(pa.array(first)).combine_chunks())
-    return node, t.column("component").to_numpy(), [sets[k] for k in spot.tolist()], np.array([len(s) for s in sets])[spot]
+    places, begin = _line_sets(t.column("words").take(pa.array(first)).combine_chunks())
+    sets = [places[i:j] for i, j in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+    return node, t.column("component").to_numpy(), [sets[k] for k in spot.tolist()], np.diff(begin)[spot]
 
 
 def _across(prepared, one: np.ndarray, two: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -178,15 +190,10 @@ def _across(prepared, one: np.ndarray, two: np.ndarray | None) -> tuple[np.ndarr
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, totals, stay, solid = [], [], [], []
-        for identified, text, kept in zip(batch.column("identified_").to_pylist(), batch.column("text").to_pylist(), batch.column("kept_").to_pylist(), strict=True):
-            if text is None:
-                texts.append(None), totals.append(0), stay.append(0), solid.append(0)
-                continue
+        for text, kept in zip(batch.column("text").to_pylist(), batch.column("kept_").to_pylist(), strict=True):
             lines, kept = text.split("\n"), set(kept or ())
-            full = [bool(x.strip(BLANKS)) for x in lines]
-            out = [x for i, x in enumerate(lines) if not identified or i in kept or not full[i]]
-            texts.append("\n".join(out)), totals.append(len(lines)), stay.append(len(out))
-            solid.append(sum(full) if not identified else len(kept))
+            out = [x for i, x in enumerate(lines) if i in kept or not x.strip(BLANKS)]
+            texts.append("\n".join(out)), totals.append(len(lines)), stay.append(len(out)), solid.append(len(kept))
         numbers = [pa.array(x, pa.int64()) for x in (totals, stay, solid)]
         yield pa.RecordBatch.from_arrays([batch.column("box_"), *numbers, pa.array(texts, pa.string())], names=["box_", "n_lines", "n_kept", "n_solid", "text"])
 
@@ -198,18 +205,19 @@ def _normal(line: Column) -> Column:
 
 
 def keepers(docs: DataFrame, tables: Tables) -> DataFrame:
-    """doc_id, version and the numbers of the lines that stay, for documents that keep any.
+    """doc_id, version and the numbers of the lines that stay (null: none), for documents that lose any.
 
     ``docs`` has doc_id, version (a hash of the text) and text.
     """
     docs = docs.filter("doc_id is not null")
     own = ["doc_id", "version"]
-    lines = tables.cut(docs.mapInArrow(_describe, "doc_id long, version long, line int, node long, bands array<long>"), "lines")
+    lines = tables.cut(docs.mapInArrow(_describe, "doc_id long, version long, line int, of int, node long, bands array<long>"), "lines")
     first = tables.cut(lines.groupBy("node").agg(F.min(F.struct(*own, "line")).alias("place")).select("node", "place.*"), "first")
     bands = lines.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center < last")
     shared = tables.cut(shared.drop("last"), "shared")
     buckets = tables.cut(lookup(bands, shared, ["band"], "node", tables).distinct(), "buckets")
+    totals = tables.cut(lines.groupBy(*own).agg(F.max("of").alias("n_")), "totals")
     tables.drop(lines)
     stars = tables.cut(buckets.filter("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "stars")
 
@@ -237,7 +245,9 @@ def keepers(docs: DataFrame, tables: Tables) -> DataFrame:
 
     linked = first.join(small(found), "node").groupBy("component").agg(F.min(F.struct(*own, "line")).alias("place")).select("place.*")
     alone = first.join(small(found), "node", "left_anti").select(*own, "line")
-    return tables.cut(alone.union(linked).groupBy(*own).agg(F.collect_list("line").alias("kept_")), "kept")
+    kept = alone.union(linked).groupBy(*own).agg(F.collect_list("line").alias("kept_"))
+    lossy = totals.join(kept, own, "left").filter(F.col("kept_").isNull() | (F.size("kept_") < F.col("n_")))
+    return tables.cut(lossy.select(*own, "kept_"), "kept")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -259,9 +269,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs = docs.select(*[F.col(f"`{c}`") for c in columns]).withColumn("text", F.col("text").cast("string"))
     rows = boxed(docs, "text").withColumns({"doc_id": F.col("box_.doc_id").cast("long"), "version": F.xxhash64("text")})
     kept = keepers(rows.select("doc_id", "version", "text"), tables)
-    joined = rows.join(kept, ["doc_id", "version"], "left").select("box_", "text", "kept_", F.col("doc_id").isNotNull().alias("identified_"))
-    schema = StructType([joined.schema["box_"], *[StructField(c, LongType()) for c in added], StructField("text", StringType())])
-    out = joined.mapInArrow(_rewrite, schema)
+    ids = small(tables.cut(kept.select("doc_id", "version"), "lossy"))
+    lossy = rows.join(ids, ["doc_id", "version"], "left_semi").join(kept, ["doc_id", "version"]).select("box_", "text", "kept_")
+    schema = StructType([lossy.schema["box_"], *[StructField(c, LongType()) for c in added], StructField("text", StringType())])
+    # the texts of all others stay as they are and are not shuffled
+    whole = rows.join(ids, ["doc_id", "version"], "left_anti").withColumn("lines_", F.split("text", "\n"))
+    n = F.coalesce(F.size("lines_"), F.lit(0)).cast("long")
+    full = F.coalesce(F.size(F.filter("lines_", lambda x: F.btrim(x, F.lit(BLANKS)) != "")), F.lit(0)).cast("long")
+    out = whole.select("box_", F.greatest(n, F.lit(0)).alias("n_lines"), F.greatest(n, F.lit(0)).alias("n_kept"), F.greatest(full, F.lit(0)).alias("n_solid"), "text")
+    out = out.union(lossy.mapInArrow(_rewrite, schema))
     return out.select(*[F.col("text") if c == "text" else F.col("box_").getField(c).alias(c) for c in columns if c != "text"], *added, "text")
 
 
