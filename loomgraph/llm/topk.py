@@ -1,94 +1,134 @@
 """Exact top-k search on an impact-ordered index (operator 1).
 
-A vector is a document whose terms are the signed dimensions it has: component
-x becomes the integer floor(64 * x), its magnitude is the impact and its sign
-tells two terms of a dimension apart.  A block's index holds its postings in
-segments of descending impact.  A block of queries is scored segment by
-segment: the most impactful postings of all vectors first.
-
-After each segment every score is known up to what the remaining postings can
-add, at most the length of the query times that of the vector's remaining part.
-A query's k-th best lower bound is then its threshold; processing stops as soon
-as the vectors whose upper bound reaches the threshold are few enough, and
-these possible members are rescored exactly.  If that never happens the last
-segment leaves exact scores.  No vector is left out without that proof.
-
-Queries and candidates are dealt to blocks; each pair of blocks is a task and
-returns its best k for each query, from which the best k are taken.
+A vector is a document whose terms are its dimensions: component x becomes the
+integer floor(64 * x), the quantised impact of the vector on that dimension.
+Rows are dealt to blocks, and the index of a block is built once and written to
+the shared folder: for each impact and dimension the list of the block's rows
+that have it (a posting segment), segments in order of descending magnitude of
+the impact, and for some places in that order the length of what is left of each
+vector.
+
+A batch of queries walks the segments of a block, largest impacts first, and
+adds impact times query component to the accumulators of the rows listed;
+dimensions in which no query of the batch has a component are skipped.  At each
+of these places every score is known up to the length of the query times what is
+left of the vector.  A query's k-th best lower bound is its threshold, and
+processing stops as soon as the rows whose upper bound reaches it are few; these
+possible members are rescored exactly.  If that never happens the last segment
+leaves exact scores.  No row is left out without that proof.
+
+On vectors whose components are all of about one size (unit vectors of 64
+components, say) the bounds prove little before nearly all segments are
+processed; the index then does the work of a full product.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import Tables
+
 SCALE, K, EVERY = 64, 20, 20
-QUERY_BLOCK, BLOCK = 1024, 8192
-#: Shares of all postings at which a segment ends, in order of impact.
-SEGMENTS = (0.35, 0.7, 1.0)
-#: Rescoring starts when this share of a block's vectors is still possible.
+#: Queries and rows of a group; a row's place in its block must fit 16 bits.
+QUERY_BLOCK, BLOCK = 8192, 8192
+BATCH = 64
+#: Shares of all postings after which the bounds are tried, in order of impact.
+STOPS = (0.6, 0.85, 0.95, 1.0)
+#: Rescoring starts when this share of a block's rows is still possible.
 FEW = 0.05
+#: vectors, segments (impact, dimension, end of its list), lists and rests of a block.
+_INDEX = "j int, width int, vec_id binary, vectors binary, segments binary, lists binary, rests binary"
+
+
+def _matrix(t: pa.Table) -> np.ndarray:
+    """Rows of integers; what a shorter vector lacks is 0."""
+    flat = t.column("q").combine_chunks()
+    lengths = flat.value_lengths().to_numpy()
+    out = np.zeros((len(lengths), int(lengths.max()) if len(lengths) else 0))
+    out[np.arange(out.shape[1]) < lengths[:, None]] = flat.flatten().to_numpy()
+    return out
+
+
+def _build(t: pa.Table) -> pa.Table:
+    """The index of a block, as one row."""
+    ids, x = t.column("vec_id").to_numpy(), _matrix(t)
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    row, dim = np.nonzero(x)
+    impact = x[row, dim]
+    by = np.lexsort((row, dim, impact, -np.abs(impact)))
+    row, dim, impact = row[by], dim[by], impact[by]
+    last = np.flatnonzero(np.concatenate([(dim[1:] != dim[:-1]) | (impact[1:] != impact[:-1]), [True]])) if len(row) else np.zeros(0, int)
+    segments = np.stack([impact[last], dim[last], last + 1]) if len(last) else np.zeros((3, 0))
+    rests = []
+    for end in _stops(segments[2]):
+        done = np.zeros(len(ids))
+        np.add.at(done, row[:end], impact[:end] ** 2)
+        rests.append(np.sqrt(np.maximum((x**2).sum(axis=1) - done, 0)) * (1 + 1e-9))
+    cells = [ids.astype("<i8"), x.astype("<f8"), segments.astype("<f8"), row.astype("<u2"), np.array(rests, dtype="<f8")]
+    return pa.table(
+        {"j": pa.array([t.column("j")[0].as_py()], pa.int32()), "width": pa.array([x.shape[1]], pa.int32())}
+        | {name: pa.array([c.tobytes()], pa.binary()) for name, c in zip(("vec_id", "vectors", "segments", "lists", "rests"), cells, strict=True)}
+    )
+
+
+def _stops(ends: np.ndarray) -> list[int]:
+    """Ends of the segments at which the bounds are tried."""
+    total = int(ends[-1]) if len(ends) else 0
+    return [int(ends[np.searchsorted(ends, share * total)]) for share in STOPS] if total else [0]
 
 
 class ImpactIndex:
-    """Postings of a block of integer vectors in segments of descending impact."""
-
-    def __init__(self, vectors: np.ndarray) -> None:
-        self.vectors = vectors
-        impact = np.abs(vectors)
-        nonzero = np.sort(impact[impact > 0])[::-1]
-        ends = [int(nonzero[min(len(nonzero) - 1, int(s * len(nonzero)))]) for s in SEGMENTS[:-1]] if len(nonzero) else []
-        self.segments, self.rest = [], []
-        upper = np.inf
-        for lower in [*dict.fromkeys(ends), 0]:
-            inside = (impact < upper) & (impact >= max(lower, 1))
-            self.segments.append(np.where(inside, vectors, 0.0).T.copy())
-            self.rest.append(np.sqrt((np.where(impact < lower, vectors, 0.0) ** 2).sum(axis=1)))
-            upper = lower
+    """A block's index as it was written."""
+
+    def __init__(self, t: pa.Table) -> None:
+        read = lambda name, kind: np.frombuffer(t.column(name)[0].as_py(), kind)
+        self.ids = read("vec_id", "<i8")
+        n = len(self.ids)
+        self.vectors = read("vectors", "<f8").reshape(n, t.column("width")[0].as_py())
+        self.impacts, dims, ends = read("segments", "<f8").reshape(3, -1)
+        self.dims, self.ends = dims.astype(np.int64), ends.astype(np.int64)
+        self.lists = read("lists", "<u2")
+        self.rests = dict(zip(_stops(self.ends), read("rests", "<f8").reshape(-1, n), strict=False))
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[np.ndarray]:
-        """Per query the candidates that may be among its best k, never ``own``."""
+        """Per query the rows that may be among its best k, never those with ``own`` (query x row)."""
         n = len(self.vectors)
-        scores = np.zeros((len(queries), n))
+        scores = np.zeros((n, len(queries)))
         length = np.sqrt((queries**2).sum(axis=1))
-        for segment, rest in zip(self.segments, self.rest, strict=True):
-            scores += queries @ segment
-            slack = length[:, None] * rest[None, :]
-            low = np.where(own, -np.inf, scores - slack)
-            threshold = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(queries), -np.inf)
-            possible = (scores + slack + 1e-6 >= threshold[:, None]) & ~own
-            if possible.sum() <= FEW * possible.size:
-                break
+        used = (queries != 0).any(axis=0)
+        possible, begin = ~own, 0
+        for impact, dim, end in zip(self.impacts.tolist(), self.dims.tolist(), self.ends.tolist(), strict=True):
+            if dim < len(used) and used[dim]:
+                scores[self.lists[begin:end]] += impact * queries[:, dim]
+            begin = end
+            if end in self.rests:
+                slack = length[:, None] * self.rests[end][None, :]
+                low = np.where(own, -np.inf, scores.T - slack)
+                threshold = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(queries), -np.inf)
+                possible = (scores.T + slack + 1e-6 >= threshold[:, None]) & ~own
+                if possible.sum() <= FEW * possible.size:
+                    break
         return [np.flatnonzero(p) for p in possible]
 
 
 def _search(k: int):
-    def fn(t: pa.Table) -> pa.Table:
-        ids = t.column("vec_id").to_numpy()
-        flat = t.column("q").combine_chunks()
-        lengths = flat.value_lengths().to_numpy()
-        width = int(lengths.max()) if len(lengths) else 0
-        values = np.zeros((len(ids), width))
-        values[np.arange(width) < lengths[:, None]] = flat.flatten().to_numpy()
-        asks = t.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        queries, vectors, qid, vid = values[asks], values[~asks], ids[asks], ids[~asks]
+    def fn(asks: pa.Table, blocks: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]
-        if len(queries) and len(vectors):
-            order = np.argsort(vid, kind="stable")
-            vectors, vid = vectors[order], vid[order]
-            index = ImpactIndex(vectors)
-            exact = vectors.astype(np.int64)
-            for i in range(0, len(queries), 64):
-                part = queries[i : i + 64]
-                own = qid[i : i + 64, None] == vid[None, :]
-                for j, members in enumerate(index.search(part, own, k)):
-                    score = exact[members] @ part[j].astype(np.int64)
+        if len(asks) and len(blocks):
+            index, ids, queries = ImpactIndex(blocks), asks.column("vec_id").to_numpy(), _matrix(asks)
+            width = min(queries.shape[1], index.vectors.shape[1])
+            exact = index.vectors[:, :width].astype(np.int64)
+            for i in range(0, len(queries), BATCH):
+                part, asked = queries[i : i + BATCH], ids[i : i + BATCH]
+                for q, own, members in zip(part, asked, index.search(part, asked[:, None] == index.ids[None, :], k), strict=True):
+                    score = exact[members] @ q[:width].astype(np.int64)
                     best = np.argsort(-score, kind="stable")[:k]
-                    out[0].append(np.full(len(best), qid[i + j]))
-                    out[1].append(vid[members[best]])
+                    out[0].append(np.full(len(best), own))
+                    out[1].append(index.ids[members[best]])
                     out[2].append(score[best])
         query, vec, score = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in out)
         return pa.table({"query_id": query, "vec_id": vec, "score": score})
@@ -99,26 +139,30 @@ def _search(k: int):
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id and score: the ``k`` best of each query by integer inner product.
 
-    ``vectors`` has vec_id and embedding; queries are the rows whose vec_id is
-    divisible by ``every``, candidates all rows with another vec_id.  Ties go to
-    the smaller vec_id.  Rows with a null vec_id, and vectors that are null or
-    hold null or non-finite components, take no part; components that a shorter
-    vector lacks count as 0.  Rows that repeat a vec_id count once if they are
-    equal.  Fewer candidates than ``k`` are all returned; no query, no row.
+    ``vectors`` has vec_id and embedding (other columns are not read, whatever
+    their names); queries are the rows whose vec_id is divisible by ``every``,
+    candidates all rows with another vec_id.  Ties go to the smaller vec_id.
+    Rows with a null vec_id, and vectors that are null or hold null or
+    non-finite components, take no part; components that a shorter vector lacks
+    count as 0.  A row that is repeated is a candidate as often as it is given;
+    as a query equal rows are one, and different vectors of one query_id are
+    ranked together.  Fewer candidates than ``k`` are all returned; no query, no
+    row.
     """
+    tables = Tables(vectors.sparkSession, "top-k")
     numbers = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     whole = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     numbers = numbers.filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & whole)
     q = F.transform("e", lambda x: F.floor(x * float(scale)).cast("double")).alias("q")
-    rows = numbers.select("vec_id", q).dropDuplicates(["vec_id", "q"])
-    asks = rows.filter(F.col("vec_id") % every == 0)
-    total, asked = rows.count(), asks.count()
-    query_blocks, blocks = max(1, -(-asked // QUERY_BLOCK)), max(1, -(-total // BLOCK))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    rows = tables.cut(numbers.select("vec_id", q, F.monotonically_increasing_id().alias("row")), "rows")
+    asks = tables.cut(rows.filter(F.col("vec_id") % every == 0).select("vec_id", "q").distinct(), "queries")
+    query_blocks, blocks = (max(1, -(-t.count() // size)) for t, size in ((asks, QUERY_BLOCK), (rows, BLOCK)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asks.select("vec_id", "q", F.lit(True).alias("asks"), deal(query_blocks).alias("i"), each(blocks).alias("j"))
-    right = rows.select("vec_id", "q", F.lit(False).alias("asks"), each(query_blocks).alias("i"), deal(blocks).alias("j"))
-    found = left.union(right).groupBy("i", "j").applyInArrow(_search(k), "query_id long, vec_id long, score long")
+    index = tables.cut(rows.select("vec_id", "q", deal("row", blocks).alias("j")).groupBy("j").applyInArrow(_build, _INDEX), "index")
+    left = asks.select("vec_id", "q", deal("vec_id", query_blocks).alias("i"), each(blocks).alias("j"))
+    right = index.withColumn("i", each(query_blocks))
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -136,7 +180,7 @@ WITH v AS (
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+  FROM (SELECT DISTINCT vec_id, q FROM v WHERE vec_id % 20 = 0) a JOIN v b ON a.vec_id <> b.vec_id
 ), r AS (
   SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s
 )
