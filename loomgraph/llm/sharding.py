@@ -5,16 +5,16 @@ tokens and rows as shares of all.  Packing goes largest first, every group into
 the shard where the dot product of its vector with the residual capacity is
 highest.
 
-A group that holds more than 1/512 of all bytes, tokens or rows would not fit
-evenly, so it is cut into pieces by a hash of doc_id first.  There are at most
-3 * 512 such groups, whatever the input, and only these are broadcast.
-
-A long document cannot be cut, so whatever holds more than 1/4096 of all bytes,
-tokens or rows, at most 3 * 4096 groups and pieces, is packed once, over all.
-The others are dealt by their hash to buckets, whose number follows the number
-of rows and not that of the tasks.  Each bucket is packed on its own, into
-capacities that divide what it holds as the residual capacities of the shards
-stand to each other; so what the long documents left uneven is filled up.
+A group is placed whole unless it holds more of all bytes, tokens or rows than a
+shard should; only then is it cut, by a hash of doc_id, into the fewest pieces
+that fit.  There are fewer such groups than three times the shards.
+
+Whatever holds more than 1/4096 of all bytes, tokens or rows, at most 3 * 4096
+groups and pieces, is packed first, once, over all, largest first.  The others
+are dealt by their hash to buckets, whose number follows the number of rows and
+not that of the tasks.  Each bucket is packed on its own, into capacities that
+divide what it holds as the residual capacities of the shards stand to each
+other; so what the large groups left uneven is filled up.
 """
 
 from __future__ import annotations
@@ -27,11 +27,10 @@ from pyspark.sql import functions as F
 from ._shared import Tables, word_count
 
 SHARDS = 8
-PARTS = 512
 #: A group or piece above this part of all is packed over all.
 LONG = 4096
 #: Groups of a bucket, at most and at least, and buckets of a small table.
-FULL, LEAST, FEW = 4096, 64, 256
+FULL, LEAST, FEW = 4096, 1024, 256
 #: Rows of a shard are numbered within so many buckets, then across them.
 BUCKETS = 4096
 #: What is left after the largest groups evens out bytes, the quantity of the law.
@@ -77,7 +76,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     with them.  A null text has size 1 and is a group of its own kind; empty
     texts, null or repeated doc_ids and repeated rows are placed like any other,
     and an empty table gives no row.  ``slot`` numbers a shard's rows from 0
-    without gaps.  Further columns are not read.
+    without gaps.  Rows with equal texts share a shard unless they are more than
+    a shard's part of all.  Further columns are not read, whatever their names.
     """
     tables = Tables(docs.sparkSession, "sharding")
     raw = F.col("text").cast("binary")
@@ -97,7 +97,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     if not total["rows"]:
         total = {"bytes": 1, "tokens": 1, "rows": 1}
     share = F.greatest(*[F.col(c) / float(max(total[c] or 0, 1)) for c in ("bytes", "tokens", "rows")])
-    large = rows.groupBy("k1", "k2").agg(*sums).withColumn("pieces", F.ceil(share * PARTS)).filter("pieces > 1").select("k1", "k2", "pieces")
+    large = rows.groupBy("k1", "k2").agg(*sums).withColumn("pieces", F.ceil(share * shards)).filter("pieces > 1").select("k1", "k2", "pieces")
     rows = rows.join(F.broadcast(large), ["k1", "k2"], "left")
     rows = rows.withColumn("piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("doc_id"), "pieces")).otherwise(0).cast("int"))
     items = tables.cut(rows.groupBy(*_ITEM).agg(*sums).withColumn("long", share > 1 / LONG), "items")

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,6 +238,16 @@ def test_shards_with_long_documents(spark):
     assert held.max() < 1.02 * held.mean() and many == one
 
 
+def test_shards_keep_groups_whole(spark):
+    texts = [f"copied text number {g} " * 6 for g in range(40)]
+    rows = [(i, texts[i % 40]) for i in range(4000)] + [(4000 + i, f"single {i} " * 12) for i in range(4000)] + [(9000 + i, "hot " * 30) for i in range(4000)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id")
+    groups = {r["text"]: r["n"] for r in found.groupBy("text").agg(F.countDistinct("shard").alias("n")).collect()}
+    assert all(groups[x] == 1 for x in texts) and 1 < groups["hot " * 30] <= 4
+    sizes = [r["n"] for r in found.groupBy("shard").agg(F.sum("size").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.05 * min(sizes)
+
+
 def test_mixing_limits(odd):
     rows = mixing.mix(odd).collect()
     assert all(0 <= r["copies"] <= 3 for r in rows) and mixing.repeat(mixing.mix(odd)).columns == ["doc_id", "text", "lang", "source", "component"]
@@ -251,6 +262,42 @@ def test_vectors_that_take_no_part(spark):
     assert [(r["vec_id"], r["score"]) for r in best] == [(20, 4096), (80, 4096), (5, 0)]
 
 
+def _best(rows, k=20):
+    """The best k of each query by comparing it with every row."""
+    whole = [(i, np.floor(64 * np.array(v, dtype=float)).astype(np.int64)) for i, v in rows]
+    out = {}
+    for q, x in {(i, tuple(x)): (i, x) for i, x in whole if i % 20 == 0}.values():
+        out.setdefault(q, []).extend((-int(x @ y), j) for j, y in whole if j != q)
+    return {q: [(j, -s) for s, j in sorted(found)[:k]] for q, found in out.items()}
+
+
+@pytest.mark.parametrize("shape", ["even", "skewed", "few values"])
+def test_top_k_against_every_row(spark, monkeypatch, shape):
+    monkeypatch.setattr(topk, "BLOCK", 150)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((700, 12))
+    x = {"even": x, "skewed": np.sign(x) * np.abs(x) ** 5, "few values": np.round(x) / 64}[shape]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(40, x[41].tolist()), (40, x[40].tolist()), (17, x[17].tolist()), (17, x[17].tolist())]
+    found = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert found == _best(rows)
+
+
+def test_postings_stop_early():
+    rng = np.random.default_rng(4)
+    x = np.floor(64 * np.sign(rng.standard_normal((4000, 30))) * np.abs(rng.standard_normal((4000, 30))) ** 6)
+    t = pa.table({"j": pa.array([0] * 4000, pa.int32()), "vec_id": pa.array(np.arange(4000)), "q": pa.array(x.tolist())})
+    index = topk.ImpactIndex(topk._build(t))
+    members = index.search(x[:8], np.arange(8)[:, None] == np.arange(4000)[None, :], 20)
+    for q, found in enumerate(members):
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert set(np.argsort(-score, kind="stable")[:20]) <= set(found.tolist()) and len(found) < 1000
+
+
 def _group_of_near_vectors(n, size, spread, seed=5):
     """Random vectors of 64 components, the first ``size`` around one centre."""
     rng = np.random.default_rng(seed)
@@ -275,6 +322,16 @@ def test_empty_tables(odd, fn):
     assert fn(odd.limit(0)).count() == 0
 
 
+def test_empty_tables_of_vectors_tokens_and_labels(spark, odd, tmp_path):
+    none = spark.createDataFrame([], "vec_id long, label int, embedding array<double>")
+    assert topk.top_k(none).count() == 0 and vector_dedup.near_vectors(none).count() == 0
+    token_files.write(odd.limit(0), str(tmp_path / "none"))
+    assert token_files.read(spark, str(tmp_path / "none")).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.fit(odd, labels) is None and toxicity.score(odd, None).count() == odd.count()
+    assert toxicity.score(odd.limit(0), None).count() == 0
+
+
 CLASHES = ["size", "source_size", "target", "copies", "copy_", "score", "lang_pred", "kept_", "n_lines", "n_kept", "box_", "version", "node", "rep", "text_", "kept", "component_id"]
 
 
