@@ -126,7 +126,7 @@ def block_pairs(
     A key with more than ``block`` rows is dealt by a hash of ``ident`` to
     blocks; each pair of blocks is a group of its own, so a key that holds a
     third of all rows becomes many equal tasks and no group outgrows two blocks.
-    Smaller keys share groups of about four blocks, by a hash of the key, so
+    Smaller keys share groups of about one block, by a hash of the key, so
     that a group's rows are prepared once for all keys that hold them.
 
     ``prepare`` reads a group's rows; ``compare(prepared, i, None)`` compares
@@ -136,7 +136,7 @@ def block_pairs(
     ``rows`` holds the rows of these keys, with n_.
     """
     total = counts.filter(F.col("n_") <= block).agg(F.sum("n_")).first()[0] or 0
-    shared = max(1, -(-total // (4 * block)))
+    shared = max(1, -(-total // block))
     n = F.col("n_")
     dealt = rows.withColumn("nb_", F.ceil(n / block).cast("int"))
     dealt = dealt.withColumn("own_", F.pmod(F.xxhash64(F.col(ident), F.lit(7)), F.col("nb_")).cast("int"))
