@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..functions import terms as t
 
 Pattern = tuple[str, ...]
@@ -115,12 +116,27 @@ def join(a: DataFrame, b: DataFrame, unbound: tuple[str, ...] = ()) -> DataFrame
     )
 
 
-def optional(a: DataFrame, b: DataFrame, condition: Column | None = None) -> DataFrame:
-    """Left join; a filter inside the optional part belongs to ``condition``."""
+def _compatible(shared: list[str], unbound: tuple[str, ...]) -> list[Column]:
+    """Agreement of each shared variable of ``a`` with its copy ``<name>__``; what is unbound agrees with anything."""
+    open_ = lambda c: (F.col(c).isNull() | F.col(f"{c}__").isNull()) if c in unbound else F.lit(False)
+    return [(F.col(c) == F.col(f"{c}__")) | open_(c) if c in unbound else F.col(c) == F.col(f"{c}__") for c in shared]
+
+
+def _copied(b: DataFrame, shared: list[str]) -> DataFrame:
+    return b.select(*[F.col(c).alias(f"{c}__" if c in shared else c) for c in b.columns])
+
+
+def optional(a: DataFrame, b: DataFrame, condition: Column | None = None, unbound: tuple[str, ...] = ()) -> DataFrame:
+    """Left join; a filter inside the optional part belongs to ``condition``.
+
+    ``unbound`` names shared variables that may be null on either side; they
+    take the value of the side that has one.
+    """
     shared = _shared(a, b)
-    renamed = b.select(*[F.col(c).alias(f"{c}__" if c in shared else c) for c in b.columns])
-    on = reduce(Column.__and__, [F.col(c) == F.col(f"{c}__") for c in shared], F.lit(True))
-    return a.join(renamed, on if condition is None else on & condition, "left").drop(*[f"{c}__" for c in shared])
+    on = reduce(Column.__and__, _compatible(shared, unbound), F.lit(True))
+    joined = a.join(_copied(b, shared), on if condition is None else on & condition, "left")
+    filled = [F.coalesce(F.col(c), F.col(f"{c}__")).alias(c) if c in unbound and c in shared else F.col(c) for c in a.columns]
+    return joined.select(*filled, *[c for c in b.columns if c not in shared])
 
 
 def union(*frames: DataFrame) -> DataFrame:
@@ -128,17 +144,27 @@ def union(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def minus(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Solutions of ``a`` that agree with none of ``b``; without a shared variable all stay."""
+def minus(a: DataFrame, b: DataFrame, unbound: tuple[str, ...] = ()) -> DataFrame:
+    """Solutions of ``a`` that agree with none of ``b`` in the variables both bind.
+
+    Without a shared variable all stay; so does, where ``unbound`` names shared
+    variables that may be null, a solution that has none in common with another.
+    """
     shared = _shared(a, b)
-    return a.join(b, shared, "left_anti") if shared else a
+    if not shared:
+        return a
+    if not unbound:
+        return a.join(b, shared, "left_anti")
+    some = reduce(Column.__or__, [F.col(c).isNotNull() & F.col(f"{c}__").isNotNull() for c in shared])
+    return a.join(_copied(b.select(*shared).distinct(), shared), reduce(Column.__and__, _compatible(shared, unbound)) & some, "left_anti")
 
 
 def exists(a: DataFrame, b: DataFrame, negate: bool = False) -> DataFrame:
-    shared = _shared(a, b)
+    """Solutions of ``a`` with a partner in ``b``; without a shared variable any solution of ``b`` is one."""
+    how, shared = "left_anti" if negate else "left_semi", _shared(a, b)
     if not shared:
-        return a if b.isEmpty() == negate else a.limit(0)
-    return a.join(b, shared, "left_anti" if negate else "left_semi")
+        return a.join(F.broadcast(b.select(F.lit(True).alias("found__")).limit(1)), F.lit(True), how)
+    return a.join(b, shared, how)
 
 
 def values(spark, names: list[str], rows: list[tuple]) -> DataFrame:
@@ -147,30 +173,24 @@ def values(spark, names: list[str], rows: list[tuple]) -> DataFrame:
 
 
 def text(key: Column) -> Column:
-    """Lexical form or IRI of a key."""
-    literal = F.regexp_extract(key, r'^"((?:[^"\\]|\\.)*)"', 1)
-    return F.when(key.startswith('"'), literal).otherwise(F.regexp_extract(key, "^(?:<|_:)(.*?)>?$", 1))
+    """Lexical form, IRI or blank label of a key."""
+    return F.coalesce(S._text(key), F.regexp_extract(key, "^_:(.*)$", 1))
 
 
 def language(key: Column) -> Column:
-    return F.when(key.startswith('"'), F.regexp_extract(key, r'"@([A-Za-z0-9-]+)$', 1))
+    return S._lang(key)
 
 
 def datatype(key: Column) -> Column:
-    given = F.nullif(F.regexp_extract(key, r'"\^\^<([^>]*)>$', 1), F.lit(""))
-    return F.when(key.startswith('"'), F.when(language(key) != "", t.RDF + "langString").otherwise(F.coalesce(given, F.lit(t.XSD + "string"))))
+    return S._datatype(key)
 
 
 def number(key: Column) -> Column:
     """Value of a numeric literal, null for any other term."""
-    numeric = datatype(key).isin(*[t.XSD + n for n in ("integer", "decimal", "double", "float")])
-    return F.when(numeric, text(key).try_cast("double"))
+    return F.when(datatype(key).isin(*[t.XSD + n for n in (*S.INTEGERS, *S.NUMERIC)]), S._text(key).try_cast("double"))
 
 
-def equal(a: Column, b: Column) -> Column:
-    """Value equality: numbers by value, other terms by key."""
-    x, y = number(a), number(b)
-    return F.when(x.isNotNull() & y.isNotNull(), x == y).otherwise(a == b)
+equal = S.equal
 
 
 def order_key(key: Column) -> list[Column]:
@@ -179,6 +199,44 @@ def order_key(key: Column) -> list[Column]:
     return [rank, number(key), key]
 
 
+def sum_(key: Column) -> Column:
+    """SUM of a group: of the widest datatype in it, 0 of no value, null if any value is no number."""
+    rank, wrong = F.max(S.numeric_rank(key)), F.count_if(key.isNotNull() & S.numeric_rank(key).isNull())
+    exact, wide = F.sum(F.trim(S.text(key)).try_cast("decimal(28,8)")), F.sum(S.number(key))
+    total = F.when(rank == 1, S.integer(exact)).when(rank == 2, S.decimal(exact)).when(rank == 3, S.double(wide.cast("float"), "float")).when(rank == 4, S.double(wide))
+    return F.when(wrong > 0, F.lit(None).cast("string")).otherwise(F.coalesce(total, S.typed(F.lit("0"), "integer")))
+
+
+def avg(key: Column) -> Column:
+    """AVG of a group: a decimal of integers and decimals, 0 of no value, null if any value is no number."""
+    rank, wrong = F.max(S.numeric_rank(key)), F.count_if(key.isNotNull() & S.numeric_rank(key).isNull())
+    exact, wide = F.avg(F.trim(S.text(key)).try_cast("decimal(28,8)")), F.avg(S.number(key))
+    mean = F.when(rank <= 2, S.decimal(exact)).when(rank == 3, S.double(wide.cast("float"), "float")).when(rank == 4, S.double(wide))
+    return F.when(wrong > 0, F.lit(None).cast("string")).otherwise(F.coalesce(mean, S.typed(F.lit("0"), "integer")))
+
+
+def sample(key: Column) -> Column:
+    """SAMPLE: one of the values, the smallest key, so that reruns agree."""
+    return F.min(key)
+
+
+def least(key: Column) -> Column:
+    """MIN by the order of ``order_key``."""
+    return F.min(F.when(key.isNotNull(), F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order_key(key))]))).getField("k2")
+
+
+def most(key: Column) -> Column:
+    """MAX by the order of ``order_key``."""
+    return F.max(F.when(key.isNotNull(), F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order_key(key))]))).getField("k2")
+
+
+def dataset(rows: DataFrame, default: list[str], named: list[str] = ()) -> DataFrame:
+    """The quads that a query sees with FROM and FROM NAMED: the default graph is the
+    merge of ``default``, and only ``named`` can be matched by a fourth part."""
+    merged = t.as_set(rows.filter(F.col("g").isin(*default)).withColumn("g", F.lit(None).cast("string"))) if default else rows.limit(0)
+    return merged.unionByName(rows.filter(F.col("g").isin(*named))) if named else merged
+
+
 def construct(solutions: DataFrame, template: list[Pattern], g: str | None = None) -> DataFrame:
     """Triples (s, p, o keys) of a template, as a set; ill-formed ones are left out."""
     term = lambda x: F.col(x[1:]) if x.startswith("?") else F.lit(x)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..functions import terms as t
+from . import algebra
 from .fixpoint import closure
 
 PROPERTY_TYPES = (t.OWL + "ObjectProperty", t.OWL + "DatatypeProperty", t.RDF + "Property")
@@ -27,6 +29,41 @@ def delete(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.alias("a").join(gone.alias("b"), _same(), "left_anti")
 
 
+def from_template(solutions: DataFrame, template: list[algebra.Pattern], g: str | None = t.DATA) -> DataFrame:
+    """Quads of a template for each solution; a fourth part names the graph, ``g`` where there is none.
+
+    Parts are variables (``?x``) or keys.  Ill-formed quads, and those with an
+    unbound part, are left out.
+    """
+    term = lambda x: F.lit(None).cast("string") if x is None else F.col(x[1:]) if x.startswith("?") else F.lit(x)
+    made = []
+    for s, p, o, *graph in template:
+        own = term(graph[0] if graph else None if g is None else f"<{g}>")
+        made.append(F.struct(own.alias("gk"), F.lit(bool(graph)).alias("named"), term(s).alias("sk"), term(p).alias("pk"), term(o).alias("ok")))
+    rows = solutions.select(F.explode(F.array(*made)).alias("x")).select("x.*")
+    rows = rows.filter((S.is_iri(F.col("sk")) | S.is_blank(F.col("sk"))) & S.is_iri(F.col("pk")) & F.col("ok").isNotNull() & (~F.col("named") | S.is_iri(F.col("gk"))))
+    return of_keys(rows.select(S.text(F.col("gk")).alias("g"), "sk", "pk", "ok"))
+
+
+def of_keys(rows: DataFrame) -> DataFrame:
+    """Quads (as a set) of a graph's plain name and the keys sk, pk and ok."""
+    o, lang = F.col("ok"), F.nullif(S.lang(F.col("ok")), F.lit(""))
+    kind = F.when(S.is_triple(o), "triple").when(S.is_iri(o), "iri").when(S.is_blank(o), "bnode").otherwise("literal")
+    quoted = F.struct(S.text(S.subject(o)).alias("s"), S.text(S.predicate(o)).alias("p"), S.object_(o).alias("o_key"))
+    plain = rows.select(
+        "g", algebra.text(F.col("sk")).alias("s"), F.when(S.is_blank(F.col("sk")), "bnode").otherwise("iri").alias("s_kind"), S.text(F.col("pk")).alias("p"),
+        F.when(~S.is_triple(o), algebra.text(o)).alias("o"), kind.alias("o_kind"), S.datatype(o).alias("o_dt"), lang.alias("o_lang"),
+        F.when(S.is_triple(o), quoted).cast(t.TRIPLE).alias("o_triple"), o.alias("o_key"),
+    )
+    return t.as_set(plain)
+
+
+def update(rows: DataFrame, solutions: DataFrame, gone: list[algebra.Pattern], made: list[algebra.Pattern], g: str | None = t.DATA) -> DataFrame:
+    """DELETE {gone} INSERT {made} WHERE: all deletions of the solutions come before all insertions."""
+    left = delete(rows, from_template(solutions, gone, g)) if gone else rows
+    return insert(left, from_template(solutions, made, g)) if made else left
+
+
 def clear(rows: DataFrame, graph: str | None = None, named: bool = False) -> DataFrame:
     """Without one graph, without all named graphs, or (None) without the default graph."""
     if named:
