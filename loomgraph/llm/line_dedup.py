@@ -32,7 +32,7 @@ SHINGLE, BITS, ROWS, PERCENT = 10, 5, 3, 75
 BREAK = 10
 BLANKS = "\t\n\x0b\x0c\r "
 MANY = 1 << 20  # lines that are described at once
-MOST_PAIRS = 4096  # pairs that one sort takes
+MOST_PAIRS = 4096  # pairs that one sort takes, under 1 << 16
 
 
 def _lines(column: pa.Array):
@@ -95,15 +95,19 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _line_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sets of lines that are trimmed and in lower case: places of all shingles, each
-    line's in order and once, and where each line's begin.  Equal shingles of the
-    column have one place, and only they do."""
-    data, offsets, _ = A.flat(column)
-    cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
-    at = np.searchsorted(np.flatnonzero((data & 0xC0) != 0x80), offsets)
-    hashes, line = _shingles(A.prefix_sums(cp), at[:-1], at[1:])
-    key = np.unique((line << 32) | np.unique(hashes, return_inverse=True)[1])
-    return key & 0xFFFFFFFF, np.searchsorted(key >> 32, np.arange(len(column) + 1))
+    """Sets of lines that are trimmed and in lower case: 48-bit hashes of the shingles,
+    each line's in order and once, and where each line's begin."""
+    parts, counts = [], []
+    for first in range(0, len(column), 1 << 16):
+        data, offsets, _ = A.flat(column[first : first + (1 << 16)])
+        cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+        at = np.searchsorted(np.flatnonzero((data & 0xC0) != 0x80), offsets)
+        hashes, line = _shingles(A.prefix_sums(cp), at[:-1], at[1:])
+        key = np.sort((line.astype(A.U) << A.U(48)) | (hashes >> A.U(16)))
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        parts.append(key & A.U((1 << 48) - 1))
+        counts.append(np.bincount((key >> A.U(48)).astype(np.int64), minlength=len(offsets) - 1))
+    return np.concatenate([*parts, np.zeros(0, A.U)]), np.concatenate([[0], *counts]).cumsum()
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,9 +123,9 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(pair), MOST_PAIRS):
             own = pair[i : i + MOST_PAIRS]
             both = np.concatenate([x[own], y[own]])
-            taken = ragged(begin[both], size[both])
-            key = np.sort((np.repeat(np.tile(np.arange(len(own)), 2), size[both]) << 32) | places[taken])
-            common[own] = np.bincount(key[1:][key[1:] == key[:-1]] >> 32, minlength=len(own))
+            taken = places[ragged(begin[both], size[both])]
+            key = np.sort((np.repeat(np.tile(np.arange(len(own), dtype=A.U), 2), size[both]) << A.U(48)) | taken)
+            common[own] = np.bincount((key[1:][key[1:] == key[:-1]] >> A.U(48)).astype(np.int64), minlength=len(own))
         keep = 100 * common >= PERCENT * (size[x] + size[y] - common)
         yield batch.select(["a", "b"]).filter(pa.array(keep & (common > 0)))
 
@@ -129,22 +133,25 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _common(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
     """Sizes of the intersections of each set of ``x`` with each of ``y`` (or of ``x``)."""
     sets, n = [*x, *(y or ())], len(x)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count > 1
-    use = shared[place]
-    place, owner = (np.cumsum(shared) - 1)[place[use]], owner[use]
-    order = np.argsort(place, kind="stable")
-    place, owner, total = place[order], owner[order], int(shared.sum())
+    sizes = [len(s) for s in sets]
+    # a hash above the number of its set: sorting brings equal hashes together
+    key = np.sort((np.concatenate(sets) << A.U(16)) | np.repeat(np.arange(len(sets), dtype=A.U), sizes))
+    first = np.ones(len(key), dtype=bool)
+    first[1:] = (key[1:] >> A.U(16)) != (key[:-1] >> A.U(16))
+    alone = first.copy()
+    alone[:-1] &= first[1:]
+    first = first[~alone]
+    owner = (key[~alone] & A.U(0xFFFF)).astype(np.int64)
+    place, total = np.cumsum(first) - 1, int(first.sum())
     out = np.zeros((n, len(y) if y is not None else n))
     step = max(1, min(total, (1 << 22) // max(len(sets), 1)))
-    for first in range(0, total, step):
-        lo, hi = np.searchsorted(place, [first, first + step])
+    for low in range(0, total, step):
+        lo, hi = np.searchsorted(place, [low, low + step])
         member = np.zeros((len(sets), step), dtype=np.float32)
-        member[owner[lo:hi], place[lo:hi] - first] = 1
+        member[owner[lo:hi], place[lo:hi] - low] = 1
         out += member[:n] @ (member if y is None else member[n:]).T
     if y is None:
-        np.fill_diagonal(out, [len(s) for s in x])
+        np.fill_diagonal(out, sizes)
     return out
 
 
