@@ -83,7 +83,7 @@ def _confirm(percent: int):
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     keep.append(False)
                     continue
-                common = len(x) + len(y) - len(np.union1d(x, y))
+                common = A.in_both(x, y)
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -105,7 +105,7 @@ def _prepare(t: pa.Table):
 
 
 def _linked(x: np.ndarray, y: np.ndarray) -> bool:
-    common = len(x) + len(y) - len(np.union1d(x, y))
+    common = A.in_both(x, y)
     return 100 * common >= PERCENT * (len(x) + len(y) - common)
 
 
