@@ -6,11 +6,12 @@ import hashlib
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import terms as t
+from ..storage import Tables
 
 K1, B = 1.2, 0.75
 DIMENSIONS = 512
@@ -117,3 +118,23 @@ def gram_cosine(texts: DataFrame) -> DataFrame:
     counts = texts.select("iri", F.explode(ngrams(F.lower("text"))).alias("gram")).groupBy("iri", "gram").agg(F.count("*").cast("double").alias("n"))
     length = counts.groupBy("iri").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("len"))
     return counts.join(length, "iri").select("iri", "gram", (F.col("n") / F.col("len")).alias("weight"))
+
+
+def similar_pairs(weights: DataFrame, least: float) -> DataFrame:
+    """(a, b, score) of all pairs a < b of unit vectors (iri, gram, weight) with a cosine above ``least``.
+
+    The grams of a vector are taken from the rarest on, until what is left of it
+    is no longer than ``least``; two vectors that share none of these cannot
+    reach it, so only such rare grams are joined, and the pairs verified.
+    """
+    tables = Tables(weights.sparkSession, "similar-pairs")
+    weights = tables.cut(weights.select("iri", "gram", "weight"), "weights")
+    counted = weights.join(weights.groupBy("gram").agg(F.count("*").alias("n")), "gram")
+    rest = Window.partitionBy("iri").orderBy("n", "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rare = counted.withColumn("rest", F.sum(F.col("weight") * F.col("weight")).over(rest)).filter(F.col("rest") > least * least * (1 - 1e-9))
+    rare = tables.cut(rare.select("iri", "gram"), "rare")
+    a, b = rare.select(F.col("iri").alias("a"), "gram"), rare.select(F.col("iri").alias("b"), "gram")
+    pairs = tables.cut(a.join(b, "gram").filter("a < b").select("a", "b").distinct(), "pairs")
+    both = pairs.join(weights.select(F.col("iri").alias("a"), "gram", F.col("weight").alias("v")), "a")
+    both = both.join(weights.select(F.col("iri").alias("b"), "gram", F.col("weight").alias("u")), ["b", "gram"])
+    return both.groupBy("a", "b").agg(F.sum(F.col("v") * F.col("u")).alias("score")).filter(F.col("score") > least)

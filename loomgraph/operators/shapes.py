@@ -9,12 +9,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as t
-from .algebra import datatype, text
+from ..storage import Tables
+from .algebra import datatype, language, text
 from .fixpoint import closure
+from .graph_edit import of_keys
 
 
 @dataclass(frozen=True)
@@ -32,6 +34,8 @@ class Property:
     min_inclusive: float | None = None
     max_inclusive: float | None = None
     one_of: tuple[str, ...] | None = None
+    has_value: str | None = None
+    unique_lang: bool = False
 
 
 @dataclass(frozen=True)
@@ -55,65 +59,176 @@ SUGGESTIONS = {
 }
 
 
-def instances(facts: DataFrame, subclasses: DataFrame, cls: str) -> DataFrame:
-    """Nodes whose type is the class or a descendant of it: focus."""
-    below = subclasses.filter(F.col("b") == f"<{cls}>").select(F.col("a").alias("o"))
-    below = below.union(facts.sparkSession.createDataFrame([(f"<{cls}>",)], "o string")).distinct()
-    typed = facts.filter(F.col("p") == f"<{t.TYPE}>").select(F.col("s").alias("focus"), "o")
-    return typed.join(below, "o", "left_semi").select("focus").distinct()
+COLUMNS = "shape string, focus string, path string, constraint string, value string, severity string, message string, suggestion string"
 
 
-def validate(facts: DataFrame, shapes: list[Shape]) -> DataFrame:
-    """Findings of all shapes, one row each."""
+def _members(facts: DataFrame, classes: list[str], tables: Tables) -> DataFrame:
+    """(cls, node) of every node whose type is one of ``classes`` or a descendant of it, by one scan of the types."""
     sub = facts.filter(F.col("p") == f"<{t.RDFS}subClassOf>").select(F.col("s").alias("a"), F.col("o").alias("b"))
-    subclasses = closure(sub)
-    null = F.lit(None).cast("string")
+    own = facts.sparkSession.createDataFrame([(f"<{c}>", c) for c in classes], "o string, cls string")
+    name = F.regexp_extract("b", "^<(.*)>$", 1)
+    below = closure(sub).filter(name.isin(*classes)).select(F.col("a").alias("o"), name.alias("cls")).union(own).distinct()
+    typed = facts.filter(F.col("p") == f"<{t.TYPE}>").select(F.col("s").alias("node"), "o")
+    return tables.cut(typed.join(tables.cut(below, "below"), "o").select("cls", "node").distinct(), "members")
+
+
+def _choose(key: Column, choices: dict[str, list[int]]) -> Column:
+    """The numbers that ``choices`` gives for a key, none for any other."""
+    pairs = [x for k, numbers in choices.items() for x in (F.lit(k), F.array(*map(F.lit, numbers)))]
+    return F.try_element_at(F.create_map(*pairs), key)
+
+
+def validate(facts: DataFrame, shapes: list[Shape]) -> DataFrame:
+    """Findings of all shapes, one row each.
+
+    The nodes of all target and value classes come from one scan of the types,
+    the values of all paths from one scan and one join with the focus nodes; a
+    further scan is made only for closed shapes.
+    """
+    spark, tables = facts.sparkSession, Tables(facts.sparkSession, "shapes")
+    props = [(i, p) for i, shape in enumerate(shapes) for p in shape.properties]
+    none = spark.createDataFrame([], COLUMNS)
+    if not shapes:
+        return none
+    members = _members(facts, sorted({s.target_class for s in shapes} | {p.cls for _, p in props if p.cls}), tables)
+    targets: dict[str, list[int]] = {}
+    for i, shape in enumerate(shapes):
+        targets.setdefault(shape.target_class, []).append(i)
+    focus = members.select(F.col("node").alias("focus"), F.explode(_choose(F.col("cls"), targets)).alias("shape"))
     out: list[DataFrame] = []
 
-    def found(rows: DataFrame, shape: Shape, path, kind: str, value, p: Property | None = None) -> None:
-        path = F.lit(path) if isinstance(path, str) else path
+    def finding(path: Column, kind: str, value: Column, severity: str = "Violation", message: str | None = None) -> Column:
         hint = F.replace(F.lit(SUGGESTIONS.get(kind, "Change {path} to satisfy the shape.")), F.lit("{path}"), t.local_name(path))
-        message = F.lit(p.message) if p and p.message else F.concat(F.lit(f"{kind}: "), t.local_name(path))
-        out.append(rows.select(F.lit(shape.name).alias("shape"), "focus", path.alias("path"), F.lit(kind).alias("constraint"), value.alias("value"), F.lit(p.severity if p else "Violation").alias("severity"), message.alias("message"), hint.alias("suggestion")))
-
-    for shape in shapes:
-        focus = instances(facts, subclasses, shape.target_class)
-        for p in shape.properties:
-            path, values = p.path, facts.filter(F.col("p") == f"<{p.path}>").select(F.col("s").alias("focus"), F.col("o").alias("value"))
-            own = focus.join(values, "focus")
-            if p.min_count is not None or p.max_count is not None:
-                n = focus.join(values, "focus", "left").groupBy("focus").agg(F.count("value").alias("n"))
-                if p.min_count is not None:
-                    found(n.filter(F.col("n") < p.min_count), shape, path, "MinCountConstraintComponent", null, p)
-                if p.max_count is not None:
-                    found(n.filter(F.col("n") > p.max_count), shape, path, "MaxCountConstraintComponent", null, p)
-            value = F.col("value")
-            form, kind = text(value), datatype(value)
-            if p.datatype:
-                bad = ~value.startswith('"') | (kind != p.datatype) | ~t.lexically_valid(form, kind)
-                found(own.filter(F.coalesce(bad, F.lit(True))), shape, path, "DatatypeConstraintComponent", value, p)
-            if p.cls:
-                typed = instances(facts, subclasses, p.cls).select(F.col("focus").alias("value"))
-                found(own.join(typed, "value", "left_anti"), shape, path, "ClassConstraintComponent", value, p)
-                found(own.filter(~value.startswith("<")), shape, path, "NodeKindConstraintComponent", value, p)
+        said = F.lit(message) if message else F.concat(F.lit(f"{kind}: "), t.local_name(path))
+        return F.struct(path.alias("path"), F.lit(kind).alias("constraint"), value.alias("value"), F.lit(severity).alias("severity"), said.alias("message"), hint.alias("suggestion"))
+
+    def add(rows: DataFrame, tests: list[tuple[Column, Column]]) -> None:
+        """One finding for every test of (condition, finding) that a row meets."""
+        if tests:
+            found = F.explode(F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), what) for bad, what in tests])))
+            names = F.array(*[F.lit(s.name) for s in shapes])
+            out.append(rows.select(F.element_at(names, F.col("shape") + 1).alias("shape"), "focus", found.alias("f")).select("shape", "focus", "f.*"))
+
+    if props:
+        by_path: dict[str, list[int]] = {}
+        for k, (i, p) in enumerate(props):
+            by_path.setdefault(f"{i} <{p.path}>", []).append(k)
+        said = facts.filter(F.col("p").isin(*{f"<{p.path}>" for _, p in props})).select(F.col("s").alias("focus"), "p", F.col("o").alias("value"))
+        own = said.join(focus, "focus")
+        own = own.select("shape", "focus", F.explode(_choose(F.concat_ws(" ", "shape", "p"), by_path)).alias("prop"), "value")
+        own = tables.cut(own, "values")
+        null, value, is_ = F.lit(None).cast("string"), F.col("value"), lambda k: F.col("prop") == k
+        form, kind = text(value), datatype(value)
+        tests: list[tuple[Column, Column]] = []
+        counted: list[tuple[Column, Column]] = []
+        for k, (_, p) in enumerate(props):
+            path = F.lit(p.path)
             checks = [
+                (p.datatype, "Datatype", lambda: ~value.startswith('"') | (kind != p.datatype) | ~t.lexically_valid(form, kind)),
+                (p.cls, "NodeKind", lambda: ~value.startswith("<")),
                 (p.pattern, "Pattern", lambda: value.startswith("_:") | ~form.rlike(p.pattern)),
                 (p.min_length, "MinLength", lambda: F.length(form) < p.min_length),
                 (p.max_length, "MaxLength", lambda: F.length(form) > p.max_length),
-                (p.min_inclusive, "MinInclusive", lambda: F.coalesce(form.try_cast("double") < p.min_inclusive, F.lit(True))),
-                (p.max_inclusive, "MaxInclusive", lambda: F.coalesce(form.try_cast("double") > p.max_inclusive, F.lit(True))),
+                (p.min_inclusive, "MinInclusive", lambda: form.try_cast("double") < p.min_inclusive),
+                (p.max_inclusive, "MaxInclusive", lambda: form.try_cast("double") > p.max_inclusive),
                 (p.one_of, "In", lambda: ~value.isin(*p.one_of)),
             ]
             for given, name, bad in checks:
                 if given is not None:
-                    found(own.filter(bad()), shape, path, f"{name}ConstraintComponent", value, p)
-        if shape.closed:
-            allowed = [f"<{p.path}>" for p in shape.properties] + ([f"<{t.TYPE}>"] if shape.ignore_type else [])
-            rows = facts.filter(~F.col("p").isin(allowed)).withColumnRenamed("s", "focus").join(focus, "focus", "left_semi")
-            found(rows.withColumn("value", F.col("o")), shape, text(F.col("p")), "ClosedConstraintComponent", F.col("value"))
-    if not out:
-        return facts.sparkSession.createDataFrame([], "shape string, focus string, path string, constraint string, value string, severity string, message string, suggestion string")
-    return reduce(DataFrame.union, out)
+                    tests.append((is_(k) & F.coalesce(bad(), F.lit(True)), finding(path, f"{name}ConstraintComponent", value, p.severity, p.message)))
+            n = F.col("n")
+            for given, name, bad in ((p.min_count, "MinCount", lambda: n < p.min_count), (p.max_count, "MaxCount", lambda: n > p.max_count)):
+                if given is not None:
+                    counted.append((is_(k) & bad(), finding(path, f"{name}ConstraintComponent", null, p.severity, p.message)))
+            if p.has_value is not None:
+                counted.append((is_(k) & (F.array_position("has", k) == 0), finding(path, "HasValueConstraintComponent", null, p.severity, p.message)))
+            if p.unique_lang:
+                counted.append((is_(k) & F.col("twice"), finding(path, "UniqueLangConstraintComponent", null, p.severity, p.message)))
+        add(own, tests)
+        if counted:
+            asked = {str(i): [k for k, (j, p) in enumerate(props) if j == i] for i in range(len(shapes)) if shapes[i].properties}
+            every = focus.select("shape", "focus", F.explode(_choose(F.col("shape").cast("string"), asked)).alias("prop"))
+            fits = [F.when(is_(k) & (value == p.has_value), k) for k, (_, p) in enumerate(props) if p.has_value is not None]
+            tag = F.nullif(F.lower(language(value)), F.lit(""))
+            n = own.groupBy("shape", "focus", "prop").agg(
+                F.count("*").alias("n"), F.collect_set(F.coalesce(*fits, F.lit(None).cast("int"))).alias("has"), (F.count(tag) > F.countDistinct(tag)).alias("twice")
+            )
+            n = every.join(n, ["shape", "focus", "prop"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "has": F.coalesce("has", F.array().cast("array<int>")), "twice": F.coalesce("twice", F.lit(False))})
+            add(n, counted)
+        typed = [(k, p) for k, (_, p) in enumerate(props) if p.cls]
+        if typed:
+            wanted = F.create_map(*[x for k, p in typed for x in (F.lit(k), F.lit(p.cls))])
+            rows = own.filter(F.col("prop").isin(*[k for k, _ in typed])).withColumn("cls", wanted[F.col("prop")])
+            rows = rows.join(members.withColumnRenamed("node", "value"), ["cls", "value"], "left_anti")
+            add(rows, [(is_(k), finding(F.lit(p.path), "ClassConstraintComponent", value, p.severity, p.message)) for k, p in typed])
+    closed = [i for i, shape in enumerate(shapes) if shape.closed]
+    if closed:
+        allowed = {i: [f"<{p.path}>" for p in shapes[i].properties] + ([f"<{t.TYPE}>"] if shapes[i].ignore_type else []) for i in closed}
+        rows = facts.select(F.col("s").alias("focus"), "p", F.col("o").alias("value")).join(focus.filter(F.col("shape").isin(*closed)), "focus")
+        odd = [((F.col("shape") == i) & ~F.col("p").isin(*names), finding(text(F.col("p")), "ClosedConstraintComponent", F.col("value"))) for i, names in allowed.items()]
+        add(rows, odd)
+    return reduce(DataFrame.union, out) if out else none
+
+
+# shapes as quads
+
+
+_PARTS = {
+    "min_count": "minCount", "max_count": "maxCount", "datatype": "datatype", "cls": "class", "pattern": "pattern", "message": "message", "severity": "severity",
+    "min_length": "minLength", "max_length": "maxLength", "min_inclusive": "minInclusive", "max_inclusive": "maxInclusive",
+}
+_IRIS = ("datatype", "cls", "severity")
+
+
+def save(rows: DataFrame, shape: Shape) -> DataFrame:
+    """``rows`` with the shape's quads in the shapes graph, in place of those of an earlier shape of this name."""
+    spark, node = rows.sparkSession, f"{t.BASE}shape/{shape.name}"
+    said = [(node, "iri", t.TYPE, f"<{t.SH}NodeShape>"), (node, "iri", t.SH + "targetClass", f"<{shape.target_class}>")]
+    said.append((node, "iri", t.SH + "closed", f'"{str(shape.closed).lower()}"^^<{t.XSD}boolean>'))
+    for k, p in enumerate(shape.properties):
+        part = f"{shape.name}-{k}"
+        said += [(node, "iri", t.SH + "property", f"_:{part}"), (part, "bnode", t.SH + "path", f"<{p.path}>")]
+        for name, term in _PARTS.items():
+            value = getattr(p, name)
+            if value is None:
+                continue
+            kind = "" if isinstance(value, str) else f"^^<{t.XSD}{'integer' if isinstance(value, int) else 'decimal'}>"
+            iri = f"<{t.SH}{value}>" if name == "severity" else f"<{value}>"
+            quoted = str(value).replace("\\", "\\\\").replace('"', '\\"')
+            said.append((part, "bnode", t.SH + term, iri if name in _IRIS else f'"{quoted}"{kind}'))
+    made = spark.createDataFrame(said, "s string, kind string, p string, ok string")
+    key = lambda c, kind: F.when(kind == "bnode", F.concat(F.lit("_:"), c)).otherwise(t.iri_key(c))
+    made = made.select(F.lit(t.SHAPES).alias("g"), key(F.col("s"), F.col("kind")).alias("sk"), t.iri_key(F.col("p")).alias("pk"), "ok")
+    return remove(rows, shape.name).unionByName(of_keys(made))
+
+
+def remove(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` without the quads of a shape and of its properties."""
+    own = (F.col("s") == f"{t.BASE}shape/{name}") | ((F.col("s_kind") == "bnode") & F.col("s").rlike(f"^\\Q{name}\\E-\\d+$"))
+    return rows.filter(~(F.col("g").eqNullSafe(F.lit(t.SHAPES)) & own))
+
+
+def load(rows: DataFrame) -> list[Shape]:
+    """The shapes of the shapes graph, in order of their names; shapes are few, whatever the data."""
+    found: dict[str, dict[str, list[str]]] = {}
+    for r in rows.filter(F.col("g") == t.SHAPES).select("s", "p", "o").collect():
+        found.setdefault(r["s"], {}).setdefault(r["p"].removeprefix(t.SH), []).append(r["o"])
+    out = []
+    for node, parts in sorted(found.items()):
+        if "targetClass" not in parts:
+            continue
+        props = []
+        for own in sorted(parts.get("property", []), key=lambda x: int(x.rsplit("-", 1)[1])):
+            said = {name: found[own][term][0] for name, term in _PARTS.items() if term in found[own]}
+            for name in said:
+                if name in ("min_count", "max_count", "min_length", "max_length"):
+                    said[name] = int(said[name])
+                elif name in ("min_inclusive", "max_inclusive"):
+                    said[name] = float(said[name])
+            said["severity"] = said.get("severity", t.SH + "Violation").removeprefix(t.SH)
+            props.append(Property(found[own]["path"][0], **said))
+        out.append(Shape(node.rsplit("/", 1)[1], parts["targetClass"][0], props, closed=parts.get("closed") == ["true"]))
+    return out
 
 
 def report(findings: DataFrame, shapes: list[Shape]) -> DataFrame:

@@ -81,10 +81,8 @@ SELECT a.x AS a, b.x AS b, round(sum(a.w * b.w), 6) AS score FROM w a JOIN w b O
 def near_duplicate_labels(spark, d):
     """Pairs of distinct labels (a vocabulary of names, not of rows) with similar n-grams."""
     labels = table(spark, d, "part").filter("p_name <> ''").select(F.lower("p_name").alias("iri")).distinct()
-    w = cut(R.gram_cosine(labels.withColumn("text", F.col("iri"))))
-    a, b = w.select(F.col("iri").alias("a"), "gram", F.col("weight").alias("v")), w.select(F.col("iri").alias("b"), "gram", F.col("weight").alias("u"))
-    scores = a.join(b, "gram").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("v") * F.col("u")).alias("score"))
-    return scores.filter("score > 0.5").select("a", "b", F.round("score", 6).alias("score"))
+    scores = R.similar_pairs(R.gram_cosine(labels.withColumn("text", F.col("iri"))), 0.5)
+    return scores.select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query()

@@ -274,6 +274,24 @@ def shacl_values(spark, d):
     return _findings(S.validate(_facts(spark, d), _shape(*asked)))
 
 
+@query(f"""SELECT '<{NODE}customer/' || c_custkey || '>' AS focus, '{t.ONT}acctbal' AS path, 'MinInclusiveConstraintComponent' AS constraint,
+'"' || c_acctbal::DECIMAL(20, 2)::VARCHAR || '"^^<{t.XSD}decimal>' AS value, 'Warning' AS severity, 'in debt' AS message FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT '<{NODE}customer/' || c_custkey || '>', '{t.ONT}nothing', 'MinCountConstraintComponent', NULL, 'Violation', 'MinCountConstraintComponent: nothing' FROM customer""")
+def shacl_messages(spark, d):
+    """Focus, path, value, severity and message of each finding, of a shape that was saved as quads and loaded."""
+    asked = [S.Property(t.ONT + "acctbal", min_inclusive=0.0, severity="Warning", message="in debt"), S.Property(t.ONT + "nothing", min_count=1)]
+    rows = S.save(S.save(ontology(spark), S.Shape("debt", t.ONT + "Other")), S.Shape("debt", t.ONT + "Customer", asked))
+    facts = _facts(spark, d)
+    money = F.concat(F.lit('"'), F.format_string("%.2f", A.text(F.col("o")).try_cast("double")), F.lit(f'"^^<{t.XSD}decimal>'))
+    facts = facts.withColumn("o", F.when(F.col("p") == p("acctbal"), money).otherwise(F.col("o")))
+    return S.validate(facts, S.load(rows)).select("focus", "path", "constraint", "value", "severity", "message")
+
+
+@query("SELECT c_custkey AS customer, 'HasValue' AS constraint FROM customer WHERE c_mktsegment <> 'BUILDING'")
+def shacl_has_value(spark, d):
+    return _findings(S.validate(_facts(spark, d), _shape(S.Property(t.ONT + "segment", has_value='"BUILDING"'))))
+
+
 @query("SELECT false AS conforms, 1::BIGINT AS shapes, (count(*) FILTER (c_acctbal < 0) + count(*) FILTER (c_custkey % 7 = 0))::BIGINT AS findings, count(*) FILTER (c_acctbal < 0 OR c_custkey % 7 = 0) AS nodes FROM customer")
 def shacl_report(spark, d):
     shapes = _shape(S.Property(t.ONT + "acctbal", datatype=t.XSD + "decimal"), S.Property(t.ONT + "inNation", cls=t.ONT + "Nation", severity="Warning"))
