@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +104,47 @@ def read_graphml(spark, path: str) -> tuple[DataFrame, DataFrame]:
     return n, e.dropna()
 
 
+def read_tables(spark, node_path: str, edge_path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the tables that ``node_csv`` and ``edge_csv`` make, written with a header.
+
+    Columns of the node table other than :ID, label, :LABEL and attrs are
+    attributes; rows without an id, or an edge without an end or a predicate,
+    are left out.
+    """
+    options = {"header": True, "multiLine": True, "escape": '"', "quote": '"'}
+    n, e = spark.read.csv(node_path, **options), spark.read.csv(edge_path, **options)
+    pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    own = [c for c in n.columns if c not in (":ID", "label", ":LABEL", "attrs")]
+    plain = F.filter(F.array(*[pair(F.lit(c), F.col(f"`{c}`")) for c in own]), lambda a: a["value"].isNotNull()) if own else F.array().cast("array<struct<key:string,value:string>>")
+    if "attrs" in n.columns:
+        packed = F.from_json("attrs", "array<struct<key:string,value:string>>")
+        plain = F.concat(plain, F.coalesce(packed, F.array().cast("array<struct<key:string,value:string>>")))
+    types = F.filter(F.split(F.coalesce(F.col("`:LABEL`"), F.lit("")), ";"), lambda c: c != "")
+    full = F.transform(types, lambda c: F.when(c.contains("://"), c).otherwise(F.concat(F.lit(t.ONT), c)))
+    n = n.select(F.trim(F.col("`:ID`")).alias("id"), "label", full.alias("types"), plain.alias("attrs")).filter("id <> ''")
+    ends = [F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(a) for c, a in ((":START_ID", "source"), ("predicate", "predicate"), (":END_ID", "target"))]
+    return n, e.select(*ends).dropna()
+
+
+def unpack(spark, archive: str, folder: str) -> tuple[str, str]:
+    """The two tables of a zip archive (nodes.csv, edges.csv), copied to ``folder`` in the shared store; a task copies each archive."""
+
+    def fn(batches):
+        import io
+        import zipfile
+
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    if missing := sorted({"nodes.csv", "edges.csv"} - set(z.namelist())):
+                        raise ValueError(f"the archive has no {', '.join(missing)}")
+                    yield pd.DataFrame({"name": ["nodes", "edges"], "value": [z.read(f"{n}.csv").decode("utf-8").rstrip("\r\n") for n in ("nodes", "edges")]})
+
+    tables = spark.read.format("binaryFile").load(archive).select("content").mapInPandas(fn, "name string, value string")
+    tables.write.partitionBy("name").text(folder)
+    return f"{folder}/name=nodes", f"{folder}/name=edges"
+
+
 def documents(rows: DataFrame) -> DataFrame:
     """(id, json): a JSON-LD node document for each IRI subject, values grouped by property."""
     value = F.when(F.col("o_kind") == "literal", F.to_json(F.struct(F.col("o").alias("@value"), F.when(F.col("o_lang").isNull() & (F.col("o_dt") != t.XSD + "string"), F.col("o_dt")).alias("@type"), F.col("o_lang").alias("@language"))))

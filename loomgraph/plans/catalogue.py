@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import functions, history, patterns, reasoning
+from . import exchange, functions, history, patterns, reasoning
 
-QUERIES = {**patterns.QUERIES, **functions.QUERIES, **reasoning.QUERIES, **history.QUERIES}
-SQL = {**patterns.SQL, **functions.SQL, **reasoning.SQL, **history.SQL}
+QUERIES = {**patterns.QUERIES, **functions.QUERIES, **reasoning.QUERIES, **history.QUERIES, **exchange.QUERIES}
+SQL = {**patterns.SQL, **functions.SQL, **reasoning.SQL, **history.SQL, **exchange.SQL}
