@@ -1,12 +1,13 @@
 """Exact top-k search on an impact-ordered index (operator 1).
 
 A vector is a document whose terms are its dimensions: component x becomes the
-integer floor(64 * x), the quantised impact of the vector on that dimension.
-Rows are dealt to blocks, and the index of a block is built once and written to
-the shared folder: for each impact and dimension the list of the block's rows
-that have it (a posting segment), segments in order of descending magnitude of
-the impact, and for some places in that order the length of what is left of each
-vector.
+integer floor(64 * x), the impact of the vector on that dimension.  Impacts are
+quantised by magnitude to 8 levels with about equal numbers of postings.  Rows
+are dealt to blocks, and the index of a block is built once and written to the
+shared folder: for each level and dimension the list of the block's rows whose
+impact has that level, with the impacts (a posting segment), segments in order
+of descending level, and for some levels the length of what is left of each
+vector below it.
 
 A batch of queries walks the segments of a block, largest impacts first, and
 adds impact times query component to the accumulators of the rows listed;
@@ -35,12 +36,16 @@ SCALE, K, EVERY = 64, 20, 20
 #: Queries and rows of a group; a row's place in its block must fit 16 bits.
 QUERY_BLOCK, BLOCK = 8192, 8192
 BATCH = 64
-#: Shares of all postings after which the bounds are tried, in order of impact.
-STOPS = (0.6, 0.85, 0.95, 1.0)
+LEVELS = 8
+#: Levels after which the bounds are tried.
+STOPS = (6, 7, 8)
+#: What the sums of single precision may be off, as a share of the lengths of both vectors.
+ROUND = 1e-5
 #: Rescoring starts when this share of a block's rows is still possible.
 FEW = 0.05
-#: vectors, segments (impact, dimension, end of its list), lists and rests of a block.
-_INDEX = "j int, width int, vec_id binary, vectors binary, segments binary, lists binary, rests binary"
+PROBE = 8
+#: Vectors, segments (level from the highest, dimension, end of its list), lists of rows, their impacts, and rests of a block.
+_INDEX = "j int, width int, vec_id binary, vectors binary, segments binary, lists binary, impacts binary, rests binary"
 
 
 def _matrix(t: pa.Table) -> np.ndarray:
@@ -59,28 +64,25 @@ def _build(t: pa.Table) -> pa.Table:
     ids, x = ids[order], x[order]
     row, dim = np.nonzero(x)
     impact = x[row, dim]
-    by = np.lexsort((row, dim, impact, -np.abs(impact)))
-    row, dim, impact = row[by], dim[by], impact[by]
-    last = np.flatnonzero(np.concatenate([(dim[1:] != dim[:-1]) | (impact[1:] != impact[:-1]), [True]])) if len(row) else np.zeros(0, int)
-    segments = np.stack([impact[last], dim[last], last + 1]) if len(last) else np.zeros((3, 0))
+    size = np.abs(impact)
+    edges = np.sort(size)[(np.arange(1, LEVELS) * len(size)) // LEVELS] if len(size) else np.zeros(LEVELS - 1)
+    level = LEVELS - 1 - np.searchsorted(edges, size, side="right")  # 0 is the highest
+    by = np.lexsort((row, dim, level))
+    row, dim, impact, level = row[by], dim[by], impact[by], level[by]
+    last = np.flatnonzero(np.concatenate([(dim[1:] != dim[:-1]) | (level[1:] != level[:-1]), [True]])) if len(row) else np.zeros(0, int)
     rests = []
-    for end in _stops(segments[2]):
-        done = np.zeros(len(ids))
-        np.add.at(done, row[:end], impact[:end] ** 2)
-        rests.append(np.sqrt(np.maximum((x**2).sum(axis=1) - done, 0)) * (1 + 1e-9))
-    cells = [ids.astype("<i8"), x.astype("<f8"), segments.astype("<f8"), row.astype("<u2"), np.array(rests, dtype="<f8")]
+    for stop in STOPS:
+        left = np.zeros(len(ids))
+        np.add.at(left, row[level >= stop], impact[level >= stop] ** 2)
+        rests.append(np.sqrt(left) + ROUND * np.sqrt((x**2).sum(axis=1)))
+    cells = [ids.astype("<i8"), x.astype("<f8"), np.stack([level[last], dim[last], last + 1]).astype("<i8"), row.astype("<u2"), impact.astype("<f4"), np.array(rests, "<f8")]
+    names = ("vec_id", "vectors", "segments", "lists", "impacts", "rests")
     return pa.table(
         {"j": pa.array([t.column("j")[0].as_py()], pa.int32()), "width": pa.array([x.shape[1]], pa.int32())}
-        | {name: pa.array([c.tobytes()], pa.binary()) for name, c in zip(("vec_id", "vectors", "segments", "lists", "rests"), cells, strict=True)}
+        | {name: pa.array([c.tobytes()], pa.binary()) for name, c in zip(names, cells, strict=True)}
     )
 
 
-def _stops(ends: np.ndarray) -> list[int]:
-    """Ends of the segments at which the bounds are tried."""
-    total = int(ends[-1]) if len(ends) else 0
-    return [int(ends[np.searchsorted(ends, share * total)]) for share in STOPS] if total else [0]
-
-
 class ImpactIndex:
     """A block's index as it was written."""
 
@@ -89,29 +91,39 @@ class ImpactIndex:
         self.ids = read("vec_id", "<i8")
         n = len(self.ids)
         self.vectors = read("vectors", "<f8").reshape(n, t.column("width")[0].as_py())
-        self.impacts, dims, ends = read("segments", "<f8").reshape(3, -1)
-        self.dims, self.ends = dims.astype(np.int64), ends.astype(np.int64)
-        self.lists = read("lists", "<u2")
-        self.rests = dict(zip(_stops(self.ends), read("rests", "<f8").reshape(-1, n), strict=False))
+        self.segments = read("segments", "<i8").reshape(3, -1)
+        self.lists, self.impacts = read("lists", "<u2").astype(np.intp), read("impacts", "<f4")
+        self.rests = read("rests", "<f8").reshape(len(STOPS), n)
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[np.ndarray]:
         """Per query the rows that may be among its best k, never those with ``own`` (query x row)."""
-        n = len(self.vectors)
-        scores = np.zeros((n, len(queries)))
-        length = np.sqrt((queries**2).sum(axis=1))
-        used = (queries != 0).any(axis=0)
-        possible, begin = ~own, 0
-        for impact, dim, end in zip(self.impacts.tolist(), self.dims.tolist(), self.ends.tolist(), strict=True):
-            if dim < len(used) and used[dim]:
-                scores[self.lists[begin:end]] += impact * queries[:, dim]
-            begin = end
-            if end in self.rests:
-                slack = length[:, None] * self.rests[end][None, :]
-                low = np.where(own, -np.inf, scores.T - slack)
-                threshold = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(queries), -np.inf)
-                possible = (scores.T + slack + 1e-6 >= threshold[:, None]) & ~own
-                if possible.sum() <= FEW * possible.size:
+        n, length = len(self.vectors), np.sqrt((queries**2).sum(axis=1))
+        scores = np.zeros((n, len(queries)), dtype=np.float32)
+        parts = np.ascontiguousarray(queries.T, dtype=np.float32)
+        used = parts.any(axis=1).tolist()
+        levels, dims, ends = self.segments
+        begin, at, possible = 0, 0, ~own
+        for stop, rest in zip(STOPS, self.rests, strict=True):
+            upto = int(np.searchsorted(levels, stop))
+            for dim, end in zip(dims[at:upto].tolist(), ends[at:upto].tolist(), strict=True):
+                if dim < len(used) and used[dim]:
+                    rows = self.lists[begin:end]
+                    more = np.multiply.outer(self.impacts[begin:end], parts[dim])
+                    more += scores.take(rows, axis=0)
+                    scores[rows] = more
+                begin = end
+            at = upto
+            # a few queries tell whether the bounds are worth trying on the whole batch
+            for part in (slice(0, PROBE), slice(None)):
+                slack, known = length[part, None] * rest[None, :], scores.T[part].astype(np.float64)
+                low = np.where(own[part], -np.inf, known - slack)
+                threshold = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(low), -np.inf)
+                possible = (known + slack + 1e-6 >= threshold[:, None]) & ~own[part]
+                few = possible.sum() <= FEW * possible.size
+                if not few and stop < LEVELS:
                     break
+            if few:
+                break
         return [np.flatnonzero(p) for p in possible]
 
 
