@@ -136,17 +136,18 @@ def _around(rows: pa.Table, others: pa.Table | None) -> pa.Table:
     return _answer(ids, copies, linked)
 
 
-def _at_home(posted: DataFrame) -> DataFrame:
+def _at_home(posted: DataFrame, tables: Tables) -> DataFrame:
     """Compare the vectors at home at each pivot with each other and with those that visit it.
 
     Both are dealt to blocks, first those at home; each pair of blocks of which
     one is at home is a group, so no group outgrows two blocks and visitors are
     not compared with each other.
     """
-    key = ["label", "pivot"]
-    posted = posted.withColumn("own_home_", F.col("home") == F.col("pivot"))
+    key = ["list"]
+    posted = posted.withColumn("own_home_", F.col("home") == F.col("pivot")).withColumn("list", F.xxhash64("label", "pivot")).drop("label", "pivot")
     counts = posted.groupBy(*key).agg(F.count_if("own_home_").alias("h_"), F.count_if(~F.col("own_home_")).alias("v_"))
-    dealt = posted.join(counts.filter("h_ > 0 and h_ + v_ > 1"), key)
+    counts = tables.cut(counts.filter("h_ > 0 and h_ + v_ > 1"), "homes")
+    dealt = lookup(posted, counts, key, "vec_id", tables)
     dealt = dealt.withColumn("hb_", F.ceil(F.col("h_") / BLOCK).cast("int")).withColumn("vb_", F.ceil(F.col("v_") / BLOCK).cast("int"))
     spread = F.xxhash64("vec_id", F.lit(7))
     own = F.when(F.col("own_home_"), F.pmod(spread, F.col("hb_"))).otherwise(F.col("hb_") + F.pmod(spread, F.greatest("vb_", F.lit(1))))
@@ -213,7 +214,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     posted = described.filter("home < 0").drop("home", "visits").withColumn("pivot", F.explode("near")).withColumn("list", F.xxhash64("label", "pivot"))
     counts = tables.cut(posted.groupBy("list").agg(F.count("*").alias("n_")).filter("n_ > 1"), "lists")
     between_open = block_pairs(lookup(posted, counts, ["list"], "vec_id", tables), "list", "vec_id", _read, _compare, _FOUND, counts, block=BLOCK)
-    found = tables.cut(between_open.union(_at_home(described.drop("near").withColumn("pivot", F.explode("visits")))), "found")
+    found = tables.cut(between_open.union(_at_home(described.drop("near").withColumn("pivot", F.explode("visits")), tables)), "found")
     comp = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), tables)
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     by_class = described.select("vec_id", "copies").join(links, "vec_id", "left").join(comp.withColumnRenamed("node", "vec_id"), "vec_id", "left")
