@@ -159,12 +159,16 @@ def test_common_sizes():
     assert (line_dedup._common(x, None) == [[len(np.intersect1d(a, b)) for b in x] for a in x]).all()
 
 
-@pytest.mark.parametrize("which", ["odd", "docs"])
-def test_byte_pairs(which, request):
+def _library():
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
-    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.mark.parametrize("which", ["odd", "docs"])
+def test_byte_pairs(which, request):
+    library = _library()
     frame = request.getfixturevalue(which).filter("doc_id is not null")
     texts = {r["doc_id"]: r["text"] or "" for r in frame.select("doc_id", "text").collect()}
     for r in byte_bpe.digests(frame).collect():
@@ -201,12 +205,36 @@ def test_languages(docs, odd):
     assert {r["doc_id"]: r["lang_pred"] for r in lang_id.identify(odd).collect()}[5] == "und"
 
 
+def _above(scores, marks):
+    """Share of pairs of a marked and an unmarked row in which the marked one has the higher score, ties half."""
+    high, low = scores[marks], scores[~marks]
+    return ((high[:, None] > low[None, :]).mean() + 0.5 * (high[:, None] == low[None, :]).mean()) if len(high) and len(low) else None
+
+
 def test_toxicity(spark, docs):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     found = toxicity.score(docs, toxicity.fit(docs, labels))
     assert found.count() == docs.count() and found.filter("score < 0 or score > 1 or predicted <> int(score >= 0.5)").isEmpty()
 
 
+def test_toxicity_of_rows_that_were_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    found = toxicity.score(docs, toxicity.fit(docs, labels)).filter("held_out").join(labels.select("doc_id", "toxic"), "doc_id").toPandas()
+    toxic = found["toxic"].to_numpy() == 1
+    assert toxic.sum() > 20 and _above(found["score"].to_numpy(), toxic) > 0.9
+    assert found["predicted"][toxic].mean() > 0.8 and found["predicted"][~toxic].mean() < 0.05
+
+
+def test_labels_that_contradict_each_other(spark, docs):
+    text = docs.filter("length(text) > 200").select("text").first()[0]
+    more = spark.createDataFrame([(10_000 + i, text) for i in range(8)], "doc_id long, text string")
+    frame = docs.select("doc_id", "text").unionByName(more)
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet").select("doc_id", "toxic")
+    labels = labels.unionByName(spark.createDataFrame([(10_000 + i, i % 2) for i in range(8)], labels.schema))
+    runs = [toxicity.score(frame, toxicity.fit(frame.repartition(n), labels.repartition(n))).orderBy("doc_id").select("doc_id", "score").collect() for n in (1, 5)]
+    assert runs[0] == runs[1]
+
+
 def test_shards(odd):
     rows = sharding.shard(odd).collect()
     assert len(rows) == odd.count() and all(r["law"] == "bytes" for r in rows)
@@ -359,6 +387,29 @@ def test_every_language_is_learned(spark):
     assert {lang for lang, _ in lang_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))} == {f"l{i}" for i in range(300)}
 
 
+def test_pipeline_against_plain_versions(spark, docs):
+    """All stages but the first, whose network has no plain version, one after another by hand."""
+    import duckdb
+
+    import corpus_pipeline
+
+    read = dict(corpus_pipeline.STAGES)["language"](spark, docs, FOLDER).toPandas()
+    rows = list(zip(read["doc_id"].tolist(), read["text"].tolist(), strict=True))
+    lines = _kept_lines(rows)
+    texts = {i: new for i, (new, n, kept) in lines.items() if n == kept or any(_line(x) for x in new.split("\n"))}
+    _, root = _near(list(texts.items()))
+    left = [(i, texts[i], s) for i, s in zip(read["doc_id"].tolist(), read["source"].tolist(), strict=True) if i in texts and root.get(i, i) == i]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?, ?)", left)
+    taken = {i: (n // size if size else 0) for i, size, n in db.execute(f"SELECT doc_id, size, taken FROM ({mixing.SQL})").fetchall()}
+    library, want = _library(), []
+    for i, text, _ in left:
+        ids = library.encode_ordinary(text or "")
+        want += [(i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())] * taken[i]
+    assert sorted(map(tuple, corpus_pipeline.run(spark, FOLDER).collect())) == sorted(want)
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
