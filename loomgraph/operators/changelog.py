@@ -6,6 +6,7 @@ key columns and, on inverses, inverse_of.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,27 @@ def stacks(headers: list[tuple[int, int | None]]) -> tuple[list[int], list[int]]
     return undo, redo
 
 
+def stacks_by(headers: DataFrame, by: str) -> DataFrame:
+    """(by, stack, place, seq): undo and redo stacks of each actor or project, the newest at place 0.
+
+    ``headers`` has a row for each change: ``by``, seq and inverse_of.  One
+    group's headers meet in a task, a few numbers for each of its changes.
+    """
+
+    def fn(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        inverse = [None if pd.isna(x) else int(x) for x in rows["inverse_of"]]
+        undo, redo = stacks(list(zip(rows["seq"].tolist(), inverse, strict=True)))
+        made = [(name, k, seq) for name, stack in (("undo", undo), ("redo", redo)) for k, seq in enumerate(reversed(stack))]
+        out = pd.DataFrame(made, columns=["stack", "place", "seq"])
+        out.insert(0, by, rows[by].iloc[0])
+        return out
+
+    kind = headers.schema[by].dataType.simpleString()
+    rows = headers.select(by, "seq", F.col("inverse_of").cast("double").alias("inverse_of"))
+    return rows.groupBy(by).applyInPandas(fn, f"`{by}` {kind}, stack string, place int, seq long")
+
+
 def history(log: DataFrame, limit: int = 50) -> DataFrame:
     """Newest patches with their numbers of additions and deletions."""
     rows = log.groupBy("seq").agg(F.first("actor").alias("actor"), F.count(F.when(F.col("op") == "A", 1)).alias("additions"), F.count(F.when(F.col("op") == "D", 1)).alias("deletions"))
@@ -88,15 +110,27 @@ def serialise(log: DataFrame, statement: str = "statement") -> DataFrame:
     return head.union(change).union(tail)
 
 
-def parse(lines: DataFrame) -> DataFrame:
+def parse(lines: DataFrame, strict: bool = False) -> DataFrame:
     """(seq, actor, op, statement) of patch text rows (file, line, value) in file order.
 
-    A change belongs to the last header above it in its file.
+    A change belongs to the last header above it in its file.  With ``strict`` a
+    line that is no header, change, commit or blank, a change without a header
+    and a header before the commit of the last one are errors.
     """
-    head = F.col("value").startswith("TX ")
+    value = F.col("value")
+    head, commit, change = value.startswith("TX "), value.rlike(r"^TC \.?$"), value.rlike("^[AD] ")
     seq = F.regexp_extract("value", r"^TX (\d+) ", 1).cast("long")
     actor = F.regexp_extract("value", r"^TX \d+ (.*)$", 1)
     order = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("h", F.last(F.when(head, F.struct(seq.alias("seq"), actor.alias("actor"))), ignorenulls=True).over(order))
+    header = F.when(value.rlike(r"^TX \d+ "), F.struct(seq.alias("seq"), actor.alias("actor")))
+    rows = lines.withColumn("h", F.last(header, ignorenulls=True).over(order))
+    if strict:
+        mark = F.when(head, "open").when(commit, "closed")
+        before = F.last(mark, ignorenulls=True).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
+        open_ = F.coalesce(before == "open", F.lit(False))
+        wrong = F.when(~(head | commit | change | (F.trim("value") == "")), "no line of a patch").when(head & ~value.rlike(r"^TX \d+ "), "no number in the header")
+        wrong = wrong.when(head & open_, "no commit before this header").when((change | commit) & ~open_, "no header above")
+        said = F.concat(wrong, F.lit(" in "), F.col("file").cast("string"), F.lit(", line "), F.col("line").cast("string"), F.lit(": "), value)
+        rows = rows.withColumn("value", F.when(wrong.isNotNull(), F.raise_error(said).cast("string")).otherwise(value))
     rows = rows.filter(F.col("value").rlike("^[AD] "))
     return rows.select("h.seq", "h.actor", F.substring("value", 1, 1).alias("op"), F.expr("substring(value, 3)").alias("statement"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions import terms as t
+from ..operators import changelog as C
 from ..operators import entities as N
 from ..operators import graph_edit as E
 from ..operators import snapshots
@@ -181,3 +182,16 @@ def undo_per_actor(spark, d):
     place = F.row_number().over(Window.partitionBy("actor").orderBy(F.desc("seq")))
     last = _log(spark, d).select("seq", "actor").distinct().withColumn("r", place).filter("r <= 2")
     return last.groupBy("actor").agg(F.count("*").alias("undone"), F.max("seq").alias("last"))
+
+
+@query("""WITH l AS (SELECT event_id AS seq, user_id::VARCHAR AS actor, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events),
+i AS (SELECT *, seq % 5 = 0 AND prev IS NOT NULL AND prev % 5 <> 0 AS undoes FROM l)
+SELECT actor, count(*) FILTER (NOT undoes) - count(*) FILTER (undoes) AS undo, CASE WHEN max_by(undoes, seq) THEN 1 ELSE 0 END::BIGINT AS redo FROM i GROUP BY 1""")
+def undo_redo_stacks(spark, d):
+    """Heights of every actor's stacks, where each fifth change takes the one before it back."""
+    prev = F.lag("seq").over(Window.partitionBy("actor").orderBy("seq"))
+    log = _log(spark, d).select("seq", "actor").withColumn("prev", prev)
+    log = log.withColumn("inverse_of", F.when((F.col("seq") % 5 == 0) & (F.col("prev") % 5 != 0), F.col("prev")))
+    found = C.stacks_by(log, "actor")
+    height = lambda name: F.count(F.when(F.col("stack") == name, 1)).alias(name)
+    return log.select("actor").distinct().join(found, "actor", "left").groupBy("actor").agg(height("undo"), height("redo"))

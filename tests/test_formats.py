@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scalar as S
 from loomgraph.functions import terms as t
-from loomgraph.operators import property_graph, snapshots
+from loomgraph.operators import changelog, property_graph, snapshots
 from loomgraph.sources import jsonld, turtle
 
 TURTLE = '''@prefix ex: <http://x/> . @base <http://base/> .
@@ -128,3 +128,17 @@ def test_node_and_edge_tables_in_an_archive(spark, tmp_path):
     assert rows == {
         ("http://x/a", t.LABEL, 'Ann, "A"\nB'), ("http://x/a", t.TYPE, t.ONT + "Person"), ("http://x/a", t.TYPE, t.ONT + "Other"), ("http://x/a", t.ONT + "age", "42"), ("http://x/a", "http://x/knows", "http://x/b"),
     }
+
+
+@pytest.mark.parametrize("lines", [["A k 1"], ["TX 1 ann", "A k 1", "TX 2 bob"], ["TX 1 ann", "B k 1", "TC ."], ["TX x ann", "TC ."]])
+def test_patch_text_that_is_wrong(spark, lines):
+    rows = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line int, value string")
+    with pytest.raises(Exception, match="line"):
+        changelog.parse(rows, strict=True).collect()
+    assert changelog.parse(rows).count() <= 1
+
+
+def test_patch_text(spark):
+    rows = spark.createDataFrame([("f", i, x) for i, x in enumerate(["TX 1 ann", "A k 1", "D k 2", "TC .", "", "TX 2 bob b", "A k 3", "TC ."])], "file string, line int, value string")
+    found = changelog.parse(rows, strict=True).collect()
+    assert [tuple(r) for r in sorted(found)] == [(1, "ann", "A", "k 1"), (1, "ann", "D", "k 2"), (2, "bob b", "A", "k 3")]
