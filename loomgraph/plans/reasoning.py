@@ -120,6 +120,50 @@ def class_tree(spark, d):
     return found.select(t.local_name(F.col("iri")).alias("cls"), F.array_join(F.transform("parents", t.local_name), ",").alias("parents"))
 
 
+def _brands(spark, d):
+    """A class for each brand below that of its maker, the first digit, and these below one; parts are instances of their brand."""
+    rows = table(spark, d, "part").select("p_partkey", F.regexp_extract("p_brand", r"(\d+)$", 1).alias("b"))
+    names = rows.select("b").distinct()
+    maker = F.concat(F.lit(t.ONT + "Maker"), F.substring("b", 1, 1))
+    below = t.quads(names, F.concat(F.lit(t.ONT + "Brand"), "b"), [t.iri_object(t.RDFS + "subClassOf", maker, t.ONTOLOGY)])
+    above = t.quads(names, maker, [t.iri_object(t.RDFS + "subClassOf", F.lit(t.ONT + "Anything"), t.ONTOLOGY)])
+    typed = t.quads(rows, F.concat(F.lit(f"{NODE}part/"), F.col("p_partkey").cast("string")), [t.iri_object(t.TYPE, F.concat(F.lit(t.ONT + "Brand"), "b"))])
+    return t.union(below, t.as_set(above), typed)
+
+
+_DIGITS = "regexp_extract(p_brand, '([0-9]+)$', 1)"
+
+
+@query(f"SELECT DISTINCT 'Brand' || {_DIGITS} AS cls, 'Maker' || substr({_DIGITS}, 1, 1) AS parents FROM part UNION SELECT 'Maker' || substr({_DIGITS}, 1, 1), 'Anything' FROM part")
+def class_tree_of_brands(spark, d):
+    found = E.class_parents(_brands(spark, d))
+    return found.select(t.local_name(F.col("iri")).alias("cls"), F.array_join(F.transform("parents", t.local_name), ",").alias("parents"))
+
+
+@query(f"SELECT 'Maker' || substr({_DIGITS}, 1, 1) AS maker, count(*) AS n FROM part GROUP BY 1")
+def instances_below(spark, d):
+    """Instances of each maker's class through its subclasses, by the subclass rules."""
+    rows = _brands(spark, d)
+    done = I.materialise(I.facts_of(rows), "rdfs").derivations
+    made = done.filter((F.col("p") == TYPE) & F.col("o").contains("#Maker"))
+    return made.groupBy(F.regexp_extract("o", "#(.*)>$", 1).alias("maker")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT DISTINCT 'Brand' || {_DIGITS} AS cls FROM part WHERE substr({_DIGITS}, 1, 1) = '1' UNION SELECT 'Maker1' FROM part WHERE substr({_DIGITS}, 1, 1) = '1'")
+def descendants_of_maker(spark, d):
+    rows = _brands(spark, d)
+    return E.descendants(rows, t.ONT + "Maker1").select(t.local_name(F.col("iri")).alias("cls"))
+
+
+@query("SELECT n_name AS nation, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey) AS found FROM nation")
+def ask_for_each(spark, d):
+    """ASK { ?s inNation ?n } for every nation at once."""
+    rows = kg(spark, d, "nation", "supplier")
+    asked = A.bgp(rows, [("?n", TYPE, p("Nation")), ("?n", LABEL, "?name")])
+    hits = A.match(kg(spark, d, "supplier"), ("?s", p("inNation"), "?n")).select("n").distinct().withColumn("hit", F.lit(True))
+    return asked.join(hits, "n", "left").select(lex("name").alias("nation"), F.coalesce("hit", F.lit(False)).alias("found"))
+
+
 @query("SELECT 'Customer' AS cls, count(*) AS n FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Nation', count(*) FROM nation")
 def instance_counts(spark, d):
     found = E.instance_counts(kg(spark, d, "customer", "supplier", "nation"))
