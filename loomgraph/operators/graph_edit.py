@@ -71,6 +71,11 @@ def clear(rows: DataFrame, graph: str | None = None, named: bool = False) -> Dat
     return rows.filter(F.col("g").isNotNull()) if graph is None else rows.filter(~F.col("g").eqNullSafe(F.lit(graph)))
 
 
+def replace_graph(rows: DataFrame, graph: str, made: DataFrame) -> DataFrame:
+    """``rows`` with the quads of ``made`` as the whole of one graph."""
+    return clear(rows, graph).unionByName(t.as_set(made.withColumn("g", F.lit(graph))))
+
+
 def copy_graph(rows: DataFrame, source: str, target: str, add: bool = False, move: bool = False) -> DataFrame:
     """COPY, ADD (keeps the target's quads) and MOVE (drops the source's)."""
     copied = rows.filter(F.col("g") == source).withColumn("g", F.lit(target))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as t
 from ..storage import Growing, Tables
+from .algebra import text
 
 _TYPE, _SUB, _SUBP = t.TYPE, t.RDFS + "subClassOf", t.RDFS + "subPropertyOf"
 _SAME = t.OWL + "sameAs"
@@ -174,6 +175,21 @@ def explain(derivations: DataFrame, s: str, p: str, o: str) -> DataFrame:
     return derivations.filter((F.col("s") == s) & (F.col("p") == p) & (F.col("o") == o))
 
 
+def explain_labelled(derivations: DataFrame, rows: DataFrame) -> DataFrame:
+    """(s, p, o, rule, premises): each derivation with its premises in words, by the labels in ``rows``."""
+    names = t.labels(rows).select(t.iri_key(F.col("s")).alias("key"), "label")
+    parts = derivations.select("s", "p", "o", "rule", F.posexplode(F.array("f0", "f1", "f2")).alias("place", "fact")).filter("fact <> ''")
+    for k, pattern in enumerate((r"^(\S+) ", r"^\S+ (\S+) ", r"(?s)^\S+ \S+ (.*)$")):
+        named = names.select(F.col("key").alias("k_"), F.col("label").alias("label_"))
+        key = F.regexp_extract("fact", pattern, 1)
+        parts = parts.withColumn("k_", key).join(named, "k_", "left")
+        word = F.coalesce("label_", F.when(F.col("k_").startswith("<"), t.local_name(text(F.col("k_")))).otherwise(text(F.col("k_"))))
+        parts = parts.withColumn(f"w{k}", word).drop("k_", "label_")
+    told = F.struct("place", F.concat_ws(" ", "w0", "w1", "w2").alias("words"))
+    grouped = parts.groupBy("s", "p", "o", "rule").agg(F.sort_array(F.collect_list(told)).alias("told"))
+    return grouped.select("s", "p", "o", "rule", F.transform("told", lambda x: x["words"]).alias("premises"))
+
+
 def records(derivations: DataFrame) -> DataFrame:
     """Derivations as record quads: what is stated, by which rule, from what (subject, p, text)."""
     record = F.concat(F.lit("urn:kg:derivation/"), F.substring(F.sha2(F.concat_ws(" ", "s", "p", "o"), 256), 1, 26))

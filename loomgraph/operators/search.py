@@ -15,6 +15,8 @@ from ..storage import Tables
 
 K1, B = 1.2, 0.75
 DIMENSIONS = 512
+#: Records that one page holds, at most.
+MOST = 1000
 
 
 def records(rows: DataFrame) -> DataFrame:
@@ -30,6 +32,12 @@ def records(rows: DataFrame) -> DataFrame:
     )
 
 
+def refresh(old: DataFrame, rows: DataFrame, touched: DataFrame) -> DataFrame:
+    """Records after a change: those of the subjects in ``touched`` (s) are made anew from ``rows``, the graph after it."""
+    fresh = records(rows.join(touched, "s", "left_semi").select(*rows.columns))
+    return old.join(touched.withColumnRenamed("s", "iri"), "iri", "left_anti").select(*fresh.columns).unionByName(fresh)
+
+
 def occurrences(text: Column, phrase: str) -> Column:
     """Overlapping occurrences of a phrase, both in lower case."""
     low, n = F.lower(text), len(phrase)
@@ -47,8 +55,10 @@ def search(recs: DataFrame, query: str, kind: str | None = None, cls: str | None
     """Records that hold the query in label or comment: iri, label, score.
 
     Queries of three letters and more are ranked by BM25 over letter trigrams
-    (smaller is better), shorter and empty ones listed by iri.
+    (smaller is better), shorter and empty ones listed by iri.  At most MOST
+    records are returned, whatever the limit.
     """
+    limit = min(limit, MOST)
     if limit < 0 or offset < 0:
         raise ValueError("limit and offset must not be negative")
     text = F.concat_ws("\n", "label", "comment")
@@ -106,6 +116,12 @@ def embed(texts: DataFrame) -> DataFrame:
     return counts.join(length, "iri").select("iri", "dim", (F.col("n") / F.col("len")).cast("float").alias("weight"))
 
 
+def refresh_vectors(old: DataFrame, texts: DataFrame, touched: DataFrame) -> DataFrame:
+    """Vectors after a change: those of ``touched`` (iri) are embedded anew from ``texts`` (iri, text), gone if they have none."""
+    kept = old.join(touched, "iri", "left_anti").select("iri", "dim", "weight")
+    return kept.unionByName(embed(texts.join(touched, "iri", "left_semi")))
+
+
 def similar(vectors: DataFrame, query: DataFrame, limit: int = 10, least: float = 0.0) -> DataFrame:
     """(iri, score) of the vectors nearest to the query's (dim, weight), by cosine."""
     products = vectors.join(F.broadcast(query.select("dim", F.col("weight").alias("q"))), "dim")

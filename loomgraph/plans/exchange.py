@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions import terms as t
+from ..operators import algebra as A
 from ..operators import changelog as C
 from ..operators import entities as N
 from ..operators import graph_edit as E
+from ..operators import inference as I
+from ..operators import search as R
 from ..operators import snapshots
-from ..sources import jsonld, turtle
+from ..sources import jsonld, turtle, vocabulary
 from ..storage import shared_dir
 from .graph import kg, node, ontology, p, table
 from .history import _LOG, _log
@@ -195,3 +198,37 @@ def undo_redo_stacks(spark, d):
     found = C.stacks_by(log, "actor")
     height = lambda name: F.count(F.when(F.col("stack") == name, 1)).alias(name)
     return log.select("actor").distinct().join(found, "actor", "left").groupBy("actor").agg(height("undo"), height("redo"))
+
+
+@query("SELECT 'nations' AS name, (count(*) * 4)::BIGINT AS n FROM nation UNION ALL SELECT 'regions', (count(*) * 3)::BIGINT FROM region")
+def vocabulary_load(spark, d):
+    folder = _folder(spark, "vocabularies")
+    turtle.write(kg(spark, d, "nation"), f"{folder}/nations.ttl")
+    turtle.write(kg(spark, d, "region"), f"{folder}/regions.ttl")
+    return vocabulary.loaded(vocabulary.load(spark, folder, ["nations", "regions"]))
+
+
+@query(f"SELECT '{NODE}part/' || p_partkey AS iri, CASE WHEN p_partkey % 10 = 0 THEN 'renamed ' || p_partkey ELSE p_name END AS label FROM part WHERE p_partkey % 50 <> 0")
+def search_upkeep(spark, d):
+    """Records of all parts after some were renamed and others deleted, made anew for these only."""
+    rows = kg(spark, d, "part")
+    key = F.regexp_extract("s", r"(\d+)$", 1)
+    label = (F.col("p") == t.LABEL) & (key.cast("long") % 10 == 0)
+    after = rows.filter(key.cast("long") % 50 != 0).withColumn("o", F.when(label, F.concat(F.lit("renamed "), key)).otherwise(F.col("o")))
+    touched = rows.filter(label).select("s").distinct()
+    return R.refresh(R.records(rows), after, touched).select("iri", "label")
+
+
+@query(f"SELECT '<{NODE}customer/' || c_custkey || '>' AS s, c_name || ' type Customer' AS first, 'Customer subClassOf Party' AS second FROM customer")
+def explain_labels(spark, d):
+    rows = kg(spark, d, "customer").unionByName(ontology(spark))
+    done = I.materialise(I.facts_of(rows), "rdfs").derivations
+    mine = done.filter((F.col("p") == f"<{t.TYPE}>") & (F.col("o") == p("Party")) & (F.col("rule") == "subclass-instance"))
+    return I.explain_labelled(mine, rows).select("s", F.col("premises")[0].alias("first"), F.col("premises")[1].alias("second"))
+
+
+@query("SELECT 'urn:kg:data' AS g, (SELECT count(*) FROM region) * 3 AS n UNION ALL SELECT 'urn:kg:copy', (SELECT count(*) FROM nation) * 4")
+def graph_replace(spark, d):
+    rows = kg(spark, d, "region")
+    rows = E.replace_graph(rows, "urn:kg:copy", kg(spark, d, "supplier"))
+    return A.counts(E.replace_graph(rows, "urn:kg:copy", kg(spark, d, "nation")))
