@@ -16,7 +16,7 @@ from ..operators import graph_edit as E
 from ..operators import inference as I
 from ..operators import search as R
 from ..operators import snapshots
-from ..sources import jsonld, turtle, vocabulary
+from ..sources import jsonld, rdfxml, turtle, vocabulary
 from ..storage import shared_dir
 from .graph import kg, node, ontology, p, table
 from .history import _LOG, _log
@@ -71,6 +71,13 @@ def trig_roundtrip(spark, d):
     return rows.groupBy("g", F.col("o").alias("priority")).agg(F.count("*").alias("n"))
 
 
+@query(_NATIONS)
+def rdfxml_roundtrip(spark, d):
+    folder = _folder(spark, "rdfxml")
+    rdfxml.write(kg(spark, d, "nation"), folder)
+    return _keys(rdfxml.read(spark, folder))
+
+
 @query(_NATIONS)
 def jsonld_roundtrip(spark, d):
     return _keys(jsonld.parse(jsonld.lines(kg(spark, d, "nation"))))

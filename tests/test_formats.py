@@ -58,6 +58,31 @@ def test_turtle_errors(spark, tmp_path, text):
         turtle.read(spark, _write(tmp_path, "bad.ttl", text)).collect()
 
 
+XML = """<?xml version="1.0"?>
+<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:x="http://x/" xml:base="http://base/">
+  <x:Person rdf:about="http://x/a" x:nick="A&amp;B" xml:lang="en">
+    <x:name>Ann</x:name><x:age rdf:datatype="http://www.w3.org/2001/XMLSchema#integer">42</x:age>
+    <x:knows rdf:resource="rel"/><x:knows><rdf:Description rdf:nodeID="b"><x:name xml:lang="de">B</x:name></rdf:Description></x:knows>
+    <x:address rdf:parseType="Resource"><x:city>Tokyo</x:city></x:address>
+    <x:items rdf:parseType="Collection"><rdf:Description rdf:about="http://x/i"/></x:items>
+  </x:Person>
+  <rdf:Seq rdf:ID="s"><rdf:li>one</rdf:li><rdf:li rdf:nodeID="b"/></rdf:Seq>
+</rdf:RDF>"""
+
+
+def test_rdfxml(spark, tmp_path):
+    from loomgraph.sources import rdfxml
+
+    rows = rdfxml.read(spark, _write(tmp_path, "a.rdf", XML))
+    said = {(r["s"], r["p"].rsplit("/", 1)[-1], r["o_key"]) for r in rows.collect() if r["s_kind"] == "iri"}
+    a = "http://x/a"
+    assert {(a, "nick", '"A&B"@en'), (a, "name", '"Ann"@en'), (a, "age", f'"42"^^<{t.XSD}integer>'), (a, "knows", "<http://base/rel>"), (a, "22-rdf-syntax-ns#type", "<http://x/Person>")} <= said
+    assert ("http://base/#s", "22-rdf-syntax-ns#_1", '"one"') in said and rows.filter("s_kind = 'bnode'").count() == 4
+    rdfxml.write(rows, str(tmp_path / "out"))
+    again = rdfxml.read(spark, str(tmp_path / "out"))
+    assert again.filter("s_kind = 'iri' and o_kind <> 'bnode'").select("s", "p", "o_key").exceptAll(rows.select("s", "p", "o_key")).isEmpty() and again.count() == rows.count()
+
+
 def test_jsonld(spark):
     rows = [
         '{"@id":"ex:a","@type":["ex:T"],"rdfs:label":[{"@value":"x","@language":"EN"},{"@value":"1","@type":"xsd:integer"}],"ex:n":[1,true,"t",2.5],"ex:to":{"@id":"_:b"}}',
