@@ -72,7 +72,7 @@ def _shingles(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every line with its node and the number of lines of its text; the first line of a batch with a node also has its bands."""
-    for batch in slices(batches, "text", 1 << 20):
+    for batch in slices(batches, "text", 1 << 18):
         cp, text, number, first, last = _lines(batch.column("text"))
         sums, of = A.prefix_sums(cp), np.bincount(text, minlength=1)[text]
         for i in range(0, len(first), MANY):
@@ -112,7 +112,7 @@ def _line_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of which the lines x and y are linked; each line of a slice is hashed once."""
-    for batch in slices(batches, "x", 1 << 21):
+    for batch in slices(batches, "x", 1 << 18):
         n = batch.num_rows
         lines = pa.concat_arrays([batch.column("x"), batch.column("y")]).dictionary_encode()
         places, begin = _line_sets(lines.dictionary)
@@ -195,7 +195,7 @@ def _across(prepared, one: np.ndarray, two: np.ndarray | None) -> tuple[np.ndarr
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "text", 1 << 20):
         texts, totals, stay, solid = [], [], [], []
         for text, kept in zip(batch.column("text").to_pylist(), batch.column("kept_").to_pylist(), strict=True):
             lines, kept = text.split("\n"), set(kept or ())

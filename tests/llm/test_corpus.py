@@ -382,6 +382,22 @@ def test_stages_with_clashing_columns(spark, docs, odd, name):
     assert stage(spark, wide.limit(0), FOLDER).count() == 0
 
 
+def test_very_long_texts(spark):
+    """A text of three megabytes, in one line and in many, beside short ones."""
+    words = " ".join(f"w{i * 7919 % 9973}" for i in range(480_000))
+    many = "\n".join(words[i : i + 60] for i in range(0, len(words), 60))
+    rows = [(1, words, "en", "s"), (2, many, "en", "s"), (3, words + " and more", "en", "s"), (4, "short text", "en", "t"), (5, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    root = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame).collect()}
+    assert root[1] == root[3] == 1 and root[4] == 4
+    lines = {r["doc_id"]: r for r in line_dedup.dedup_lines(frame).collect()}
+    assert lines[1]["n_kept"] == 1 and lines[3]["n_kept"] == 0 and lines[2]["n_lines"] == many.count("\n") + 1
+    for fn in (lang_id.identify, byte_bpe.digests, sharding.shard, mixing.mix):
+        assert fn(frame).count() == 5
+    assert byte_bpe.digests(frame).filter("doc_id = 1").first()["decoded_sha256"] == hashlib.sha256(words.encode()).hexdigest()
+    assert toxicity.score(frame, None).count() == 5
+
+
 def test_every_language_is_learned(spark):
     rows = [(i, f"{chr(0x4E00 + 3 * (i % 300))} " * 40, f"l{i % 300}") for i in range(6000)]
     assert {lang for lang, _ in lang_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))} == {f"l{i}" for i in range(300)}
