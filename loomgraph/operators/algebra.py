@@ -8,6 +8,7 @@ a variable, any other one a key such as ``<iri>`` or ``"text"``.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -102,6 +103,7 @@ def join(a: DataFrame, b: DataFrame, unbound: tuple[str, ...] = ()) -> DataFrame
     either side; an unbound variable is compatible with anything."""
     shared = _shared(a, b)
     if not shared:
+        warnings.warn("patterns without a shared variable: every pair of solutions is formed", stacklevel=2)
         return a.crossJoin(b)
     if not unbound:
         return a.join(b, shared)

@@ -127,10 +127,11 @@ def entity_create(spark, d):
     new = N.new_iri("Neuland", "nation")
     rows = N.create(rows, new, "Neuland", [t.ONT + "Nation"], values={t.ONT + "inRegion": f"<{node('region', 0)}>"}, lang="de")
     rows = N.patch(rows, new, add={t.ONT + "inRegion": f"<{node('region', 1)}>"}, remove={t.ONT + "inRegion": f"<{node('region', 0)}>"})
-    own = N.with_labels(rows.filter(F.col("s") == new), rows)
-    one = own.agg(F.max(F.when(F.col("p") == t.LABEL, F.col("o"))).alias("label"), F.max(F.when(F.col("p") == t.ONT + "inRegion", F.col("o_label"))).alias("region"))
-    n = rows.filter((F.col("p") == t.TYPE) & (F.col("o") == t.ONT + "Nation")).agg(F.count("*").alias("nations"))
-    return one.crossJoin(n)  # one row each
+    own = F.col("s") == new
+    return N.with_labels(rows, rows).agg(
+        F.max(F.when(own & (F.col("p") == t.LABEL), F.col("o"))).alias("label"), F.max(F.when(own & (F.col("p") == t.ONT + "inRegion"), F.col("o_label"))).alias("region"),
+        F.count(F.when((F.col("p") == t.TYPE) & (F.col("o") == t.ONT + "Nation"), 1)).alias("nations"),
+    )
 
 
 @query(f"SELECT '{NODE}nation/' || n_nationkey AS s, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
