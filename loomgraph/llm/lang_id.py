@@ -27,6 +27,8 @@ WINDOW, EMBED, WIDTHS, FILTERS = 256, 6, (2, 3, 4), 12
 #: Training uses at most so many windows of each language, and of all together; no language is left out.
 SAMPLE_WINDOWS, SAMPLE_ALL = 1500, 300_000
 UNKNOWN = "und"
+#: Windows that are classified together.
+AT_ONCE = 1024
 WIDE = max(WIDTHS)
 
 
@@ -64,18 +66,22 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def as_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Zero-padded windows of all texts, the text of each and its number of bytes."""
+def spans(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and number of bytes of each window of all texts, and its text."""
     lengths = np.diff(offsets)
     per = -(-lengths // WINDOW)
     text = np.repeat(np.arange(len(lengths)), per)
     first = np.cumsum(per) - per
     start = offsets[:-1][text] + (np.arange(len(text)) - first[text]) * WINDOW
-    size = np.minimum(offsets[1:][text] - start, WINDOW)
+    return start, np.minimum(offsets[1:][text] - start, WINDOW), text
+
+
+def as_windows(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Zero-padded windows."""
     column = np.arange(WINDOW)
-    windows = data[np.minimum(start[:, None] + column, max(len(data) - 1, 0))] if len(text) else np.zeros((0, WINDOW), np.uint8)
+    windows = data[np.minimum(start[:, None] + column, max(len(data) - 1, 0))] if len(start) else np.zeros((0, WINDOW), np.uint8)
     windows[column >= size[:, None]] = 0
-    return windows, text, size
+    return windows
 
 
 def train(samples: list[tuple[str, str]], epochs: int = 6, seed: int = 5) -> Network:
@@ -84,7 +90,8 @@ def train(samples: list[tuple[str, str]], epochs: int = 6, seed: int = 5) -> Net
     langs = sorted({lang for lang, _ in samples})
     raw = [text.encode()[:WINDOW] for _, text in samples]
     flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    windows, _, _ = as_windows(flat, np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]).astype(np.int64))
+    start, size, _ = spans(np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]).astype(np.int64))
+    windows = as_windows(flat, start, size)
     y = np.searchsorted(langs, [lang for lang, _ in samples])
     mask = np.concatenate([np.repeat((np.arange(WIDE) < w).repeat(EMBED)[:, None], FILTERS, axis=1) for w in WIDTHS], axis=1)
     k = mask.shape[1]
@@ -168,15 +175,17 @@ def predict(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
     fields = docs.select(*keep).schema.fields
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text_"):
+        for batch in slices(batches, "text_", 1 << 19):
             data, offsets, _ = A.flat(batch.column("text_"))
             n = batch.num_rows
             known = batch.column("letters_").to_numpy(zero_copy_only=False).astype(bool) & (net is not None)
             lang, score = np.full(n, UNKNOWN, dtype=object), np.zeros(n)
             if net is not None:
-                windows, text, size = as_windows(data, offsets)
+                start, size, text = spans(offsets)
                 total = np.zeros((n, len(net.langs)))
-                np.add.at(total, text, net.probabilities(windows) * size[:, None])
+                for i in range(0, len(start), AT_ONCE):
+                    part = slice(i, i + AT_ONCE)
+                    np.add.at(total, text[part], net.probabilities(as_windows(data, start[part], size[part])) * size[part, None])
                 total /= np.maximum(np.diff(offsets), 1)[:, None]
                 best = total.argmax(axis=1)
                 lang[known] = np.array(net.langs, dtype=object)[best[known]]
