@@ -142,3 +142,28 @@ def test_search_limits_and_short_queries(spark):
     assert [r["iri"] for r in search.search(recs, "ky").collect()] == ["i", "j"]
     assert [r["iri"] for r in search.search(recs, "kyo").collect()] == ["i", "j"]
     assert search.search(recs, '"((').count() == 0
+
+
+def test_no_local_folder_on_a_cluster(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from loomgraph.storage import Growing, Tables, shared_dir
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(far)
+    grown = Growing(Tables(spark, "test"), "n", spark.range(1).schema)
+    assert grown.add(spark.range(3)).count() == 3 and grown.add(spark.range(0)).isEmpty() and grown.read().count() == 3
+
+
+def test_paths_of_length_zero_and_given_terms(spark):
+    from loomgraph.operators import paths
+
+    rows = spark.createDataFrame([("a", "b"), ("b", "c")], "x string, y string")
+    rows = t.quads(rows, F.concat(F.lit("urn:"), "x"), [t.iri_object("urn:p", F.concat(F.lit("urn:"), "y"))])
+    step = paths.link("urn:p")
+    found = lambda path, start="?x", end="?y": {tuple(r) for r in paths.match(rows, start, path, end).collect()}
+    assert found(paths.maybe(step)) == {(f"<urn:{x}>", f"<urn:{y}>") for x, y in ("aa", "bb", "cc", "ab", "bc")}
+    assert found(paths.star(step, given=("<urn:z>",)), "<urn:z>") == {("<urn:z>",)}
+    assert found(paths.plus(step), "<urn:a>") == {("<urn:b>",), ("<urn:c>",)} and found(paths.inverse(step), "<urn:b>") == {("<urn:a>",)}
+    assert found(paths.seq(step, step)) == {("<urn:a>", "<urn:c>")} and found(paths.negated("urn:p")) == set()
