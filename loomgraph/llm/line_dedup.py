@@ -221,9 +221,9 @@ def keepers(docs: DataFrame, tables: Tables) -> DataFrame:
     lines = tables.cut(docs.mapInArrow(_describe, "doc_id long, version long, line int, of int, node long, bands array<long>"), "lines")
     first = tables.cut(lines.groupBy("node").agg(F.min(F.struct(*own, "line")).alias("place")).select("node", "place.*"), "first")
     bands = lines.select("node", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center < last")
+    shared = bands.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("last"), F.count("*").alias("n_")).filter("center < last")
     shared = tables.cut(shared.drop("last"), "shared")
-    buckets = tables.cut(lookup(bands, shared, ["band"], "node", tables).distinct(), "buckets")
+    buckets = tables.cut(lookup(bands, shared, ["band"], "node", tables).drop("n_").distinct(), "buckets")
     totals = tables.cut(lines.groupBy(*own).agg(F.max("of").alias("n_")), "totals")
     tables.drop(lines)
     stars = tables.cut(buckets.filter("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "stars")

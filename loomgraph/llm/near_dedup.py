@@ -171,9 +171,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = lookup(linked.select(*own, "n_shingles", "bands", "sketch"), classes.select(*own, "node"), own, "version", tables)
 
     bands = reps.select("node", F.posexplode("bands").alias("number", "band"))
-    shared = bands.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center < last")
+    shared = bands.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("last"), F.count("*").alias("n_")).filter("center < last")
     shared = tables.cut(shared.drop("last"), "shared")
-    buckets = tables.cut(lookup(bands, shared, ["band"], "node", tables).distinct(), "buckets")
+    buckets = tables.cut(lookup(bands, shared, ["band"], "node", tables).drop("n_").distinct(), "buckets")
     tested = tables.cut(buckets.filter("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "stars")
 
     def sets_of(nodes: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import byte_bpe, lang_id, line_dedup, mixing, near_dedup, queries, sharding, token_files, topk, toxicity, vector_dedup
+from loomgraph.llm import _shared, byte_bpe, lang_id, line_dedup, mixing, near_dedup, queries, sharding, token_files, topk, toxicity, vector_dedup
 from tests.compare import differs, tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -152,6 +152,16 @@ def test_near_duplicates_with_very_many_copies(spark):
     assert all(r["component_id"] == (0 if r["doc_id"] < 5000 else root[r["doc_id"]]) for r in found)
 
 
+def test_large_tables_are_salted(spark, monkeypatch):
+    """The plans for tables that are not broadcast, and for keys with very many rows, give the same rows."""
+    rows = [(i, " ".join(f"w{k}" for k in range(30)) + f" tail{i % 40}") for i in range(200)] + [(300 + i, f"alone {i} " * 9) for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = [sorted(fn(frame).collect()) for fn in (near_dedup.near_duplicates, line_dedup.dedup_lines)]
+    monkeypatch.setattr(_shared, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(_shared, "HOT", 10)
+    assert [sorted(fn(frame).collect()) for fn in (near_dedup.near_duplicates, line_dedup.dedup_lines)] == wanted
+
+
 def test_common_sizes():
     rng = np.random.default_rng(1)
     x, y = ([np.unique(rng.integers(0, 50, 30).astype(np.uint64)) for _ in range(n)] for n in (9, 4))
