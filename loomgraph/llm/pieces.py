@@ -71,6 +71,25 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, the first place of each, and the number of each place's value.
+
+    Each value's upper bits and its place are sorted as one number; where values
+    share their upper bits only, which hashes hardly ever do, they are sorted whole.
+    """
+    bits = max(1, int(len(h) - 1).bit_length())
+    low = A.U((1 << bits) - 1)
+    order = (np.sort((h & ~low) | np.arange(len(h), dtype=A.U)) & low).astype(np.int64)
+    ordered = h[order]
+    step = ordered[1:] != ordered[:-1]
+    if (step & (((ordered[1:] ^ ordered[:-1]) & ~low) == 0)).any():
+        return np.unique(h, return_index=True, return_inverse=True)
+    begins = np.concatenate([[True], step])
+    inverse = np.empty(len(h), dtype=np.int64)
+    inverse[order] = np.cumsum(begins) - 1
+    return ordered[begins], order[begins], inverse
+
+
 class Encoder:
     """Encodes batches of texts; ``encode(data, start, end)`` encodes distinct pieces.
 
@@ -91,7 +110,7 @@ class Encoder:
         start, end = cut(data, offsets)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        keys, first, inverse = np.unique(A.span_hash(A.prefix_sums(data), start, end), return_index=True, return_inverse=True)
+        keys, first, inverse = groups(A.span_hash(A.prefix_sums(data), start, end))
         if len(self.keys) > CACHE:
             self.clear()
         spot = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))

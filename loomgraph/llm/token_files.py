@@ -26,6 +26,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -46,6 +47,8 @@ PERCENTILE = 90
 END = 2
 #: A segment is closed after the document with which it reaches so many ids.
 SEGMENT = 1 << 18
+#: Pieces that one call of the library takes as lines.
+LINES = 128
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -156,15 +159,43 @@ def _tokenizer(path: str):
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
-    """Distinct pieces go to the library once; its pre-tokenizer leaves a piece whole."""
+    """Distinct pieces go to the library once; its pre-tokenizer leaves a piece whole.
+
+    Pieces that are no white space go as lines, many to a call: a line break is a
+    piece of its own before and after them, and its id tells them apart again.
+    """
     t = _tokenizer(path)
+    ids_of = lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    flat = lambda lists, n: np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=n)
+    end = ids_of(["\n"])[0]
 
-    def encode(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw = data.tobytes()
-        pieces = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        ids = [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
+    def singly(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = ids_of(pieces)
         counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        return np.fromiter((i for x in ids for i in x), dtype=np.int64, count=int(counts.sum())), counts
+        return flat(ids, int(counts.sum())), counts
+
+    def as_lines(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = ids_of(["\n".join([*pieces[i : i + LINES], ""]) for i in range(0, len(pieces), LINES)])
+        ids = flat(lists, sum(map(len, lists)))
+        ends = np.flatnonzero(ids == end[0])
+        if len(end) != 1 or len(ends) != len(pieces):
+            return singly(pieces)
+        return ids[ids != end[0]], np.diff(ends, prepend=-1) - 1
+
+    def encode(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        pieces = [raw[a:b].decode() for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+        line = np.array([not x[-1].isspace() for x in pieces], dtype=bool)
+        counts, parts = np.zeros(len(pieces), dtype=np.int64), []
+        for own, how in ((np.flatnonzero(line), as_lines), (np.flatnonzero(~line), singly)):
+            if len(own):
+                ids, counts[own] = how([pieces[i] for i in own.tolist()])
+                parts.append((own, ids))
+        at = np.cumsum(counts) - counts
+        out = np.zeros(int(counts.sum()), dtype=np.int64)
+        for own, ids in parts:
+            out[ragged(at[own], counts[own])] = ids
+        return out, counts
 
     return Encoder(encode)
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import _shared, byte_bpe, lang_id, line_dedup, mixing, near_dedup, queries, sharding, token_files, topk, toxicity, vector_dedup
+from loomgraph.llm import _shared, byte_bpe, lang_id, line_dedup, mixing, near_dedup, pieces, queries, sharding, token_files, topk, toxicity, vector_dedup
 from tests.compare import differs, tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -200,6 +200,13 @@ def test_token_files(spark, docs, tmp_path):
         start += len(ids)
 
 
+@pytest.mark.parametrize("values", [[7], [3, 1, 3, 2, 1], [5, 4, 4 + (1 << 40), 4, 5 + (1 << 41)], [i % 3 + ((i % 5) << 60) for i in range(99)]])
+def test_groups_of_equal_values(values):
+    h = np.array(values, dtype=np.uint64)
+    for have, want in zip(pieces.groups(h), np.unique(h, return_index=True, return_inverse=True), strict=True):
+        assert (have == want).all()
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 5000])
 def test_segments(n):
     ids = np.random.default_rng(n).integers(0, 50_000, n) * (np.arange(n) % 9 > 0)
