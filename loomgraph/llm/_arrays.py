@@ -6,6 +6,8 @@ signatures are computed for the whole batch at once.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -79,6 +81,66 @@ def window_hash(sums: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+#: Bytes up to which a span is hashed together with all others, eight at a time.
+LONG = 256
+_CHAIN = U(0x9E6C63D0876A9A63)
+
+
+def blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, zeros beyond the end."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    return np.ndarray((len(data) + 8,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def _cut(block: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Blocks of which only the first ``left`` bytes count."""
+    bits = (np.minimum(left, 8) * 8).astype(U)
+    return np.where(bits == U(64), block, block & ((U(1) << (bits & U(63))) - U(1)))
+
+
+def byte_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end), each block of eight bytes mixed into what was before.
+
+    Spans of up to seven bytes have different hashes if they differ.  Spans
+    longer than LONG go through a digest of the standard library.
+    """
+    start, n = np.asarray(start, np.int64), np.asarray(end, np.int64) - np.asarray(start, np.int64)
+    at = blocks(data)
+    base = mix(np.array([seed], dtype=U) + _CHAIN)[0]
+    out = np.zeros(len(n), dtype=U)
+    short = n <= 7
+    place = start[short]
+    out[short] = mix((_cut(at[place], n[short]) | (n[short].astype(U) << U(56))) ^ base)
+    row = np.flatnonzero(~short & (n <= LONG))
+    place, left = start[row], n[row]
+    total = mix(left.astype(U) ^ base) * _CHAIN
+    while len(row):
+        total = mix((total ^ _cut(at[place], left)) * _CHAIN + base)
+        done = left <= 8
+        out[row[done]] = total[done] ^ U(0xA5A5A5A5A5A5A5A5)
+        row, place, left, total = row[~done], place[~done] + 8, left[~done] - 8, total[~done]
+    for k in np.flatnonzero(n > LONG).tolist():
+        digest = hashlib.blake2b(data[start[k] : start[k] + n[k]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest()
+        out[k] = int.from_bytes(digest, "little")
+    return out
+
+
+def same_spans(data: np.ndarray, one: np.ndarray, other: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the ``n`` bytes from ``one`` on are those from ``other`` on, in ``data``."""
+    at = blocks(data)
+    out = np.ones(len(n), dtype=bool)
+    for k in np.flatnonzero((n > LONG) & (one != other)).tolist():
+        out[k] = np.array_equal(data[one[k] : one[k] + n[k]], data[other[k] : other[k] + n[k]])
+    row = np.flatnonzero((n <= LONG) & (n > 0) & (one != other))
+    x, y, left = one[row], other[row], n[row]
+    while len(row):
+        differ = _cut(at[x], left) != _cut(at[y], left)
+        out[row[differ]] = False
+        more = ~differ & (left > 8)
+        row, x, y, left = row[more], x[more] + 8, y[more] + 8, left[more] - 8
+    return out
+
+
 def spans(keep: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of runs of kept bytes that do not cross an offset."""
     if not len(keep):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontam, lang_id, line_dedup, mixing, near_dedup, sharding, token_files, topk, toxicity, vector_dedup, word_runs
+from . import byte_bpe, collocations, decontam, lang_id, line_dedup, mixing, near_dedup, sharding, token_files, topk, toxicity, vector_dedup, word_runs
 
 QUERIES = {
     "op1_impact_topk": topk.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_byte_bpe": byte_bpe.op9,
     "op10_vector_sharding": sharding.op10,
     "op11_decontamination": decontam.op11,
+    "op12_collocations": collocations.op12,
     "op13_word_runs": word_runs.op13,
 }
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op2_source_mixing": mixing.SQL,
     "op3_pivot_vector_dedup": vector_dedup.SQL,
     "op11_decontamination": decontam.SQL,
+    "op12_collocations": collocations.SQL,
 }
