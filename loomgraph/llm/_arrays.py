@@ -58,7 +58,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial over the bytes, from which any span is hashed."""
+    """Prefix sums of a polynomial over the bytes, from which short spans are hashed.
+
+    Modulo 2**64 there are known pairs of long texts with one hash (from about
+    a thousand bytes on); spans of any length are for ``byte_hash``.
+    """
     up, _ = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=U)
     np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
@@ -125,16 +129,18 @@ def byte_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     return out
 
 
-def same_spans(data: np.ndarray, one: np.ndarray, other: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Whether the ``n`` bytes from ``one`` on are those from ``other`` on, in ``data``."""
-    at = blocks(data)
+def same_spans(data: np.ndarray, one: np.ndarray, other: np.ndarray, n: np.ndarray, there: np.ndarray | None = None) -> np.ndarray:
+    """Whether the ``n`` bytes from ``one`` on in ``data`` are those from ``other`` on in ``there`` (or in ``data``)."""
+    far = data if there is None else there
+    here, away = blocks(data), blocks(far)
     out = np.ones(len(n), dtype=bool)
-    for k in np.flatnonzero((n > LONG) & (one != other)).tolist():
-        out[k] = np.array_equal(data[one[k] : one[k] + n[k]], data[other[k] : other[k] + n[k]])
-    row = np.flatnonzero((n <= LONG) & (n > 0) & (one != other))
+    asked = (n > 0) if there is not None else (n > 0) & (one != other)
+    for k in np.flatnonzero((n > LONG) & asked).tolist():
+        out[k] = np.array_equal(data[one[k] : one[k] + n[k]], far[other[k] : other[k] + n[k]])
+    row = np.flatnonzero((n <= LONG) & asked)
     x, y, left = one[row], other[row], n[row]
     while len(row):
-        differ = _cut(at[x], left) != _cut(at[y], left)
+        differ = _cut(here[x], left) != _cut(away[y], left)
         out[row[differ]] = False
         more = ~differ & (left > 8)
         row, x, y, left = row[more], x[more] + 8, y[more] + 8, left[more] - 8
@@ -183,7 +189,7 @@ def word_sets(column: pa.Array, width: int = 5) -> list[np.ndarray]:
     start, end = spans(~BLANK[data], offsets)
     n = len(offsets) - 1
     bounds = np.searchsorted(start, offsets)
-    words = span_hash(prefix_sums(data), start, end)
+    words = byte_hash(data, start, end)
     count = np.diff(bounds)
     padded = np.concatenate([words, np.zeros(width, dtype=U)])
     total = np.zeros(len(words), dtype=U)

@@ -53,7 +53,7 @@ class Ranks:
         self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-        whole = A.span_hash(A.prefix_sums(self.bytes), self.starts, self.starts + self.lengths)
+        whole = A.byte_hash(self.bytes, self.starts, self.starts + self.lengths)
         self.whole_rank = np.argsort(whole)
         self.whole = whole[self.whole_rank]
         self._table()
@@ -191,9 +191,12 @@ def encode_pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray, r: Ranks
     A piece that is itself in the vocabulary is one id.
     """
     lengths = end - start
-    keys = A.span_hash(A.prefix_sums(data), start, end)
+    keys = A.byte_hash(data, start, end)
     spot = np.minimum(np.searchsorted(r.whole, keys), len(r.whole) - 1)
-    single = r.whole[spot] == keys
+    token = r.whole_rank[spot]
+    single = (r.whole[spot] == keys) & (r.lengths[token] == lengths)
+    own = np.flatnonzero(single)
+    single[own] = A.same_spans(data, start[own], r.starts[token[own]], lengths[own], r.bytes)
     counts = np.ones(len(start), dtype=np.int64)
     parts: list[tuple[np.ndarray, np.ndarray]] = [(np.flatnonzero(single), r.whole_rank[spot[single]])]
     for k in np.flatnonzero(~single & (lengths > MATRIX)).tolist():
@@ -259,13 +262,14 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     Ids are those of ordinary text: strings of special tokens have no special
     meaning.  Null and empty texts have no ids.  Rows are answered one by one,
-    so null or repeated doc_ids and further columns change nothing.
+    so null or repeated doc_ids and further columns change nothing; an empty
+    table gives no row.
     """
     return docs.select("doc_id", "text").mapInArrow(_arrays(path, False), "doc_id long, n_tokens long, ids binary")
 
 
 def decode_ids(frame: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """doc_id and text of rows with ``ids`` as ``encode`` returns them."""
+    """doc_id and text of rows with ``ids`` as ``encode`` returns them; null ids give a null text, an empty table no row."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = ranks(path)

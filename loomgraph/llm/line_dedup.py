@@ -7,7 +7,8 @@ confirmed by the exact Jaccard index, 0.75 or more.  Confirmed links are joined
 to components by distributed union-find, and one line of each component stays:
 the one with the smallest (doc_id, line number).
 
-Equal lines are one node (a 64-bit hash of the line) before any pair is made.
+Equal lines are one node (a 64-bit hash of the line) before any pair is made; a
+second hash tells nodes that different lines share, and these are renamed by it.
 As in near_dedup, a bucket first proposes a star around its smallest node, and
 buckets that still join different components are then compared block by block,
 so no link of a bucket is lost and no group of copies is squared.  A pair at
@@ -26,7 +27,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import _arrays as A
 from ._shared import Tables, block_pairs, boxed, components, lookup, salted, slices, small
-from .pieces import ragged
+from .pieces import groups, ragged
 
 SHINGLE, BITS, ROWS, PERCENT = 10, 5, 3, 75
 BREAK = 10
@@ -36,12 +37,13 @@ MOST_PAIRS = 4096  # pairs that one sort takes, under 1 << 16
 
 
 def _lines(column: pa.Array):
-    """Lines of a batch that are not blank: text index, number in the text, and
-    start and end in the code points of the whole batch, trimmed and in lower case."""
+    """Lines of a batch that are not blank: text index, number in the text, start and end in the code points
+    of the whole batch, trimmed and in lower case, and the bytes with start and end of each line there."""
     data, offsets, _ = A.flat(column)
     data = A.LOWER[data]
     cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
-    at = np.searchsorted(np.flatnonzero((data & 0xC0) != 0x80), offsets)
+    byte = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    at = np.searchsorted(byte[:-1], offsets)
     start, end = A.spans(cp != BREAK, at)
     text = A.owner(at, start)
     breaks = np.concatenate([[0], np.cumsum(cp == BREAK)])
@@ -51,7 +53,8 @@ def _lines(column: pa.Array):
     places = np.append(np.flatnonzero(~blank[:-1]), len(cp))
     full = solid[end] > solid[start]
     start, end, text, number = start[full], end[full], text[full], number[full]
-    return cp, text, number, places[solid[start]], places[solid[end] - 1] + 1
+    first, last = places[solid[start]], places[solid[end] - 1] + 1
+    return cp, text, number, first, last, data, byte[first], byte[last]
 
 
 def _shingles(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,13 +76,14 @@ def _shingles(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every line with its node and the number of lines of its text; the first line of a batch with a node also has its bands."""
     for batch in slices(batches, "text", 1 << 18):
-        cp, text, number, first, last = _lines(batch.column("text"))
+        cp, text, number, first, last, data, begins, ends = _lines(batch.column("text"))
         sums, of = A.prefix_sums(cp), np.bincount(text, minlength=1)[text]
         for i in range(0, len(first), MANY):
             start, end = first[i : i + MANY], last[i : i + MANY]
-            node = A.span_hash(sums, start, end)
-            fresh = np.zeros(len(node), dtype=bool)
-            fresh[np.unique(node, return_index=True)[1]] = True
+            node, check = (A.byte_hash(data, begins[i : i + MANY], ends[i : i + MANY], seed) for seed in (0, 1))
+            _, lead, of_node = groups(node)
+            fresh = check != check[lead][of_node]
+            fresh[lead] = True
             hashes, line = _shingles(sums, start[fresh], end[fresh])
             bands = A.band_hashes(A.densify(*A.bin_minima_of(hashes, line, int(fresh.sum()), BITS)), ROWS)
             width = bands.shape[1]
@@ -88,9 +92,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(own), batch.column("version").take(own), pa.array(number[i : i + MANY].astype(np.int32)), pa.array(of[i : i + MANY].astype(np.int32)),
-                    pa.array(node.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.reshape(-1).astype(np.int64))),
+                    pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.reshape(-1).astype(np.int64))),
                 ],
-                names=["doc_id", "version", "line", "of", "node", "bands"],
+                names=["doc_id", "version", "line", "of", "node", "check", "bands"],
             )
 
 
@@ -218,14 +222,23 @@ def keepers(docs: DataFrame, tables: Tables) -> DataFrame:
     """
     docs = docs.filter("doc_id is not null")
     own = ["doc_id", "version"]
-    lines = tables.cut(docs.mapInArrow(_describe, "doc_id long, version long, line int, of int, node long, bands array<long>"), "lines")
-    first = tables.cut(lines.groupBy("node").agg(F.min(F.struct(*own, "line")).alias("place")).select("node", "place.*"), "first")
-    bands = lines.select("node", F.explode("bands").alias("band"))
+    lines = tables.cut(docs.mapInArrow(_describe, "doc_id long, version long, line int, of int, node long, check long, bands array<long>"), "lines")
+    place = F.min(F.struct(*own, "line")).alias("place")
+    first = tables.cut(lines.groupBy("node").agg(place, (F.min("check") != F.max("check")).alias("clash")).select("node", "place.*", "clash"), "first")
+    clash = tables.cut(first.filter("clash").select("node", F.lit(True).alias("clash")), "clash")
+    first = first.drop("clash")
+    if not clash.isEmpty():  # different lines share a node
+        named = lookup(lines, clash, ["node"], "line", tables, "left")
+        lines = tables.cut(named.withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("clash"), "renamed")
+        first = tables.cut(lines.groupBy("node").agg(place).select("node", "place.*"), "first")
+    # a line that every slice of the table holds is a row for each of them until here
+    sketches = tables.cut(lines.filter(F.size("bands") > 0).select("node", "bands").distinct(), "sketches")
+    bands = sketches.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("last"), F.count("*").alias("n_")).filter("center < last")
     shared = tables.cut(shared.drop("last"), "shared")
     buckets = tables.cut(lookup(bands, shared, ["band"], "node", tables).drop("n_").distinct(), "buckets")
     totals = tables.cut(lines.groupBy(*own).agg(F.max("of").alias("n_")), "totals")
-    tables.drop(lines)
+    tables.drop(lines, sketches)
     stars = tables.cut(buckets.filter("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "stars")
 
     wanted = tables.cut(first.join(small(tables.cut(buckets.select("node").distinct(), "nodes")), "node"), "wanted")

@@ -11,11 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import word_count
+from . import _shared
+from ._shared import Tables, word_count
 
 SEED = "mix-1"
 WEIGHTS = (1, 2, 3)
 MOST = 3
+#: Bytes of all names of sources up to which they are sent to the tasks, and parts of a source beyond.
+NAME_BYTES, SPREAD = 16 << 20, 64
 
 
 def _draw(doc_id: Column, seed: str) -> Column:
@@ -50,6 +53,21 @@ def targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     return rows.select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
+def _join_sources(docs: DataFrame, share: DataFrame) -> DataFrame:
+    """``docs`` with the row of its source; sources that are few and of short names are sent to the tasks.
+
+    Beyond that bound the rows of a source are dealt to SPREAD parts, so a
+    source that holds a third of all rows is not one task.
+    """
+    named = share.agg(F.count("*").alias("n"), F.sum(F.octet_length("source_")).alias("bytes")).first()
+    same = F.col("source").eqNullSafe(F.col("source_"))
+    if named["n"] <= _shared.BROADCAST_ROWS and (named["bytes"] or 0) <= NAME_BYTES:
+        return docs.join(F.broadcast(share), same)
+    left = docs.withColumn("part_", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int"))
+    right = share.withColumn("part_of_", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return left.join(right, same & (F.col("part_") == F.col("part_of_"))).drop("part_", "part_of_")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """``docs`` with size, source_size, target and copies added.
 
@@ -60,8 +78,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     added = ["size", "source_size", "target", "copies"]
     docs = docs.drop(*added).withColumn("size", word_count(F.col("text")))
     sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    share = targets(sums, weights, most).withColumnRenamed("source", "source_")
-    out = docs.join(share, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
+    share = Tables(docs.sparkSession, "mix").cut(targets(sums, weights, most).withColumnRenamed("source", "source_"), "targets")
+    out = _join_sources(docs, share).drop("source_")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + F.when(_draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
     return out.withColumn("copies", copies.cast("long"))

@@ -159,16 +159,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     tables = Tables(docs.sparkSession, "near-dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
+    # equal rows under one doc_id are told apart only where they are dealt over tasks
+    docs = docs.withColumn("row_", F.monotonically_increasing_id())
     seen = docs.mapInArrow(_describe, "doc_id long, version long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary")
     seen = tables.cut(seen, "seen")
     own, same = ["doc_id", "version"], ["k1", "k2", "n_shingles"]
     repeated = not seen.groupBy(*own).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     linked = seen.filter("doc_id is not null and n_shingles > 0")
+    once = linked.dropDuplicates(own) if repeated else linked
     # a class, its number and the first document that has its set
     classes = linked.groupBy(*same).agg(F.min(F.struct(*own)).alias("rep")).select(*same, "rep.*")
     classes = tables.cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     member = tables.cut(salted(linked.select("doc_id", *same), classes.select(*same, "node"), same, "doc_id", tables).select("doc_id", "node"), "member")
-    reps = lookup(linked.select(*own, "n_shingles", "bands", "sketch"), classes.select(*own, "node"), own, "version", tables)
+    reps = lookup(once.select(*own, "n_shingles", "bands", "sketch"), classes.select(*own, "node"), own, "version", tables)
 
     bands = reps.select("node", F.posexplode("bands").alias("number", "band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("last"), F.count("*").alias("n_")).filter("center < last")
@@ -179,7 +182,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def sets_of(nodes: DataFrame) -> DataFrame:
         """Whole sets (id, words) of nodes, each once."""
         asked = tables.cut(classes.join(small(tables.cut(nodes.distinct(), "nodes")), "node").select(*own, "node"), "asked")
-        texts = lookup(docs, asked, own, "version", tables)
+        texts = lookup(docs, asked, own, "row_", tables)
         if repeated:
             texts = texts.dropDuplicates(["node"])
         return tables.cut(texts.mapInArrow(_sets, "id long, words binary"), "sets")
@@ -222,7 +225,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = tables.cut(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     placed = tables.cut(lookup(placed.select("node", "component"), least, ["component"], "node", tables).select("node", "component_id"), "placed")
     of = lookup(member, placed, ["node"], "doc_id", tables).select("doc_id", "component_id").distinct()
-    out = salted(seen.select("doc_id", "version", "n_shingles"), tables.cut(of, "of"), ["doc_id"], "version", tables, "left")
+    rows = seen.select("doc_id", "n_shingles").withColumn("row_", F.monotonically_increasing_id())
+    out = salted(rows, tables.cut(of, "of"), ["doc_id"], "row_", tables, "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id")).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -19,7 +19,7 @@ import regex
 from . import _arrays as A
 
 LETTER, DIGIT, SPACE = 1, 2, 3
-CACHE = 400_000
+CACHE, CACHE_BYTES = 400_000, 32 << 20
 
 
 @lru_cache(maxsize=1)
@@ -102,7 +102,8 @@ class Encoder:
 
     def clear(self) -> None:
         self.keys, self.at, self.n = np.zeros(0, A.U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        self.place, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.text = np.zeros(0, np.int32), np.zeros(0, np.uint8)
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of the column, and the offsets of each text in them."""
@@ -110,22 +111,41 @@ class Encoder:
         start, end = cut(data, offsets)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        keys, first, inverse = groups(A.span_hash(A.prefix_sums(data), start, end))
-        if len(self.keys) > CACHE:
+        n = end - start
+        keys, first, inverse = groups(A.byte_hash(data, start, end))
+        # a piece counts as another one only if their bytes agree, which for up to seven bytes their hashes tell
+        lead = first[inverse]
+        odd = n != n[lead]
+        unsure = np.flatnonzero((n > 7) & ~odd & (lead != np.arange(len(n))))
+        odd[unsure] = ~A.same_spans(data, start[unsure], start[lead[unsure]], n[unsure])
+        if len(self.keys) > CACHE or len(self.text) > CACHE_BYTES:
             self.clear()
         spot = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         new = self.keys[spot] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if len(self.keys):
+            other = ~new & (self.size[spot] != n[first])
+            unsure = np.flatnonzero(~new & ~other & (n[first] > 7))
+            other[unsure] = ~A.same_spans(data, start[first[unsure]], self.place[spot[unsure]], n[first[unsure]], self.text)
+            odd |= other[inverse]
         if new.any():
-            ids, counts = self.encode(data, start[first[new]], end[first[new]])
+            at_new, n_new = start[first[new]], n[first[new]]
+            ids, counts = self.encode(data, at_new, at_new + n_new)
             at = len(self.ids) + np.cumsum(counts) - counts
+            place = len(self.text) + np.cumsum(n_new) - n_new
             merged = np.concatenate([self.keys, keys[new]])
             order = np.argsort(merged, kind="stable")
             self.keys = merged[order]
             self.at, self.n = np.concatenate([self.at, at])[order], np.concatenate([self.n, counts])[order]
+            self.place, self.size = np.concatenate([self.place, place])[order], np.concatenate([self.size, n_new])[order]
             self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+            self.text = np.concatenate([self.text, data[ragged(at_new, n_new)]])
             spot = np.searchsorted(self.keys, keys)
         spot = spot[inverse]
-        lengths = self.n[spot]
-        ids = self.ids[ragged(self.at[spot], lengths)]
+        at, lengths, ids = self.at[spot], self.n[spot], self.ids
+        if odd.any():  # pieces that share their hash with another one, encoded one by one
+            more, counts = self.encode(data, start[odd], end[odd])
+            at[odd], lengths[odd] = len(ids) + np.cumsum(counts) - counts, counts
+            ids = np.concatenate([ids, more.astype(np.int32)])
+        ids = ids[ragged(at, lengths)]
         sums = np.concatenate([[0], np.cumsum(lengths)])
         return ids, sums[np.searchsorted(start, offsets)]

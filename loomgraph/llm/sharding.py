@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import Tables, word_count
+from ._shared import Tables, lookup, word_count
 
 SHARDS = 8
 #: A group or piece above this part of all is packed over all.
@@ -112,7 +112,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     packed = dealt.groupBy("group").applyInPandas(_pack_bucket(left), _PACKED)
     first = list(zip(*(long[c].tolist() for c in _ITEM), where.tolist(), strict=True))
     packed = tables.cut(packed.union(docs.sparkSession.createDataFrame(first, _PACKED)), "packed")
-    placed = rows.join(packed, ["k1", "k2", "piece"])
+    # a group of copies may hold a shard's part of all rows
+    numbered = rows.withColumn("row_", F.monotonically_increasing_id())
+    placed = lookup(numbered, packed, ["k1", "k2", "piece"], "row_", tables)
     placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(BUCKETS)).cast("int"))
     placed = tables.cut(placed.select("doc_id", "size", "text_crc32", "shard", "bucket", "k1"), "placed")
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))

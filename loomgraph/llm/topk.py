@@ -39,8 +39,9 @@ BATCH = 64
 LEVELS = 8
 #: Levels after which the bounds are tried.
 STOPS = (6, 7, 8)
-#: What the sums of single precision may be off, as a share of the lengths of both vectors.
-ROUND = 1e-5
+#: What a sum of n products in single precision may be off, as a share of the lengths of both vectors: n + 8 times this,
+#: twice the bound for n roundings, those of both factors and of the product.
+ROUND = 2.0**-23
 #: Rescoring starts when this share of a block's rows is still possible.
 FEW = 0.05
 PROBE = 8
@@ -74,7 +75,7 @@ def _build(t: pa.Table) -> pa.Table:
     for stop in STOPS:
         left = np.zeros(len(ids))
         np.add.at(left, row[level >= stop], impact[level >= stop] ** 2)
-        rests.append(np.sqrt(left) + ROUND * np.sqrt((x**2).sum(axis=1)))
+        rests.append(np.sqrt(left) + (x.shape[1] + 8) * ROUND * np.sqrt((x**2).sum(axis=1)))
     cells = [ids.astype("<i8"), x.astype("<f8"), np.stack([level[last], dim[last], last + 1]).astype("<i8"), row.astype("<u2"), impact.astype("<f4"), np.array(rests, "<f8")]
     names = ("vec_id", "vectors", "segments", "lists", "impacts", "rests")
     return pa.table(

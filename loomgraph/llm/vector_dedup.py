@@ -204,9 +204,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     n = classes.count()
     many = min(MOST, max(FEWEST, math.isqrt(n)))
     points = classes.orderBy(F.xxhash64("rep", "label"), "rep").limit(POOL * many).select("e").toArrow().column("e")
-    pivots = _thin(_unit(points)) if len(points) else np.zeros((0, 0))
-    if n > POOL * many:  # else every vector is close to one of them
-        pivots = pivots[:many]
+    pivots = _thin(_unit(points))[:many] if len(points) else np.zeros((0, 0))
     described = classes.select("label", F.col("rep").alias("vec_id"), "copies", "e").mapInArrow(
         _describe(pivots), f"label {dict(classes.dtypes)['label']}, vec_id long, copies long, e array<double>, near array<int>, home int, visits array<int>"
     )

@@ -454,3 +454,108 @@ def test_pipeline_stages(spark, docs):
     _, root = _near([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
     assert {r["doc_id"] for r in kept.collect()} == {i for i, low in root.items() if i == low}
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+
+
+def _thue_morse(n, a="a", b="b"):
+    x, y = a, b
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096, 8192])
+def test_words_and_lines_that_a_polynomial_hash_takes_for_equal(spark, n):
+    from tokenizers import Tokenizer
+
+    x, y = _thue_morse(n)
+    rows = [(1, x), (2, y), (3, f"{x} {y}"), (4, f"{y} {x}"), (5, f"{x}\n{y}"), (6, f" {x} {y} {x}")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    library, tokens = _library(), Tokenizer.from_file(token_files.VOCABULARY)
+    for r in byte_bpe.digests(frame).collect():
+        text = dict(rows)[r["doc_id"]]
+        assert r["ids_sha256"] == hashlib.sha256(np.array(library.encode_ordinary(text), "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    ids, at = token_files.encode_texts(pa.array([r[1] for r in rows]))
+    for k, (_, text) in enumerate(rows):
+        assert ids[at[k] : at[k + 1]].tolist() == tokens.encode(text, add_special_tokens=False).ids
+    counts, root = _near(rows)
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame).collect()} == root
+    assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_kept"]) for r in line_dedup.dedup_lines(frame).collect()} == _kept_lines(rows)
+
+
+def test_pieces_that_share_a_hash(monkeypatch):
+    """With a hash of four bits for all that is longer than seven bytes, pieces are still told apart, within a batch and between batches."""
+    from loomgraph.llm import _arrays
+
+    real = _arrays.byte_hash
+    r = byte_bpe.ranks(byte_bpe.VOCABULARY)
+    texts = [f"some words number {i} and antidisestablishmentarianism{i % 7} again" for i in range(50)]
+    library = _library()
+    encode = pieces.Encoder(lambda data, start, end: byte_bpe.encode_pieces(data, start, end, r))
+    few = lambda data, start, end, seed=0: np.where(end - start > 7, real(data, start, end, seed) & np.uint64(15), real(data, start, end, seed))
+    monkeypatch.setattr(_arrays, "byte_hash", few)
+    for part in (texts[:20], texts[20:], texts[:5]):
+        ids, at = encode(pa.array(part))
+        for k, text in enumerate(part):
+            assert ids[at[k] : at[k + 1]].tolist() == library.encode_ordinary(text)
+
+
+def test_lines_that_share_a_node(spark, docs, monkeypatch):
+    """Lines whose first hash is the same are renamed by the second one."""
+    real = line_dedup._describe
+
+    def few(batches):
+        for batch in real(batches):
+            own = pa.array(np.abs(batch.column("node").to_numpy()) % 5)
+            yield batch.set_column(batch.schema.get_field_index("node"), "node", own)
+
+    frame = spark.createDataFrame([(i, f"line number {i * 7919} of the text\nanother line {i % 9} that repeats") for i in range(60)], "doc_id long, text string")
+    want = sorted(line_dedup.dedup_lines(frame).collect())
+    monkeypatch.setattr(line_dedup, "_describe", few)
+    assert [(r["doc_id"], r["n_lines"]) for r in sorted(line_dedup.dedup_lines(frame).collect())] == [(r["doc_id"], r["n_lines"]) for r in want]
+
+
+@pytest.mark.parametrize("width", [64, 1024, 4096])
+def test_top_k_of_wide_vectors(width):
+    """Sums of single precision are off by more, the wider the vectors are; no best row may be lost by that."""
+    x = np.full((31, width), 7911.0)
+    x[17] = np.where(np.arange(width) % 2, 7900.0, 7923.0)
+    t = pa.table({"j": pa.array([0] * 31, pa.int32()), "vec_id": pa.array(np.arange(31)), "q": pa.array(x.tolist())})
+    index = topk.ImpactIndex(topk._build(t))
+    query = np.full((1, width), 6399.0)
+    members = index.search(query, np.zeros((1, 31), bool), 1)[0]
+    assert int(np.argmax(x @ query[0])) in members.tolist()
+    rng = np.random.default_rng(width)
+    x = np.floor(64 * rng.standard_normal((500, width)))
+    t = pa.table({"j": pa.array([0] * 500, pa.int32()), "vec_id": pa.array(np.arange(500)), "q": pa.array(x.tolist())})
+    index = topk.ImpactIndex(topk._build(t))
+    for q, members in enumerate(index.search(x[:9], np.eye(9, 500, dtype=bool), 20)):
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert set(np.argsort(-score, kind="stable")[:20].tolist()) <= set(members.tolist())
+
+
+def test_mixing_of_many_sources(spark, docs, monkeypatch):
+    want = sorted(mixing.mix(docs).select("doc_id", "target", "copies").collect())
+    monkeypatch.setattr(mixing, "NAME_BYTES", -1)
+    assert sorted(mixing.mix(docs).select("doc_id", "target", "copies").collect()) == want
+
+
+def test_shards_by_hand(spark, docs, monkeypatch):
+    """Sizes, checksums and slots against plain values, also where nothing is broadcast."""
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "x"), (1, None), (1, "é"), (1, "é"), (7, "")], "doc_id long, text string"))
+    plain = sorted(((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in frame.collect()), key=repr)
+    for few in (_shared.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(_shared, "BROADCAST_ROWS", few)
+        rows = sharding.shard(frame).collect()
+        assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in rows), key=repr) == plain
+        assert {r["law"] for r in rows} == {"bytes"} and {r["shard"] for r in rows} <= set(range(8)) and {r["grown_shard"] for r in rows} == {None}
+        for s in range(8):
+            slots = sorted(r["slot"] for r in rows if r["shard"] == s)
+            assert slots == list(range(len(slots)))
+
+
+@pytest.mark.parametrize("which,left", [("language", lambda i: zlib.crc32(str(i).encode()) % 4 == 2), ("toxicity", lambda i: zlib.crc32(str(i).encode()) % 5 == 0)])
+def test_rows_that_are_held_out(docs, which, left):
+    found = (lang_id.identify(docs) if which == "language" else toxicity.score(docs, None)).select("doc_id", "held_out").collect()
+    assert len(found) == docs.count() and all(r["held_out"] == left(r["doc_id"]) for r in found)
