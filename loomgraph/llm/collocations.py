@@ -366,8 +366,11 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, sh
                 part = found[wider].select(*[F.col(names[i + j]).alias(own[j]) for j in range(width)], "f")
                 inside = part if inside is None else inside.union(part)
         if inside is not None:
-            most = tables.cut(inside.groupBy(*own).agg(F.max("f").alias("most")), "inside")
-            rows = lookup(rows, most, own, own[0], tables, "left").filter(F.col("most").isNull() | (100 * F.col("most") < share * F.col("a"))).drop("most")
+            # one aggregation brings a phrase and the longer ones around it together
+            figures, none = ["a", "l", "r", "score"], F.lit(None).cast("long")
+            both = rows.withColumn("most", none).unionByName(inside.select(*own, *[none.alias(c) for c in figures], F.col("f").alias("most")))
+            rows = both.groupBy(*own).agg(*[F.max(c).alias(c) for c in [*figures, "most"]])
+            rows = rows.filter(F.col("most").isNull() | (100 * F.col("most") < share * F.col("a"))).drop("most")
         rows = rows.select(*own, *[F.lit(None).cast("long").alias(c) for c in names[width:]], "a", "l", "r", "score")
         scored = rows if scored is None else scored.union(rows)
     scored = tables.cut(scored, "scored")
