@@ -39,6 +39,7 @@ SLICE = 4 << 20  # bytes of text that a mapper counts at once
 SEGMENT = 1 << 21  # phrases of a segment, about
 BITS, CHUNK = 26, 18  # of the table of frequent phrases, and of a part of it
 SEEDS = 8
+PARTS = 64  # of a language, whose best phrases are found first
 U = np.uint64
 
 _KIND = np.ones(256, dtype=np.uint8)  # 1: of a word, 0: blank, 2: ends a piece
@@ -377,10 +378,13 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, sh
 
     label = words.select("k1", "lang", "n")
     rows = salted(scored, label, ["k1"], "k2", tables)
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
     if top is not None:
-        # each task first keeps its own best ones, ties included, so a language's phrases never meet in one task
-        rows = rows.withColumn("place", F.rank().over(best)).filter(F.col("place") <= top).drop("place")
+        # the best of each part of a language, then of the language, ties included, so that its phrases never meet in one task
+        rows = rows.withColumn("part", F.pmod(F.xxhash64(*names), F.lit(PARTS)))
+        for keys in (["lang", "part"], ["lang"]):
+            best = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"))
+            rows = rows.withColumn("place", F.rank().over(best)).filter(F.col("place") <= top).drop("place")
+        rows = rows.drop("part")
     rows = tables.cut(rows, "best")
     for i, c in enumerate(names):
         rows = salted(rows, words.select(F.col("k1").alias(c), F.col("word").alias(f"w{i}")), [c], "k2" if c == "k1" else "k1", tables, "left")
