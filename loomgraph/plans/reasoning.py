@@ -342,6 +342,85 @@ def shacl_report(spark, d):
     return S.report(S.validate(_facts(spark, d), shapes), shapes)
 
 
+def _party_shapes() -> list[S.Shape]:
+    """Customers are well off or in building, not both, not in debt, and live in a nation of one region."""
+    return [
+        S.Shape("rich", None, [S.Property(t.ONT + "acctbal", min_inclusive=5000.0)]),
+        S.Shape("builder", None, [S.Property(t.ONT + "segment", has_value='"BUILDING"')]),
+        S.Shape("debtor", None, [S.Property(t.ONT + "acctbal", max_exclusive=0.0)]),
+        S.Shape("near", None, [S.Property(t.ONT + "inRegion", one_of=(f"<{node('region', 1)}>", f"<{node('region', 2)}>"), min_count=1)]),
+        S.Shape("nearby", None, [S.Property(S.SELF, all_of=("near",), node_kind="IRI")]),
+        S.Shape("client", t.ONT + "Customer", [
+            S.Property(S.SELF, any_of=("rich", "builder"), none_of=("debtor",)), S.Property(S.SELF, just_one_of=("rich", "builder")), S.Property(t.ONT + "inNation", node=("nearby",)),
+        ]),
+    ]
+
+
+_LOGIC = """
+WITH c AS (SELECT *, c_acctbal >= 5000 AS rich, c_mktsegment = 'BUILDING' AS builder FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT c_custkey AS customer, 'Or' AS constraint FROM c WHERE NOT rich AND NOT builder UNION ALL SELECT c_custkey, 'Not' FROM c WHERE c_acctbal < 0
+UNION ALL SELECT c_custkey, 'Xone' FROM c WHERE rich = builder UNION ALL SELECT c_custkey, 'Node' FROM c WHERE n_regionkey NOT IN (1, 2)"""
+
+
+def _plain_facts(spark, d, *names):
+    return I.facts_of(kg(spark, d, *names).unionByName(ontology(spark)))
+
+
+@query(_LOGIC)
+def shacl_logic(spark, d):
+    """Nested shapes: or, not, exactly one, and a shape of a shape of each value."""
+    return _findings(S.validate(_plain_facts(spark, d, "customer", "nation"), _party_shapes()))
+
+
+@query(_LOGIC)
+def shape_roundtrip(spark, d):
+    """The same shapes after they were saved as quads and loaded."""
+    rows = ontology(spark)
+    for shape in _party_shapes():
+        rows = S.save(rows, shape)
+    return _findings(S.validate(_plain_facts(spark, d, "customer", "nation"), S.load(rows)))
+
+
+@query("""
+WITH n AS (SELECT c_custkey, count(*) FILTER (o_orderpriority = '1-URGENT') AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
+SELECT c_custkey AS customer, 'QualifiedMinCount' AS constraint FROM n WHERE n < 1 UNION ALL SELECT c_custkey, 'QualifiedMaxCount' FROM n WHERE n > 3""")
+def shacl_qualified(spark, d):
+    """Between one and three of a customer's orders, which lie at the other end of a link, are urgent."""
+    shapes = [
+        S.Shape("urgent", None, [S.Property(t.ONT + "priority", has_value='"1-URGENT"')]),
+        S.Shape("client", t.ONT + "Customer", [S.Property(("inverse", t.ONT + "placedBy"), qualified="urgent", qualified_min=1, qualified_max=3)]),
+    ]
+    return _findings(S.validate(_plain_facts(spark, d, "customer", "orders"), shapes))
+
+
+@query("""
+WITH c AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT c_custkey AS customer, 'LessThan' AS constraint FROM c WHERE NOT c_acctbal < c_nationkey * 400
+UNION ALL SELECT c_custkey, 'Equals' FROM c WHERE n_regionkey <> c_custkey % 5 UNION ALL SELECT c_custkey, 'Equals' FROM c WHERE n_regionkey <> c_custkey % 5
+UNION ALL SELECT c_custkey, 'Disjoint' FROM c WHERE n_regionkey = c_custkey % 5""")
+def shacl_pairs(spark, d):
+    """Values of a path against those of another predicate: below them, the same, none in common."""
+    key = lambda name, c: F.concat(F.lit(f"<{NODE}{name}/"), c.cast("string"), F.lit(">"))
+    rows = table(spark, d, "customer")
+    limit = F.concat(F.lit('"'), (F.col("c_nationkey") * 400).cast("string"), F.lit(f'"^^<{t.XSD}integer>'))
+    said = F.explode(F.array(F.struct(F.lit(p("limit")).alias("p"), limit.alias("o")), F.struct(F.lit(p("home")).alias("p"), key("region", F.col("c_custkey") % 5).alias("o"))))
+    facts = _plain_facts(spark, d, "customer", "nation").unionByName(rows.select(key("customer", F.col("c_custkey")).alias("s"), said.alias("x")).select("s", "x.*"), allowMissingColumns=True)
+    region = ("seq", t.ONT + "inNation", t.ONT + "inRegion")
+    return _findings(S.validate(facts, _shape(S.Property(t.ONT + "acctbal", less_than=t.ONT + "limit"), S.Property(region, equals=t.ONT + "home"), S.Property(region, disjoint=t.ONT + "home"))))
+
+
+@query("""
+WITH n AS (SELECT n_regionkey AS region, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)
+SELECT region, 'MinCount' AS constraint FROM n WHERE n < (SELECT avg(n) FROM n) UNION ALL SELECT r_regionkey, 'HasValue' FROM region WHERE r_name <> 'ASIA'""")
+def shacl_paths(spark, d):
+    """Regions, found as the objects of a predicate, by the customers that lead to them and by an alternative of predicates."""
+    facts = _plain_facts(spark, d, "customer", "nation", "region")
+    least = -(-table(spark, d, "customer").count() // 5)
+    people = ("seq", ("inverse", t.ONT + "inRegion"), ("inverse", t.ONT + "inNation"))
+    shape = S.Shape("region", properties=[S.Property(people, min_count=least), S.Property(("alt", t.LABEL, t.ONT + "alias"), has_value='"ASIA"')], target_objects_of=(t.ONT + "inRegion",))
+    return S.validate(facts, [shape]).select(key_of("focus").alias("region"), F.regexp_replace("constraint", "ConstraintComponent", "").alias("constraint"))
+
+
 # traversal
 
 
