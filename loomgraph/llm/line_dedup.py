@@ -80,7 +80,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, of = A.prefix_sums(cp), np.bincount(text, minlength=1)[text]
         for i in range(0, len(first), MANY):
             start, end = first[i : i + MANY], last[i : i + MANY]
-            node, check = (A.byte_hash(data, begins[i : i + MANY], ends[i : i + MANY], seed) for seed in (0, 1))
+            # two hashes of different kinds, which no known texts share both of
+            node, check = A.byte_hash(data, begins[i : i + MANY], ends[i : i + MANY]), A.span_hash(sums, start, end)
             _, lead, of_node = groups(node)
             fresh = check != check[lead][of_node]
             fresh[lead] = True
@@ -231,14 +232,14 @@ def keepers(docs: DataFrame, tables: Tables) -> DataFrame:
         named = lookup(lines, clash, ["node"], "line", tables, "left")
         lines = tables.cut(named.withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("clash"), "renamed")
         first = tables.cut(lines.groupBy("node").agg(place).select("node", "place.*"), "first")
-    # a line that every slice of the table holds is a row for each of them until here
-    sketches = tables.cut(lines.filter(F.size("bands") > 0).select("node", "bands").distinct(), "sketches")
-    bands = sketches.select("node", F.explode("bands").alias("band"))
+    bands = lines.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("last"), F.count("*").alias("n_")).filter("center < last")
     shared = tables.cut(shared.drop("last"), "shared")
-    buckets = tables.cut(lookup(bands, shared, ["band"], "node", tables).drop("n_").distinct(), "buckets")
+    # a line that every slice of the table holds has a row for each of them, which must not meet before they are one
+    asked = bands if small(shared) is not shared else bands.distinct()
+    buckets = tables.cut(lookup(asked, shared, ["band"], "node", tables).drop("n_").distinct(), "buckets")
     totals = tables.cut(lines.groupBy(*own).agg(F.max("of").alias("n_")), "totals")
-    tables.drop(lines, sketches)
+    tables.drop(lines)
     stars = tables.cut(buckets.filter("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "stars")
 
     wanted = tables.cut(first.join(small(tables.cut(buckets.select("node").distinct(), "nodes")), "node"), "wanted")
