@@ -107,27 +107,52 @@ def join(a: DataFrame, b: DataFrame, unbound: tuple[str, ...] = ()) -> DataFrame
         return a.crossJoin(b)
     if not unbound:
         return a.join(b, shared)
-    a, b = a.alias("a"), b.alias("b")
-    same = [
-        (F.col(f"a.{c}") == F.col(f"b.{c}")) | (F.col(f"a.{c}").isNull() | F.col(f"b.{c}").isNull() if c in unbound else F.lit(False))
-        for c in shared
-    ]
-    names = [*a.columns, *(c for c in b.columns if c not in shared)]
-    return a.join(b, reduce(Column.__and__, same)).select(
-        *[F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c) if c in shared else F.col(c) for c in names]
-    )
-
-
-def _compatible(shared: list[str], unbound: tuple[str, ...]) -> list[Column]:
-    """Agreement of each shared variable of ``a`` with its copy ``<name>__``; what is unbound agrees with anything."""
-    open_ = lambda c: (F.col(c).isNull() | F.col(f"{c}__").isNull()) if c in unbound else F.lit(False)
-    return [(F.col(c) == F.col(f"{c}__")) | open_(c) if c in unbound else F.col(c) == F.col(f"{c}__") for c in shared]
+    rows = _agreeing(a, b, shared, unbound)
+    return rows.select(*_filled(a, shared, unbound), *[c for c in b.columns if c not in shared])
 
 
 def _copied(b: DataFrame, shared: list[str]) -> DataFrame:
     return b.select(*[F.col(c).alias(f"{c}__" if c in shared else c) for c in b.columns])
 
 
+def _filled(a: DataFrame, shared: list[str], unbound: tuple[str, ...]) -> list[Column]:
+    return [F.coalesce(F.col(c), F.col(f"{c}__")).alias(c) if c in unbound and c in shared else F.col(c) for c in a.columns]
+
+
+def _agreeing(a: DataFrame, b: DataFrame, shared: list[str], unbound: tuple[str, ...], some: bool = False) -> DataFrame:
+    """Rows of ``a`` with each row of ``b`` that agrees in the variables both bind; b's copies are named ``<name>__``.
+
+    A row of ``a`` is given once for every set of variables that a row of ``b``
+    may bind, and the other way round.  Two rows then meet under the pair of sets
+    that they have, and there they are joined on the variables in both: one
+    equi-join, whatever is bound.  ``some`` asks for a variable that both bind.
+    """
+    b, free = _copied(b, shared), [c for c in shared if c in unbound]
+    fixed = [F.col(c) == F.col(f"{c}__") for c in shared if c not in free]
+    if not free:
+        return a.join(b, reduce(Column.__and__, fixed))
+    binds = lambda names: reduce(Column.__add__, [F.when(F.col(c).isNull(), 0).otherwise(1 << i) for i, c in enumerate(names)])
+    every = F.explode(F.array(*[F.lit(x) for x in range(1 << len(free))]))
+
+    def keyed(rows: DataFrame, names: list[str], own: str, other: str, mark: str) -> DataFrame:
+        rows = rows.withColumn(own, binds(names)).withColumn(other, every)
+        both = F.col(own).bitwiseAND(F.col(other))
+        if some and not fixed:
+            rows = rows.filter(both != 0)
+        return rows.withColumns({f"{mark}{i}_": F.when(F.getbit(both, F.lit(i)) == 1, F.col(c)).otherwise("") for i, c in enumerate(names)})
+
+    left = keyed(a, free, "has_a_", "asks_b_", "ka")
+    right = keyed(b, [f"{c}__" for c in free], "has_b_", "asks_a_", "kb")
+    meet = [F.col("has_a_") == F.col("asks_a_"), F.col("asks_b_") == F.col("has_b_"), *[F.col(f"ka{i}_") == F.col(f"kb{i}_") for i in range(len(free))]]
+    return left.join(right, reduce(Column.__and__, [*meet, *fixed])).select(*a.columns, *b.columns)
+
+
+def _without(a: DataFrame, found: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of ``a`` that agree with none of ``found`` in ``names``, where null agrees with null."""
+    found = found.select(*[F.col(c).alias(f"{c}__") for c in names]).distinct()
+    return a.join(found, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}__")) for c in names]), "left_anti")
+
+
 def optional(a: DataFrame, b: DataFrame, condition: Column | None = None, unbound: tuple[str, ...] = ()) -> DataFrame:
     """Left join; a filter inside the optional part belongs to ``condition``.
 
@@ -135,10 +160,15 @@ def optional(a: DataFrame, b: DataFrame, condition: Column | None = None, unboun
     take the value of the side that has one.
     """
     shared = _shared(a, b)
-    on = reduce(Column.__and__, _compatible(shared, unbound), F.lit(True))
-    joined = a.join(_copied(b, shared), on if condition is None else on & condition, "left")
-    filled = [F.coalesce(F.col(c), F.col(f"{c}__")).alias(c) if c in unbound and c in shared else F.col(c) for c in a.columns]
-    return joined.select(*filled, *[c for c in b.columns if c not in shared])
+    more = [c for c in b.columns if c not in shared]
+    if not set(shared) & set(unbound):
+        on = reduce(Column.__and__, [F.col(c) == F.col(f"{c}__") for c in shared], F.lit(True))
+        return a.join(_copied(b, shared), on if condition is None else on & condition, "left").select(*a.columns, *more)
+    rows = _agreeing(a, b, shared, unbound)
+    rows = rows if condition is None else rows.filter(condition)
+    # equal rows have the same partners, so a row is alone if none like it is among those that have one
+    alone = _without(a, rows, a.columns).select("*", *[F.lit(None).cast(b.schema[c].dataType).alias(c) for c in more])
+    return rows.select(*_filled(a, shared, unbound), *more).unionByName(alone)
 
 
 def union(*frames: DataFrame) -> DataFrame:
@@ -155,10 +185,10 @@ def minus(a: DataFrame, b: DataFrame, unbound: tuple[str, ...] = ()) -> DataFram
     shared = _shared(a, b)
     if not shared:
         return a
-    if not unbound:
+    if not set(shared) & set(unbound):
         return a.join(b, shared, "left_anti")
-    some = reduce(Column.__or__, [F.col(c).isNotNull() & F.col(f"{c}__").isNotNull() for c in shared])
-    return a.join(_copied(b.select(*shared).distinct(), shared), reduce(Column.__and__, _compatible(shared, unbound)) & some, "left_anti")
+    pairs = _agreeing(a.select(*shared).distinct(), b.select(*shared).distinct(), shared, unbound, some=True)
+    return _without(a, pairs, shared)
 
 
 def exists(a: DataFrame, b: DataFrame, negate: bool = False) -> DataFrame:

@@ -83,6 +83,43 @@ def jsonld_roundtrip(spark, d):
     return _keys(jsonld.parse(jsonld.lines(kg(spark, d, "nation"))))
 
 
+@query("SELECT c_custkey AS customer, CASE WHEN c_custkey % 2 = 0 THEN '2024' ELSE 'true' END AS note, '{\"' || c_mktsegment AS odd, c_nationkey AS nation, 3::BIGINT AS places FROM customer")
+def jsonld_strings(spark, d):
+    """Texts that look like numbers, truth values and objects, a context, a nested node and a list."""
+    rows = table(spark, d, "customer")
+    context = F.lit('{"@vocab":"https://kg.example/ont#","in":{"@id":"inNation","@type":"@id"},"places":{"@container":"@list"},"id":"@id"}')
+    body = F.to_json(F.struct(
+        F.concat(F.lit("https://kg.example/id/customer/"), "c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, "2024").otherwise("true").alias("note"),
+        F.concat(F.lit('{"'), "c_mktsegment").alias("odd"), F.struct(F.concat(F.lit("https://kg.example/id/nation/"), "c_nationkey").alias("id"), F.lit("x").alias("seen")).alias("in"),
+        F.array(F.lit("[a"), F.lit("b"), F.lit("1")).alias("places"),
+    ))
+    found = jsonld.parse(rows.withColumn("body", body).select(F.concat(F.lit('{"@context":'), context, F.lit(","), F.expr("substring(body, 2)")).alias("value")))
+    one = lambda name: F.max(F.when(F.col("p") == t.ONT + name, A.text(F.col("o_key"))))
+    firsts = found.filter(F.col("p") == t.RDF + "first").select("s", "o_key")
+    heads = found.filter(F.col("p") == t.ONT + "places").select(F.col("s").alias("c"), F.col("o").alias("a"))
+    step = found.filter(F.col("p") == t.RDF + "rest").select(F.col("s").alias("a"), F.col("o").alias("b"))
+    second = heads.join(step, "a").select("c", F.col("b").alias("a"))
+    cells = heads.union(second).union(second.join(step, "a").select("c", F.col("b").alias("a")))
+    n = cells.join(firsts, F.col("a") == F.col("s")).filter(F.col("o_key").isin('"[a"', '"b"', '"1"')).groupBy("c").agg(F.count("*").alias("places"))
+    plain = found.filter(F.col("s").contains("/customer/")).groupBy("s").agg(one("note").alias("note"), one("odd").alias("odd"), one("inNation").alias("to"))
+    key = lambda c: F.regexp_extract(c, r"(\d+)$", 1).cast("long")
+    return plain.join(n, plain["s"] == n["c"]).select(key("s").alias("customer"), "note", "odd", key("to").cast("int").alias("nation"), "places")
+
+
+@query("SELECT c_custkey AS customer, '\"' || (c_custkey % 10) || '\"^^<http://www.w3.org/2001/XMLSchema#integer>' AS trust, '<https://kg.example/id/nation/' || c_nationkey || '>' AS nation FROM customer WHERE c_custkey % 2 = 0")
+def turtle_edge_metadata(spark, d):
+    """Metadata of edges, written as Turtle with quoted triples and read back."""
+    rows = kg(spark, d, "customer")
+    edges = rows.filter((F.col("p") == t.ONT + "inNation") & (F.regexp_extract("s", r"(\d+)$", 1).cast("long") % 2 == 0))
+    trust = (F.regexp_extract("s", r"(\d+)$", 1).cast("long") % 10).cast("string")
+    folder = _folder(spark, "turtle-edges")
+    turtle.write(edges.unionByName(E.annotate(edges, {t.ONT + "trust": trust})), folder)
+    found = turtle.read(spark, folder)
+    stated = found.filter((F.col("p") == t.REIFIES) & (F.col("o_kind") == "triple")).select("s", F.col("o_triple.s").alias("who"), F.col("o_triple.o_key").alias("nation"))
+    said = found.filter(F.col("p") == t.ONT + "trust").select("s", F.col("o_key").alias("trust"))
+    return stated.join(said, "s").select(F.regexp_extract("who", r"(\d+)$", 1).cast("long").alias("customer"), "trust", "nation")
+
+
 @query(f"SELECT c_custkey AS customer, '\"' || c_name || '\"' AS name, c_acctbal AS balance, '<{NODE}nation/' || c_nationkey || '>' AS nation FROM customer")
 def jsonld_compact(spark, d):
     """Compact node objects, as other programs write them, with prefixes and plain numbers."""

@@ -145,6 +145,25 @@ def path_alternatives(spark, d):
     return P.match(rows, "?x", path, "?region").groupBy(A.text(F.col("region")).alias("region")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT 'nation' AS kind, count(*) AS n FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'customer', count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1")
+def path_to_given_end(spark, d):
+    """What leads to one region, followed back from there."""
+    path = P.plus(P.alt(P.link(t.ONT + "inNation"), P.link(t.ONT + "inRegion")))
+    found = P.match(kg(spark, d, "customer", "nation", "region"), "?x", path, f"<{node('region', 1)}>")
+    return found.groupBy(F.regexp_extract("x", r"/(\w+)/[^/]+$", 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT a.n_nationkey AS nation, count(*) AS n FROM nation a JOIN nation b ON a.n_nationkey % 5 = b.n_nationkey % 5 GROUP BY 1")
+def path_rings(spark, d):
+    """Five rings of nations: the closure over strongly connected components."""
+    rows = table(spark, d, "nation")
+    n = rows.count()
+    other = F.concat(F.lit(f"{t.ID}nation/"), ((F.col("n_nationkey") + 5) % n).cast("string"))
+    quads = t.quads(rows, F.concat(F.lit(f"{t.ID}nation/"), F.col("n_nationkey").cast("string")), [t.iri_object(t.ONT + "next", other, t.DATA)])
+    found = P.match(quads, "?a", P.plus(P.link(t.ONT + "next")), "?b")
+    return found.groupBy("a").agg(F.count("*").alias("n")).select(key_of("a", "int").alias("nation"), "n")
+
+
 # unbound variables, datasets, aggregates, updates
 
 

@@ -32,7 +32,7 @@ _TOKEN = re.compile(
     |(?P<number>[+-]?(?:\d+\.?\d*[eE][+-]?\d+|\.\d+[eE][+-]?\d+|\d*\.\d+|\d+))
     |(?P<name>(?:[^\W\d_][\w.-]*)?:(?:(?:[\w:%-]|\\[_~.!$&'()*+,;=/?\#@%-])(?:(?:[\w:.%-]|\\[_~.!$&'()*+,;=/?\#@%-])*(?:[\w:%-]|\\[_~.!$&'()*+,;=/?\#@%-]))?)?)
     |(?P<word>[A-Za-z]+)
-    |(?P<mark>\^\^|[.;,\[\](){}])""",
+    |(?P<mark>\^\^|<<\(|\)>>|<<|>>|\{\||\|\}|[.;,\[\](){}~])""",
     re.VERBOSE | re.DOTALL,
 )
 _ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
@@ -136,21 +136,18 @@ class _Reader:
         self.graph = None
 
     def statement(self) -> None:
-        inline = self.peek()[1] == "["
+        inline = self.peek()[1] in ("[", "<<")
         subject = self.term()
         if not (inline and self.peek()[1] in (".", "}")):
             self.properties(subject)
 
     def properties(self, subject: str) -> None:
         while True:
-            kind, text = self.peek()
-            if kind == "word" and text == "a":
-                self.take()
-                predicate = f"<{t.TYPE}>"
-            else:
-                predicate = self.term()
+            predicate = self.verb()
             while True:
-                self.out.append((self.graph, subject, predicate, self.term()))
+                said = (subject, predicate, self.term())
+                self.out.append((self.graph, *said))
+                self.annotations(said)
                 if self.peek()[1] != ",":
                     break
                 self.take()
@@ -158,11 +155,48 @@ class _Reader:
                 return
             while self.peek()[1] == ";":
                 self.take()
-            if self.peek()[1] in (".", "]", "}") or self.peek()[0] == "end":
+            if self.peek()[1] in (".", "]", "}", "|}") or self.peek()[0] == "end":
                 return
 
+    def verb(self) -> str:
+        if self.peek() == ("word", "a"):
+            self.take()
+            return f"<{t.TYPE}>"
+        return self.term()
+
+    def reified(self, triple: tuple[str, str, str], node: str | None = None) -> str:
+        """A node that reifies a triple, the given one or a new one."""
+        node = node or self.fresh()
+        self.out.append((self.graph, node, f"<{t.REIFIES}>", f"<<( {' '.join(triple)} )>>"))
+        return node
+
+    def reifier(self) -> str | None:
+        """The node after a ``~``, None if none is named."""
+        self.take("~")
+        return self.term() if self.peek()[0] in ("iri", "name", "blank") else None
+
+    def annotations(self, triple: tuple[str, str, str]) -> None:
+        """Reifiers and annotation blocks after an object."""
+        node = None
+        while self.peek()[1] in ("~", "{|"):
+            if self.peek()[1] == "~":
+                node = self.reified(triple, self.reifier())
+            else:
+                self.take()
+                self.properties(node or self.reified(triple))
+                self.take("|}")
+                node = None
+
     def term(self) -> str:
         kind, text = self.take()
+        if text in ("<<(", "<<"):
+            triple = (self.term(), self.verb(), self.term())
+            if text == "<<(":
+                self.take(")>>")
+                return f"<<( {' '.join(triple)} )>>"
+            node = self.reified(triple, self.reifier() if self.peek()[1] == "~" else None)
+            self.take(">>")
+            return node
         if kind == "iri":
             return f"<{self.whole(text)}>"
         if kind == "name":

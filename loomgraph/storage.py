@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+#: Temporary folders of local sessions, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.
 
@@ -22,10 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors can read")
-        folder = tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        # the setting cannot be changed in a running session, so the folder is kept here
+        folder = _OWN.get(spark.sparkContext.applicationId)
+        if folder is None:
+            folder = _OWN[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="loomgraph-")
     return folder.rstrip("/")
 
 

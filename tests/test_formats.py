@@ -167,3 +167,90 @@ def test_patch_text(spark):
     rows = spark.createDataFrame([("f", i, x) for i, x in enumerate(["TX 1 ann", "A k 1", "D k 2", "TC .", "", "TX 2 bob b", "A k 3", "TC ."])], "file string, line int, value string")
     found = changelog.parse(rows, strict=True).collect()
     assert [tuple(r) for r in sorted(found)] == [(1, "ann", "A", "k 1"), (1, "ann", "D", "k 2"), (2, "bob b", "A", "k 3")]
+
+
+QUOTED = """@prefix : <http://x/> .
+:a :p :b ~ :r {| :sure 0.9 ; :by :me |} , :c {| :sure 1 |} .
+<< :a :p :d ~ :r2 >> :by :you .
+:r3 <http://www.w3.org/1999/02/22-rdf-syntax-ns#reifies> <<( :a a "x"@en )>> .
+<< :a :q _:n >> .
+"""
+
+
+def test_quoted_triples(spark, tmp_path):
+    rows = turtle.read(spark, _write(tmp_path, "q.ttl", QUOTED)).collect()
+    stated = {(r["o_triple"]["p"].rsplit("/")[-1], r["o_triple"]["o_key"]): r["s"] for r in rows if r["o_kind"] == "triple"}
+    assert stated[("p", "<http://x/b>")] == "http://x/r" and stated[("p", "<http://x/d>")] == "http://x/r2" and stated[("22-rdf-syntax-ns#type", '"x"@en')] == "http://x/r3"
+    assert len(stated) == 5 and {r["o"] for r in rows if r["p"] == "http://x/by" and r["s"] == "http://x/r"} == {"http://x/me"}
+    sure = {r["s"]: r["o"] for r in rows if r["p"] == "http://x/sure"}
+    assert sure["http://x/r"] == "0.9" and sure[stated[("p", "<http://x/c>")]] == "1"
+    assert len(rows) == 5 + 2 + 4
+    turtle.write(turtle.read(spark, str(tmp_path / "q.ttl")), str(tmp_path / "out"))
+    assert turtle.read(spark, str(tmp_path / "out")).count() == len(rows)
+
+
+JSONLD = [
+    # names, links and a nested node, by the terms of a context
+    ('{"@context":{"name":"http://schema.org/name","image":{"@id":"http://schema.org/image","@type":"@id"},"knows":"http://schema.org/knows"},"@id":"http://me/","name":"M","image":"http://me/i.png","knows":{"@id":"http://you/","name":"Y"}}',
+     {("<http://me/>", "<http://schema.org/name>", '"M"'), ("<http://me/>", "<http://schema.org/image>", "<http://me/i.png>"), ("<http://me/>", "<http://schema.org/knows>", "<http://you/>"), ("<http://you/>", "<http://schema.org/name>", '"Y"')}),
+    # strings stay strings
+    ('{"@id":"http://a/x","http://p/s":["2024","true","{x","[y","1.5",true,2024,1.5]}',
+     {("<http://a/x>", "<http://p/s>", k) for k in ('"2024"', '"true"', '"{x"', '"[y"', '"1.5"', f'"true"^^<{t.XSD}boolean>', f'"2024"^^<{t.XSD}integer>', f'"1.5"^^<{t.XSD}double>')}),
+    # languages, index and reverse
+    ('{"@context":{"@language":"de","l":{"@id":"http://p/l","@container":"@language"},"i":{"@id":"http://p/i","@container":"@index"},"parent":{"@reverse":"http://p/child"},"n":{"@id":"http://p/n","@language":null}},"@id":"http://a/x","l":{"en":"E","ja":["J","K"],"@none":"N"},"i":{"a":"A","b":{"@id":"http://b/"}},"parent":{"@id":"http://p/x"},"n":"plain","http://p/d":"tagged"}',
+     {("<http://a/x>", "<http://p/l>", k) for k in ('"E"@en', '"J"@ja', '"K"@ja', '"N"')} | {("<http://a/x>", "<http://p/i>", k) for k in ('"A"@de', "<http://b/>")}
+     | {("<http://p/x>", "<http://p/child>", "<http://a/x>"), ("<http://a/x>", "<http://p/n>", '"plain"'), ("<http://a/x>", "<http://p/d>", '"tagged"@de')}),
+    # contexts of terms and types, prefixes made of prefixes, a null term, @set, @json, a typed value, keyword aliases
+    ('{"@context":{"ex":"http://x/","sub":"ex:sub#","T":{"@id":"ex:T","@context":{"p":"ex:tp"}},"q":{"@id":"ex:q","@context":{"p":"sub:p"}},"gone":null,"id":"@id","type":"@type","j":{"@id":"ex:j","@type":"@json"}},"id":"ex:a","type":"T","p":1,"q":{"id":"ex:b","p":2},"gone":3,"ex:s":{"@set":["a",null]},"j":{"b":[1],"a":"x"},"ex:v":{"@value":"5","@type":"ex:dt"},"@reverse":{"ex:r":{"id":"ex:c"}}}',
+     {("<http://x/a>", f"<{t.TYPE}>", "<http://x/T>"), ("<http://x/a>", "<http://x/tp>", f'"1"^^<{t.XSD}integer>'), ("<http://x/a>", "<http://x/q>", "<http://x/b>"), ("<http://x/b>", "<http://x/sub#p>", f'"2"^^<{t.XSD}integer>'),
+      ("<http://x/a>", "<http://x/s>", '"a"'), ("<http://x/a>", "<http://x/v>", '"5"^^<http://x/dt>'), ("<http://x/c>", "<http://x/r>", "<http://x/a>"), ("<http://x/a>", "<http://x/j>", f'"{{\\"a\\":\\"x\\",\\"b\\":[1]}}"^^<{t.RDF}JSON>')}),
+]
+
+
+@pytest.mark.parametrize("k", range(len(JSONLD)))
+def test_jsonld_contexts(spark, k):
+    text, want = JSONLD[k]
+    found = jsonld.parse(spark.createDataFrame([(text,)], "value string")).collect()
+    assert {(f"<{r['s']}>" if r["s_kind"] == "iri" else f"_:{r['s']}", f"<{r['p']}>", r["o_key"]) for r in found} == want
+
+
+def test_jsonld_lists_and_graphs(spark):
+    text = '{"@context":{"@vocab":"http://v/","l":{"@container":"@list"}},"@graph":[{"@id":"http://a/","l":["x",{"@id":"http://b/"},{"deep":1}]},{"@id":"http://g/","@graph":[{"@id":"http://c/","l":[]}],"@included":[{"@id":"http://d/","w":"y"}]}]}'
+    rows = jsonld.parse(spark.createDataFrame([(text,)], "value string"), graph=None).collect()
+    assert {(r["g"], r["s"], r["o_key"]) for r in rows if r["s"] in ("http://c/", "http://d/")} == {("http://g/", "http://c/", f"<{t.RDF}nil>"), (None, "http://d/", '"y"')}
+    rest = {r["s"]: r["o"] for r in rows if r["p"] == t.RDF + "rest"}
+    first = {r["s"]: r["o_key"] for r in rows if r["p"] == t.RDF + "first"}
+    node, items = next(r["o"] for r in rows if r["s"] == "http://a/"), []
+    while node in first:
+        items.append(first[node])
+        node = rest[node]
+    assert items[:2] == ['"x"', "<http://b/>"] and items[2].startswith("_:") and len(items) == 3
+
+
+@pytest.mark.parametrize("text", ['{"@context":"http://elsewhere/","a":1}', '{"@nest":{"a":1}}', '{"@id":"http://a/","http://p/":{"@value":{"x":1}}}', "[1]", '{"@context":{"a":{"@id":"b:x"},"b":{"@id":"a:y"}}}'])
+def test_jsonld_errors(spark, text):
+    with pytest.raises(Exception, match="fetched|not read|value|node object|each other"):
+        jsonld.parse(spark.createDataFrame([(text,)], "value string")).collect()
+
+
+def test_a_session_without_a_shared_folder(tmp_path):
+    """In local mode a temporary folder is made; it is the same one for all tables of the session."""
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "from pyspark.sql import SparkSession; from loomgraph.storage import Tables, shared_dir\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "assert s.conf.get('spark.checkpoint.dir', None) is None and shared_dir(s) == shared_dir(s)\n"
+        "assert Tables(s, 'x').cut(s.range(3)).count() == 3"
+    )
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.pathsep.join([os.getcwd(), *sys.path])}
+    subprocess.run([sys.executable, "-c", code], env=env, check=True, timeout=120)
+
+
+def test_search_returns_as_many_as_are_asked_for(spark):
+    from loomgraph.operators import search
+
+    recs = spark.range(1500).select(F.concat(F.lit("urn:"), "id").alias("iri"), F.lit("kyoto").alias("label"), F.lit("").alias("comment"), F.array().cast("array<string>").alias("types"), F.lit("entity").alias("kind"))
+    assert search.search(recs, "kyo", limit=1500).count() == 1500 and search.search(recs, "ky", limit=1400).count() == 1400
