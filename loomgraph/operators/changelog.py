@@ -30,19 +30,31 @@ def invert(patch: DataFrame, seq: int) -> DataFrame:
 
 
 def stacks(headers: list[tuple[int, int | None]]) -> tuple[list[int], list[int]]:
-    """Undo and redo stacks of a log's headers (seq, inverse_of), oldest first."""
-    undo: list[int] = []
-    redo: list[int] = []
+    """Undo and redo stacks of a log's headers (seq, inverse_of), oldest first.
+
+    Each change knows the one below it.  An inverse of the top of either stack
+    takes that change's place away and goes on the other stack; any other change
+    goes on the undo stack and ends what could be redone.
+    """
+    top: dict[str, int | None] = {"undo": None, "redo": None}
+    below: dict[int, int | None] = {}
     for seq, inverse in headers:
-        if inverse is not None and undo[-1:] == [inverse]:
-            undo.pop()
-            redo.append(seq)
-        elif inverse is not None and redo[-1:] == [inverse]:
-            redo.pop()
-            undo.append(seq)
+        source = next((name for name in top if inverse is not None and top[name] == inverse), None)
+        if source is None:
+            below[seq], top = top["undo"], {"undo": seq, "redo": None}
         else:
-            undo, redo = [*undo, seq], []
-    return undo, redo
+            goal = "redo" if source == "undo" else "undo"
+            top[source] = below[inverse]
+            below[seq], top[goal] = top[goal], seq
+
+    def from_top(seq: int | None) -> list[int]:
+        out = []
+        while seq is not None:
+            out.append(seq)
+            seq = below[seq]
+        return out[::-1]
+
+    return from_top(top["undo"]), from_top(top["redo"])
 
 
 def stacks_by(headers: DataFrame, by: str) -> DataFrame:

@@ -1,98 +1,85 @@
-"""Snapshots of a log's state: written, listed, pruned, and restored from.
+"""States of a log that are kept aside, so that a later state is made from one of them and the changes since.
 
-A snapshot is a Parquet folder named by the last change that it holds; folders
-are listed through Hadoop's file system, so any shared store will do.
+A folder of snapshots has a catalogue: a table with a row for each state that was
+written (what = ``kept``) and for each one that was given up (``gone``).  What is
+there is a query over it, so is what may go; a state without a row is one whose
+writing did not end, and is never read.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+import uuid
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from . import changelog
 
-_NAME = re.compile(r"snapshot-(\d{12})$")
+_ROW = "name string, seq long, made_at timestamp, what string"
 
 
-@dataclass(frozen=True)
-class Snapshot:
-    path: str
-    seq: int
+def _path(spark: SparkSession, *parts: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path("/".join(parts))
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def write(state: DataFrame, folder: str, seq: int) -> Snapshot:
-    """Write the whole state as of change ``seq``; an earlier snapshot of it is replaced."""
-    if seq < 0:
-        raise ValueError("seq must not be negative")
-    found = Snapshot(f"{folder}/snapshot-{seq:012d}", seq)
-    state.write.mode("overwrite").parquet(found.path)
-    return found
+def _note(spark: SparkSession, folder: str, rows: list[tuple]) -> None:
+    spark.createDataFrame(rows, _ROW).coalesce(1).write.mode("append").parquet(f"{folder}/catalogue")
 
 
-def _store(spark: SparkSession, folder: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+def catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """seq, name and made_at of the states that are there; of several with one seq the one that was written last."""
+    path, store = _path(spark, folder, "catalogue")
+    noted = spark.read.schema(_ROW).parquet(str(path)) if store.exists(path) else spark.createDataFrame([], _ROW)
+    there = noted.groupBy("name", "seq").agg(F.min("made_at").alias("made_at"), F.max(F.col("what") == "gone").alias("gone")).filter("not gone")
+    return there.groupBy("seq").agg(F.max_by("name", F.struct("made_at", "name")).alias("name"), F.max("made_at").alias("made_at"))
 
 
-def listed(spark: SparkSession, folder: str) -> list[Snapshot]:
-    """Every finished snapshot, oldest first."""
-    path, store = _store(spark, folder)
-    if not store.exists(path):
-        return []
-    found = []
-    for status in store.listStatus(path):
-        name = _NAME.search(status.getPath().getName())
-        if name and store.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append(Snapshot(f"{folder}/{status.getPath().getName()}", int(name[1])))
-    return sorted(found, key=lambda s: s.seq)
-
-
-def latest(spark: SparkSession, folder: str, upto: int | None = None) -> Snapshot | None:
-    found = [s for s in listed(spark, folder) if upto is None or s.seq <= upto]
-    return found[-1] if found else None
-
-
-def prune(spark: SparkSession, folder: str, keep: int) -> list[Snapshot]:
-    """Delete all but the ``keep`` newest snapshots; returns those deleted."""
-    if keep < 0:
-        raise ValueError("keep must not be negative")
-    found = listed(spark, folder)
-    gone = found[: max(len(found) - keep, 0)]
-    for s in gone:
-        path, store = _store(spark, s.path)
+def keep(state: DataFrame, folder: str, seq: int) -> None:
+    """Write a state as that after change ``seq``; an earlier one of this number is there until the new one is complete."""
+    if seq < 0:
+        raise ValueError("changes are numbered from 0 on")
+    name = f"{seq}-{uuid.uuid4().hex[:12]}"
+    state.write.parquet(f"{folder}/states/{name}")
+    _note(state.sparkSession, folder, [(name, seq, datetime.now(timezone.utc), "kept")])
+
+
+def surplus(states: DataFrame, most: int) -> DataFrame:
+    """The rows of a catalogue that are not among the ``most`` newest states."""
+    if most < 0:
+        raise ValueError("a number of states is at least 0")
+    newest = F.row_number().over(Window.orderBy(F.desc("seq")))
+    return states.withColumn("nth", newest).filter(F.col("nth") > most).drop("nth")
+
+
+def give_up(spark: SparkSession, folder: str, states: DataFrame) -> list[int]:
+    """Note that states of a catalogue are gone, then delete them; returns their numbers in order."""
+    rows = sorted(states.select("seq", "name", "made_at").collect())  # a row for each state that was ever kept, at most
+    if rows:
+        _note(spark, folder, [(r["name"], r["seq"], r["made_at"], "gone") for r in rows])
+    for r in rows:
+        path, store = _path(spark, folder, "states", r["name"])
         store.delete(path, True)
-    return gone
-
-
-@dataclass
-class Policy:
-    """When the next snapshot is due: every so many changes, or after so many seconds."""
+    return [r["seq"] for r in rows]
 
-    every_ops: int | None = None
-    every_seconds: float | None = None
-    last_at: float | None = None
 
-    def __post_init__(self) -> None:
-        if self.every_ops is not None and self.every_ops < 1:
-            raise ValueError("every_ops must be at least 1")
-        if self.every_seconds is not None and self.every_seconds <= 0:
-            raise ValueError("every_seconds must be positive")
+def due(seq: int, now: float, last: tuple[int, float], changes: int | None = None, seconds: float | None = None) -> bool:
+    """Whether a state should be kept at change ``seq``, given number and time of the last one (or of the start).
 
-    def due(self, seq: int, now: float) -> bool:
-        """Whether to take one at change ``seq``; the clock starts with the first call."""
-        by_count = self.every_ops is not None and seq % self.every_ops == 0
-        by_time = self.every_seconds is not None and self.last_at is not None and now - self.last_at >= self.every_seconds
-        if by_count or by_time or (self.every_seconds is not None and self.last_at is None):
-            self.last_at = now
-        return by_count or by_time
+    It should after so many changes, or so many seconds, whichever is asked for and comes first.
+    """
+    if changes is not None and changes < 1:
+        raise ValueError("changes: at least one between two states")
+    if seconds is not None and seconds <= 0:
+        raise ValueError("seconds: some time between two states")
+    return (changes is not None and seq - last[0] >= changes) or (seconds is not None and now - last[1] >= seconds)
 
 
 def restore(log: DataFrame, key: list[str], folder: str, seq: int) -> DataFrame:
-    """The state at ``seq`` from the newest snapshot that is not after it and the changes since."""
+    """The state after change ``seq``, from the newest kept one that is not after it and the changes since."""
     spark = log.sparkSession
-    start = latest(spark, folder, seq)
-    if start is None:
+    start = catalogue(spark, folder).filter(F.col("seq") <= seq).agg(F.max(F.struct("seq", "name")).alias("s")).select("s.*").first()
+    if start["seq"] is None:
         return changelog.restore(log, key, seq)
-    return changelog.restore(log, key, seq, spark.read.parquet(start.path), start.seq)
+    return changelog.restore(log, key, seq, spark.read.parquet(f"{folder}/states/{start['name']}"), start["seq"])

@@ -141,18 +141,22 @@ def snapshot_restore(spark, d):
     """The state after 800 changes, from the newest of three snapshots that is not after it."""
     folder, log = _folder(spark, "snapshots"), _log(spark, d)
     for seq in (300, 700, 900):
-        snapshots.write(snapshots.restore(log, ["k"], folder, seq), folder, seq)
+        snapshots.keep(snapshots.restore(log, ["k"], folder, seq), folder, seq)
     return snapshots.restore(log, ["k"], folder, 800)
 
 
-@query("SELECT 700 AS seq, true AS kept UNION ALL SELECT 900, true UNION ALL SELECT 300, false")
+@query(f"""WITH s AS (SELECT seq, row_number() OVER (ORDER BY seq DESC) <= 2 AS kept FROM (SELECT DISTINCT seq FROM ({_LOG}) WHERE seq IN (300, 700, 900)))
+SELECT s.seq::BIGINT AS seq, s.kept, CASE WHEN s.kept THEN (SELECT count(DISTINCT k) FROM ({_LOG}) l WHERE l.seq <= s.seq) ELSE 0 END::BIGINT AS n FROM s""")
 def snapshot_prune(spark, d):
+    """Three kept sets of keys, of which the two newest stay: what is still there, and how much of it."""
     folder, log = _folder(spark, "snapshots"), _log(spark, d)
-    for seq in (300, 700, 900):
-        snapshots.write(log.filter(F.col("seq") == seq).select("k"), folder, seq)
-    gone = snapshots.prune(spark, folder, 2)
-    rows = [(s.seq, True) for s in snapshots.listed(spark, folder)] + [(s.seq, False) for s in gone]
-    return spark.createDataFrame(rows, "seq int, kept boolean")
+    numbers = [r["seq"] for r in log.filter(F.col("seq").isin(300, 700, 900)).select("seq").distinct().collect()]
+    for seq in sorted(numbers):
+        snapshots.keep(log.filter(F.col("seq") <= seq).select("k").distinct(), folder, seq)
+    gone = snapshots.give_up(spark, folder, snapshots.surplus(snapshots.catalogue(spark, folder), 2))
+    there = snapshots.catalogue(spark, folder).collect()
+    out = [spark.read.parquet(f"{folder}/states/{r['name']}").agg(F.lit(r["seq"]).cast("long").alias("seq"), F.lit(True).alias("kept"), F.count("*").alias("n")) for r in there]
+    return t.union(spark.createDataFrame([(seq, False, 0) for seq in gone], "seq long, kept boolean, n long"), *out)
 
 
 # entities and terms

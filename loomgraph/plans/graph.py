@@ -30,7 +30,7 @@ MAPPINGS = {
     # no two rows agree in these six columns
     "lineitem": Mapping(
         "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"], ["LineItem"], None,
-        [Field("l_quantity", "quantity", datatype="decimal"), Field("l_orderkey", "ofOrder", "link", target="orders")],
+        [Field("l_quantity", "quantity", datatype="decimal"), Field("l_orderkey", "ofOrder", "link", target="orders")], unique=True,
     ),
 }
 

@@ -129,17 +129,28 @@ def test_scalar_functions(spark):
 
 def test_snapshots(spark, tmp_path):
     folder = str(tmp_path / "s")
-    assert snapshots.latest(spark, folder) is None
-    for seq in (5, 3, 9):
-        snapshots.write(spark.range(seq), folder, seq)
-    assert [s.seq for s in snapshots.listed(spark, folder)] == [3, 5, 9] and snapshots.latest(spark, folder, 8).seq == 5
-    assert [s.seq for s in snapshots.prune(spark, folder, 1)] == [3, 5] and [s.seq for s in snapshots.listed(spark, folder)] == [9]
-    policy = snapshots.Policy(every_ops=10)
-    assert [policy.due(n, 0.0) for n in (9, 10, 11, 20)] == [False, True, False, True]
-    timed = snapshots.Policy(every_seconds=60)
-    assert [timed.due(n, now) for n, now in ((1, 0.0), (2, 30.0), (3, 61.0), (4, 90.0))] == [False, False, True, False]
-    with pytest.raises(ValueError, match="every_ops"):
-        snapshots.Policy(every_ops=0)
+    numbers = lambda: sorted(r["seq"] for r in snapshots.catalogue(spark, folder).collect())
+    assert numbers() == []
+    for seq in (5, 3, 9, 5):
+        snapshots.keep(spark.range(seq), folder, seq)
+    assert numbers() == [3, 5, 9]
+    assert snapshots.give_up(spark, folder, snapshots.surplus(snapshots.catalogue(spark, folder), 2)) == [3] and numbers() == [5, 9]
+    assert snapshots.give_up(spark, folder, snapshots.surplus(snapshots.catalogue(spark, folder), 2)) == []
+    spark.range(1).write.parquet(f"{folder}/states/11-unfinished")
+    assert numbers() == [5, 9]
+    with pytest.raises(ValueError, match="from 0"):
+        snapshots.keep(spark.range(1), folder, -1)
+    with pytest.raises(ValueError, match="at least 0"):
+        snapshots.surplus(snapshots.catalogue(spark, folder), -1)
+
+
+def test_when_a_snapshot_is_due():
+    assert [snapshots.due(n, 0.0, (0, 0.0), changes=10) for n in (9, 10, 11)] == [False, True, True]
+    assert [snapshots.due(1, now, (0, 30.0), seconds=60) for now in (30.0, 89.0, 90.0)] == [False, False, True]
+    assert not snapshots.due(10**6, 1e9, (0, 0.0)) and snapshots.due(5, 0.0, (4, 0.0), changes=1, seconds=60)
+    for wrong in ({"changes": 0}, {"seconds": 0}):
+        with pytest.raises(ValueError, match="between two"):
+            snapshots.due(1, 1.0, (0, 0.0), **wrong)
 
 
 def test_node_and_edge_tables_in_an_archive(spark, tmp_path):
