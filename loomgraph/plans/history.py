@@ -11,6 +11,7 @@ from ..operators import changelog as C
 from ..operators import property_graph as G
 from ..operators import search as R
 from ..operators.fixpoint import cut
+from ..operators.text_index import TextIndex
 from ..sources import nquads
 from ..storage import shared_dir
 from ..streaming import feed
@@ -43,13 +44,44 @@ def _parts(spark, d):
 _PART = "'https://kg.example/id/part/' || p_partkey AS iri, p_name AS label"
 
 
-@query(f"""WITH f AS (SELECT {_PART}, (len(string_split(lower(p_name), 'red')) - 1)::DOUBLE AS f, greatest(length(p_name) - 2, 0)::DOUBLE AS d FROM part),
+_BM25 = f"""WITH f AS (SELECT {_PART}, (len(string_split(lower(p_name), 'red')) - 1)::DOUBLE AS f, greatest(length(p_name) - 2, 0)::DOUBLE AS d FROM part),
 w AS (SELECT count(*) AS n, avg(d) AS a, count(*) FILTER (f > 0) AS k FROM f)
-SELECT iri, label, round(-greatest(ln((n - k + 0.5) / (k + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / a)), 6) AS score FROM f, w WHERE f > 0 ORDER BY score, iri LIMIT 50""")
+SELECT iri, label, round(-greatest(ln((n - k + 0.5) / (k + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / a)), 6) AS score FROM f, w WHERE f > 0 ORDER BY score, iri LIMIT 50"""
+
+
+@query(_BM25)
 def search_bm25(spark, d):
     return R.search(_parts(spark, d), "red").withColumn("score", F.round("score", 6))
 
 
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query(_BM25)
+def search_index(spark, d):
+    """The same ranking from postings of trigrams instead of the texts."""
+    index = TextIndex(spark, _folder(spark, "index"))
+    index.build(_parts(spark, d))
+    return index.search("red").withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'renamed ' || p_partkey ELSE p_name END AS p_name FROM part WHERE p_partkey % 50 <> 0)
+SELECT {_PART} FROM p WHERE contains(lower(p_name), 'red') OR contains(lower(p_name), 'med 1') ORDER BY iri""")
+def search_index_upkeep(spark, d):
+    """Names change and parts go; only their entries are written again, and then all segments are merged."""
+    recs = _parts(spark, d)
+    number = F.regexp_extract("iri", r"(\d+)$", 1)
+    index = TextIndex(spark, _folder(spark, "index"))
+    index.build(recs)
+    touched = recs.filter(number.cast("long") % 10 == 0).select("iri")
+    fresh = recs.filter(number.cast("long") % 50 != 0).withColumn("label", F.when(number.cast("long") % 10 == 0, F.concat(F.lit("renamed "), number)).otherwise(F.col("label")))
+    index.update(fresh, touched)
+    before = index.search("red", limit=1_000_000).select("iri", "label")
+    index.merge()
+    return before.union(index.search("med 1", limit=1_000_000).select("iri", "label")).distinct()
+
+
 @query(f"SELECT {_PART} FROM part WHERE contains(lower(p_name), 're') ORDER BY iri LIMIT 500")
 def search_short(spark, d):
     return R.search(_parts(spark, d), "RE", limit=500).select("iri", "label")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from ..operators import fixpoint
 from ..operators import graph_edit as E
 from ..operators import inference as I
 from ..operators import shapes as S
+from ..sources.quad_store import QuadStore
+from ..storage import shared_dir
 from .graph import kg, node, ontology, p, table
 from .patterns import LABEL, NODE, TYPE, key_of, lex
 
@@ -230,6 +233,22 @@ def graph_move(spark, d):
 # edge metadata
 
 
+@query("""
+SELECT 'urn:kg:data' AS g, 'label' AS p, (SELECT count(*) FROM customer) AS n, 1::BIGINT AS seq UNION ALL SELECT 'urn:kg:data', 'inNation', (SELECT count(*) FROM customer), 1
+UNION ALL SELECT 'urn:kg:places', 'label', (SELECT count(*) FROM nation WHERE n_nationkey % 2 = 0), 3 UNION ALL SELECT 'urn:kg:places', 'inRegion', (SELECT count(*) FROM nation), 3""")
+def store_graphs(spark, d):
+    """Two graphs in a store; one of them is replaced and then changed, and the other is left as it lies."""
+    store = QuadStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex[:12]}")
+    store.replace(kg(spark, d, "customer"), [t.DATA])
+    places = kg(spark, d, "nation").withColumn("g", F.lit("urn:kg:places"))
+    store.replace(places.filter(F.col("p") == t.LABEL), ["urn:kg:places"])
+    odd = (F.col("p") == t.LABEL) & (F.regexp_extract("s", r"(\d+)$", 1).cast("long") % 2 == 1)
+    store.change("urn:kg:places", add=places.filter(F.col("p") == t.ONT + "inRegion"), remove=places.filter(odd))
+    asked = store.read().filter(F.col("p").isin(t.LABEL, t.ONT + "inNation", t.ONT + "inRegion"))
+    counts = asked.groupBy("g", t.local_name(F.col("p")).alias("p")).agg(F.count("*").alias("n"))
+    return counts.join(store.current().select(F.col("graph").alias("g"), "seq"), "g").select("g", "p", "n", "seq")
+
+
 def _annotated(spark, d):
     rows = kg(spark, d, "customer").filter(F.col("p") == t.ONT + "inNation")
     number = F.regexp_extract("s", r"(\d+)$", 1).cast("long")

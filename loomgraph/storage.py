@@ -76,3 +76,24 @@ class Growing:
         """All rows added so far."""
         paths = [f"{self.root}/{i:04d}" for i in range(1, self.parts + 1)]
         return self.spark.read.schema(self.schema).parquet(*paths)
+
+
+class Manifest:
+    """An append-only table that says which folders of a store are in force.
+
+    A folder is written first and named here when it is complete, so that readers
+    see it whole or not at all.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str) -> None:
+        self.spark, self.path, self.schema = spark, f"{folder}/manifest", schema
+
+    def read(self) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def add(self, rows: DataFrame | list[tuple]) -> None:
+        rows = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, self.schema)
+        rows.coalesce(1).write.mode("append").parquet(self.path)
