@@ -42,6 +42,34 @@ def closure(edges: DataFrame, reflexive: bool = False, seeds: DataFrame | None =
     return known
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for the nodes of edges (a, b) of either direction; component is the smallest node of it.
+
+    Every node points at the smallest of its neighbours and itself; pointers are
+    followed by doubling, and what is left between the nodes they end at is the
+    next, smaller graph.
+    """
+    tables = Tables(edges.sparkSession, "components")
+    left = tables.cut(edges.filter("a is not null and b is not null").select("a", "b").distinct(), "edges")
+    at = tables.cut(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component")), "at")
+    left = tables.cut(left.filter("a <> b"), "left")
+    while not left.isEmpty():
+        both = left.union(left.select("b", "a"))
+        point = tables.cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")), "point")
+        while True:
+            ahead = point.select(F.col("a").alias("to"), F.col("to").alias("further"))
+            jumped = tables.cut(point.join(ahead, "to").select("a", F.col("further").alias("to")), "point")
+            still = jumped.join(point, ["a", "to"], "left_anti").isEmpty()
+            point = jumped
+            if still:
+                break
+        end = lambda c: point.select(F.col("a").alias(c), F.col("to").alias(f"{c}_"))
+        left = tables.cut(left.join(end("a"), "a").join(end("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b")).filter("a <> b").distinct(), "left")
+        moved = at.join(point.select(F.col("a").alias("component"), "to"), "component", "left")
+        at = tables.cut(moved.select("node", F.coalesce("to", "component").alias("component")), "at")
+    return at
+
+
 def levels(edges: DataFrame, start: DataFrame, depth: int, enough: int | None = None) -> DataFrame:
     """(start, node, level) within ``depth`` steps of each row of ``start`` (start), by breadth.
 

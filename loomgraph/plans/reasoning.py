@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import terms as t
@@ -12,6 +13,7 @@ from ..operators import algebra as A
 from ..operators import fixpoint
 from ..operators import graph_edit as E
 from ..operators import inference as I
+from ..operators import same_as as M
 from ..operators import shapes as S
 from ..sources.quad_store import QuadStore
 from ..storage import shared_dir
@@ -167,6 +169,22 @@ def ask_for_each(spark, d):
     return asked.join(hits, "n", "left").select(lex("name").alias("nation"), F.coalesce("hit", F.lit(False)).alias("found"))
 
 
+@query("""
+SELECT c_nationkey AS nation, count(*) * count(*) AS same, count(*) * count(DISTINCT c_mktsegment) AS segments FROM customer GROUP BY 1 HAVING count(*) > 1""")
+def same_as_classes(spark, d):
+    """The customers of a nation are said to be one, in a chain: the pairs and values that follow, counted without making them."""
+    rows = table(spark, d, "customer")
+    key = lambda c: F.concat(F.lit(f"<{NODE}customer/"), c.cast("string"), F.lit(">"))
+    chain = rows.select("c_nationkey", "c_custkey", F.lead("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("next")).filter("next is not null")
+    same = chain.select(key(F.col("c_custkey")).alias("s"), F.lit(f"<{t.OWL}sameAs>").alias("p"), key(F.col("next")).alias("o"))
+    facts = I.facts_of(kg(spark, d, "customer").filter(F.col("p") == t.ONT + "segment")).union(same)
+    found = M.materialise(facts)
+    nation = rows.select(key(F.col("c_custkey")).alias("node"), F.col("c_nationkey").alias("nation"))
+    sizes = found.classes.join(nation, "node").groupBy("component", "nation").agg(F.count("*").alias("n"))
+    values = found.facts.filter(F.col("p") == p("segment")).groupBy(F.col("s").alias("component")).agg(F.count("*").alias("k"))
+    return sizes.join(values, "component").select("nation", (F.col("n") * F.col("n")).alias("same"), (F.col("n") * F.col("k")).alias("segments"))
+
+
 @query("SELECT 'Customer' AS cls, count(*) AS n FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Nation', count(*) FROM nation")
 def instance_counts(spark, d):
     found = E.instance_counts(kg(spark, d, "customer", "supplier", "nation"))
