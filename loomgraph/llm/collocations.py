@@ -36,7 +36,7 @@ from .pieces import groups, ragged
 
 LONGEST, LEAST, SHARE, TOP = 3, 10, 50, 2000
 SLICE = 4 << 20  # bytes of text that a mapper counts at once
-SEGMENT = 1 << 21  # phrases of a segment, about
+SEGMENT = 1 << 20  # phrases of a segment, about
 BITS, CHUNK = 26, 18  # of the table of frequent phrases, and of a part of it
 SEEDS = 8
 PARTS = 64  # of a language, whose best phrases are found first

@@ -265,6 +265,8 @@ def write(docs: DataFrame, folder: str, path: str = VOCABULARY) -> None:
 
     Each text's ids are followed by the end id.  Null texts are empty; null
     doc_ids come first; rows of one doc_id are ordered by a hash of the text.
+    Other columns are not read, whatever their names, and an empty table gives
+    files without a document.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     # ranges of both, so that rows without a doc_id, or with one in common, are spread as well

@@ -559,3 +559,51 @@ def test_shards_by_hand(spark, docs, monkeypatch):
 def test_rows_that_are_held_out(docs, which, left):
     found = (lang_id.identify(docs) if which == "language" else toxicity.score(docs, None)).select("doc_id", "held_out").collect()
     assert len(found) == docs.count() and all(r["held_out"] == left(r["doc_id"]) for r in found)
+
+
+def test_recall_of_open_pairs(spark):
+    """Single pairs far from every pivot, at cosines from the threshold on: at least nine of ten are found, and nothing below it."""
+    rng = np.random.default_rng(11)
+    n = 2500
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((300, 64))
+    y -= (y * x[:300]).sum(axis=1, keepdims=True) * x[:300]
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    cosine = rng.uniform(0.931, 0.99, 300)[:, None]
+    x = np.concatenate([x, cosine * x[:300] + np.sqrt(1 - cosine**2) * y])
+    frame = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    sims = (x @ x.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :]
+    wanted = (sims >= vector_dedup.COSINE).sum(axis=1) - 1
+    found = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_vectors(frame.repartition(3)).collect()}
+    assert all(found[i] <= wanted[i] for i in range(len(x)))
+    assert sum(found.values()) >= 0.9 * wanted.sum() and wanted.sum() >= 600
+
+
+def test_vectors_that_are_repeated(spark):
+    """Repeated vec_ids and columns with the names of the results."""
+    rows = [(1, 7, [1.0, 0.0], 9), (1, 7, [1.0, 0.0], 9), (2, 7, [1.0, 0.01], 9), (3, 8, [1.0, 0.0], 9), (4, 7, [0.0, 1.0], 9)]
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>, n_links int").withColumn("component_id", F.lit("x"))
+    found = sorted(map(tuple, vector_dedup.near_vectors(frame).collect()))
+    assert found == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+    wide = spark.createDataFrame([(20, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>").withColumn("rank", F.lit("x")).withColumn("score", F.lit("y"))
+    assert [tuple(r) for r in topk.top_k(wide).collect()] == [(20, 1, 1, 8192)]
+
+
+def test_token_files_of_odd_rows(spark, tmp_path):
+    """Null and repeated doc_ids, null, empty and very long texts, columns with the names of the results."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(token_files.VOCABULARY)
+    long = " ".join(f"word{i * 7919 % 9973}" for i in range(60_000))
+    rows = [(3, long), (None, "no id"), (1, None), (1, "one"), (1, "one"), (2, ""), (None, "no id either")]
+    frame = spark.createDataFrame([(*r, 5, "x") for r in rows], "doc_id long, text string, start int, n_tokens string").repartition(3)
+    token_files.write(frame, str(tmp_path / "ids"))
+    found = sorted(token_files.read(spark, str(tmp_path / "ids"), digest=True).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in found] == [None, None, 1, 1, 1, 2, 3]
+    want = sorted((str(i), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, x in rows for ids in [[*library.encode(x or "", add_special_tokens=False).ids, 2]])
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in found) == want
+    start = 0
+    for r in found:
+        assert r["start"] == start
+        start += r["n_tokens"]
