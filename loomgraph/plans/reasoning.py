@@ -69,8 +69,7 @@ for _r in I.RULES:
 
 
 def _inferred(spark, d, profile: str):
-    rows = kg(spark, d, "region", "nation", "customer", "supplier").unionByName(ontology(spark))
-    facts = I.facts_of(rows.filter(F.col("p").isin(t.TYPE, t.ONT + "inNation", t.ONT + "inRegion", t.LABEL) | (F.col("g") == t.ONTOLOGY)))
+    facts = I.facts_of(kg(spark, d, "region", "nation", "customer", "supplier").unionByName(ontology(spark)))
     return facts, _whole(I.materialise(facts, profile))
 
 
@@ -119,10 +118,19 @@ def explain_triple(spark, d):
 # ontology
 
 
-@query("SELECT * FROM (VALUES ('Customer', 'Party'), ('Supplier', 'Party'), ('Party', 'Thing'), ('Region', ''), ('Nation', '')) v(cls, parents)")
+_INSTANCES = "CASE cls WHEN 'Customer' THEN (SELECT count(*) FROM customer) WHEN 'Supplier' THEN (SELECT count(*) FROM supplier) WHEN 'Nation' THEN (SELECT count(*) FROM nation) WHEN 'Region' THEN (SELECT count(*) FROM region) ELSE 0 END AS n"
+
+
+def _with_instances(found, spark, d):
+    """Classes (iri) with the number of their own instances in the tables."""
+    counts = E.instance_counts(kg(spark, d, "customer", "supplier", "nation", "region")).withColumnRenamed("cls", "iri")
+    return found.join(counts, "iri", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+@query(f"SELECT cls, parents, {_INSTANCES} FROM (VALUES ('Customer', 'Party'), ('Supplier', 'Party'), ('Party', 'Thing'), ('Region', ''), ('Nation', '')) v(cls, parents)")
 def class_tree(spark, d):
-    found = E.class_parents(ontology(spark)).filter(~F.col("iri").endswith("#locatedIn"))
-    return found.select(t.local_name(F.col("iri")).alias("cls"), F.array_join(F.transform("parents", t.local_name), ",").alias("parents"))
+    found = _with_instances(E.class_parents(ontology(spark)).filter(~F.col("iri").endswith("#locatedIn")), spark, d)
+    return found.select(t.local_name(F.col("iri")).alias("cls"), F.array_join(F.transform("parents", t.local_name), ",").alias("parents"), "n")
 
 
 def _brands(spark, d):
@@ -191,14 +199,18 @@ def instance_counts(spark, d):
     return found.select(t.local_name(F.col("cls")).alias("cls"), "n")
 
 
-@query("SELECT * FROM (VALUES ('segment'), ('inRegion')) v(label)")
+@query("SELECT 'segment' AS label, count(*) AS n FROM customer UNION ALL SELECT 'inRegion', count(*) FROM nation")
 def candidate_properties(spark, d):
-    return E.candidate_properties(ontology(spark), t.ONT + "Customer").select("label")
+    """The properties that suit a class, and how often the graph of the tables uses each."""
+    used = kg(spark, d, "customer", "nation").groupBy(t.local_name(F.col("p")).alias("label")).agg(F.count("*").alias("n"))
+    found = E.candidate_properties(ontology(spark), t.ONT + "Customer").select("label")
+    return found.join(used, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('Thing'), ('Party'), ('Customer'), ('Supplier')) v(cls)")
+@query(f"SELECT cls, {_INSTANCES} FROM (VALUES ('Thing'), ('Party'), ('Customer'), ('Supplier')) v(cls)")
 def descendants(spark, d):
-    return E.descendants(ontology(spark), t.ONT + "Thing").select(t.local_name(F.col("iri")).alias("cls"))
+    found = _with_instances(E.descendants(ontology(spark), t.ONT + "Thing"), spark, d)
+    return found.select(t.local_name(F.col("iri")).alias("cls"), "n")
 
 
 @query("SELECT count(*) FILTER (c_custkey % 7 = 0) AS n FROM customer")
