@@ -117,33 +117,56 @@ def neighbourhood(rows: DataFrame, start: str, type_iri: str, depth: int = 1, mo
 
 def shortest_path(rows: DataFrame, start: str, goal: str, type_iri: str, hops: int = 5) -> DataFrame | None:
     """Steps (step, a, p, b, forward) of a shortest undirected path, None if there is
-    none within ``hops`` (held between 1 and 8); no step if both ends are one node."""
+    none within ``hops`` (held between 1 and 8); no step if both ends are one node.
+
+    Two searches, from either end, go on level by level until one meets the other.
+    The one whose last level has fewer edges goes next, so a node with very many
+    edges is expanded only if the other side has even more.
+    """
     hops = min(8, max(1, hops))
     spark = rows.sparkSession
+    schema = "step int, a string, p string, b string, forward boolean"
+    if start == goal:
+        return spark.createDataFrame([], schema)
     tables = Tables(spark, "path")
     edges = tables.cut(incident(rows, type_iri), "edges")
-    first = spark.createDataFrame([(start, None, None, None, 0)], "node string, from_ string, p string, forward boolean, level int")
-    grown = Growing(tables, "seen", first.schema)
-    front, level = grown.add(first), 0
-    while start != goal and level < hops:
-        level += 1
-        best = edges.join(front.select(F.col("node").alias("a")), "a").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("a", "p", "forward")).alias("m"))
-        fresh = best.join(grown.read().select("node"), "node", "left_anti")
-        front = grown.add(fresh.select("node", F.col("m.a").alias("from_"), "m.p", "m.forward", F.lit(level).alias("level")))
-        if front.isEmpty():
-            return None
-        if not front.filter(F.col("node") == goal).isEmpty():
-            break
-    else:
-        if start != goal:
+    kind = "node string, from_ string, p string, forward boolean, level int"
+    width = lambda front: edges.join(front.select(F.col("node").alias("a")), "a", "left_semi").count()
+    sides = []
+    for end in (start, goal):
+        first = spark.createDataFrame([(end, None, None, None, 0)], kind)
+        grown = Growing(tables, "seen", first.schema)
+        front = grown.add(first)
+        sides.append({"grown": grown, "front": front, "size": width(front), "level": 0})
+    meeting = None
+    while meeting is None and sides[0]["level"] + sides[1]["level"] < hops:
+        own, other = sorted(sides, key=lambda side: side["size"])
+        own["level"] += 1
+        ends = own["front"].select(F.col("node").alias("a"))
+        best = edges.join(ends, "a").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("a", "p", "forward")).alias("m"))
+        fresh = best.join(own["grown"].read().select("node"), "node", "left_anti")
+        own["front"] = own["grown"].add(fresh.select("node", F.col("m.a").alias("from_"), "m.p", "m.forward", F.lit(own["level"]).alias("level")))
+        if own["front"].isEmpty():
             return None
-    seen = grown.read()
-    path, node = [], goal
-    for step in range(level, 0, -1):  # at most eight look-ups
-        r = seen.filter((F.col("node") == node) & (F.col("level") == step)).first()
-        path.append((step, r["from_"], r["p"], node, r["forward"]))
-        node = r["from_"]
-    return spark.createDataFrame(path[::-1], "step int, a string, p string, b string, forward boolean")
+        own["size"] = width(own["front"])
+        # the other side's earlier levels were met before, so what both have seen now lies on its last one
+        meeting = own["front"].select("node").join(other["grown"].read().select("node"), "node", "left_semi").agg(F.min("node")).first()[0]
+    if meeting is None:
+        return None
+
+    def back(side: dict) -> list[tuple]:
+        """The steps from the meeting to the side's end: node, the one before it, p and forward."""
+        seen, node, out = side["grown"].read(), meeting, []
+        while True:  # at most eight look-ups
+            r = seen.filter(F.col("node") == node).first()
+            if r["from_"] is None:
+                return out
+            out.append((node, r["from_"], r["p"], r["forward"]))
+            node = r["from_"]
+
+    path = [(a, p, b, forward) for b, a, p, forward in reversed(back(sides[0]))]
+    path += [(a, p, b, not forward) for a, b, p, forward in back(sides[1])]
+    return spark.createDataFrame([(k + 1, *step) for k, step in enumerate(path)], schema)
 
 
 def describe(rows: DataFrame, node: str, depth: int = 1, layout: str = "urn:kg:layout") -> DataFrame:

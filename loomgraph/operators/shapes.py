@@ -501,6 +501,12 @@ _EACH = {"node": "node", "none_of": "not"}
 _STEPS = {"inverse": "inversePath", "star": "zeroOrMorePath", "plus": "oneOrMorePath", "maybe": "zeroOrOnePath"}
 
 
+_READ = {
+    *_PARTS.values(), *_IRIS.values(), *_LISTS.values(), *_EACH.values(), "severity", "nodeKind", "hasValue", "in", "uniqueLang", "qualifiedValueShape", "path", "property",
+    "closed", "ignoredProperties", "targetClass", "targetNode", "targetSubjectsOf", "targetObjectsOf", "deactivated", "name", "description", "order", "group", "defaultValue",
+}
+
+
 def _iri(name: str) -> str:
     """Key of the node of a shape; names of shapes that were read from elsewhere are keys already."""
     return name if name.startswith(("<", "_:")) else f"<{t.BASE}shape/{name}>"
@@ -685,15 +691,30 @@ class _Loader:
         for node in list(self.said):
             found |= {k for term in (*_EACH.values(), "qualifiedValueShape") for k, _ in self.get(node, term)}
             found |= {x for term in _LISTS.values() for k, _ in self.get(node, term) for x in self.items(k)}
+        found = {n for n in found if not any(x == "true" for _, x in self.get(n, "deactivated"))}
+        self.check(found)
         return sorted((self.shape(n) for n in found), key=lambda s: s.name)
 
+    def check(self, found: set[str]) -> None:
+        """An error for a constraint that would be lost: terms that are not read, and properties of the values of a property."""
+        parts = {k for n in found for k, _ in self.get(n, "property")}
+        for node in sorted(found | parts):
+            odd = sorted(p for p in self.said.get(node, {}) if p.startswith(t.SH) and p[len(t.SH) :] not in _READ)
+            if self.get(node, "path") and self.get(node, "property"):
+                odd.append(t.SH + "property")
+            if any(x == "true" for k in parts for _, x in self.get(k, "deactivated")):
+                odd.append(t.SH + "deactivated")
+            if odd:
+                raise ValueError(f"shape {node}: {', '.join(x[len(t.SH):] for x in odd)} is not read here")
+
 
 def load(rows: DataFrame) -> list[Shape]:
     """The shapes of the shapes graph, in order of their names; shapes are few, whatever the data.
 
     Shapes that were written by hand are read too: blank labels may be any, and
     a shape without a name of its own is named by its label.  A target class
-    beyond the first one of a shape is not read: such a shape is an error.
+    beyond the first one of a shape is not read: such a shape is an error, and
+    so is one with a constraint of a kind that is not evaluated.
     """
     said = rows.filter(F.col("g") == t.SHAPES).select(t.node_key(F.col("s"), F.col("s_kind")).alias("s"), "p", "o_key", "o").collect()
     for r in said:

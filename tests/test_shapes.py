@@ -196,3 +196,13 @@ def test_errors(facts):
 def test_one_shape(facts):
     assert _rows(S.validate_one(facts, SHAPES, "c")) == [r for r in _plain(_facts(), SHAPES) if r[0] == "c"]
     assert S.validate(facts.limit(0), SHAPES).filter("shape <> 'ends'").count() == 0
+
+
+@pytest.mark.parametrize("more", ["sh:property [ sh:path x:to ; sh:languageIn ( \"en\" ) ]", "sh:sparql [ ]", "sh:property [ sh:path x:to ; sh:property [ sh:path x:size ] ]", "sh:targetClass x:D"])
+def test_shapes_that_are_not_read(spark, more):
+    from loomgraph.sources import turtle
+
+    rows = turtle._Reader(f"@prefix sh: <{t.SH}> . @prefix x: <{EX}> . x:S a sh:NodeShape ; sh:targetClass x:C ; {more} .", EX, "h").document()
+    quads = of_keys(spark.createDataFrame(rows, "g string, sk string, pk string, ok string").withColumn("g", F.lit(t.SHAPES)))
+    with pytest.raises(ValueError, match="not read|more than one"):
+        S.load(quads)
