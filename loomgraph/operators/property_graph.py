@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms as t
@@ -37,15 +37,23 @@ def degrees(rows: DataFrame) -> DataFrame:
 
 
 def mermaid(rows: DataFrame, most: int = 200) -> DataFrame:
-    """(line) of a flow chart of the first ``most`` nodes by id and the edges between them."""
-    n = nodes(rows).select("id", "label").orderBy("id").limit(most)
+    """(part, line) of a flow chart of the first ``most`` nodes by id and the edges between them; sorted by part it is well formed.
+
+    A last line says how many nodes were left out, if any were.
+    """
+    every = nodes(rows).select("id", "label")
+    n = every.orderBy("id").limit(most)
     n = n.withColumn("i", F.row_number().over(Window.orderBy("id")) - 1)
     name = F.concat(F.lit("n"), F.col("i").cast("string"))
     clean = F.translate(F.replace("label", F.lit('"'), F.lit("'")), "\n", " ")
-    node_lines = n.select(F.concat(name, F.lit('["'), clean, F.lit('"]')).alias("line"))
+    node_lines = n.select(F.lit(1).alias("part"), F.concat(name, F.lit('["'), clean, F.lit('"]')).alias("line"))
+    head = rows.sparkSession.createDataFrame([(0, "graph LR")], "part int, line string")
+    left_out = every.agg((F.count("*") - most).alias("n")).filter("n > 0")
+    tail = left_out.select(F.lit(3).alias("part"), F.concat(F.lit("%% "), F.col("n").cast("string"), F.lit(" more nodes are left out")).alias("line"))
     a, b = n.select(F.col("id").alias("source"), name.alias("a")), n.select(F.col("id").alias("target"), name.alias("b"))
     e = edges(rows).join(F.broadcast(a), "source").join(F.broadcast(b), "target")
-    return node_lines.union(e.select(F.concat("a", F.lit(" -->|"), t.local_name(F.col("predicate")), F.lit("| "), "b").alias("line")))
+    edge_lines = e.select(F.lit(2).alias("part"), F.concat("a", F.lit(" -->|"), t.local_name(F.col("predicate")), F.lit("| "), "b").alias("line"))
+    return t.union(head, node_lines, edge_lines, tail)
 
 
 def loss(rows: DataFrame) -> DataFrame:
@@ -65,9 +73,26 @@ def to_quads(node_rows: DataFrame, edge_rows: DataFrame, lang: str | None = None
 
 
 def node_csv(rows: DataFrame) -> DataFrame:
-    """Node table of a graph import: :ID, label, :LABEL and attributes as JSON."""
+    """Node table of a graph import: :ID, label, :LABEL and a column for each attribute, several values apart by spaces.
+
+    Attributes whose names differ in case only share no column: the later one has ``_`` added.
+    """
+    n = nodes(rows)
     names = F.transform("types", lambda c: t.local_name(c))
-    return nodes(rows).select(F.col("id").alias(":ID"), "label", F.array_join(names, ";").alias(":LABEL"), F.to_json("attrs").alias("attrs"))
+    keys = sorted(r[0] for r in n.select(F.explode("attrs.key")).distinct().collect())  # as many as the vocabulary has
+    columns, taken = [], {":id", "label", ":label"}
+    for key in keys:
+        name = key
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        columns.append(F.nullif(_values("attrs", F.lit(key)), F.lit("")).alias(name))
+    return n.select(F.col("id").alias(":ID"), "label", F.array_join(names, ";").alias(":LABEL"), *columns)
+
+
+def _values(attrs: str, key: Column) -> Column:
+    """The values of one attribute, in order, apart by spaces."""
+    return F.array_join(F.transform(F.filter(attrs, lambda a: a["key"] == key), lambda a: a["value"]), " ")
 
 
 def edge_csv(rows: DataFrame) -> DataFrame:
@@ -81,13 +106,20 @@ def _xml(c):
 
 
 def graphml(rows: DataFrame) -> DataFrame:
-    """(part, line) of a GraphML document; sorted by part it is well formed."""
+    """(part, line) of a GraphML document with the attributes of nodes; sorted by part it is well formed."""
+    own = lambda k: F.when(k.isin("label", "types", "predicate"), F.concat(k, F.lit("_"))).otherwise(k)
     data = lambda k, c: F.concat(F.lit(f'<data key="{k}">'), _xml(c), F.lit("</data>"))
-    n = nodes(rows).select(F.lit(1).alias("part"), F.concat(F.lit('<node id="'), _xml(F.col("id")), F.lit('">'), data("label", F.col("label")), data("types", F.array_join("types", " ")), F.lit("</node>")).alias("line"))
+    every = nodes(rows)
+    one = lambda k: F.concat(F.lit('<data key="'), _xml(own(k)), F.lit('">'), _xml(_values("attrs", k)), F.lit("</data>"))
+    more = F.array_join(F.transform(F.array_distinct("attrs.key"), one), "")
+    n = every.select(F.lit(1).alias("part"), F.concat(F.lit('<node id="'), _xml(F.col("id")), F.lit('">'), data("label", F.col("label")), data("types", F.array_join("types", " ")), more, F.lit("</node>")).alias("line"))
     e = edges(rows).select(F.lit(2).alias("part"), F.concat(F.lit('<edge source="'), _xml(F.col("source")), F.lit('" target="'), _xml(F.col("target")), F.lit('">'), data("predicate", F.col("predicate")), F.lit("</edge>")).alias("line"))
-    head = '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="label" for="node" attr.name="label"/><key id="types" for="node" attr.name="types"/><key id="predicate" for="edge" attr.name="predicate"/><graph edgedefault="directed">'
-    frame = rows.sparkSession.createDataFrame([(0, head), (3, "</graph></graphml>")], "part int, line string")
-    return frame.union(n).union(e)
+    head = '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="label" for="node" attr.name="label"/><key id="types" for="node" attr.name="types"/><key id="predicate" for="edge" attr.name="predicate"/>'
+    keys = F.sort_array(F.collect_set("key"))  # as many as the vocabulary has
+    declared = F.transform(keys, lambda k: F.concat(F.lit('<key id="'), _xml(own(k)), F.lit('" for="node" attr.name="'), _xml(k), F.lit('"/>')))
+    first = every.select(F.explode("attrs.key").alias("key")).agg(F.concat(F.lit(head), F.array_join(declared, ""), F.lit('<graph edgedefault="directed">')).alias("line"))
+    last = rows.sparkSession.createDataFrame([(3, "</graph></graphml>")], "part int, line string")
+    return t.union(first.select(F.lit(0).alias("part"), "line"), n, e, last)
 
 
 def read_graphml(spark, path: str) -> tuple[DataFrame, DataFrame]:

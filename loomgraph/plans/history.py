@@ -246,9 +246,10 @@ def nquads_roundtrip(spark, d):
     return both.agg(F.sum("n").alias("n"), F.sum("lost").alias("lost"))
 
 
-@query(f"SELECT {CUSTOMER_IRI} AS \":ID\", c_name AS label, 'Customer' AS \":LABEL\" FROM customer")
+@query(f"SELECT {CUSTOMER_IRI} AS \":ID\", c_name AS label, 'Customer' AS \":LABEL\", c_custkey::VARCHAR AS \"externalKey\", c_mktsegment AS segment FROM customer")
 def pg_node_csv(spark, d):
-    return G.node_csv(kg(spark, d, "customer")).filter(F.col(":LABEL") != "").select(":ID", "label", ":LABEL")
+    """Nodes with a column for each attribute."""
+    return G.node_csv(kg(spark, d, "customer")).filter(F.col(":LABEL") != "").drop("acctbal")
 
 
 _PLACES = """n AS (SELECT 'https://kg.example/id/nation/' || n_nationkey AS id, n_name AS label, 'https://kg.example/ont#Nation' AS types FROM nation
@@ -257,12 +258,15 @@ e AS (SELECT 'https://kg.example/id/nation/' || n_nationkey AS source, 'https://
 
 
 @query(f"""WITH {_PLACES}, i AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i FROM n)
-SELECT 'n' || i || '["' || label || '"]' AS line FROM i UNION ALL SELECT 'n' || a.i || ' -->|inRegion| n' || b.i FROM e JOIN i a ON a.id = source JOIN i b ON b.id = target""")
+SELECT 0 AS part, 'graph LR' AS line UNION ALL SELECT 1, 'n' || i || '["' || label || '"]' FROM i WHERE i < 20
+UNION ALL SELECT 2, 'n' || a.i || ' -->|inRegion| n' || b.i FROM e JOIN i a ON a.id = source JOIN i b ON b.id = target WHERE a.i < 20 AND b.i < 20
+UNION ALL SELECT 3, '%% ' || (count(*) - 20) || ' more nodes are left out' FROM i HAVING count(*) > 20""")
 def mermaid_lines(spark, d):
-    return G.mermaid(kg(spark, d, "nation", "region"))
+    """A flow chart of the first twenty nodes."""
+    return G.mermaid(kg(spark, d, "nation", "region"), 20)
 
 
-@query(f"""WITH {_PLACES} SELECT 1 AS part, '<node id="' || id || '"><data key="label">' || label || '</data><data key="types">' || types || '</data></node>' AS line FROM n
+@query(f"""WITH {_PLACES} SELECT 1 AS part, '<node id="' || id || '"><data key="label">' || label || '</data><data key="types">' || types || '</data><data key="externalKey">' || regexp_extract(id, '[^/]+$') || '</data></node>' AS line FROM n
 UNION ALL SELECT 2, '<edge source="' || source || '" target="' || target || '"><data key="predicate">https://kg.example/ont#inRegion</data></edge>' FROM e
 UNION ALL SELECT 3, '</graph></graphml>'""")
 def graphml_lines(spark, d):

@@ -265,3 +265,22 @@ def test_search_returns_as_many_as_are_asked_for(spark):
 
     recs = spark.range(1500).select(F.concat(F.lit("urn:"), "id").alias("iri"), F.lit("kyoto").alias("label"), F.lit("").alias("comment"), F.array().cast("array<string>").alias("types"), F.lit("entity").alias("kind"))
     assert search.search(recs, "kyo", limit=1500).count() == 1500 and search.search(recs, "ky", limit=1400).count() == 1400
+
+
+def test_attributes_in_exports(spark, tmp_path):
+    """Attributes survive GraphML and node tables, with odd characters, several values and names of the formats."""
+    said = [("a", t.LABEL, '"A <&>"'), ("a", "http://x/age", f'"4"^^<{t.XSD}integer>'), ("a", "http://x/age", f'"5"^^<{t.XSD}integer>'), ("a", "http://x/types", '"q&q"'), ("b", "http://x/Age", '"other"'), ("a", "http://x/to", "<urn:b>")]
+    from loomgraph.operators.graph_edit import of_keys
+
+    rows = of_keys(spark.createDataFrame([(t.DATA, f"<urn:{s}>", f"<{p}>", o) for s, p, o in said], "g string, sk string, pk string, ok string"))
+    lines = [r["line"] for r in property_graph.graphml(rows).orderBy("part").collect()]
+    (tmp_path / "g").mkdir()
+    path = _write(tmp_path / "g", "a.graphml", "\n".join(lines))
+    n, e = property_graph.read_graphml(spark, path)
+    assert {r["id"]: {(a["key"], a["value"]) for a in r["attrs"]} for r in n.collect()} == {"urn:a": {("age", "4 5"), ("types_", "q&q")}, "urn:b": {("Age", "other")}}
+    assert [tuple(r) for r in e.collect()] == [("urn:a", "http://x/to", "urn:b")] and n.filter("id = 'urn:a'").first()["label"] == "A <&>"
+    found = {r[":ID"]: r for r in property_graph.node_csv(rows).collect()}
+    assert property_graph.node_csv(rows).columns == [":ID", "label", ":LABEL", "Age", "age_", "types"]
+    assert tuple(found["urn:a"])[3:] == (None, "4 5", "q&q") and tuple(found["urn:b"])[3:] == ("other", None, None)
+    chart = [r["line"] for r in property_graph.mermaid(rows, 1).orderBy("part").collect()]
+    assert chart[0] == "graph LR" and len(chart) == 3 and chart[-1] == "%% 1 more nodes are left out"
