@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions import terms as t
+from ..storage import Growing, Tables
 from . import algebra
 from .fixpoint import closure
 
@@ -115,6 +116,28 @@ def class_parents(rows: DataFrame) -> DataFrame:
     return own.groupBy(F.col("s").alias("iri")).agg(is_property.alias("prop"), parents.alias("parents")).filter("prop = 0").drop("prop")
 
 
+def class_forest(rows: DataFrame) -> DataFrame:
+    """(root, path, iri, depth): every class at each place that it has below a root; path leads from the root to it.
+
+    A class with several parents has a place below each.  Parents that are no
+    classes of the ontology do not count; a class is not repeated below itself,
+    and if all lie on cycles, each is a root.
+    """
+    tables = Tables(rows.sparkSession, "forest")
+    terms = tables.cut(class_parents(rows), "classes")
+    links = terms.select(F.explode("parents").alias("parent"), F.col("iri").alias("child")).filter("parent <> child")
+    links = tables.cut(links.join(terms.select(F.col("iri").alias("parent")), "parent", "left_semi"), "links")
+    roots = tables.cut(terms.select("iri").join(links.select(F.col("child").alias("iri")), "iri", "left_anti"), "roots")
+    roots = terms.select("iri") if roots.isEmpty() else roots
+    first = roots.select(F.col("iri").alias("root"), F.array("iri").alias("path"), "iri", F.lit(0).alias("depth"))
+    grown = Growing(tables, "places", first.schema)
+    front = grown.add(first)
+    while not front.isEmpty():
+        below = front.join(links, front["iri"] == links["parent"]).filter(~F.array_contains("path", F.col("child")))
+        front = grown.add(below.select("root", F.array_append("path", F.col("child")).alias("path"), F.col("child").alias("iri"), (F.col("depth") + 1).alias("depth")))
+    return grown.read()
+
+
 def descendants(rows: DataFrame, cls: str) -> DataFrame:
     """The class and everything below it: iri."""
     edges = rows.filter((F.col("p") == t.RDFS + "subClassOf") & (F.col("o_kind") == "iri")).select(F.col("o").alias("a"), F.col("s").alias("b"))
@@ -144,7 +167,7 @@ def range_mismatch(rows: DataFrame) -> DataFrame:
     ranges = rows.filter((F.col("g") == t.ONTOLOGY) & (F.col("p") == t.RDFS + "range")).groupBy(F.col("s").alias("p")).agg(F.collect_set("o").alias("range"))
     types = rows.filter((F.col("p") == t.TYPE) & (F.col("o_kind") == "iri")).groupBy(F.col("s").alias("o")).agg(F.collect_set(F.col("o")).alias("types"))
     edges = rows.filter((F.col("g") == t.DATA) & (F.col("o_kind") == "iri")).select("s", "p", "o")
-    joined = edges.join(F.broadcast(ranges), "p").join(types, "o", "left")
+    joined = edges.join(ranges, "p").join(types, "o", "left")
     return joined.filter(~F.coalesce(F.arrays_overlap("types", "range"), F.lit(False))).select("s", "p", "o")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import unicodedata
 
 import pandas as pd
@@ -67,8 +68,6 @@ def search(recs: DataFrame, query: str, kind: str | None = None, cls: str | None
     counted = recs.withColumn("d", (grams("label") + grams("comment")).cast("double"))
     whole = counted.agg(F.count("*").alias("n"), F.avg("d").alias("avg"), F.count(F.when(hits, 1)).alias("df")).first()
     n, avg, df = whole["n"], whole["avg"] or 1.0, whole["df"]
-    import math
-
     idf = math.log((n - df + 0.5) / (df + 0.5))
     idf = idf if idf > 0 else 1e-6
     freq = (occurrences(F.coalesce("label", F.lit("")), query) + occurrences(F.coalesce("comment", F.lit("")), query)).cast("double")
@@ -125,6 +124,25 @@ def similar(vectors: DataFrame, query: DataFrame, limit: int = 10, least: float
     return scores.filter(F.col("score") > least).orderBy(F.desc("score"), "iri").limit(limit)
 
 
+def nearest(vectors: DataFrame, query: list[float], limit: int = 10, least: float = 0.0) -> DataFrame:
+    """(id, score) of the dense vectors (id, vector) nearest to a query by cosine, ties by id.
+
+    Only scores above ``least`` count.  The query is part of the plan, so no
+    table is joined.  A zero query has no neighbour, nor has a vector that is
+    null, zero, of another length or not finite.
+    """
+    length = math.sqrt(sum(x * x for x in query))
+    e = F.col("vector").cast("array<double>")
+    q = F.array(*[F.lit(float(x)) for x in query])
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    sound = e.isNotNull() & (F.size(e) == len(query)) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = vectors.filter(sound).select("id", dot(e, q).alias("dot"), F.sqrt(dot(e, e)).alias("own")).filter(F.col("own") > 0)
+    if not length:
+        rows = rows.limit(0)
+    scored = rows.select("id", (F.col("dot") / (F.col("own") * F.lit(length or 1.0))).alias("score"))
+    return scored.filter(F.col("score") > least).orderBy(F.desc("score"), "id").limit(limit)
+
+
 def gram_cosine(texts: DataFrame) -> DataFrame:
     """(iri, gram, weight): unit vectors over the grams themselves."""
     counts = texts.select("iri", F.explode(ngrams(F.lower("text"))).alias("gram")).groupBy("iri", "gram").agg(F.count("*").cast("double").alias("n"))

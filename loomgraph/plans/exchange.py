@@ -21,21 +21,9 @@ from ..storage import shared_dir
 from .graph import kg, node, ontology, p, table
 from .history import _LOG, _log
 from .patterns import NODE
+from .registry import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            SQL[fn.__name__] = sql
-        return fn
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 def _folder(spark, name: str) -> str:
@@ -212,13 +200,11 @@ def metadata_replace(spark, d):
 @query("""SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 6) AS score
 FROM embeddings WHERE vec_id <> 7 ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) DESC, vec_id LIMIT 10""")
 def embedding_topk(spark, d):
-    """The ten vectors nearest to one by cosine; the query's vector is one row and goes out with the tasks."""
-    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    asked = rows.filter("vec_id = 7").select(F.col("e").alias("q")).limit(1)
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    scored = rows.filter("vec_id <> 7").join(F.broadcast(asked), F.lit(True))
-    cosine = dot(F.col("e"), F.col("q")) / (F.sqrt(dot(F.col("e"), F.col("e"))) * F.sqrt(dot(F.col("q"), F.col("q"))))
-    return scored.select("vec_id", cosine.alias("score")).orderBy(F.desc("score"), "vec_id").limit(10).select("vec_id", F.round("score", 6).alias("score"))
+    """The ten vectors nearest to one by cosine."""
+    rows = table(spark, d, "embeddings")
+    asked = rows.filter("vec_id = 7").select("embedding").first()["embedding"]
+    found = R.nearest(rows.filter("vec_id <> 7").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), asked)
+    return found.select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 @query("SELECT label, place, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::INTEGER - 1 AS place FROM embeddings) GROUP BY 1, 2")

@@ -11,21 +11,9 @@ from ..operators import graph_edit as E
 from ..operators import paths as P
 from .graph import kg, node, p, table
 from .patterns import LABEL, NODE, TYPE, key_of
+from .registry import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            SQL[fn.__name__] = sql
-        return fn
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 def _k(text: str):

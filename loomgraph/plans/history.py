@@ -16,24 +16,12 @@ from ..sources import nquads
 from ..storage import shared_dir
 from ..streaming import feed
 from .graph import kg, table
+from .registry import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES, SQL, query = registry()
 CUSTOMER_IRI = "'https://kg.example/id/customer/' || c_custkey"
 
 
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            SQL[fn.__name__] = sql
-        return fn
-
-    return add
-
-
 # search
 
 

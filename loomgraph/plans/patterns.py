@@ -10,26 +10,14 @@ from ..operators import algebra as A
 from ..operators import fixpoint
 from ..sources import mapping
 from .graph import MAPPINGS, kg, node, p, table
+from .registry import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES, SQL, query = registry()
 NODE = t.ID
 TYPE = f"<{t.TYPE}>"
 LABEL = f"<{t.LABEL}>"
 
 
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            SQL[fn.__name__] = sql
-        return fn
-
-    return add
-
-
 def lex(name: str, cast: str | None = None):
     out = A.text(F.col(name))
     return (out.cast(cast) if cast else out).alias(name)

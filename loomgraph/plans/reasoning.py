@@ -19,21 +19,9 @@ from ..sources.quad_store import QuadStore
 from ..storage import shared_dir
 from .graph import kg, node, ontology, p, table
 from .patterns import LABEL, NODE, TYPE, key_of, lex
+from .registry import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            SQL[fn.__name__] = sql
-        return fn
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 # inference
@@ -153,6 +141,14 @@ def class_tree_of_brands(spark, d):
     return found.select(t.local_name(F.col("iri")).alias("cls"), F.array_join(F.transform("parents", t.local_name), ",").alias("parents"))
 
 
+@query(f"""SELECT DISTINCT 'Maker' || substr({_DIGITS}, 1, 1) AS root, 'Maker' || substr({_DIGITS}, 1, 1) AS path, 0 AS depth FROM part
+UNION SELECT DISTINCT 'Maker' || substr({_DIGITS}, 1, 1), 'Maker' || substr({_DIGITS}, 1, 1) || '/Brand' || {_DIGITS}, 1 FROM part""")
+def class_forest_of_brands(spark, d):
+    """Every class at its place below a root."""
+    found = E.class_forest(_brands(spark, d))
+    return found.select(t.local_name(F.col("root")).alias("root"), F.array_join(F.transform("path", t.local_name), "/").alias("path"), "depth")
+
+
 @query(f"SELECT 'Maker' || substr({_DIGITS}, 1, 1) AS maker, count(*) AS n FROM part GROUP BY 1")
 def instances_below(spark, d):
     """Instances of each maker's class through its subclasses, by the subclass rules."""

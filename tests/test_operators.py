@@ -167,3 +167,25 @@ def test_paths_of_length_zero_and_given_terms(spark):
     assert found(paths.star(step, given=("<urn:z>",)), "<urn:z>") == {("<urn:z>",)}
     assert found(paths.plus(step), "<urn:a>") == {("<urn:b>",), ("<urn:c>",)} and found(paths.inverse(step), "<urn:b>") == {("<urn:a>",)}
     assert found(paths.seq(step, step)) == {("<urn:a>", "<urn:c>")} and found(paths.negated("urn:p")) == set()
+
+
+def test_class_forest(spark):
+    from loomgraph.operators import graph_edit
+
+    def forest(pairs):
+        rows = graph_edit.of_keys(spark.createDataFrame([(t.ONTOLOGY, f"<urn:{a}>", f"<{t.RDFS}subClassOf>", f"<urn:{b}>") for a, b in pairs], "g string, sk string, pk string, ok string"))
+        return sorted("/".join(x[4:] for x in r["path"]) for r in graph_edit.class_forest(rows).collect())
+
+    assert forest([("r", "outside"), ("a", "r"), ("b", "r"), ("c", "a"), ("c", "b"), ("c", "c")]) == ["r", "r/a", "r/a/c", "r/b", "r/b/c"]
+    assert forest([("a", "b"), ("b", "a")]) == ["a", "a/b", "b", "b/a"]
+    assert forest([("r", "outside"), ("a", "r"), ("a", "b"), ("b", "a")]) == ["r", "r/a", "r/a/b"]
+
+
+def test_nearest_vectors(spark):
+    from loomgraph.operators import search
+
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 1.0]), (4, [-1.0, 0.0]), (5, [0.0, 0.0]), (6, None), (7, [1.0]), (8, [float("nan"), 1.0]), (9, [None, 1.0])]
+    frame = spark.createDataFrame(rows, "id long, vector array<double>")
+    assert [r["id"] for r in search.nearest(frame, [3.0, 0.0]).collect()] == [1, 2, 3]
+    assert [r["id"] for r in search.nearest(frame, [3.0, 0.0], limit=9, least=-2.0).collect()] == [1, 2, 3, 4]
+    assert [r["id"] for r in search.nearest(frame, [3.0, 0.0], least=0.8).collect()] == [1, 2] and search.nearest(frame, [0.0, 0.0]).count() == 0
