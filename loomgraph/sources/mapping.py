@@ -47,6 +47,8 @@ class Mapping:
         asked = [*self.key, *([self.label] if self.label else []), *(f.column for f in self.fields)]
         if missing := sorted(set(asked) - set(columns)):
             raise ValueError(f"mapping {self.name}: no column {', '.join(missing)}")
+        if both := sorted(f.column for f in self.fields if f.datatype and f.language):
+            raise ValueError(f"mapping {self.name}: a datatype and a language for {', '.join(both)}")
 
 
 def node_iri(table: str, key: Column) -> Column:
@@ -92,6 +94,9 @@ def ingest(table: DataFrame, mapping: Mapping, known: DataFrame | None = None, p
     the others while planning and the scan reads the columns of what is left;
     ``predicates`` leaves branches out from the start.  With a ``unique`` mapping
     the quads are distinct as they come and need no shuffle.
+
+    A text that is not in the lexical space of the datatype declared for its
+    column is an error; columns of another type than text are taken as they are.
     """
     mapping.check(table.columns)
     key = F.col("key_")
@@ -113,6 +118,9 @@ def ingest(table: DataFrame, mapping: Mapping, known: DataFrame | None = None, p
         if f.skip_empty or f.kind != "literal":
             cell = F.nullif(cell, F.lit(""))
         if f.kind == "literal":
+            if f.datatype and table.schema[f.column].dataType.typeName() == "string":
+                wrong = F.raise_error(F.concat(F.lit(f"mapping {mapping.name}, column {f.column}: not of type {f.datatype}: "), cell))
+                cell = F.when(cell.isNull() | t.lexically_valid(cell, F.lit(t.XSD + f.datatype)), cell).otherwise(wrong.cast("string"))
             kind = t.XSD + f.datatype if f.datatype else (None if f.language else t.infer_datatype(cell))
             objects.append((p, t.literal_object(p, cell, kind, f.language, mapping.graph)))
         else:

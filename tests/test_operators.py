@@ -189,3 +189,15 @@ def test_nearest_vectors(spark):
     assert [r["id"] for r in search.nearest(frame, [3.0, 0.0]).collect()] == [1, 2, 3]
     assert [r["id"] for r in search.nearest(frame, [3.0, 0.0], limit=9, least=-2.0).collect()] == [1, 2, 3, 4]
     assert [r["id"] for r in search.nearest(frame, [3.0, 0.0], least=0.8).collect()] == [1, 2] and search.nearest(frame, [0.0, 0.0]).count() == 0
+
+
+def test_declared_datatypes_are_checked(spark):
+    rows = spark.createDataFrame([("a", " 12 ", "2024-02-29"), ("b", "", None)], "k string, n string, day string")
+    fields = [mapping.Field("n", "n", datatype="integer"), mapping.Field("day", "day", datatype="date")]
+    made = mapping.ingest(rows, mapping.Mapping("m", ["k"], ["T"], None, fields, unique=True))
+    assert {r["o"] for r in made.filter(F.col("p").isin(t.ONT + "n", t.ONT + "day")).collect()} == {"12", "2024-02-29"}
+    for wrong in ("1.5", "x"):
+        with pytest.raises(Exception, match="column n: not of type integer"):
+            mapping.ingest(rows.withColumn("n", F.lit(wrong)), mapping.Mapping("m", ["k"], ["T"], None, fields, unique=True)).collect()
+    with pytest.raises(ValueError, match="a datatype and a language"):
+        mapping.ingest(rows, mapping.Mapping("m", ["k"], ["T"], None, [mapping.Field("n", "n", datatype="integer", language="en")]))
