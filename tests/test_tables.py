@@ -29,3 +29,9 @@ def test_the_first_change_of_a_log_counts(spark, tmp_path, name):
     first = f"SELECT * REPLACE (CASE WHEN {own} THEN 99999 ELSE user_id END AS user_id, CASE WHEN {own} THEN 'view' ELSE event_type END AS event_type) FROM {{table}}"
     folder = changed(tmp_path / "d", "events", first)
     assert differs(QUERIES[name](spark, folder), SQL[name], tables(folder)) == ""
+
+
+@pytest.mark.parametrize("name", ["shacl_datatype", "shacl_report"])
+def test_a_zero_with_a_sign_is_not_negative(spark, tmp_path, name):
+    folder = changed(tmp_path / "d", "customer", "SELECT * REPLACE (CASE WHEN c_custkey % 10 = 1 THEN '-0.0'::DOUBLE ELSE c_acctbal END AS c_acctbal) FROM {table}")
+    assert differs(QUERIES[name](spark, folder), SQL[name], tables(folder)) == ""
