@@ -150,9 +150,10 @@ def quads(df: DataFrame, subject: Column, objects: list[Column], s_kind: str = "
     return rows.select("q.g", "s", F.lit(s_kind).alias("s_kind"), "q.p", "q.o", "q.o_kind", "q.o_dt", "q.o_lang", "q.o_triple", "q.o_key")
 
 
-def as_set(rows: DataFrame) -> DataFrame:
-    """A dataset is a set of quads."""
-    return rows.dropDuplicates(["g", "s", "s_kind", "p", "o_key"])
+def as_set(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """A dataset is a set of quads; ``parts`` says in how many parts equal ones are looked for, by default Spark does."""
+    key = ["g", "s", "s_kind", "p", "o_key"]
+    return (rows if parts is None else rows.repartition(parts, *key)).dropDuplicates(key)
 
 
 def union(*frames: DataFrame) -> DataFrame:

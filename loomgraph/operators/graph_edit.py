@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions import terms as t
-from ..storage import Growing, Tables
+from ..storage import Growing, KeyTables
 from . import algebra
 from .fixpoint import closure
 
@@ -46,8 +46,8 @@ def from_template(solutions: DataFrame, template: list[algebra.Pattern], g: str
     return of_keys(rows.select(S.text(F.col("gk")).alias("g"), "sk", "pk", "ok"))
 
 
-def of_keys(rows: DataFrame) -> DataFrame:
-    """Quads (as a set) of a graph's plain name and the keys sk, pk and ok."""
+def of_keys(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """Quads (as a set, see ``terms.as_set``) of a graph's plain name and the keys sk, pk and ok."""
     o, lang = F.col("ok"), F.nullif(S.lang(F.col("ok")), F.lit(""))
     kind = F.when(S.is_triple(o), "triple").when(S.is_iri(o), "iri").when(S.is_blank(o), "bnode").otherwise("literal")
     quoted = F.struct(S.text(S.subject(o)).alias("s"), S.text(S.predicate(o)).alias("p"), S.object_(o).alias("o_key"))
@@ -56,7 +56,7 @@ def of_keys(rows: DataFrame) -> DataFrame:
         F.when(~S.is_triple(o), algebra.text(o)).alias("o"), kind.alias("o_kind"), S.datatype(o).alias("o_dt"), lang.alias("o_lang"),
         F.when(S.is_triple(o), quoted).cast(t.TRIPLE).alias("o_triple"), o.alias("o_key"),
     )
-    return t.as_set(plain)
+    return t.as_set(plain, parts)
 
 
 def update(rows: DataFrame, solutions: DataFrame, gone: list[algebra.Pattern], made: list[algebra.Pattern], g: str | None = t.DATA) -> DataFrame:
@@ -123,7 +123,7 @@ def class_forest(rows: DataFrame) -> DataFrame:
     classes of the ontology do not count; a class is not repeated below itself,
     and if all lie on cycles, each is a root.
     """
-    tables = Tables(rows.sparkSession, "forest")
+    tables = KeyTables(rows.sparkSession, "forest")
     terms = tables.cut(class_parents(rows), "classes")
     links = terms.select(F.explode("parents").alias("parent"), F.col("iri").alias("child")).filter("parent <> child")
     links = tables.cut(links.join(terms.select(F.col("iri").alias("parent")), "parent", "left_semi"), "links")

@@ -16,8 +16,9 @@ from ..operators import graph_edit as E
 from ..operators import inference as I
 from ..operators import search as R
 from ..operators import snapshots
+from ..operators.fixpoint import cut
 from ..sources import jsonld, rdfxml, turtle, vocabulary
-from ..storage import shared_dir
+from ..storage import parts_of, shared_dir
 from .graph import kg, node, ontology, p, table
 from .history import _LOG, _log
 from .patterns import NODE
@@ -81,7 +82,8 @@ def jsonld_strings(spark, d):
         F.concat(F.lit('{"'), "c_mktsegment").alias("odd"), F.struct(F.concat(F.lit("https://kg.example/id/nation/"), "c_nationkey").alias("id"), F.lit("x").alias("seen")).alias("in"),
         F.array(F.lit("[a"), F.lit("b"), F.lit("1")).alias("places"),
     ))
-    found = jsonld.parse(rows.withColumn("body", body).select(F.concat(F.lit('{"@context":'), context, F.lit(","), F.expr("substring(body, 2)")).alias("value")))
+    texts = rows.withColumn("body", body).select(F.concat(F.lit('{"@context":'), context, F.lit(","), F.expr("substring(body, 2)")).alias("value"))
+    found = cut(jsonld.parse(texts, parts=parts_of(rows, 25_000)))  # asked several times
     one = lambda name: F.max(F.when(F.col("p") == t.ONT + name, A.text(F.col("o_key"))))
     firsts = found.filter(F.col("p") == t.RDF + "first").select("s", "o_key")
     heads = found.filter(F.col("p") == t.ONT + "places").select(F.col("s").alias("c"), F.col("o").alias("a"))
@@ -111,11 +113,13 @@ def turtle_edge_metadata(spark, d):
 @query(f"SELECT c_custkey AS customer, '\"' || c_name || '\"' AS name, c_acctbal AS balance, '<{NODE}nation/' || c_nationkey || '>' AS nation FROM customer")
 def jsonld_compact(spark, d):
     """Compact node objects, as other programs write them, with prefixes and plain numbers."""
-    rows = table(spark, d, "customer").select(F.to_json(F.struct(
+    people = table(spark, d, "customer")
+    parts = parts_of(people, 50_000)
+    rows = people.select(F.to_json(F.struct(
         F.concat(F.lit("id:customer/"), "c_custkey").alias("@id"), F.array(F.lit("ont:Customer")).alias("@type"), F.col("c_name").alias("rdfs:label"),
         F.col("c_acctbal").alias("ont:acctbal"), F.struct(F.concat(F.lit("id:nation/"), "c_nationkey").alias("@id")).alias("ont:inNation"),
     )).alias("value"))
-    found = jsonld.parse(rows)
+    found = jsonld.parse(rows, parts=parts).repartition(parts, "s")
     one = lambda iri: F.max(F.when(F.col("p") == iri, F.col("o_key")))
     out = found.groupBy("s").agg(one(t.LABEL).alias("name"), one(t.ONT + "acctbal").alias("b"), one(t.ONT + "inNation").alias("nation"))
     return out.select(F.regexp_extract("s", r"(\d+)$", 1).cast("long").alias("customer"), "name", S.number(F.col("b")).alias("balance"), "nation")

@@ -13,7 +13,7 @@ from ..operators import search as R
 from ..operators.fixpoint import cut
 from ..operators.text_index import TextIndex
 from ..sources import nquads
-from ..storage import shared_dir
+from ..storage import parts_of, shared_dir
 from ..streaming import feed
 from .graph import kg, table
 from .registry import registry
@@ -225,13 +225,12 @@ def nquads_lines(spark, d):
 
 @query("SELECT count(*) * 6 AS n, 0::BIGINT AS lost FROM customer")
 def nquads_roundtrip(spark, d):
-    rows = kg(spark, d, "customer")
-    back = nquads.parse(nquads.lines(rows))
+    rows, parts = kg(spark, d, "customer"), parts_of(table(spark, d, "customer"), 50_000)
+    back = nquads.parse(nquads.lines(rows), parts=parts)
     key = ["g", "s", "p", "o_key", "o", "dt"]
-    rows, back = (x.withColumn("dt", F.coalesce("o_dt", F.lit(""))) for x in (rows, back))
-    lost = rows.select(*key).join(back.select(*key), key, "left_anti")
-    both = back.select(F.lit(1).alias("n"), F.lit(0).alias("lost")).union(lost.select(F.lit(0), F.lit(1)))
-    return both.agg(F.sum("n").alias("n"), F.sum("lost").alias("lost"))
+    side = lambda x, n, given: x.withColumn("dt", F.coalesce("o_dt", F.lit(""))).select(*key, F.lit(n).alias("n"), F.lit(given).alias("given"))
+    both = side(back, 1, 0).union(side(rows, 0, 1)).repartition(parts, *key).groupBy(*key).agg(F.sum("n").alias("n"), F.sum("given").alias("given"))
+    return both.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") == 0, F.col("given")).otherwise(0)).alias("lost"))
 
 
 @query(f"SELECT {CUSTOMER_IRI} AS \":ID\", c_name AS label, 'Customer' AS \":LABEL\", c_custkey::VARCHAR AS \"externalKey\", c_mktsegment AS segment FROM customer")

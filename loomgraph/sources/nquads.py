@@ -32,11 +32,11 @@ def _unescape(text: Column) -> Column:
     return F.replace(text, mark, F.lit("\\"))
 
 
-def parse(lines: DataFrame, column: str = "value", graph: str | None = None, strict: bool = True) -> DataFrame:
+def parse(lines: DataFrame, column: str = "value", graph: str | None = None, strict: bool = True, parts: int | None = None) -> DataFrame:
     """Quads of text lines.  ``graph`` replaces the graph of lines that name none.
 
     Blank lines and comments are skipped; with ``strict`` any other line that is
-    not a statement is an error, else it is skipped.
+    not a statement is an error, else it is skipped.  ``parts`` as in ``terms.as_set``.
     """
     line = F.trim(F.col(column))
     rows = lines.filter((line != "") & ~line.startswith("#")).select(line.alias("line"))
@@ -65,7 +65,7 @@ def parse(lines: DataFrame, column: str = "value", graph: str | None = None, str
         F.when(triple, F.struct(inner(1).alias("s"), inner(2).alias("p"), inner(3).alias("o_key"))).alias("o_triple"),
         F.when(literal, t.literal_key(_unescape(text), datatype, lang)).otherwise(o).alias("o_key"),
     )
-    return t.as_set(out)
+    return t.as_set(out, parts)
 
 
 def read(spark, path: str, graph: str | None = None) -> DataFrame:

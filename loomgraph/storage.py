@@ -35,6 +35,32 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Bytes on disk up to which a table of keys is broadcast; long keys that differ in a few digits take twenty times that in memory.
+SMALL = 100_000
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
+def joinable(table: DataFrame, size: int) -> DataFrame:
+    """``table``, which takes ``size`` bytes on disk, with a hint to broadcast it in joins if it is small, and else not to.
+
+    Spark goes by the bytes on disk too, but a table of ten megabytes there may
+    not fit the driver.
+    """
+    return table.hint("broadcast" if size <= SMALL else "merge")
+
+
+def parts_of(rows: DataFrame, each: int = 100_000) -> int:
+    """Into how many parts ``rows`` go, ``each`` rows a part.
+
+    Bytes of a compressed file, or of a shuffle, say little of what its rows take in a task, so the rows are counted.
+    """
+    return max(1, -(-rows.count() // each))
+
+
 class Tables:
     """Named Parquet tables of one run, below the shared folder."""
 
@@ -57,12 +83,24 @@ class Tables:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class KeyTables(Tables):
+    """Tables of term keys, which joins take by their size on disk; ``size`` is that of all of them."""
+
+    size = 0
+
+    def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
+        table = super().cut(df, name)
+        own = _bytes(self.spark, f"{self.root}/{self.made:03d}-{name}")
+        self.size += own
+        return joinable(table, own)
+
+
 class Growing:
-    """A table that grows by parts: what was written before is never rewritten."""
+    """A table of term keys that grows by parts: what was written before is never rewritten."""
 
     def __init__(self, tables: Tables, name: str, schema: StructType) -> None:
         tables.made += 1
-        self.spark, self.schema, self.parts = tables.spark, schema, 0
+        self.spark, self.schema, self.parts, self.size = tables.spark, schema, 0, 0
         self.root = f"{tables.root}/{tables.made:03d}-{name}"
 
     def add(self, df: DataFrame) -> DataFrame:
@@ -70,12 +108,14 @@ class Growing:
         self.parts += 1
         path = f"{self.root}/{self.parts:04d}"
         df.select(*self.schema.names).write.parquet(path)
-        return self.spark.read.schema(self.schema).parquet(path)
+        own = _bytes(self.spark, path)
+        self.size += own
+        return joinable(self.spark.read.schema(self.schema).parquet(path), own)
 
     def read(self) -> DataFrame:
         """All rows added so far."""
         paths = [f"{self.root}/{i:04d}" for i in range(1, self.parts + 1)]
-        return self.spark.read.schema(self.schema).parquet(*paths)
+        return joinable(self.spark.read.schema(self.schema).parquet(*paths), self.size)
 
 
 class Manifest:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.functions import terms as t
-from loomgraph.sources import turtle
+from loomgraph.sources import jsonld, turtle
+from tests.test_queries import FOLDER
 
 
 def test_turtle_is_read_bit_by_bit():
@@ -22,3 +23,19 @@ def test_turtle_is_written_in_files_of_bounded_size(spark, tmp_path, monkeypatch
     turtle.write(rows, str(tmp_path / "d"))
     assert max(len(p.read_text().splitlines()) for p in (tmp_path / "d").glob("part-*")) <= 10
     assert turtle.read(spark, str(tmp_path / "d")).count() == 50
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quads_are_dealt_over_as_many_parts_as_are_asked_for(spark):
+    rows = spark.createDataFrame([('{"@id":"urn:x","urn:p":1}',)] * 3, "value string")
+    found = jsonld.parse(rows, parts=7)
+    assert found.count() == 1 and "hashpartitioning" in _plan(found) and ", 7)" in _plan(found)
+
+
+def test_a_roundtrip_is_compared_without_a_join(spark):
+    from loomgraph.plans.catalogue import QUERIES
+
+    assert "Join" not in _plan(QUERIES["nquads_roundtrip"](spark, FOLDER))
