@@ -2,7 +2,7 @@
 
 Each round is one plan over the edges and the last round's new rows; its result
 is written below the shared folder and read back, so the lineage stays short.
-Tables that grow are appended to, never rewritten.
+KeyTables that grow are appended to, never rewritten.
 """
 
 from __future__ import annotations
@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import Growing, Tables
+from ..storage import Growing, KeyTables
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the folder in ``spark.checkpoint.dir``, without its lineage."""
-    return Tables(df.sparkSession, "cut").cut(df)
+    return KeyTables(df.sparkSession, "cut").cut(df)
 
 
 def closure(edges: DataFrame, reflexive: bool = False, seeds: DataFrame | None = None) -> DataFrame:
@@ -24,7 +24,7 @@ def closure(edges: DataFrame, reflexive: bool = False, seeds: DataFrame | None =
     Without ``seeds`` paths double in length each round, so a chain of n edges
     takes about log2(n) rounds; with ``seeds`` (a) only their paths are followed.
     """
-    tables = Tables(edges.sparkSession, "closure")
+    tables = KeyTables(edges.sparkSession, "closure")
     edges = tables.cut(edges.select("a", "b").filter("a is not null and b is not null").distinct(), "edges")
     grown = Growing(tables, "known", edges.schema)
     delta = grown.add(edges if seeds is None else edges.join(seeds.select("a").distinct(), "a", "left_semi"))
@@ -49,7 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
     followed by doubling, and what is left between the nodes they end at is the
     next, smaller graph.
     """
-    tables = Tables(edges.sparkSession, "components")
+    tables = KeyTables(edges.sparkSession, "components")
     left = tables.cut(edges.filter("a is not null and b is not null").select("a", "b").distinct(), "edges")
     at = tables.cut(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component")), "at")
     left = tables.cut(left.filter("a <> b"), "left")
@@ -75,7 +75,7 @@ def levels(edges: DataFrame, start: DataFrame, depth: int, enough: int | None =
 
     With ``enough``, no level is expanded once the levels before it hold that many rows.
     """
-    tables = Tables(edges.sparkSession, "levels")
+    tables = KeyTables(edges.sparkSession, "levels")
     edges = tables.cut(edges.select("a", "b").distinct(), "edges")
     first = start.select("start", F.col("start").alias("node"), F.lit(0).alias("level")).distinct()
     grown = Growing(tables, "seen", first.schema)
@@ -128,7 +128,7 @@ def shortest_path(rows: DataFrame, start: str, goal: str, type_iri: str, hops: i
     schema = "step int, a string, p string, b string, forward boolean"
     if start == goal:
         return spark.createDataFrame([], schema)
-    tables = Tables(spark, "path")
+    tables = KeyTables(spark, "path")
     edges = tables.cut(incident(rows, type_iri), "edges")
     kind = "node string, from_ string, p string, forward boolean, level int"
     width = lambda front: edges.join(front.select(F.col("node").alias("a")), "a", "left_semi").count()
@@ -174,7 +174,7 @@ def describe(rows: DataFrame, node: str, depth: int = 1, layout: str = "urn:kg:l
     steps of IRIs; all named graphs but the layout."""
     rows = rows.filter(F.col("g").isNotNull() & (F.col("g") != layout))
     first = rows.sparkSession.createDataFrame([(node, depth)], "s string, budget int")
-    grown = Growing(Tables(rows.sparkSession, "describe"), "seen", first.schema)
+    grown = Growing(KeyTables(rows.sparkSession, "describe"), "seen", first.schema)
     front = grown.add(first)
     while True:
         step = rows.filter(F.col("o_kind").isin("iri", "bnode")).join(front, "s")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as t
-from ..storage import Growing, Tables
+from ..storage import Growing, KeyTables, joinable
 from .algebra import text
 
 _TYPE, _SUB, _SUBP = t.TYPE, t.RDFS + "subClassOf", t.RDFS + "subPropertyOf"
@@ -108,7 +108,7 @@ def candidates(known: DataFrame, delta: DataFrame, rules: tuple[Rule, ...]) -> D
             for i, x in enumerate(rule.premises):
                 part = _premise(delta if i == new else known, x, i)
                 size = _usable(x, fresh if i == new else everywhere)
-                parts.append(F.broadcast(part) if 0 < size <= BROADCAST_BYTES else part)
+                parts.append(part.hint("broadcast" if 0 < size <= BROADCAST_BYTES else "merge"))
             joined = reduce(lambda a, b: a.join(b, [c for c in a.columns if c in b.columns]), parts)
             s, p, o = (F.col(x[1:]) if x.startswith("?") else F.lit(_key(x)) for x in rule.conclusion)
             premises = [F.col(f"f{i}") for i in range(len(parts))] + [F.lit("")] * (3 - len(parts))
@@ -136,7 +136,7 @@ def materialise(facts: DataFrame, profile: str | tuple[Rule, ...] = "rl-lite", m
     first derivations of the round in which it is reached, by rule and premises.
     """
     rules = PROFILES[profile] if isinstance(profile, str) else profile
-    tables = Tables(facts.sparkSession, "inference")
+    tables = KeyTables(facts.sparkSession, "inference")
     given = delta = tables.cut(facts.select("s", "p", "o").distinct(), "facts")
     nothing = facts.sparkSession.createDataFrame([], "s string, p string, o string, rule string, f0 string, f1 string, f2 string, round int")
     derived = Growing(tables, "derived", nothing.schema)
@@ -144,7 +144,7 @@ def materialise(facts: DataFrame, profile: str | tuple[Rule, ...] = "rl-lite", m
     total = 0
     for number in range(1, max_rounds + 1):
         so_far = derived.read() if derived.parts else nothing
-        known = given.union(so_far.select("s", "p", "o"))
+        known = joinable(given.union(so_far.select("s", "p", "o")), tables.size + derived.size)
         made = candidates(known, delta, rules) if rules else None
         if made is None:
             return Inference(so_far, number, True, False)

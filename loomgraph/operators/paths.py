@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as t
-from ..storage import Growing, Tables
+from ..storage import Growing, KeyTables
 from .fixpoint import closure
 
 
@@ -130,7 +130,7 @@ def reach(starts: DataFrame, steps: Callable[[DataFrame], DataFrame]) -> DataFra
     ``front`` (a); each round asks it for the nodes that were new in the last one,
     once for all starts that reached them.
     """
-    tables = Tables(starts.sparkSession, "reach")
+    tables = KeyTables(starts.sparkSession, "reach")
     starts = tables.cut(starts.select("a").distinct(), "starts")
     first = steps(starts).select("a", "b").distinct()
     grown = Growing(tables, "reached", first.schema)
@@ -151,7 +151,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     name has spread, those that also lead back to it are one component, and
     whoever is not settled goes on without edges between different names.
     """
-    tables = Tables(edges.sparkSession, "components")
+    tables = KeyTables(edges.sparkSession, "components")
     left = tables.cut(edges.filter("a is not null and b is not null and a <> b").select("a", "b").distinct(), "edges")
     found = []
 
@@ -193,7 +193,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 def condensed_closure(edges: DataFrame) -> DataFrame:
     """As ``closure``, over strongly connected components: the closure of what they form without cycles, then expanded."""
-    tables = Tables(edges.sparkSession, "condensed")
+    tables = KeyTables(edges.sparkSession, "condensed")
     edges = tables.cut(edges.select("a", "b").filter("a is not null and b is not null").distinct(), "edges")
     member = strong_components(edges)
     if member.isEmpty():

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as t
-from ..storage import Tables
+from ..storage import KeyTables
 from . import inference as I
 from .fixpoint import components
 
@@ -97,7 +97,7 @@ def materialise(facts: DataFrame, profile: str | tuple[I.Rule, ...] = "rl-lite")
     With a profile that has no rule for equal terms, nothing is merged.
     """
     rules = I.PROFILES[profile] if isinstance(profile, str) else profile
-    tables = Tables(facts.sparkSession, "same-as")
+    tables = KeyTables(facts.sparkSession, "same-as")
     known = tables.cut(facts.select("s", "p", "o").distinct(), "facts")
     others = known.filter(~F.col("s").startswith("<"))
     merging = {"same-symmetric", "same-subject", "same-object"} <= {r.name for r in rules}

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as t
-from ..storage import Tables
+from ..storage import KeyTables
 from . import paths
 from .algebra import datatype, language, number, text
 from .fixpoint import closure
@@ -116,7 +116,7 @@ def spelled(path: Path) -> str:
     return f"^{inner[0]}" if kind == "inverse" else inner[0] + {"star": "*", "plus": "+", "maybe": "?"}[kind]
 
 
-def _members(facts: DataFrame, classes: list[str], tables: Tables) -> DataFrame:
+def _members(facts: DataFrame, classes: list[str], tables: KeyTables) -> DataFrame:
     """(cls, node) of every node whose type is one of ``classes`` or a descendant of it, by one scan of the types.
 
     Only what lies below the classes asked for is followed.
@@ -238,7 +238,7 @@ class _Run:
     """One validation: its shapes, findings so far, and the nodes that fail each shape."""
 
     def __init__(self, facts: DataFrame, shapes: list[Shape]) -> None:
-        self.facts, self.shapes, self.tables = facts, shapes, Tables(facts.sparkSession, "shapes")
+        self.facts, self.shapes, self.tables = facts, shapes, KeyTables(facts.sparkSession, "shapes")
         self.number = {s.name: i for i, s in enumerate(shapes)}
         self.props = [(i, p) for i, shape in enumerate(shapes) for p in shape.properties]
         self.names = F.array(*[F.lit(s.name) for s in shapes])
@@ -460,7 +460,7 @@ def validate(facts: DataFrame, shapes: list[Shape]) -> DataFrame:
                 below = {str(k): sorted({run.number[x] for x in _references(p)}) for k, _, p in here if _references(p)}
                 if below:
                     asked.append(found.select(F.explode(_choose(F.col("prop").cast("string"), below)).alias("shape"), F.col("value").alias("focus")))
-        focus = reduce(DataFrame.union, [f for f, _ in parts])
+        focus = tables.cut(reduce(DataFrame.union, [f for f, _ in parts]), "focus")
         kept = [v for _, v in parts if v is not None]
         values = reduce(DataFrame.union, kept) if kept else None
     run.plain(focus, values, members)

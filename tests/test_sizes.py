@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.functions import terms as t
+from loomgraph.operators.fixpoint import cut
 from loomgraph.sources import jsonld, turtle
 from tests.test_queries import FOLDER
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_of_many_keys_are_not_broadcast(spark):
+    key = F.concat(F.lit("<https://kg.example/id/customer/"), F.col("id").cast("string"), F.lit(">"))
+    many, few = cut(spark.range(300_000).select(key.alias("node"))), cut(spark.range(10).select(key.alias("node")))
+    assert "Broadcast" not in _plan(many.join(many.withColumnRenamed("node", "a"), F.col("node") == F.col("a"), "left_semi"))
+    assert "BroadcastHashJoin" in _plan(many.join(few, "node"))
+
+
 def test_turtle_is_read_bit_by_bit():
     text = "\n".join(f"<urn:x:{i}> <urn:p> {i} ." for i in range(100))
     sizes = [len(x) for x in turtle._Reader(text, t.BASE, "d").batches(30)]
@@ -25,10 +37,6 @@ def test_turtle_is_written_in_files_of_bounded_size(spark, tmp_path, monkeypatch
     assert turtle.read(spark, str(tmp_path / "d")).count() == 50
 
 
-def _plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
 def test_quads_are_dealt_over_as_many_parts_as_are_asked_for(spark):
     rows = spark.createDataFrame([('{"@id":"urn:x","urn:p":1}',)] * 3, "value string")
     found = jsonld.parse(rows, parts=7)
