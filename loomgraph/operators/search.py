@@ -50,19 +50,32 @@ def select(recs: DataFrame, kind: str | None = None, cls: str | None = None) ->
     return recs if cls is None else recs.filter(F.array_contains("types", cls))
 
 
-def search(recs: DataFrame, query: str, kind: str | None = None, cls: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+def check_page(limit: int | None, offset: int) -> None:
+    if min(limit or 0, offset) < 0:
+        raise ValueError("limit and offset must not be negative")
+
+
+def page(found: DataFrame, limit: int | None, offset: int, *order: str) -> DataFrame:
+    """``limit`` rows from ``offset`` on; without either all rows, in no order."""
+    if limit is None and not offset:
+        return found
+    rest = found.orderBy(*order).offset(offset)
+    return rest if limit is None else rest.limit(limit)
+
+
+def search(recs: DataFrame, query: str, kind: str | None = None, cls: str | None = None, limit: int | None = 50, offset: int = 0) -> DataFrame:
     """Records that hold the query in label or comment: iri, label, score.
 
     Queries of three letters and more are ranked by BM25 over letter trigrams
-    (smaller is better), shorter and empty ones listed by iri.
+    (smaller is better), shorter and empty ones listed by iri.  Without a
+    ``limit`` all are given, in no order, and no task holds them together.
     """
-    if limit < 0 or offset < 0:
-        raise ValueError("limit and offset must not be negative")
+    check_page(limit, offset)
     text = F.concat_ws("\n", "label", "comment")
     query = query.strip()
     if len(query) < 3:
         found = select(recs, kind, cls).filter(F.lower(text).contains(query.lower())) if query else select(recs, kind, cls)
-        return found.select("iri", "label", F.lit(0.0).alias("score")).orderBy("iri").offset(offset).limit(limit)
+        return page(found.select("iri", "label", F.lit(0.0).alias("score")), limit, offset, "iri")
     grams = lambda c: F.greatest(F.length(F.coalesce(F.col(c), F.lit(""))) - 2, F.lit(0))
     hits = F.lower(text).contains(query.lower())
     counted = recs.withColumn("d", (grams("label") + grams("comment")).cast("double"))
@@ -73,7 +86,7 @@ def search(recs: DataFrame, query: str, kind: str | None = None, cls: str | None
     freq = (occurrences(F.coalesce("label", F.lit("")), query) + occurrences(F.coalesce("comment", F.lit("")), query)).cast("double")
     score = -idf * freq * (K1 + 1) / (freq + K1 * (1 - B + B * F.col("d") / avg))
     found = select(counted, kind, cls).filter(hits).select("iri", "label", score.alias("score"))
-    return found.orderBy("score", "iri").offset(offset).limit(limit)
+    return page(found, limit, offset, "score", "iri")
 
 
 def _normal(text: str) -> str:

@@ -18,19 +18,24 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import Manifest
+from ..storage import Manifest, joinable, size_on_disk
 from . import search as scan
 
 BUCKETS, MOST_SEGMENTS = 64, 8
 _FIELDS = ("label", "comment")
 _DOCS = "seq long, iri string, label string, comment string, types array<string>, kind string, d double"
 _POSTINGS = "seq long, gram string, iri string, field int, place int, bucket int"
+_GONE = "seq long, iri string"
 
 
 def _bucket(gram: str) -> int:
     return zlib.crc32(gram.encode()) % BUCKETS
 
 
+def _name(seq: int) -> str:
+    return f"segment-{seq}-{uuid.uuid4().hex[:12]}"
+
+
 class TextIndex:
     """An index in ``folder``, which may be any folder that Spark reads and writes."""
 
@@ -56,7 +61,8 @@ class TextIndex:
 
     def _alive(self, rows: DataFrame) -> DataFrame:
         """Rows (seq, iri) whose record has no later entry."""
-        gone = self._read("gone", "seq long, iri string").groupBy("iri").agg(F.max("seq").alias("later"))
+        size = sum(size_on_disk(self.spark, f"{self.folder}/{name}/gone") for _, name in self.segments())
+        gone = joinable(self._read("gone", _GONE).groupBy("iri").agg(F.max("seq").alias("later")), size)
         same = (rows["iri"] == gone["iri"]) & (rows["seq"] < gone["later"])
         return rows.join(gone, same, "left_anti")
 
@@ -64,10 +70,14 @@ class TextIndex:
         """The records as they are now, with seq and d, their number of trigrams."""
         return self._alive(self._read("docs", _DOCS))
 
-    def _write(self, seq: int, oldest: int, docs: DataFrame, postings: DataFrame, gone: DataFrame) -> None:
-        name = f"segment-{seq}-{uuid.uuid4().hex[:12]}"
-        docs.withColumn("seq", F.lit(seq).cast("long")).select(*[c.split()[0] for c in _DOCS.split(", ")]).write.parquet(f"{self.folder}/{name}/docs")
-        gone.select(F.lit(seq).cast("long").alias("seq"), "iri").write.parquet(f"{self.folder}/{name}/gone")
+    def _part(self, name: str, what: str, seq: int, rows: DataFrame, schema: str) -> DataFrame:
+        """Write a table of a segment and return it as read back, so that what it is made from is made once."""
+        path = f"{self.folder}/{name}/{what}"
+        rows.withColumn("seq", F.lit(seq).cast("long")).select(*[c.split()[0] for c in schema.split(", ")]).write.parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def _write(self, seq: int, oldest: int, name: str, postings: DataFrame) -> None:
+        """Write the postings of a segment whose other tables are there, and put it in force."""
         laid = postings.withColumn("seq", F.lit(seq).cast("long")).select(*[c.split()[0] for c in _POSTINGS.split(", ")])
         # a bucket with a very frequent trigram has several files
         laid = laid.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram")
@@ -76,8 +86,10 @@ class TextIndex:
 
     def build(self, recs: DataFrame) -> None:
         """Index all records (iri, label, comment, types, kind) anew."""
-        last = max([0, *(seq for seq, _ in self.segments())])
-        self._write(last + 1, last + 1, *_laid_out(recs), self.spark.createDataFrame([], "iri string"))
+        seq = max([0, *(seq for seq, _ in self.segments())]) + 1
+        name = _name(seq)
+        self._part(name, "gone", seq, self.spark.createDataFrame([], "iri string"), _GONE)
+        self._write(seq, seq, name, _postings(self._part(name, "docs", seq, _measured(recs), _DOCS)))
 
     def update(self, fresh: DataFrame, touched: DataFrame) -> None:
         """Records after a change: those in ``touched`` (iri) are taken from ``fresh``, and gone if they are not there."""
@@ -85,17 +97,22 @@ class TextIndex:
         if not there:
             self.build(fresh)
             return
-        touched = touched.select("iri").distinct()
-        own = fresh.join(touched, "iri", "left_semi").select(*fresh.columns)
-        self._write(there[-1][0] + 1, there[0][0], *_laid_out(own), touched)
+        seq = there[-1][0] + 1
+        name = _name(seq)
+        gone = self._part(name, "gone", seq, touched.select("iri").distinct(), _GONE)
+        gone = joinable(gone.select("iri"), size_on_disk(self.spark, f"{self.folder}/{name}/gone"))
+        own = fresh.join(gone, "iri", "left_semi").select(*fresh.columns)
+        self._write(seq, there[0][0], name, _postings(self._part(name, "docs", seq, _measured(own), _DOCS)))
         if len(there) + 1 > MOST_SEGMENTS:
             self.merge()
 
     def merge(self) -> None:
         """One segment in place of all, from their postings and not from the texts."""
-        there = self.segments()
-        seq = there[-1][0] + 1
-        self._write(seq, seq, self.records(), self._alive(self._read("postings", _POSTINGS)), self.spark.createDataFrame([], "iri string"))
+        seq = self.segments()[-1][0] + 1
+        name = _name(seq)
+        self._part(name, "gone", seq, self.spark.createDataFrame([], "iri string"), _GONE)
+        self._part(name, "docs", seq, self.records(), _DOCS)
+        self._write(seq, seq, name, self._alive(self._read("postings", _POSTINGS)))
 
     def occurrences(self, phrase: str) -> DataFrame:
         """seq, iri and how often a phrase of three letters or more, in lower case, occurs in the record."""
@@ -108,10 +125,9 @@ class TextIndex:
         starts = rows.groupBy("seq", "iri", "field", (F.col("place") - F.col("k")).alias("start")).agg(F.count("*").alias("n"))
         return self._alive(starts.filter(F.col("n") == len(phrase) - 2).groupBy("seq", "iri").agg(F.count("*").cast("double").alias("freq")))
 
-    def search(self, query: str, kind: str | None = None, cls: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    def search(self, query: str, kind: str | None = None, cls: str | None = None, limit: int | None = 50, offset: int = 0) -> DataFrame:
         """As ``search.search`` over the records; texts are read only for queries of less than three letters."""
-        if limit < 0 or offset < 0:
-            raise ValueError("limit and offset must not be negative")
+        scan.check_page(limit, offset)
         phrase, docs = query.strip().lower(), self.records()
         if len(query.strip()) < 3 or len(phrase) < 3 or "\n" in phrase:  # the last may run from the label into the comment
             return scan.search(docs, query, kind, cls, limit, offset)
@@ -122,20 +138,25 @@ class TextIndex:
         freq = F.col("freq")
         score = -idf * freq * (scan.K1 + 1) / (freq + scan.K1 * (1 - scan.B + scan.B * F.col("d") / avg))
         found = scan.select(docs, kind, cls).join(hits, ["seq", "iri"]).select("iri", "label", score.alias("score"))
-        return found.orderBy("score", "iri").offset(offset).limit(limit)
+        return scan.page(found, limit, offset, "score", "iri")
+
+
+def _plain(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(""))
+
 
+def _measured(recs: DataFrame) -> DataFrame:
+    """Records and their number of trigrams."""
+    grams = lambda c: F.greatest(F.length(_plain(c)) - 2, F.lit(0))
+    return recs.select("iri", "label", "comment", "types", "kind", (grams("label") + grams("comment")).cast("double").alias("d"))
 
-def _laid_out(recs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents and the postings of records."""
-    plain = lambda c: F.coalesce(F.col(c), F.lit(""))
-    grams = lambda c: F.greatest(F.length(plain(c)) - 2, F.lit(0))
-    docs = recs.select("iri", "label", "comment", "types", "kind", (grams("label") + grams("comment")).cast("double").alias("d"))
 
+def _postings(docs: DataFrame) -> DataFrame:
+    """The postings of documents."""
     def of(number: int, name: str) -> DataFrame:
-        low = recs.select("iri", F.lower(plain(name)).alias("low")).filter(F.length("low") >= 3)
+        low = docs.select("iri", F.lower(_plain(name)).alias("low")).filter(F.length("low") >= 3)
         return low.select("iri", F.lit(number).alias("field"), "low", F.explode(F.sequence(F.lit(1), F.length("low") - 2)).alias("place"))
 
     places = of(0, _FIELDS[0]).unionByName(of(1, _FIELDS[1]))
     gram: Column = F.substr("low", F.col("place"), F.lit(3))
-    postings = places.select("iri", "field", "place", gram.alias("gram")).withColumn("bucket", (F.crc32(F.col("gram").cast("binary")) % BUCKETS).cast("int"))
-    return docs, postings
+    return places.select("iri", "field", "place", gram.alias("gram")).withColumn("bucket", (F.crc32(F.col("gram").cast("binary")) % BUCKETS).cast("int"))

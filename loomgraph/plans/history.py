@@ -13,7 +13,7 @@ from ..operators import search as R
 from ..operators.fixpoint import cut
 from ..operators.text_index import TextIndex
 from ..sources import nquads
-from ..storage import parts_of, shared_dir
+from ..storage import Tables, parts_of, shared_dir
 from ..streaming import feed
 from .graph import kg, table
 from .registry import registry
@@ -58,16 +58,16 @@ def search_index(spark, d):
 SELECT {_PART} FROM p WHERE contains(lower(p_name), 'red') OR contains(lower(p_name), 'med 1') ORDER BY iri""")
 def search_index_upkeep(spark, d):
     """Names change and parts go; only their entries are written again, and then all segments are merged."""
-    recs = _parts(spark, d)
+    recs = Tables(spark, "records").cut(_parts(spark, d))  # indexed and changed below
     number = F.regexp_extract("iri", r"(\d+)$", 1)
     index = TextIndex(spark, _folder(spark, "index"))
     index.build(recs)
     touched = recs.filter(number.cast("long") % 10 == 0).select("iri")
     fresh = recs.filter(number.cast("long") % 50 != 0).withColumn("label", F.when(number.cast("long") % 10 == 0, F.concat(F.lit("renamed "), number)).otherwise(F.col("label")))
     index.update(fresh, touched)
-    before = index.search("red", limit=1_000_000).select("iri", "label")
+    before = index.search("red", limit=None).select("iri", "label")
     index.merge()
-    return before.union(index.search("med 1", limit=1_000_000).select("iri", "label")).distinct()
+    return before.union(index.search("med 1", limit=None).select("iri", "label")).distinct()
 
 
 @query(f"SELECT {_PART} FROM part WHERE contains(lower(p_name), 're') ORDER BY iri LIMIT 500")

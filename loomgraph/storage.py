@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 SMALL = 100_000
 
 
-def _bytes(spark: SparkSession, path: str) -> int:
+def size_on_disk(spark: SparkSession, path: str) -> int:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
 
@@ -90,7 +90,7 @@ class KeyTables(Tables):
 
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
         table = super().cut(df, name)
-        own = _bytes(self.spark, f"{self.root}/{self.made:03d}-{name}")
+        own = size_on_disk(self.spark, f"{self.root}/{self.made:03d}-{name}")
         self.size += own
         return joinable(table, own)
 
@@ -108,7 +108,7 @@ class Growing:
         self.parts += 1
         path = f"{self.root}/{self.parts:04d}"
         df.select(*self.schema.names).write.parquet(path)
-        own = _bytes(self.spark, path)
+        own = size_on_disk(self.spark, path)
         self.size += own
         return joinable(self.spark.read.schema(self.schema).parquet(path), own)
 

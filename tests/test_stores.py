@@ -7,10 +7,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph import storage
 from loomgraph.operators import search
 from loomgraph.operators import text_index as X
 from loomgraph.operators.graph_edit import of_keys
+from loomgraph.plans import history
 from loomgraph.sources.quad_store import QuadStore
+from tests.test_queries import FOLDER
 
 
 def _quads(spark, rows):
@@ -116,3 +119,64 @@ def test_only_the_parts_of_the_query_are_read(spark, tmp_path):
     assert "PartitionFilters: [bucket" in scan and all(g in scan.split("PushedFilters: ")[1].splitlines()[0] for g in ("kyo", "yot", "oto"))
     assert "label" not in scan.split("ReadSchema")[1]
     assert {r["bucket"] for r in spark.read.parquet(f"{tmp_path}/index/{index.segments()[0][1]}/postings").filter("gram = 'kyo'").select("bucket").distinct().collect()} == {X._bucket("kyo")}
+
+
+def _counted(spark, frame):
+    """``frame`` and the number of rows that were made of it so far."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(iri):
+        made.add(1)
+        return iri
+
+    return frame.withColumn("iri", F.udf(seen, "string").asNondeterministic()("iri")), made
+
+
+def test_records_are_made_once_for_a_segment(spark, tmp_path):
+    index = X.TextIndex(spark, str(tmp_path / "index"))
+    recs = spark.createDataFrame(_records(), SCHEMA)
+    built, made = _counted(spark, recs)
+    index.build(built)
+    assert made.value == 120
+    fresh, made = _counted(spark, recs)
+    touched, named = _counted(spark, recs.select("iri").limit(30))
+    index.update(fresh, touched)
+    assert (made.value, named.value) == (120, 30)
+
+
+def test_an_upkeep_makes_the_records_of_the_graph_once(spark, monkeypatch):
+    kept, parts = [], history._parts
+
+    def counted(*args):
+        frame, made = _counted(spark, parts(*args))
+        kept.append(made)
+        return frame
+
+    monkeypatch.setattr(history, "_parts", counted)
+    history.QUERIES["search_index_upkeep"](spark, FOLDER).collect()
+    assert [made.value for made in kept] == [spark.read.parquet(f"{FOLDER}/part.parquet").count()]
+
+
+def test_an_upkeep_gives_all_hits(spark, tmp_path):
+    plan = _plan(history.QUERIES["search_index_upkeep"](spark, FOLDER))
+    assert "Limit" not in plan and "TakeOrdered" not in plan
+    recs = spark.createDataFrame(_records(), SCHEMA)
+    index = X.TextIndex(spark, str(tmp_path / "index"))
+    index.build(recs)
+    for q in ("kyo", "ky", ""):
+        whole = _rows(search.search(recs, q, limit=1000))
+        for found in (index.search, lambda *a, **k: search.search(recs, *a, **k)):
+            assert sorted(_rows(found(q, limit=None))) == sorted(whole) and len(whole) > 20
+            assert _rows(found(q, limit=None, offset=5)) == whole[5:]
+            with pytest.raises(ValueError, match="negative"):
+                found(q, limit=-1)
+
+
+def test_names_of_many_gone_records_are_not_broadcast(spark, tmp_path, monkeypatch):
+    recs = spark.createDataFrame(_records(), SCHEMA)
+    index = X.TextIndex(spark, str(tmp_path / "index"))
+    index.build(recs)
+    index.update(recs, recs.select("iri").limit(30))
+    assert "BroadcastHashJoin" in _plan(index.records())
+    monkeypatch.setattr(storage, "SMALL", 0)
+    assert "Broadcast" not in _plan(index.records()) and index.records().count() == 120
